@@ -1 +1,98 @@
-"""Placeholder."""
+"""DuckDB oracles: validation, proxy outcome, policies, evaluation."""
+
+from __future__ import annotations
+
+from ..functions import rules
+from ..operators import proxy as PX
+from .oracle import ORACLE, inbound_cte, outbound_cte
+from .oracle_views import q, sql_list, with_views
+
+_LO_T, _HI_T = rules.MAX_TOKENS_RANGE
+_LO_TEMP, _HI_TEMP = rules.TEMPERATURE_RANGE
+_N = rules.PROMPT_MAX_CHARS
+
+STRIP = r"regexp_replace(prompt, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
+
+VALIDATED_SQL = f"""
+SELECT request_id, ts, client_id, use_ml, model, max_tokens, temperature,
+       CASE WHEN length(prompt) BETWEEN 1 AND {_N} THEN {STRIP} ELSE prompt END AS prompt,
+       errors, len(errors) = 0 AS valid
+FROM (
+  SELECT *, list_filter([
+      CASE WHEN prompt IS NULL THEN 'prompt: field required' END,
+      CASE WHEN length(prompt) < 1 THEN 'prompt: too short' END,
+      CASE WHEN length(prompt) > {_N} THEN 'prompt: longer than {_N} characters' END,
+      CASE WHEN length(prompt) BETWEEN 1 AND {_N} AND {STRIP} = '' THEN 'prompt: empty or whitespace only' END,
+      CASE WHEN length(model) > {rules.MODEL_MAX_CHARS} THEN 'model: too long' END,
+      CASE WHEN length(model) <= {rules.MODEL_MAX_CHARS} AND model <> '' AND NOT list_contains({sql_list(rules.ALLOWED_MODELS)}, model)
+           THEN {q('model: must be one of ' + ', '.join(rules.ALLOWED_MODELS))} END,
+      CASE WHEN max_tokens < {_LO_T} OR max_tokens > {_HI_T} THEN 'max_tokens: must be in [{_LO_T}, {_HI_T}]' END,
+      CASE WHEN temperature < {_LO_TEMP} OR temperature > {_HI_TEMP} THEN 'temperature: must be in [{_LO_TEMP}, {_HI_TEMP}]' END
+    ], lambda x: x IS NOT NULL) AS errors
+  FROM (
+    SELECT request_id, ts, coalesce(client_id, host, 'unknown') AS client_id,
+           coalesce(use_ml, FALSE) AS use_ml, prompt,
+           coalesce(model, {q(rules.DEFAULT_MODEL)}) AS model,
+           coalesce(max_tokens, {rules.DEFAULT_MAX_TOKENS}) AS max_tokens,
+           coalesce(temperature, {rules.DEFAULT_TEMPERATURE}) AS temperature
+    FROM prompts))"""
+
+ORACLE["validate_requests"] = with_views(["prompts"], """
+SELECT request_id, client_id, model, max_tokens, temperature, valid, array_to_string(errors, '; ') AS errors,
+       CAST(length(prompt) AS BIGINT) AS prompt_chars
+FROM v""", extra=[("v", VALIDATED_SQL)])
+
+LIMITED_SQL = f"""
+SELECT *, row_number() OVER (PARTITION BY client_id, date_trunc('minute', ts) ORDER BY ts, request_id)
+          <= {rules.MAX_REQUESTS_PER_MINUTE} AS allowed
+FROM v WHERE valid"""
+
+SERVED_SQL = f"""
+SELECT *, CASE WHEN NOT allowed THEN 'rate_limited' WHEN NOT passed THEN 'blocked' ELSE 'served' END AS outcome,
+       CASE WHEN allowed AND passed
+            THEN {q(PX.MOCK_RESPONSE_PREFIX)} || substring(prompt, 1, 50) || {q(PX.MOCK_RESPONSE_SUFFIX)} END AS response_raw
+FROM s"""
+
+SV_SQL = f"""
+SELECT * EXCLUDE (threat_type, confidence, passed),
+       threat_type AS in_threat, confidence AS in_conf, passed AS in_passed
+FROM ({SERVED_SQL})"""
+
+PROXY_EXTRA = [("v", VALIDATED_SQL), ("lim", LIMITED_SQL), ("s", inbound_cte("lim", "prompt")),
+               ("sv", SV_SQL), ("o", outbound_cte("sv", "request_id", "response_raw"))]
+
+WORDS = r"CAST(len(regexp_extract_all({x}, '[^\s\x1c-\x1f]+')) AS BIGINT)"
+
+ORACLE["token_usage"] = with_views(["prompts"], f"""
+SELECT request_id AS id, {WORDS.format(x='prompt')} AS prompt_tokens,
+       {WORDS.format(x='final_text')} AS completion_tokens,
+       (passed OR pii_count + secrets_count > 0) AS redacted
+FROM o WHERE outcome = 'served'""", extra=PROXY_EXTRA)
+
+IN_SEVERITY = """CASE WHEN in_conf >= 0.8 THEN 'critical' WHEN in_conf >= 0.6 THEN 'high'
+                      WHEN in_conf >= 0.4 THEN 'medium' ELSE 'low' END"""
+
+ORACLE["event_assembly"] = with_views(["prompts"], f"""
+SELECT request_id AS id, ts AS timestamp,
+       CASE outcome WHEN 'rate_limited' THEN 'rate_limit' WHEN 'blocked' THEN 'prompt_injection'
+            ELSE 'normal_request' END AS event_type,
+       CASE outcome WHEN 'rate_limited' THEN 'medium' WHEN 'blocked' THEN {IN_SEVERITY} ELSE 'low' END AS severity,
+       client_id AS user_id, CAST(request_id AS VARCHAR) AS session_id,
+       CASE WHEN outcome = 'rate_limited' THEN substring(prompt, 1, 100) ELSE substring(prompt, 1, 1000) END AS prompt,
+       CASE WHEN outcome = 'served' THEN substring(final_text, 1, 1000) END AS response,
+       CASE outcome WHEN 'rate_limited' THEN {q(PX.ACTION_RATE_LIMIT)} WHEN 'blocked' THEN {q(PX.ACTION_BLOCKED)} END
+         AS action_taken,
+       outcome <> 'served' AS blocked,
+       (outcome = 'blocked' AND len(primary_patterns) > 0) AS has_patterns
+FROM o""", extra=PROXY_EXTRA)
+
+ORACLE["block_reasons"] = with_views(["prompts"], f"""
+SELECT request_id, {q(PX.BLOCK_ERROR)} AS error, in_threat AS threat_type,
+       {IN_SEVERITY} AS severity,
+       CASE in_threat WHEN 'prompt_injection' THEN 'Prompt Injection detected'
+            WHEN 'jailbreak' THEN 'Jailbreak detected'
+            WHEN 'data_exfiltration' THEN 'Data Exfiltration detected' END AS message
+FROM sv WHERE outcome = 'blocked'""", extra=PROXY_EXTRA[:4])
+
+ORACLE["word_counts"] = f"""
+SELECT conv_id, turn, {WORDS.format(x='text')} AS n_words FROM conversations"""

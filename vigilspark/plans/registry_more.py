@@ -1 +1,57 @@
-"""Placeholder."""
+"""Registered queries: validation and proxy outcome (B), policies (C9, H10,
+H11), classifier and evaluation (E), entities (D3) and streaming (S)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import word_count
+from ..operators import proxy as PX
+from ..operators import validate as VL
+from ..sources import fixtures as FX
+from .registry import query
+
+
+def _processed(spark, sf_dir):
+    return PX.process_requests(FX.prompts(spark, sf_dir))
+
+
+@query("validate_requests")
+def validate_requests(spark, sf_dir):
+    """Error list, normalised fields and client fallback per request."""
+    v = VL.validate_requests(FX.prompts(spark, sf_dir))
+    return v.select("request_id", "client_id", "model", "max_tokens", "temperature", "valid",
+                    F.array_join("errors", "; ").alias("errors"),
+                    F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+@query("token_usage")
+def token_usage(spark, sf_dir):
+    """Whitespace word counts of the prompt and the final response."""
+    r = PX.proxy_results(_processed(spark, sf_dir))
+    return r.select("id", F.col("usage.prompt_tokens").alias("prompt_tokens"),
+                    F.col("usage.completion_tokens").alias("completion_tokens"),
+                    F.col("security.response_check.redacted").alias("redacted"))
+
+
+@query("event_assembly")
+def event_assembly(spark, sf_dir):
+    """One audit row per valid request."""
+    e = PX.to_events(_processed(spark, sf_dir))
+    return e.select("id", "timestamp", "event_type", "severity", "user_id", "session_id", "prompt",
+                    "response", "action_taken", "blocked",
+                    F.col("detected_patterns").isNotNull().alias("has_patterns"))
+
+
+@query("block_reasons")
+def block_reasons(spark, sf_dir):
+    """The block response of each blocked request."""
+    return PX.block_reasons(_processed(spark, sf_dir))
+
+
+@query("word_counts")
+def word_counts(spark, sf_dir):
+    """B8 on whole conversation turns (every role)."""
+    from ..sources.tables import read_table
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", word_count(F.col("text")).alias("n_words"))
