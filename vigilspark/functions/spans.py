@@ -33,16 +33,21 @@ def _sum_len(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda acc, s: acc + F.length(s))
 
 
-def regex_spans(text: Column, type_name: str, java_pattern: str) -> Column:
-    """All non-overlapping matches of one pattern, left to right, as spans."""
-    matches = F.regexp_extract_all(text, F.lit(java_pattern), 0)
-    gaps = F.split(text, java_pattern, -1)
+def regex_spans(text: Column, type_name, java_pattern) -> Column:
+    """All non-overlapping matches of one pattern, left to right, as spans.
+
+    ``type_name`` is a string or a function match-text Column -> type Column;
+    ``java_pattern`` is a string or a (per-row) Column."""
+    pat = F.lit(java_pattern) if isinstance(java_pattern, str) else java_pattern
+    matches = F.regexp_extract_all(text, pat, 0)
+    gaps = F.split(text, pat, -1)
+    type_of = (lambda m: F.lit(type_name)) if isinstance(type_name, str) else type_name
 
     def to_span(m: Column, i: Column) -> Column:
         start = _sum_len(F.slice(gaps, 1, i + 1)) + _sum_len(F.slice(matches, 1, i))
         return F.struct(
             m.alias("text"),
-            F.lit(type_name).alias("type"),
+            type_of(m).alias("type"),
             start.alias("start"),
             (start + F.length(m)).alias("end"),
         )
@@ -103,7 +108,7 @@ def merge_overlaps(spans: Column) -> Column:
         T.StructField("type", T.StringType())])))
 
     def step(acc, s):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         extend = F.size(acc) > 0
         overlaps = extend & (s["start"] < last["end"])
         merged_last = F.struct(last["start"].alias("start"),

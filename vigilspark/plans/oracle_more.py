@@ -96,3 +96,108 @@ FROM sv WHERE outcome = 'blocked'""", extra=PROXY_EXTRA[:4])
 
 ORACLE["word_counts"] = f"""
 SELECT conv_id, turn, {WORDS.format(x='text')} AS n_words FROM conversations"""
+
+
+# ------------------------------------------------------------- policies
+
+_POL_VALUES = ", ".join(f"({i + 1}, {q(n)}, {q(t)}, {q(c)})" for i, (n, t, c) in enumerate(rules.DEFAULT_POLICIES))
+POLICY_PATTERNS_SQL = f"""
+SELECT name, type, pats[i] AS pattern, i AS ord
+FROM (SELECT name, type, from_json(config, '{{"patterns":["VARCHAR"]}}').patterns AS pats
+      FROM (VALUES {_POL_VALUES}) t(id, name, type, config) WHERE json_valid(config)),
+     unnest(range(1, coalesce(len(pats), 0) + 1)) AS r(i)
+WHERE pats[i] IS NOT NULL AND pats[i] <> ''"""
+
+ORACLE["policy_match"] = with_views(["prompts", "responses"], """
+SELECT source, row_id, policy, CAST(count(*) AS BIGINT) AS n_matched, string_agg(pattern, ',' ORDER BY ord) AS matched
+FROM (
+  SELECT 'prompts' AS source, p.request_id AS row_id, pp.name AS policy, pp.pattern, pp.ord
+  FROM prompts p JOIN pp ON pp.type = 'input' AND contains(lower(p.prompt), lower(pp.pattern))
+  UNION ALL
+  SELECT 'responses', r.id, pp.name, pp.pattern, pp.ord
+  FROM responses r JOIN pp ON pp.type = 'output' AND contains(lower(r.text), lower(pp.pattern)))
+GROUP BY source, row_id, policy""", extra=[("pp", POLICY_PATTERNS_SQL)])
+
+SNAPSHOT_SQL = """
+SELECT name, any_value(c_type) AS type,
+       coalesce(any_value(config) FILTER (WHERE upd AND rk_upd = 1), any_value(c_config)) AS config,
+       coalesce(any_value(enabled) FILTER (WHERE tog AND rk_tog = 1), TRUE) AS enabled,
+       greatest(any_value(c_ts), coalesce(max(ts) FILTER (WHERE upd OR tog), any_value(c_ts))) AS last_updated,
+       CAST(count(*) FILTER (WHERE rejected) AS BIGINT) AS n_rejected
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY name, upd ORDER BY ts DESC, change_id DESC) AS rk_upd,
+            row_number() OVER (PARTITION BY name, tog ORDER BY ts DESC, change_id DESC) AS rk_tog
+  FROM (
+    SELECT p.*, cr.c_type, cr.c_config, cr.c_ts,
+           coalesce(cr.name IS NOT NULL AND (p.ts > cr.c_ts OR (p.ts = cr.c_ts AND p.change_id > cr.c_id)), FALSE) AS after,
+           coalesce(json_valid(p.config), FALSE) AS vj
+    FROM policy_changes p JOIN (
+      SELECT name, type AS c_type, config AS c_config, ts AS c_ts, change_id AS c_id FROM (
+        SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, change_id) AS rn
+        FROM policy_changes WHERE op = 'create' AND coalesce(json_valid(config), FALSE)) WHERE rn = 1) cr
+    ON p.name = cr.name) x,
+  LATERAL (SELECT x.after AND x.op = 'update' AND x.vj AS upd, x.after AND x.op = 'toggle' AS tog,
+                  (x.op = 'create' AND NOT x.vj) OR (x.op = 'create' AND x.after) OR (x.op = 'update' AND NOT x.vj) AS rejected) f
+)
+GROUP BY name"""
+
+ORACLE["policy_snapshot"] = with_views(["policy_changes"], SNAPSHOT_SQL)
+
+ORACLE["policies_scan"] = with_views(["policy_changes"], f"""
+SELECT name, type, enabled, coalesce(json_valid(config), FALSE) AS config_valid,
+       CASE WHEN json_valid(config) THEN TRY_CAST(json_extract(config, '$.threshold') AS DOUBLE) END AS threshold
+FROM ({SNAPSHOT_SQL})""")
+
+# ------------------------------------------------------------- entities
+
+_PERSON_START = "length('Order ' || CAST(o_orderkey AS VARCHAR) || ' for ')"
+ENTITY_ROWS_SQL = f"""
+SELECT note_id, 'PERSON' AS type, {_PERSON_START} AS st, c_name AS match FROM order_notes
+UNION ALL
+SELECT note_id, 'GPE', {_PERSON_START} + length(c_name) + 4, n_name FROM order_notes
+UNION ALL
+SELECT note_id, 'LOC', {_PERSON_START} + length(c_name) + 4 + length(n_name) + 2, r_name FROM order_notes"""
+
+ORACLE["gazetteer_spans"] = with_views(["order_notes"], f"""
+SELECT note_id, type, CAST(st AS BIGINT) AS start, CAST(st + length(match) AS BIGINT) AS "end", match
+FROM ({ENTITY_ROWS_SQL})""")
+
+ORACLE["redact_notes"] = with_views(["order_notes"], """
+SELECT note_id, 'pii_leak' AS threat_type, 'medium' AS severity, CAST(3 AS BIGINT) AS pii_count,
+       'PERSON,GPE,LOC' AS matched_types,
+       'Order ' || CAST(o_orderkey AS VARCHAR) || ' for [REDACTED_NAME] in [REDACTED_LOCATION], [REDACTED_LOCATION]'
+         || ': status ' || o_orderstatus || ', priority ' || o_orderpriority AS final_text
+FROM order_notes""")
+
+# ------------------------------------------------------------- evaluation
+
+ORACLE["latency_stats"] = with_views(["inference_log"], """
+SELECT CAST(count(x) AS BIGINT) AS count, round(avg(x), 2) AS mean_ms, round(median(x), 2) AS median_ms,
+       round(quantile_cont(x, 0.95), 2) AS p95_ms, round(min(x), 2) AS min_ms, round(max(x), 2) AS max_ms
+FROM (SELECT inference_time_ms AS x FROM inference_log ORDER BY ts DESC, event_id DESC LIMIT 100)""")
+
+ORACLE["roc_curve"] = with_views(["scored"], """
+SELECT 'toxic' AS label_name, score, round(fp / N, 9) AS fpr, round(tp / P, 9) AS tpr
+FROM (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp
+      FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+            FROM scored GROUP BY score)),
+     (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N FROM scored)
+UNION ALL
+SELECT 'toxic', NULL, 0.0, 0.0""")
+
+# Mann-Whitney form: P(score of a positive > score of a negative) + ties / 2.
+ORACLE["roc_auc"] = with_views(["scored"], """
+SELECT 'toxic' AS label_name,
+       round((SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END)
+              FROM scored p JOIN scored n ON p.label = 1 AND n.label <> 1)
+             / (P * N), 9) AS auc,
+       CAST(P AS BIGINT) AS positives, CAST(N AS BIGINT) AS negatives
+FROM (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N FROM scored)""")
+
+ORACLE["label_actions"] = with_views(["prompts", "responses"], """
+SELECT source, row_id, label, CASE label WHEN 'prompt_injection' THEN 'block' WHEN 'sensitive_data' THEN 'redact' END AS action
+FROM (
+  SELECT 'prompts' AS source, request_id AS row_id, 'prompt_injection' AS label FROM si WHERE NOT passed
+  UNION ALL
+  SELECT 'responses', _id, 'sensitive_data' FROM so WHERE threat_type IN ('api_key_leak', 'pii_leak'))""",
+    extra=[("si", inbound_cte("prompts", "prompt")), ("so", outbound_cte("responses", "id", "text"))])

@@ -146,3 +146,11 @@ def with_views(names, body: str, extra: list[tuple[str, str]] | None = None) ->
     ctes = [f"{n} AS ({VIEWS[n]}\n)" for n in order]
     ctes += [f"{n} AS ({sql}\n)" for n, sql in (extra or [])]
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+VIEWS["order_notes"] = """
+SELECT o.o_orderkey AS note_id,
+       'Order ' || CAST(o.o_orderkey AS VARCHAR) || ' for ' || c.c_name || ' in ' || n.n_name || ', ' || r.r_name
+         || ': status ' || o.o_orderstatus || ', priority ' || o.o_orderpriority AS text,
+       o.o_orderkey, c.c_name, n.n_name, r.r_name, o.o_orderstatus, o.o_orderpriority
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey"""

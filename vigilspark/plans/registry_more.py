@@ -55,3 +55,140 @@ def word_counts(spark, sf_dir):
     from ..sources.tables import read_table
     c = read_table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", word_count(F.col("text")).alias("n_words"))
+
+
+# ------------------------------------------------------------- policies
+
+def _policies(spark):
+    from ..operators import policies as PL
+    return PL.seed_if_empty(spark, None, FX.AS_OF)
+
+
+@query("policy_match")
+def policy_match(spark, sf_dir):
+    """Enabled policies' patterns (seeded defaults) matched as literal text,
+    input policies against prompts, output policies against responses."""
+    from ..operators import policies as PL
+    pol = _policies(spark)
+    a = PL.policy_matches(FX.prompts(spark, sf_dir).select("request_id", "prompt"), "request_id", "prompt",
+                          pol, "input").withColumnRenamed("request_id", "row_id").withColumn("source", F.lit("prompts"))
+    b = PL.policy_matches(FX.responses(spark, sf_dir).select("id", "text"), "id", "text", pol, "output") \
+        .withColumnRenamed("id", "row_id").withColumn("source", F.lit("responses"))
+    u = a.unionByName(b)
+    return u.select("source", "row_id", "policy", "n_matched", F.array_join("matched", ",").alias("matched"))
+
+
+@query("policy_snapshot")
+def policy_snapshot(spark, sf_dir):
+    """Latest policy state from the change log derived from events."""
+    from ..operators import policies as PL
+    return PL.policy_snapshot(FX.policy_changes(spark, sf_dir))
+
+
+@query("policies_scan")
+def policies_scan(spark, sf_dir):
+    """A4: the snapshot's configs decoded (typed) with validity."""
+    from ..operators import policies as PL
+    d = PL.decode_policies(PL.policy_snapshot(FX.policy_changes(spark, sf_dir)))
+    return d.select("name", "type", "enabled", "config_valid",
+                    F.col("config_parsed.threshold").alias("threshold"))
+
+
+# ------------------------------------------------------------- entities (D3)
+
+def _notes_with_entities(spark, sf_dir):
+    from ..operators import entities as EN
+    notes = FX.order_notes(spark, sf_dir)
+    return EN.gazetteer_spans(notes, "note_id", "text", EN.entity_dictionary(spark, sf_dir))
+
+
+@query("gazetteer_spans")
+def gazetteer_spans(spark, sf_dir):
+    n = _notes_with_entities(spark, sf_dir)
+    return n.select("note_id", F.explode("entity_spans").alias("s")).select(
+        "note_id", F.col("s.type").alias("type"), F.col("s.start").cast("long").alias("start"),
+        F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
+
+
+@query("redact_notes")
+def redact_notes(spark, sf_dir):
+    """D3 + D4/D6: entity findings first, then patterns; redacted text."""
+    from ..operators import outbound as OB
+    n = _notes_with_entities(spark, sf_dir)
+    s = OB.outbound_scan(n, "text", entity_spans=F.col("entity_spans"))
+    return s.select("note_id", "threat_type", "severity", "pii_count",
+                    F.array_join("matched_patterns", ",").alias("matched_types"), "final_text")
+
+
+# ------------------------------------------------------------- evaluation
+
+@query("latency_stats")
+def latency_stats(spark, sf_dir):
+    from ..operators import ml as ML
+    return ML.latency_stats(FX.inference_log(spark, sf_dir), "ts", "inference_time_ms", "event_id")
+
+
+@query("roc_curve")
+def roc_curve(spark, sf_dir):
+    from ..operators import ml as ML
+    p = ML.roc_points(FX.scored(spark, sf_dir), "label", "score", "toxic")
+    return p.select("label_name", "score", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@query("roc_auc")
+def roc_auc(spark, sf_dir):
+    from ..operators import ml as ML
+    a = ML.roc_auc(FX.scored(spark, sf_dir), "label", "score", "toxic")
+    return a.select("label_name", F.round("auc", 9).alias("auc"), "positives", "negatives")
+
+
+def _predicted_labels(spark, sf_dir):
+    from ..operators import inbound as IB
+    from ..operators import outbound as OB
+    p = IB.inbound_scan(FX.prompts(spark, sf_dir), "prompt").where(~F.col("passed")).select(
+        F.lit("prompts").alias("source"), F.col("request_id").alias("row_id"),
+        F.lit("prompt_injection").alias("label"))
+    r = OB.outbound_scan(FX.responses(spark, sf_dir), "text") \
+        .where(F.col("threat_type").isin("api_key_leak", "pii_leak")).select(
+        F.lit("responses").alias("source"), F.col("id").alias("row_id"), F.lit("sensitive_data").alias("label"))
+    return p.unionByName(r)
+
+
+@query("label_actions")
+def label_actions(spark, sf_dir):
+    """Predicted label per row -> action (block / redact)."""
+    from ..operators import ml as ML
+    return ML.label_actions(_predicted_labels(spark, sf_dir), ML.action_map_frame(spark))
+
+
+# ------------------------------------------------------------- classifier (E1-E3, C7): rows-only checks
+
+def _training(spark, sf_dir):
+    from ..sources.tables import read_table
+    lab = read_table(spark, sf_dir, "labels")
+    doc = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lab.join(doc, "doc_id").select(
+        "text", F.when(F.col("toxic") == 1, "prompt_injection").otherwise("benign").alias("label"))
+
+
+@query("score_prompts")
+def score_prompts(spark, sf_dir):
+    """Train TF-IDF + logistic regression on labelled documents, score
+    every prompt."""
+    from ..operators import ml as ML
+    model = ML.train_classifier(_training(spark, sf_dir), max_iter=20)
+    s = ML.score(model, FX.prompts(spark, sf_dir), "prompt")
+    return s.select("request_id", "ml_label", "ml_confidence", "ml_malicious")
+
+
+@query("inbound_scan_ml")
+def inbound_scan_ml(spark, sf_dir):
+    """Rules plus the classifier verdict as a fourth candidate."""
+    from ..operators import inbound as IB
+    from ..operators import ml as ML
+    model = ML.train_classifier(_training(spark, sf_dir), max_iter=20)
+    s = ML.score(model, FX.prompts(spark, sf_dir), "prompt")
+    out = IB.inbound_scan(s, "prompt", use_ml=F.coalesce(F.col("use_ml"), F.lit(True)),
+                          ml_malicious_col="ml_malicious", ml_confidence_col="ml_confidence", ml_available=True)
+    return out.select("request_id", "passed", "threat_type", "severity", "confidence", "ml_prediction",
+                      "rule_detections")

@@ -204,3 +204,19 @@ def policy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (eid % 2 == 0).alias("enabled"),
         F.col("ts").alias("ts"),
     )
+
+
+def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipping notes rendered from ``orders`` with customer, nation and region
+    names (input for entity spans).  Star join: orders x customer shuffles on
+    the customer key; nation and region are tiny dimension tables."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")) \
+        .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" for "), F.col("c_name"),
+                    F.lit(" in "), F.col("n_name"), F.lit(", "), F.col("r_name"), F.lit(": status "),
+                    F.col("o_orderstatus"), F.lit(", priority "), F.col("o_orderpriority"))
+    return j.select(F.col("o_orderkey").alias("note_id"), text.alias("text"))
