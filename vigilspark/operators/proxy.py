@@ -57,6 +57,13 @@ def process_requests(requests: DataFrame, response_col: str | None = None,
         v = LM.rate_limit(v, "client_id", "ts", "request_id", limit=limit_per_minute, unit="minute", salts=salts)
     else:
         v = v.withColumn("allowed", F.lit(True))
+    return scan_outcomes(v, response_col, block_on_injection, redact, max_tokens)
+
+
+def scan_outcomes(v: DataFrame, response_col: str | None = None, block_on_injection: bool = True,
+                  redact: bool = True, max_tokens: int = rules.MAX_RESPONSE_TOKENS) -> DataFrame:
+    """Inbound + outbound stages for validated rows carrying ``allowed``
+    (stateless, so it runs unchanged on a stream after the stateful limiter)."""
     s = IB.inbound_scan(v, "prompt", use_ml=F.col("use_ml"))
     s = s.withColumnRenamed("passed", "prompt_passed").withColumnRenamed("threat_type", "prompt_threat") \
         .withColumnRenamed("severity", "prompt_severity").withColumnRenamed("confidence", "prompt_confidence") \

@@ -201,3 +201,25 @@ FROM (
   UNION ALL
   SELECT 'responses', _id, 'sensitive_data' FROM so WHERE threat_type IN ('api_key_leak', 'pii_leak'))""",
     extra=[("si", inbound_cte("prompts", "prompt")), ("so", outbound_cte("responses", "id", "text"))])
+
+# ------------------------------------------------------------- streaming (stream = batch)
+
+from .oracle_events import DAILY_SQL, LIVE_SQL  # noqa: E402
+
+ORACLE["stream_inbound"] = ORACLE["inbound_scan"]
+ORACLE["stream_redact"] = ORACLE["redact_documents"]
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+ORACLE["stream_audit"] = ORACLE["event_assembly"]
+ORACLE["stream_live"] = ORACLE["live_monitor"]
+ORACLE["stream_daily_stats"] = ORACLE["daily_statistics"]
+
+ORACLE["stream_client_minutes"] = with_views(["security_events"], """
+SELECT date_trunc('minute', timestamp) AS window_start, user_id, CAST(count(*) AS BIGINT) AS requests
+FROM security_events GROUP BY 1, 2""")
+
+ORACLE["stream_hourly"] = with_views(["requests"], """
+SELECT date_trunc('hour', timestamp) AS hour,
+       CAST(count(*) FILTER (WHERE blocked = TRUE) AS BIGINT) AS blocked,
+       CAST(count(*) FILTER (WHERE blocked = FALSE) AS BIGINT) AS allowed,
+       round(avg(latency_ms), 6) AS avg_latency, min(latency_ms) AS min_latency, max(latency_ms) AS max_latency
+FROM requests GROUP BY 1""")

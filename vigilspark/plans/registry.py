@@ -28,7 +28,7 @@ def query(name: str):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Import the modules that register further queries.
-    from . import registry_events, registry_more  # noqa: F401
+    from . import registry_events, registry_more, registry_stream  # noqa: F401
     return dict(QUERIES)
 
 

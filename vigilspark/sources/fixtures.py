@@ -91,7 +91,12 @@ def _pinned_prefix(conv_id: Column, turn: Column, text: Column) -> Column:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request rows from the user turns of ``conversations``."""
-    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return prompts_from(read_table(spark, sf_dir, "conversations"))
+
+
+def prompts_from(conversations: DataFrame) -> DataFrame:
+    """``prompts`` over any conversations frame (batch or stream)."""
+    c = conversations.where(F.col("role") == "user")
     conv, turn = F.col("conv_id"), F.col("turn")
     rid = conv * 1000 + turn
     return c.select(
@@ -112,7 +117,10 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses from ``documents``; every 10th gets a secret/ssn/url prefix."""
-    d = read_table(spark, sf_dir, "documents")
+    return responses_from(read_table(spark, sf_dir, "documents"))
+
+
+def responses_from(d: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     spliced = F.when(doc % 10 == 0, F.concat(
         _pick(SPLICE_TEXTS, F.expr("doc_id div 10") % len(SPLICE_TEXTS)), F.lit(" "), F.col("text"))
@@ -140,7 +148,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit log (schema of the reference's security_events) from ``events``."""
-    e = read_table(spark, sf_dir, "events")
+    return security_events_from(read_table(spark, sf_dir, "events"))
+
+
+def security_events_from(e: DataFrame) -> DataFrame:
+    """``security_events`` over any events frame (batch or stream)."""
     et, eid, v = F.col("event_type"), F.col("event_id"), F.col("value")
     etype = F.coalesce(F.try_element_at(
         F.create_map(*[x for k, val in EVENT_TYPE_MAP.items() for x in (F.lit(k), F.lit(val))]), et),
