@@ -75,3 +75,21 @@ def test_rate_limit_salted_equals_single_window(spark):
     a = {r["id"]: r["allowed"] for r in rate_limit(df, "client", "ts", "id", limit=7, salts=16).collect()}
     b = {r["id"]: r["allowed"] for r in rate_limit_exact_window(df, "client", "ts", "id", limit=7).collect()}
     assert a == b
+
+
+def test_error_events_and_request_ids(spark):
+    import json
+    from vigilspark.operators.proxy import error_events
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), "c", "p" * 1200, "boom", "ValueError"), (2, dt.datetime(2024, 1, 1), "c", "ok",
+                                                                                 None, None)],
+        "request_id long, ts timestamp_ntz, client_id string, prompt string, error string, error_type string")
+    rows = error_events(df).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r["event_type"], r["severity"], r["blocked"], r["action_taken"]) == ("system_error", "high", True,
+                                                                                 "Internal error")
+    assert len(r["prompt"]) == 1000 and json.loads(r["metadata"]) == {"error": "boom", "error_type": "ValueError"}
+    no_id = spark.createDataFrame([("hi",), ("there",)], "prompt string")
+    ids = [x["request_id"] for x in validate_requests(no_id).collect()]
+    assert len(set(ids)) == 2 and all(len(i) == 36 for i in ids)

@@ -10,7 +10,7 @@ alternate exactly.  Everything stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +33,25 @@ def _sum_len(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda acc, s: acc + F.length(s))
 
 
-def regex_spans(text: Column, type_name, java_pattern) -> Column:
-    """All non-overlapping matches of one pattern, left to right, as spans.
+# A literal that every match of the (case-sensitive) pattern contains; rows
+# without it cannot match, so the regex is skipped for them (a plain substring
+# test is far cheaper than a regex scan).
+REQUIRED_LITERAL = {
+    "email": "@",
+    "url": "http",
+    "aws_key": "AKIA",
+    "github_token": "_",
+    "private_key": "-----BEGIN",
+}
 
-    ``type_name`` is a string or a function match-text Column -> type Column;
-    ``java_pattern`` is a string or a (per-row) Column."""
-    pat = F.lit(java_pattern) if isinstance(java_pattern, str) else java_pattern
-    matches = F.regexp_extract_all(text, pat, 0)
-    gaps = F.split(text, pat, -1)
+
+def spans_from(matches: Column, gaps: Column, type_name) -> Column:
+    """Spans from the match array and the gap array of one pattern.
+
+    Both must be *columns* (staged with ``add_pattern_spans``): an outer
+    expression used inside a higher-order-function lambda is re-evaluated for
+    every element, so passing the regex expressions here would rescan the text
+    once per match.  ``type_name`` is a string or match-text Column -> type."""
     type_of = (lambda m: F.lit(type_name)) if isinstance(type_name, str) else type_name
 
     def to_span(m: Column, i: Column) -> Column:
@@ -52,28 +63,49 @@ def regex_spans(text: Column, type_name, java_pattern) -> Column:
             (start + F.length(m)).alias("end"),
         )
 
-    # The split (second regex pass) only runs for rows that matched at all.
-    return (
-        F.when(text.isNull(), empty_spans())
-        .when(F.size(matches) == 0, empty_spans())
-        .otherwise(F.transform(matches, to_span))
-    )
+    return F.when(gaps.isNull(), empty_spans()).otherwise(F.transform(matches, to_span))
+
+
+def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str) -> DataFrame:
+    """Adds ``out_col`` = spans of several ``(type, java_pattern)`` in declared
+    order.  Three projections: all match arrays (one regex pass per pattern),
+    then the gap arrays only for rows that matched (second pass), then the
+    spans.  Each staged column is referenced more than once downstream, so
+    Catalyst keeps the stages instead of inlining the regexes into lambdas."""
+    t = F.col(text_col)
+    tag = out_col.replace(".", "_")
+    m_cols = [f"__m{i}_{tag}" for i in range(len(patterns))]
+    g_cols = [f"__g{i}_{tag}" for i in range(len(patterns))]
+    def matches(name, p):
+        m = F.regexp_extract_all(t, F.lit(p) if isinstance(p, str) else p, 0)
+        lit = REQUIRED_LITERAL.get(name)
+        # exact gate: the literal occurs in every match of the pattern
+        return m if lit is None else F.when(t.contains(lit), m).otherwise(F.array().cast("array<string>"))
+
+    df = df.select("*", *[matches(n, p).alias(m) for (n, p), m in zip(patterns, m_cols)])
+    df = df.select("*", *[F.when(F.size(F.col(m)) > 0, F.split(t, F.lit(p) if isinstance(p, str) else p, -1)).alias(g)
+                          for (_, p), m, g in zip(patterns, m_cols, g_cols)])
+    parts = [spans_from(F.col(m), F.col(g), name) for (name, _), m, g in zip(patterns, m_cols, g_cols)]
+    spans = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return df.withColumn(out_col, spans).drop(*m_cols, *g_cols)
+
+
+def pii_patterns():
+    """Email, phone, ssn, credit_card, ip_address, url (case-sensitive)."""
+    return [(n, rules.java_regex(p, False)) for n, p in rules.PII_PATTERNS]
 
 
-def pattern_spans(text: Column, patterns) -> Column:
-    """Concatenate spans of several ``(type, java_pattern)`` in declared order."""
-    parts = [regex_spans(text, name, pat) for name, pat in patterns]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def secret_patterns():
+    """api_key, bearer_token, aws_key, github_token, password, private_key."""
+    return [(n, rules.java_regex(p, ic)) for n, p, ic in rules.SECRET_PATTERNS]
 
 
-def pii_spans(text: Column) -> Column:
-    """Email, phone, ssn, credit_card, ip_address, url (case-sensitive)."""
-    return pattern_spans(text, [(n, rules.java_regex(p, False)) for n, p in rules.PII_PATTERNS])
+def add_pii_spans(df: DataFrame, text_col: str, out_col: str = "pii_spans") -> DataFrame:
+    return add_pattern_spans(df, text_col, pii_patterns(), out_col)
 
 
-def secret_spans(text: Column) -> Column:
-    """api_key, bearer_token, aws_key, github_token, password, private_key."""
-    return pattern_spans(text, [(n, rules.java_regex(p, ic)) for n, p, ic in rules.SECRET_PATTERNS])
+def add_secret_spans(df: DataFrame, text_col: str, out_col: str = "secret_spans") -> DataFrame:
+    return add_pattern_spans(df, text_col, secret_patterns(), out_col)
 
 
 def template_for(type_col: Column) -> Column:

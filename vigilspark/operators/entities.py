@@ -63,7 +63,9 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     if max_n == 0:
         return df.withColumn("entity_spans", S.empty_spans())
 
-    toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0)
+    # Tokens are staged as a column: referenced inside the n-gram lambdas, an
+    # expression would be re-evaluated for every element.
+    toks = F.col("_toks")
 
     def ngram(n):
         # one-argument lambda: PySpark passes the index to two-argument ones
@@ -72,8 +74,9 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     grams = F.flatten(F.array(*[
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), ngram(n))
         for n in range(1, max_n + 1)]))
-    cand = df.select(F.col(id_col).alias("_id"),
-                     F.explode(F.array_distinct(F.filter(grams, lambda g: g != ""))).alias("key"))
+    tokenized = df.select(F.col(id_col).alias("_id"),
+                          F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0).alias("_toks"))
+    cand = tokenized.select("_id", F.explode(F.array_distinct(F.filter(grams, lambda g: g != ""))).alias("key"))
     hits = cand.join(guarded_broadcast(d, max_broadcast_rows), "key")
     per_row = hits.groupBy("_id").agg(F.collect_set(F.struct("entity", "label")).alias("ents"))
 
@@ -82,10 +85,14 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
                        F.array_join(F.transform(by_len, lambda e: _quote(e["entity"])), "|"),
                        F.lit(")" + RIGHT_EDGE))
     label_map = F.map_from_entries(F.transform(F.col("ents"), lambda e: F.struct(e["entity"], e["label"])))
+    per_row = per_row.select("_id", pattern.alias("_pattern"), label_map.alias("_labels"))
     joined = df.join(per_row, df[id_col] == per_row["_id"], "left")
-    spans = F.when(F.col("ents").isNull(), S.empty_spans()).otherwise(
-        S.regex_spans(F.col(text_col), lambda m: F.element_at(label_map, m), pattern))
-    return joined.withColumn("entity_spans", spans).drop("_id", "ents")
+    out = S.add_pattern_spans(joined, text_col, [("entity", F.col("_pattern"))], "_ents")
+    typed = F.transform(F.col("_ents"), lambda s: F.struct(
+        s["text"].alias("text"), F.element_at(F.col("_labels"), s["text"]).alias("type"),
+        s["start"].alias("start"), s["end"].alias("end")))
+    spans = F.when(F.col("_pattern").isNull(), S.empty_spans()).otherwise(typed)
+    return out.withColumn("entity_spans", spans).drop("_id", "_pattern", "_labels", "_ents")
 
 
 def model_entity_spans(text: Column, model_fn) -> Column:

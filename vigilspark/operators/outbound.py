@@ -23,9 +23,9 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
     findings (D3); they come first in the findings, like the reference.
     """
     t = F.col(text_col)
-    staged = df.withColumn("_ner", entity_spans if entity_spans is not None else S.empty_spans()) \
-        .withColumn("_pii", S.pii_spans(t)) \
-        .withColumn("_sec", S.secret_spans(t))
+    staged = df.withColumn("_ner", entity_spans if entity_spans is not None else S.empty_spans())
+    staged = S.add_pii_spans(staged, text_col, "_pii")
+    staged = S.add_secret_spans(staged, text_col, "_sec")
     findings = F.concat(F.col("_ner"), F.col("_pii"), F.col("_sec"))
     staged = staged.withColumn("findings", findings)
 

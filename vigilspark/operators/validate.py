@@ -45,6 +45,10 @@ def validate_requests(df: DataFrame, max_prompt_chars: int = rules.PROMPT_MAX_CH
                F.lit(f"temperature: must be in [{lo_temp}, {hi_temp}]")),
     ))
     client = F.coalesce(opt("client_id", "string"), opt("host", "string"), F.lit("unknown"))
+    if "request_id" not in cols:
+        # A fresh id per request; uuid() is non-deterministic, so callers
+        # that reuse the frame should persist it (checkpoint / write) first.
+        df = df.withColumn("request_id", F.expr("uuid()"))
     keep = [c for c in df.columns if c not in {"prompt", "model", "max_tokens", "temperature", "client_id", "use_ml"}]
     return df.select(
         *keep,

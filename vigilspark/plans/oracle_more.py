@@ -223,3 +223,7 @@ SELECT date_trunc('hour', timestamp) AS hour,
        CAST(count(*) FILTER (WHERE blocked = FALSE) AS BIGINT) AS allowed,
        round(avg(latency_ms), 6) AS avg_latency, min(latency_ms) AS min_latency, max(latency_ms) AS max_latency
 FROM requests GROUP BY 1""")
+
+ORACLE["audit_append"] = ORACLE["event_assembly"]
+from .oracle_events import IN, INCIDENT_LIST_SQL  # noqa: E402
+ORACLE["incidents_export"] = with_views(IN, INCIDENT_LIST_SQL)

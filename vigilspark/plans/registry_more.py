@@ -192,3 +192,27 @@ def inbound_scan_ml(spark, sf_dir):
                           ml_malicious_col="ml_malicious", ml_confidence_col="ml_confidence", ml_available=True)
     return out.select("request_id", "passed", "threat_type", "severity", "confidence", "ml_prediction",
                       "rule_detections")
+
+
+# ------------------------------------------------------------- sinks
+
+@query("audit_append")
+def audit_append(spark, sf_dir):
+    """The assembled audit rows appended to a day-partitioned log, read back."""
+    from ..operators.events import EVENT_DATE
+    from ..sources.sinks import audit_append as append
+    path = append(PX.to_events(_processed(spark, sf_dir)))
+    e = spark.read.parquet(path).drop(EVENT_DATE)
+    return e.select("id", "timestamp", "event_type", "severity", "user_id", "session_id", "prompt",
+                    "response", "action_taken", "blocked",
+                    F.col("detected_patterns").isNotNull().alias("has_patterns"))
+
+
+@query("incidents_export")
+def incidents_export(spark, sf_dir):
+    """The filtered incident list exported as CSV with a header, read back
+    with its schema."""
+    from ..sources.sinks import export_csv, read_csv_export
+    from .registry_events import _incident_list
+    lst = _incident_list(spark, sf_dir)
+    return read_csv_export(spark, export_csv(lst), lst.schema)
