@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import spans as S
 from .joins import guarded_broadcast
+from .partitioning import spread
 
 TOKEN = r"(?U)[\w#]+"
 LEFT_EDGE = r"(?<![\w#])"
@@ -55,6 +56,7 @@ def _quote(c: Column) -> Column:
 def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
                     max_broadcast_rows: int = 100_000) -> DataFrame:
     """Adds ``entity_spans`` (array<span>) to ``df``; ``id_col`` must be unique."""
+    df = spread(df)
     d = dictionary.select("entity", "label", _key(F.col("entity")).alias("key")).where(F.col("key") != "")
     # First label wins when one text has several labels.
     d = d.groupBy("key").agg(F.min_by(F.struct("entity", "label"), F.col("label")).alias("e")) \
@@ -66,17 +68,16 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     # Tokens are staged as a column: referenced inside the n-gram lambdas, an
     # expression would be re-evaluated for every element.
     toks = F.col("_toks")
-
-    def ngram(n):
-        # one-argument lambda: PySpark passes the index to two-argument ones
-        return lambda i: F.array_join(F.slice(toks, i, n), " ")
-
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), ngram(n))
-        for n in range(1, max_n + 1)]))
+    # n-grams by shifting: gram_n[i] = gram_{n-1}[i] + ' ' + toks[i+n-1]
+    # (zip_with pads the shorter side with NULL, and concat of NULL is NULL).
+    levels = [toks]
+    for n in range(2, max_n + 1):
+        levels.append(F.zip_with(levels[-1], F.slice(toks, n, F.greatest(F.size(toks), F.lit(1))),
+                                 lambda a, b: F.concat(a, F.lit(" "), b)))
+    grams = F.flatten(F.array(*levels))
     tokenized = df.select(F.col(id_col).alias("_id"),
                           F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0).alias("_toks"))
-    cand = tokenized.select("_id", F.explode(F.array_distinct(F.filter(grams, lambda g: g != ""))).alias("key"))
+    cand = tokenized.select("_id", F.explode(F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))).alias("key"))
     hits = cand.join(guarded_broadcast(d, max_broadcast_rows), "key")
     per_row = hits.groupBy("_id").agg(F.collect_set(F.struct("entity", "label")).alias("ents"))
 

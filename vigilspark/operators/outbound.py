@@ -11,18 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, spans as S
+from .partitioning import spread
 
 
 def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
                   max_tokens: int = rules.MAX_RESPONSE_TOKENS,
                   entity_spans: Column | None = None,
-                  merge_overlaps: bool = False) -> DataFrame:
+                  merge_overlaps: bool = False, spread_input: bool = True) -> DataFrame:
     """Adds the outbound verdict columns to ``df``.
 
     ``entity_spans``: optional array<span> column expression with named-entity
     findings (D3); they come first in the findings, like the reference.
     """
     t = F.col(text_col)
+    if spread_input:
+        df = spread(df)
     staged = df.withColumn("_ner", entity_spans if entity_spans is not None else S.empty_spans())
     staged = S.add_pii_spans(staged, text_col, "_pii")
     staged = S.add_secret_spans(staged, text_col, "_sec")
