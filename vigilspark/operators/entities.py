@@ -4,11 +4,11 @@ The reference runs a statistical NER model per response.  Here entities come
 from a dictionary (entity text -> label) that may be as large as a table:
 
 1. candidate phase: each text's word n-grams (n up to the longest entry) are
-   equi-joined with the dictionary — a hash join, broadcast only when the
-   dictionary's size is proven small, otherwise shuffled;
-2. span phase: per text, the matched entries become one literal alternation
-   and the native span builder finds their offsets (whole-word, longest
-   first).  No Python runs per row.
+   looked up in the dictionary — hashed IN-set literals when the dictionary
+   is proven small (no shuffle), else an equi-join (broadcast only below a
+   proven bound, otherwise shuffled);
+2. span phase: offsets from prefix sums over the staged token and gap
+   arrays; overlaps resolve leftmost-longest.  No Python runs per row.
 
 ``model_entity_spans`` is the pluggable hook: an Arrow-batched pandas UDF
 running any callable ``text -> [(text, label, start, end)]`` once per batch.
@@ -25,8 +25,6 @@ from .joins import guarded_broadcast
 from .partitioning import spread
 
 TOKEN = r"(?U)[\w#]+"
-LEFT_EDGE = r"(?<![\w#])"
-RIGHT_EDGE = r"(?![\w#])"
 
 
 def entity_dictionary(spark, sf_dir) -> DataFrame:
@@ -49,51 +47,97 @@ def _key(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(TOKEN), 0), " ")
 
 
-def _quote(c: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+def normalized_dictionary(dictionary: DataFrame) -> DataFrame:
+    """(key, label): entries keyed by their token sequence; the first label
+    (alphabetical) wins when one key has several."""
+    d = dictionary.select("label", _key(F.col("entity")).alias("key")).where(F.col("key") != "")
+    return d.groupBy("key").agg(F.min("label").alias("label"))
 
 
 def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
-                    max_broadcast_rows: int = 100_000) -> DataFrame:
-    """Adds ``entity_spans`` (array<span>) to ``df``; ``id_col`` must be unique."""
+                    max_literal_entries: int = 256, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Adds ``entity_spans`` (array<span>) to ``df``; ``id_col`` must be unique.
+
+    An entity matches a run of whole tokens (maximal ``[\\w#]`` runs) equal to
+    its own tokens; overlapping matches resolve leftmost, then longest.
+    Offsets come from the staged token/gap arrays (prefix sums), so no
+    per-row pattern is compiled.
+
+    Dictionary lookup: when the dictionary is proven to hold at most
+    ``max_literal_entries`` keys, it becomes hashed IN-set literals in the
+    plan and the whole operator is one shuffle-free projection.  Larger
+    dictionaries use an equi-join of each text's distinct n-grams with the
+    dictionary (broadcast only below ``max_broadcast_rows``), and the hits
+    return to their text through a join on the id."""
+    d = normalized_dictionary(dictionary)
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("key", " "))).alias("max_n")).first()
+    n_entries, max_n = stats["n"], stats["max_n"] or 0
     df = spread(df)
-    d = dictionary.select("entity", "label", _key(F.col("entity")).alias("key")).where(F.col("key") != "")
-    # First label wins when one text has several labels.
-    d = d.groupBy("key").agg(F.min_by(F.struct("entity", "label"), F.col("label")).alias("e")) \
-        .select("key", F.col("e.entity").alias("entity"), F.col("e.label").alias("label"))
-    max_n = d.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
     if max_n == 0:
         return df.withColumn("entity_spans", S.empty_spans())
 
-    # Tokens are staged as a column: referenced inside the n-gram lambdas, an
-    # expression would be re-evaluated for every element.
-    toks = F.col("_toks")
+    t = F.col(text_col)
+    staged = df.withColumn("_toks", F.regexp_extract_all(t, F.lit(TOKEN), 0))
+    staged = staged.withColumn("_gaps", F.when(F.size("_toks") > 0, F.split(t, TOKEN, -1)))
+    toks, gaps = F.col("_toks"), F.col("_gaps")
     # n-grams by shifting: gram_n[i] = gram_{n-1}[i] + ' ' + toks[i+n-1]
     # (zip_with pads the shorter side with NULL, and concat of NULL is NULL).
     levels = [toks]
     for n in range(2, max_n + 1):
         levels.append(F.zip_with(levels[-1], F.slice(toks, n, F.greatest(F.size(toks), F.lit(1))),
                                  lambda a, b: F.concat(a, F.lit(" "), b)))
-    grams = F.flatten(F.array(*levels))
-    tokenized = df.select(F.col(id_col).alias("_id"),
-                          F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0).alias("_toks"))
-    cand = tokenized.select("_id", F.explode(F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))).alias("key"))
-    hits = cand.join(guarded_broadcast(d, max_broadcast_rows), "key")
-    per_row = hits.groupBy("_id").agg(F.collect_set(F.struct("entity", "label")).alias("ents"))
-
-    by_len = F.array_sort(F.col("ents"), lambda a, b: F.length(b["entity"]) - F.length(a["entity"]))
-    pattern = F.concat(F.lit("(?U)" + LEFT_EDGE + "(?:"),
-                       F.array_join(F.transform(by_len, lambda e: _quote(e["entity"])), "|"),
-                       F.lit(")" + RIGHT_EDGE))
-    label_map = F.map_from_entries(F.transform(F.col("ents"), lambda e: F.struct(e["entity"], e["label"])))
-    per_row = per_row.select("_id", pattern.alias("_pattern"), label_map.alias("_labels"))
-    joined = df.join(per_row, df[id_col] == per_row["_id"], "left")
-    out = S.add_pattern_spans(joined, text_col, [("entity", F.col("_pattern"))], "_ents")
-    typed = F.transform(F.col("_ents"), lambda s: F.struct(
-        s["text"].alias("text"), F.element_at(F.col("_labels"), s["text"]).alias("type"),
-        s["start"].alias("start"), s["end"].alias("end")))
-    spans = F.when(F.col("_pattern").isNull(), S.empty_spans()).otherwise(typed)
-    return out.withColumn("entity_spans", spans).drop("_id", "_pattern", "_labels", "_ents")
+
+    def positioned(label_of):
+        def at_level(n):
+            # two-argument lambda (element, index); n is bound by the closure
+            return lambda g, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("n"), label_of(g).alias("label"))
+
+        per_level = [F.transform(lv, at_level(n)) for n, lv in enumerate(levels, start=1)]
+        return F.filter(F.flatten(F.array(*per_level)), lambda h: h["label"].isNotNull())
+
+    if n_entries <= max_literal_entries:
+        by_label: dict[str, list[str]] = {}
+        for r in d.collect():  # proven small: at most max_literal_entries rows
+            by_label.setdefault(r["label"], []).append(r["key"])
+
+        def label_of(g):
+            out = None
+            for lab in sorted(by_label):
+                out = F.when(g.isin(by_label[lab]), F.lit(lab)) if out is None else \
+                    out.when(g.isin(by_label[lab]), F.lit(lab))
+            return out
+
+        staged = staged.withColumn("_hits", positioned(label_of))
+    else:
+        cand = staged.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(
+            F.filter(F.flatten(F.array(*levels)), lambda g: g.isNotNull()))).alias("key"))
+        hits = cand.join(guarded_broadcast(d, max_broadcast_rows), "key")
+        per_row = hits.groupBy("_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("key", "label"))).alias("_labels"))
+        staged = staged.join(per_row, staged[id_col] == per_row["_id"], "left").drop("_id")
+        staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
+            positioned(lambda g: F.try_element_at(F.col("_labels"), g)))).drop("_labels")
+
+    def to_span(h):
+        i, n = h["pos"], h["n"]
+        start = S._sum_len(F.slice(gaps, 1, i)) + S._sum_len(F.slice(toks, 1, i - 1))
+        end = start + S._sum_len(F.slice(toks, i, n)) + S._sum_len(F.slice(gaps, i + 1, n - 1))
+        return F.struct(start.alias("start"), (-end).alias("neg_end"), end.alias("end"), h["label"].alias("type"))
+
+    staged = staged.withColumn("_cands", F.array_sort(F.transform("_hits", to_span)))
+    kept = F.aggregate(
+        F.col("_cands"),
+        F.struct(F.lit(-1).alias("last_end"), F.array().cast(
+            "array<struct<start:int,neg_end:int,end:int,type:string>>").alias("out")),
+        lambda acc, c: F.when(c["start"] >= acc["last_end"],
+                              F.struct(c["end"].alias("last_end"), F.concat(acc["out"], F.array(c)).alias("out")))
+        .otherwise(acc),
+        lambda acc: acc["out"])
+    spans = F.transform(kept, lambda c: F.struct(
+        F.substring(t, c["start"] + 1, c["end"] - c["start"]).alias("text"), c["type"].alias("type"),
+        c["start"].alias("start"), c["end"].alias("end")))
+    return staged.withColumn("entity_spans", F.coalesce(spans, S.empty_spans())) \
+        .drop("_toks", "_gaps", "_hits", "_cands")
 
 
 def model_entity_spans(text: Column, model_fn) -> Column:
