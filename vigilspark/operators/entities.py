@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import spans as S
-from .joins import guarded_broadcast
 from .partitioning import spread
 
 TOKEN = r"(?U)[\w#]+"
@@ -111,7 +110,8 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     else:
         cand = staged.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(
             F.filter(F.flatten(F.array(*levels)), lambda g: g.isNotNull()))).alias("key"))
-        hits = cand.join(guarded_broadcast(d, max_broadcast_rows), "key")
+        # n_entries was counted above: broadcast only behind that proven bound
+        hits = cand.join(F.broadcast(d) if n_entries <= max_broadcast_rows else d, "key")
         per_row = hits.groupBy("_id").agg(
             F.map_from_entries(F.collect_list(F.struct("key", "label"))).alias("_labels"))
         staged = staged.join(per_row, staged[id_col] == per_row["_id"], "left").drop("_id")

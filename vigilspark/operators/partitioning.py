@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
+_SHUFFLE = re.compile(r"(?<!Broadcast)Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|"
+                      r"SinglePartition)")
+
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster can run at once.
+    """Round-robin repartition when the input is too small to occupy the cluster.
 
-    Text scans cost far more CPU per byte than they cost to shuffle, so a
-    small input (few files / row groups) is spread over all cores first.  At
-    scale the input already has many more partitions than cores and this is a
-    no-op (no extra shuffle).  Streams are left alone."""
+    Text scans cost far more CPU per byte than they cost to shuffle, so an
+    input read from a handful of files (few splits / row groups) is spread over
+    all cores first.  Nothing is executed to decide: a plan that already has a
+    shuffle runs at ``spark.sql.shuffle.partitions`` and is left alone, and
+    otherwise the input file count is compared with the cluster's parallelism.
+    At scale (many files) this is a no-op.  Streams are left alone."""
     if df.isStreaming:
         return df
+    if _SHUFFLE.search(df._jdf.queryExecution().executedPlan().toString()):
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target)
