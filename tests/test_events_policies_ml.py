@@ -72,6 +72,10 @@ def test_policy_defaults_and_match_paths(spark):
     assert pol.count() == 3
     d = {r["name"]: r for r in PL.decode_policies(pol).collect()}
     assert list(d["pii_detection"]["config_parsed"]["patterns"]) == ["SSN", "credit card", "API key", "password"]
+    assert d["data_exfiltration"]["config_display"] == '{\n  "max_tokens": 2000,\n  "check_secrets": true\n}'
+    bad = PL.decode_policies(spark.createDataFrame([(1, "x", "input", "{oops", True)],
+                                                   "id long, name string, type string, config string, enabled boolean"))
+    assert bad.first()["config_display"] == "{oops" and bad.first()["config_valid"] is False
     texts = spark.createDataFrame([(1, "My SSN and PASSWORD"), (2, "nothing"), (3, "credit card, ssn")],
                                   "id long, text string")
     pats = PL.policy_patterns(pol).where(F.col("type") == "output")

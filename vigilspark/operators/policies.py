@@ -3,6 +3,10 @@ log (H10) and default seeding (H11)."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,14 +32,33 @@ POLICY_SCHEMA = T.StructType([
 ])
 
 
-def decode_policies(policies: DataFrame) -> DataFrame:
-    """A4: typed config plus a pretty-printed text (raw text kept if invalid)."""
+def _pretty_one(c):
+    if c is None:
+        return None
+    try:
+        return json.dumps(json.loads(c), indent=2)
+    except ValueError:
+        return c
+
+
+def _pretty_json(col):
+    """Two-space indented JSON, or the raw text when it does not parse.
+    Display-only, over the configuration-sized policies table (an Arrow-batched
+    pandas UDF, created on first use)."""
+    @F.pandas_udf("string")
+    def pretty(configs: pd.Series) -> pd.Series:
+        return configs.map(_pretty_one)
+
+    return pretty(col)
+
+
+def decode_policies(policies: DataFrame, display: bool = True) -> DataFrame:
+    """A4: typed config (``from_json``), validity (``try_parse_json``) and, for
+    display, the pretty-printed text (raw text kept if invalid)."""
     valid = F.try_parse_json("config").isNotNull()
     parsed = F.when(valid, F.from_json("config", POLICY_CONFIG_TYPE))
-    pretty = F.when(valid, F.to_json(F.from_json("config", "map<string,string>"), {"pretty": "true"}))
-    return policies.withColumn("config_parsed", parsed) \
-        .withColumn("config_display", F.coalesce(pretty, F.col("config"))) \
-        .withColumn("config_valid", valid)
+    out = policies.withColumn("config_parsed", parsed).withColumn("config_valid", valid)
+    return out.withColumn("config_display", _pretty_json("config")) if display else out
 
 
 def default_policies(spark: SparkSession, as_of: str) -> DataFrame:
@@ -53,7 +76,7 @@ def seed_if_empty(spark: SparkSession, policies: DataFrame | None, as_of: str) -
 
 def policy_patterns(policies: DataFrame) -> DataFrame:
     """Enabled policies exploded to one (policy, type, ordinal, pattern) row."""
-    d = decode_policies(policies).where(F.col("enabled") & F.col("config_valid"))
+    d = decode_policies(policies, display=False).where(F.col("enabled") & F.col("config_valid"))
     return d.select("name", "type", F.posexplode(F.coalesce(F.col("config_parsed.patterns"),
                                                              F.array().cast("array<string>"))).alias("ordinal", "pattern")) \
         .where(F.col("pattern").isNotNull() & (F.col("pattern") != "")) \

@@ -89,7 +89,7 @@ def policy_snapshot(spark, sf_dir):
 def policies_scan(spark, sf_dir):
     """A4: the snapshot's configs decoded (typed) with validity."""
     from ..operators import policies as PL
-    d = PL.decode_policies(PL.policy_snapshot(FX.policy_changes(spark, sf_dir)))
+    d = PL.decode_policies(PL.policy_snapshot(FX.policy_changes(spark, sf_dir)), display=False)
     return d.select("name", "type", "enabled", "config_valid",
                     F.col("config_parsed.threshold").alias("threshold"))
 
