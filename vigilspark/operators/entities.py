@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import spans as S
-from .partitioning import spread
+from .partitioning import explode_computed, spread
 
 TOKEN = r"(?U)[\w#]+"
 
@@ -108,8 +108,8 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
 
         staged = staged.withColumn("_hits", positioned(label_of))
     else:
-        cand = staged.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(
-            F.filter(F.flatten(F.array(*levels)), lambda g: g.isNotNull()))).alias("key"))
+        cand = staged.select(F.col(id_col).alias("_id"), explode_computed(F.array_distinct(
+            F.filter(F.flatten(F.array(*levels)), lambda g: g.isNotNull())), "key")).where(F.col("key").isNotNull())
         # n_entries was counted above: broadcast only behind that proven bound
         hits = cand.join(F.broadcast(d) if n_entries <= max_broadcast_rows else d, "key")
         per_row = hits.groupBy("_id").agg(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, spans as S
-from .partitioning import spread
+from .partitioning import explode_computed, posexplode_computed, spread
 
 
 def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
@@ -80,13 +80,13 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
 
 def findings_long(df: DataFrame, id_col: str, spans_col: str) -> DataFrame:
     """One row per finding with its ordinal (for exports and profiles)."""
-    return df.select(F.col(id_col), F.posexplode(spans_col).alias("ordinal", "f")).select(
+    return df.select(F.col(id_col), posexplode_computed(spans_col, "ordinal", "f")).where(F.col("f").isNotNull()).select(
         id_col, "ordinal", F.col("f.type").alias("type"), F.col("f.start").alias("start"),
         F.col("f.end").alias("end"), F.col("f.text").alias("text"))
 
 
 def findings_profile(scans: DataFrame, source: str) -> DataFrame:
     """Count of findings per type (partial aggregation before the shuffle)."""
-    return (scans.select(F.explode("findings").alias("f"))
+    return (scans.select(explode_computed("findings", "f")).where(F.col("f").isNotNull())
             .groupBy(F.col("f.type").alias("type")).agg(F.count(F.lit(1)).alias("n_findings"))
             .withColumn("source", F.lit(source)))

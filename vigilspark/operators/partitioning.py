@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _SHUFFLE = re.compile(r"(?<!Broadcast)Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|"
                       r"SinglePartition)")
@@ -27,3 +28,15 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target)
+
+
+def explode_computed(arr, alias: str):
+    """``explode`` for an array computed in the same plan.  A plain explode
+    makes the optimizer add ``size(arr) > 0`` below the projection, which
+    evaluates the (expensive) array expression twice; ``explode_outer`` has no
+    inferred filter, and callers drop its one NULL row per empty input."""
+    return F.explode_outer(arr).alias(alias)
+
+
+def posexplode_computed(arr, pos: str, alias: str):
+    return F.posexplode_outer(arr).alias(pos, alias)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules
 from .joins import bounded_rows
+from .partitioning import explode_computed
 
 POLICY_CONFIG_TYPE = T.StructType([
     T.StructField("patterns", T.ArrayType(T.StringType())),
@@ -100,9 +101,9 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
         return j.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
     short = patterns.where(F.length("pattern_lc") < q)
     long_ = patterns.where(F.length("pattern_lc") >= q).withColumn("qgram", F.substring("pattern_lc", 1, q))
-    grams = t.select("_id", "_lc", F.explode(F.array_distinct(F.transform(
+    grams = t.select("_id", "_lc", explode_computed(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_lc") - q + 1, F.lit(1))),
-        lambda i: F.substring(F.col("_lc"), i, q)))).alias("qgram"))
+        lambda i: F.substring(F.col("_lc"), i, q))), "qgram")).where(F.col("qgram").isNotNull())
     a = grams.join(long_, "qgram").where(F.col("_lc").contains(F.col("pattern_lc")))
     b = t.join(F.broadcast(short), F.col("_lc").contains(F.col("pattern_lc")))
     cols = [F.col("_id").alias(id_col), "name", "ordinal", "pattern"]

@@ -75,7 +75,8 @@ def _spans_long(spark, sf_dir, which):
     from ..functions import spans as S
     r = FX.responses(spark, sf_dir).select("id", "text")
     r = S.add_pii_spans(r, "text", "spans") if which == "pii" else S.add_secret_spans(r, "text", "spans")
-    return r.select("id", F.explode("spans").alias("s")).select(
+    from ..operators.partitioning import explode_computed
+    return r.select("id", explode_computed("spans", "s")).where(F.col("s").isNotNull()).select(
         F.col("id").alias("doc_id"), F.col("s.type").alias("type"),
         F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"),
         F.col("s.text").alias("match"))

@@ -105,7 +105,8 @@ def _notes_with_entities(spark, sf_dir):
 @query("gazetteer_spans")
 def gazetteer_spans(spark, sf_dir):
     n = _notes_with_entities(spark, sf_dir)
-    return n.select("note_id", F.explode("entity_spans").alias("s")).select(
+    from ..operators.partitioning import explode_computed
+    return n.select("note_id", explode_computed("entity_spans", "s")).where(F.col("s").isNotNull()).select(
         "note_id", F.col("s.type").alias("type"), F.col("s.start").cast("long").alias("start"),
         F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
 

@@ -81,15 +81,16 @@ def run_top_n(df: DataFrame, order_cols, n: int, out: str | None = None, checkpo
     ckpt = checkpoint or scratch_path(spark, "ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int):
+        # Micro-batch ids are consecutive and every batch writes a version, so
+        # the previous state is exactly folder batch_id - 1 (at most n rows);
+        # a retried batch overwrites its own folder.
         s = batch.sparkSession
         prev = None
-        try:
-            d = s.read.option("basePath", out).parquet(os.path.join(out, "_batch=*"))
-            last = d.where(F.col("_batch") < batch_id).agg(F.max("_batch")).first()[0]
-            if last is not None:
-                prev = d.where(F.col("_batch") == last).drop("_batch")
-        except Exception:  # no version yet
-            prev = None
+        if batch_id > 0:
+            try:
+                prev = s.read.schema(batch.schema).parquet(os.path.join(out, f"_batch={batch_id - 1}"))
+            except Exception:  # the stream started later than batch 0 (fresh sink)
+                prev = None
         rows = batch if prev is None else prev.unionByName(batch)
         rows.orderBy(*order_cols).limit(n).write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
 
