@@ -23,3 +23,19 @@ def test_view_counts(spark):
     s = FX.scored(spark, SF_ORACLE).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"),
                                         F.countDistinct("score").alias("d")).first()
     assert (s["n"], s["pos"], s["d"]) == (399, 51, 97)
+
+
+def test_views_conform_to_schemas_and_domains(spark):
+    from vigilspark import schemas as SC
+    from vigilspark.operators import events as EV
+    from .conftest import SF_SMALL
+    ev = FX.security_events(spark, SF_SMALL)
+    assert [f.name for f in ev.schema.fields] == [f.name for f in SC.SECURITY_EVENTS.fields]
+    conformed = SC.conform(ev, SC.SECURITY_EVENTS).schema
+    assert [(f.name, f.dataType) for f in conformed] == [(f.name, f.dataType) for f in SC.SECURITY_EVENTS]
+    assert SC.domain_violations(ev, {"event_type": SC.EVENT_TYPES, "severity": SC.SEVERITIES}).count() == 0
+    rq = EV.requests_from_events(ev)
+    assert [f.name for f in rq.schema.fields] == [f.name for f in SC.REQUESTS.fields]
+    assert SC.domain_violations(rq, {"status": SC.REQUEST_STATUSES}).count() == 0
+    inc = EV.incidents_from_events(ev)
+    assert [f.name for f in inc.schema.fields] == [f.name for f in SC.INCIDENTS.fields]
