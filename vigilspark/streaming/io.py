@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..session import scratch_path
 from ..sources.tables import table_path
@@ -50,28 +51,66 @@ def run_append(df: DataFrame, out: str | None = None, partition_by: list[str] |
     return out
 
 
-def run_upsert(df: DataFrame, out: str | None = None, checkpoint: str | None = None) -> str:
-    """Update-mode aggregation -> one folder per micro-batch (idempotent
-    overwrite); ``read_upserted`` returns the latest row per key."""
+def run_upsert(df: DataFrame, out: str | None = None, checkpoint: str | None = None,
+               key_cols: list[str] | None = None, compact_every: int | None = None) -> str:
+    """Update-mode aggregation -> one delta folder per micro-batch (idempotent
+    overwrite); ``read_upserted`` returns the latest row per key.  With
+    ``key_cols`` and ``compact_every``, every n-th batch also folds all deltas
+    into a snapshot so readers stop re-reading old deltas."""
     spark = df.sparkSession
     out = out or scratch_path(spark, "upsert")
     ckpt = checkpoint or scratch_path(spark, "ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
+        if compact_every and key_cols and batch_id > 0 and batch_id % compact_every == 0:
+            compact_upserts(batch.sparkSession, out, key_cols, upto=batch_id)
 
     _run(df.writeStream.outputMode("update").foreachBatch(write_batch), ckpt)
     return out
 
 
+def _latest_snapshot(spark: SparkSession, out: str):
+    try:
+        m = spark.read.parquet(os.path.join(out, "_manifest"))
+    except AnalysisException:
+        return None
+    return m.agg(F.max("snapshot_id")).first()[0]
+
+
+def _upsert_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Newest snapshot (as batch = its id) plus the deltas written after it."""
+    deltas = spark.read.option("basePath", out).parquet(os.path.join(out, "_batch=*"))
+    snap = _latest_snapshot(spark, out)
+    if snap is None:
+        return deltas
+    base = spark.read.parquet(os.path.join(out, f"_snapshot={snap}")) \
+        .withColumn("_batch", F.lit(snap).cast(deltas.schema["_batch"].dataType))
+    return base.unionByName(deltas.where(F.col("_batch") > snap))
+
+
 def read_upserted(spark: SparkSession, out: str, key_cols: list[str]) -> DataFrame:
-    """Latest version of each key across micro-batches (partial aggregation)."""
-    d = spark.read.option("basePath", out).parquet(os.path.join(out, "_batch=*"))
+    """Latest version of each key (partial aggregation by key)."""
+    d = _upsert_rows(spark, out)
     vals = [c for c in d.columns if c not in key_cols and c != "_batch"]
     agg = d.groupBy(*key_cols).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_v"))
     return agg.select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
+def compact_upserts(spark: SparkSession, out: str, key_cols: list[str], upto: int) -> None:
+    """Write the latest row per key over batches <= ``upto`` as
+    ``_snapshot=<upto>``, then record it in ``_manifest``.  The snapshot is
+    complete before the manifest names it, so readers never see half of it;
+    nothing is deleted, and a retry rewrites the same snapshot."""
+    d = _upsert_rows(spark, out).where(F.col("_batch") <= upto)
+    vals = [c for c in d.columns if c not in key_cols and c != "_batch"]
+    latest = d.groupBy(*key_cols).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_v")) \
+        .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in vals])
+    latest.write.mode("overwrite").parquet(os.path.join(out, f"_snapshot={upto}"))
+    spark.createDataFrame([(upto,)], "snapshot_id long").write.mode("append") \
+        .parquet(os.path.join(out, "_manifest"))
+
+
 def run_top_n(df: DataFrame, order_cols, n: int, out: str | None = None, checkpoint: str | None = None) -> str:
     """Keep the newest ``n`` rows seen so far (S7): each micro-batch unions its
     rows with the previous top-n (at most n rows) and writes version
