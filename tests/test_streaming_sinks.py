@@ -40,3 +40,34 @@ def test_top_n_over_batches(spark):
     got = [r["event_id"] for r in io.read_latest_version(spark, out).orderBy(F.col("ts").desc()).collect()]
     exp = [r["event_id"] for r in ev.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(7).collect()]
     assert got == exp
+
+
+def test_stream_limiter_over_ordered_batches_equals_batch(spark):
+    from vigilspark.operators.limits import rate_limit
+    from vigilspark.streaming.limiter import stream_rate_limit
+    ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    src = scratch_path(spark, "events-ordered")
+    q = ev.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)  # event ids follow time
+    part = (F.when(F.col("event_id") <= q[0], 0).when(F.col("event_id") <= q[1], 1)
+            .when(F.col("event_id") <= q[2], 2).otherwise(3))
+    for k in range(4):  # one file per time slice, written in time order
+        ev.where(part == k).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    e = FX.security_events_from(stream).select("id", "user_id", F.col("timestamp").cast("timestamp").alias("ts"))
+    out = io.run_append(stream_rate_limit(e, "user_id", "ts", "id", limit=2, unit="day"))
+    got = {r["id"]: r["allowed"] for r in spark.read.parquet(out).collect()}
+    b = FX.security_events_from(ev).select("id", "user_id", "timestamp")
+    exp = {r["id"]: r["allowed"] for r in rate_limit(b, "user_id", "timestamp", "id", limit=2, unit="day").collect()}
+    assert got == exp
+
+
+def test_audit_stream_drops_replayed_requests(spark):
+    from vigilspark.streaming.queries import audit_events_stream
+    conv = spark.read.parquet(os.path.join(SF_SMALL, "conversations.parquet"))
+    src = scratch_path(spark, "conv-replay")
+    conv.coalesce(1).write.parquet(src)
+    conv.coalesce(1).write.mode("append").parquet(src)  # the same requests again
+    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = io.run_append(audit_events_stream(FX.prompts_from(stream)))
+    got = spark.read.parquet(out)
+    assert got.count() == got.select("id").distinct().count() > 0

@@ -109,16 +109,22 @@ def stream_live(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
                            .when(F.col("status") == "success", "success"))
 
 
-def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S8 (+S9): validate -> drop replayed request ids -> stateful limiter ->
-    inbound -> outbound -> audit rows, appended to a day-partitioned log."""
-    p = FX.prompts_from(io.stream_table(spark, sf_dir, "conversations"))
-    p = p.withColumn("ts", _ltz("ts")).withWatermark("ts", WATERMARK) \
+def audit_events_stream(requests: DataFrame) -> DataFrame:
+    """S8 (+S9) plan over a request stream: drop replayed request ids ->
+    validate -> stateful limiter -> inbound -> outbound -> audit rows.
+    A request that arrives after its rate window was evicted (late) cannot be
+    counted; it is treated as limited (fail closed)."""
+    p = requests.withColumn("ts", _ltz("ts")).withWatermark("ts", WATERMARK) \
         .dropDuplicatesWithinWatermark(["request_id"])
     v = validate_requests(p).where(F.col("valid"))
     keep = ["use_ml", "prompt", "model", "max_tokens", "temperature"]
     lim = _stateful_limit(v, "client_id", "ts", "request_id", unit="minute", delay=None, passthrough=keep)
     events = PX.to_events(PX.scan_outcomes(lim.withColumn("allowed", F.coalesce("allowed", F.lit(False)))))
-    events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 (+S9): the audit stream appended to a day-partitioned log."""
+    events = audit_events_stream(FX.prompts_from(io.stream_table(spark, sf_dir, "conversations")))
     out = io.run_append(EV.with_event_date(events), partition_by=[EV.EVENT_DATE])
     return spark.read.parquet(out).drop(EV.EVENT_DATE)
