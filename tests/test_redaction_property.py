@@ -57,3 +57,23 @@ def test_redaction_folds_match_model(spark, batch):
     for i, (t, sp) in enumerate(batch):
         assert got[i][0] == model_faithful(t, sp), (t, sp)
         assert got[i][1] == model_merged(t, sp), (t, sp)
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(cases(), min_size=150, max_size=150))
+def test_stitch_path_equals_fold_without_overlaps(spark, batch):
+    from vigilspark.functions.spans import _stitch, template_for
+    rows = []
+    for i, (t, sp) in enumerate(batch):
+        keep, end = [], -1
+        for x in sorted(sp, key=lambda x: x[2]):
+            if x[2] >= end:
+                keep.append(x)
+                end = x[3]
+        rows.append((i, t, [{"text": x[0], "type": x[1], "start": x[2], "end": x[3]} for x in keep]))
+    df = spark.createDataFrame(rows, f"id int, text string, spans {SPANS_TYPE.simpleString()}")
+    asc = F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+                                                         template_for(s["type"]).alias("tpl")))
+    got = {r["id"]: r["x"] for r in df.select("id", _stitch(F.col("text"), asc).alias("x")).collect()}
+    for i, t, sp in rows:
+        assert got[i] == model_faithful(t, [(x["text"], x["type"], x["start"], x["end"]) for x in sp]), t

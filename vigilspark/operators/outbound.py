@@ -46,9 +46,15 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
                   .when(excessive, 0.7).otherwise(1.0)).cast("double")
     clean = (sec_count == 0) & (pii_count == 0) & ~excessive
 
-    redactor = S.redact_merged if merge_overlaps else S.redact
+    if merge_overlaps:
+        redacted = S.redact_merged(t, F.col("findings"))
+    else:
+        # the sorted spans are staged once and referenced by both redaction paths
+        staged = staged.withColumn("_ord", F.when(F.lit(redact) & (n_all > 0),
+                                                  S.sorted_for_redaction(F.col("findings"))))
+        redacted = S.redact_sorted(t, F.col("_ord"))
     sanitized = (F.when(clean, t)
-                 .when(F.lit(redact) & (n_all > 0), redactor(t, F.col("findings")))
+                 .when(F.lit(redact) & (n_all > 0), redacted)
                  .otherwise(F.lit(None).cast("string")))
     details_findings = F.transform(F.slice(F.col("findings"), 1, 10), lambda s: F.struct(
         S.preview(s["text"]).alias("text"), s["type"].alias("type"),
