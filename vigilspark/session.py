@@ -28,6 +28,12 @@ LOCAL_DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "vigilspark", extra: dict | None = None) -> SparkSession:
+    """The active session unchanged when there is one (cluster launchers own
+    its settings); otherwise a new session with the local defaults."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
