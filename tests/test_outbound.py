@@ -101,3 +101,22 @@ def test_offsets_match_python_re(spark):
         for name, p, ic in rules.SECRET_PATTERNS:
             exp += [(name, m.start(), m.end()) for m in re.finditer(p, t, re.IGNORECASE if ic else 0)]
         assert got[i] == exp, t
+
+
+def test_heavy_row_with_multibyte_text(spark):
+    # thousands of findings interleaved with multi-byte characters: offsets are
+    # code points, the byte-offset redaction path must cut on the same spans
+    parts = [f"é{i}😀 u{i}@ex.org ☎ 555-{i % 1000:03d}-{i:04d} ü" for i in range(2000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    r = outbound_scan(df, "text").first()
+    exp = []
+    for name, p in rules.PII_PATTERNS:
+        exp += [(name, m.start(), m.end()) for m in re.finditer(p, text)]
+    for name, p, ic in rules.SECRET_PATTERNS:
+        exp += [(name, m.start(), m.end()) for m in re.finditer(p, text, re.IGNORECASE if ic else 0)]
+    assert [(f["type"], f["start"], f["end"]) for f in r["findings"]] == exp
+    red = text
+    for name, s, e in sorted(exp, key=lambda x: x[1], reverse=True):
+        red = red[:s] + rules.REDACTION_TEMPLATES.get(name, rules.DEFAULT_TEMPLATE) + red[e:]
+    assert r["final_text"] == red

@@ -48,25 +48,49 @@ REQUIRED_LITERAL = {
 def spans_from(matches: Column, gaps: Column, type_name) -> Column:
     """Spans from the match array and the gap array of one pattern.
 
-    Both must be *columns* (staged with ``add_pattern_spans``): an outer
-    expression used inside a higher-order-function lambda is re-evaluated for
-    every element, so passing the regex expressions here would rescan the text
-    once per match.  ``type_name`` is a string or match-text Column -> type."""
+    Segment lengths (gap_i + match_i) are prefix-summed by one left fold over
+    plain ints (match i ends at the i-th running sum), then the spans are
+    built with one ``zip_with``: one lambda call per match.  Both inputs must
+    be *columns* (staged with ``add_pattern_spans``): an outer expression used
+    inside a higher-order-function lambda is re-evaluated for every element,
+    so passing the regex expressions here would rescan the text once per
+    match.  ``type_name`` is a string or match-text Column -> type Column."""
     type_of = (lambda m: F.lit(type_name)) if isinstance(type_name, str) else type_name
+    lens = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))), matches,
+                      lambda g, m: F.length(g) + F.length(m))
+    ends = F.aggregate(lens, F.array().cast("array<int>"), lambda acc, x: F.concat(
+        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    spans = F.zip_with(matches, ends, lambda m, e: F.struct(
+        m.alias("text"), type_of(m).alias("type"), (e - F.length(m)).alias("start"), e.alias("end")))
+    return F.when(gaps.isNull(), empty_spans()).otherwise(spans)
 
-    def to_span(m: Column, i: Column) -> Column:
-        start = _sum_len(F.slice(gaps, 1, i + 1)) + _sum_len(F.slice(matches, 1, i))
-        return F.struct(
-            m.alias("text"),
-            type_of(m).alias("type"),
-            start.alias("start"),
-            (start + F.length(m)).alias("end"),
-        )
 
-    return F.when(gaps.isNull(), empty_spans()).otherwise(F.transform(matches, to_span))
+BYTE_SPANS_TYPE = T.ArrayType(T.StructType([
+    T.StructField("bstart", T.IntegerType()), T.StructField("bend", T.IntegerType())]))
 
 
-def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str) -> DataFrame:
+def byte_spans_from(matches: Column, gaps: Column) -> Column:
+    """UTF-8 byte offsets of the same spans (same fold over octet lengths);
+    used internally to cut text without scanning from its start."""
+    lens = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))), matches,
+                      lambda g, m: F.octet_length(g) + F.octet_length(m))
+    ends = F.aggregate(lens, F.array().cast("array<int>"), lambda acc, x: F.concat(
+        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    spans = F.zip_with(matches, ends, lambda m, e: F.struct(
+        (e - F.octet_length(m)).alias("bstart"), e.alias("bend")))
+    return F.when(gaps.isNull(), F.array().cast(BYTE_SPANS_TYPE)).otherwise(spans)
+
+
+def byte_offsets(text: Column, spans: Column) -> Column:
+    """Byte offsets for spans that only carry code-point offsets (cost grows
+    with the offset; meant for the few named-entity spans)."""
+    return F.transform(spans, lambda s: F.struct(
+        F.octet_length(F.substr(text, F.lit(1), s["start"])).alias("bstart"),
+        F.octet_length(F.substr(text, F.lit(1), s["end"])).alias("bend")))
+
+
+def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str,
+                      bytes_col: str | None = None) -> DataFrame:
     """Adds ``out_col`` = spans of several ``(type, java_pattern)`` in declared
     order.  Three projections: all match arrays (one regex pass per pattern),
     then the gap arrays only for rows that matched (second pass), then the
@@ -87,7 +111,11 @@ def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str) -> D
                           for (_, p), m, g in zip(patterns, m_cols, g_cols)])
     parts = [spans_from(F.col(m), F.col(g), name) for (name, _), m, g in zip(patterns, m_cols, g_cols)]
     spans = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return df.withColumn(out_col, spans).drop(*m_cols, *g_cols)
+    df = df.withColumn(out_col, spans)
+    if bytes_col:
+        bparts = [byte_spans_from(F.col(m), F.col(g)) for m, g in zip(m_cols, g_cols)]
+        df = df.withColumn(bytes_col, F.concat(*bparts) if len(bparts) > 1 else bparts[0])
+    return df.drop(*m_cols, *g_cols)
 
 
 def pii_patterns():
@@ -100,12 +128,14 @@ def secret_patterns():
     return [(n, rules.java_regex(p, ic)) for n, p, ic in rules.SECRET_PATTERNS]
 
 
-def add_pii_spans(df: DataFrame, text_col: str, out_col: str = "pii_spans") -> DataFrame:
-    return add_pattern_spans(df, text_col, pii_patterns(), out_col)
+def add_pii_spans(df: DataFrame, text_col: str, out_col: str = "pii_spans",
+                  bytes_col: str | None = None) -> DataFrame:
+    return add_pattern_spans(df, text_col, pii_patterns(), out_col, bytes_col)
 
 
-def add_secret_spans(df: DataFrame, text_col: str, out_col: str = "secret_spans") -> DataFrame:
-    return add_pattern_spans(df, text_col, secret_patterns(), out_col)
+def add_secret_spans(df: DataFrame, text_col: str, out_col: str = "secret_spans",
+                     bytes_col: str | None = None) -> DataFrame:
+    return add_pattern_spans(df, text_col, secret_patterns(), out_col, bytes_col)
 
 
 def template_for(type_col: Column) -> Column:
@@ -117,31 +147,47 @@ def _splice(acc: Column, s: Column) -> Column:
     return F.concat(F.substr(acc, F.lit(1), s["start"]), s["tpl"], F.substr(acc, s["end"] + 1))
 
 
-def _stitch(text: Column, asc: Column) -> Column:
+def _stitch(text: Column, asc: Column, text_bytes: Column | None = None) -> Column:
     """Non-overlapping spans sorted by start: text between spans + templates,
-    built in one pass (O(length + spans))."""
-    prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["end"]))
+    joined once.  With the text's UTF-8 bytes (a staged column) and the spans'
+    byte offsets, each piece is cut by byte position, so the whole build is
+    O(length + spans); a character-position cut has to scan from the start of
+    the string.  Pieces end on character boundaries, so decoding is exact."""
+    if text_bytes is None:
+        prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["end"]))
+        pieces = F.zip_with(asc, prev_end, lambda s, pe: F.concat(
+            F.substr(text, pe + 1, s["start"] - pe), s["tpl"]))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(prev_end, -1) + 1))
+    prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["bend"]))
     pieces = F.zip_with(asc, prev_end, lambda s, pe: F.concat(
-        F.substr(text, pe + 1, s["start"] - pe), s["tpl"]))
-    return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(prev_end, -1) + 1))
-
-
-def sorted_for_redaction(spans: Column) -> Column:
-    """Spans with their templates, stably sorted by start descending."""
-    return F.array_sort(F.transform(spans, lambda s, i: F.struct(
-        (-s["start"]).alias("k"), i.alias("o"), s["start"].alias("start"),
-        s["end"].alias("end"), template_for(s["type"]).alias("tpl"))))
-
-
-def redact_sorted(text: Column, ordered: Column) -> Column:
-    """Redaction from ``sorted_for_redaction`` output (pass a staged column so
-    the sort runs once per row)."""
+        F.decode(F.substring(text_bytes, pe + 1, s["bstart"] - pe), "UTF-8"), s["tpl"]))
+    last = F.element_at(prev_end, -1)
+    tail = F.decode(F.substring(text_bytes, last + 1, F.octet_length(text_bytes) - last), "UTF-8")
+    return F.concat(F.array_join(pieces, ""), tail)
+
+
+def sorted_for_redaction(spans: Column, byte_spans: Column | None = None) -> Column:
+    """Spans with their templates (and byte offsets when given, a staged
+    column aligned with ``spans``), stably sorted by start descending."""
+    def key(s, i):
+        fields = [(-s["start"]).alias("k"), i.alias("o"), s["start"].alias("start"), s["end"].alias("end"),
+                  template_for(s["type"]).alias("tpl")]
+        if byte_spans is not None:
+            b = F.element_at(byte_spans, i + 1)
+            fields += [b["bstart"].alias("bstart"), b["bend"].alias("bend")]
+        return F.struct(*fields)
+    return F.array_sort(F.transform(spans, key))
+
+
+def redact_sorted(text: Column, ordered: Column, text_bytes: Column | None = None) -> Column:
+    """Redaction from ``sorted_for_redaction`` output (pass staged columns so
+    the sort and the UTF-8 encoding run once per row)."""
     asc = F.reverse(ordered)  # starts ascending (non-overlapping spans have distinct starts)
     overlapping = F.exists(F.zip_with(F.slice(asc, 2, F.greatest(F.size(asc), F.lit(1))), asc,
                                       lambda nxt, cur: nxt["start"] < cur["end"]),
                            lambda x: F.coalesce(x, F.lit(False)))  # zip_with pads with NULL
     return (F.when(F.size(ordered) == 0, text)
-            .when(~overlapping, _stitch(text, asc))
+            .when(~overlapping, _stitch(text, asc, text_bytes))
             .otherwise(F.aggregate(ordered, text, _splice)))
 
 
