@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from .joins import bounded_rows
+from .joins import bounded_rows, guarded_broadcast
 from .partitioning import explode_computed
 
 POLICY_CONFIG_TYPE = T.StructType([
@@ -135,7 +135,8 @@ def policy_snapshot(changes: DataFrame) -> DataFrame:
     order = F.struct("ts", "change_id")
     creates = changes.where((F.col("op") == "create") & valid_json).groupBy("name").agg(
         F.min_by(F.struct("type", "config", "ts", "change_id"), order).alias("c"))
-    c = changes.join(creates, "name", "left")
+    # one row per policy name: broadcast behind a counted bound, else shuffle
+    c = changes.join(guarded_broadcast(creates), "name", "left")
     after = F.col("c").isNotNull() & (order > F.struct(F.col("c.ts"), F.col("c.change_id")))
     upd = after & (F.col("op") == "update") & valid_json
     tog = after & (F.col("op") == "toggle")

@@ -204,8 +204,6 @@ FROM (
 
 # ------------------------------------------------------------- streaming (stream = batch)
 
-from .oracle_events import DAILY_SQL, LIVE_SQL  # noqa: E402
-
 ORACLE["stream_inbound"] = ORACLE["inbound_scan"]
 ORACLE["stream_redact"] = ORACLE["redact_documents"]
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
