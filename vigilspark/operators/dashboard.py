@@ -18,6 +18,12 @@ THREAT_CHOICES = ["prompt_injection", "pii_leak", "data_exfiltration", "jailbrea
 PAGE_SIZES = [10, 25, 50, 100]
 
 
+def hour_bucket(ts: str) -> Column:
+    """Start of the hour (Q1), kept as TIMESTAMP_NTZ like the input
+    (``date_trunc`` returns a session-zone TIMESTAMP)."""
+    return F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
+
+
 def _recent(df: DataFrame, as_of: str, hours: int | None, ts: str = "timestamp") -> DataFrame:
     return df if hours is None else df.where(F.col(ts) > since_hours(as_of, hours))
 
@@ -41,7 +47,7 @@ def overview_kpis(requests: DataFrame, as_of: str, hours: int = 24) -> DataFrame
 def requests_hourly(requests: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """Blocked / allowed per hour; null ``blocked`` counts in neither."""
     r = _recent(requests, as_of, hours)
-    return (r.groupBy(F.date_trunc("hour", "timestamp").alias("hour"))
+    return (r.groupBy(hour_bucket("timestamp").alias("hour"))
             .agg(F.count_if(F.col("blocked")).alias("blocked"),
                  F.count_if(~F.col("blocked")).alias("allowed"))
             .orderBy("hour"))
@@ -58,7 +64,7 @@ def threat_distribution(requests: DataFrame, as_of: str, hours: int = 24) -> Dat
 def latency_hourly(requests: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """G4."""
     r = _recent(requests, as_of, hours)
-    return (r.groupBy(F.date_trunc("hour", "timestamp").alias("hour"))
+    return (r.groupBy(hour_bucket("timestamp").alias("hour"))
             .agg(F.avg("latency_ms").alias("avg_latency"), F.min("latency_ms").alias("min_latency"),
                  F.max("latency_ms").alias("max_latency"))
             .orderBy("hour"))

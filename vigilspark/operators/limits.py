@@ -25,7 +25,9 @@ from ..functions import rules
 
 
 def window_start(ts: Column, unit: str = "minute") -> Column:
-    return F.date_trunc(unit, ts)
+    """Fixed window start, TIMESTAMP_NTZ (``date_trunc`` returns a session-zone
+    TIMESTAMP)."""
+    return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
 def rate_limit(df: DataFrame, client_col: str, ts_col: str, id_col: str,
