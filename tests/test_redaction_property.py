@@ -77,3 +77,28 @@ def test_stitch_path_equals_fold_without_overlaps(spark, batch):
     got = {r["id"]: r["x"] for r in df.select("id", _stitch(F.col("text"), asc).alias("x")).collect()}
     for i, t, sp in rows:
         assert got[i] == model_faithful(t, [(x["text"], x["type"], x["start"], x["end"]) for x in sp]), t
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(cases(), min_size=150, max_size=150))
+def test_chunked_stitch_crosses_chunk_boundaries(spark, batch):
+    import vigilspark.functions.spans as S
+    rows = []
+    for i, (t, sp) in enumerate(batch):
+        keep, end = [], -1
+        for x in sorted(sp, key=lambda x: x[2]):
+            if x[2] >= end:
+                keep.append(x)
+                end = x[3]
+        rows.append((i, t, [{"text": x[0], "type": x[1], "start": x[2], "end": x[3]} for x in keep]))
+    old = S.TEXT_CHUNK
+    S.TEXT_CHUNK = 3  # tiny chunks: most pieces span several
+    try:
+        df = spark.createDataFrame(rows, f"id int, text string, spans {SPANS_TYPE.simpleString()}")
+        df = df.withColumn("ch", S.text_chunks(F.col("text"))).withColumn("ord", S.sorted_for_redaction(F.col("spans")))
+        out = df.select("id", S.redact_sorted(F.col("text"), F.col("ord"), F.col("ch")).alias("x"))
+        got = {r["id"]: r["x"] for r in out.collect()}
+    finally:
+        S.TEXT_CHUNK = old
+    for i, t, sp in rows:
+        assert got[i] == model_faithful(t, [(x["text"], x["type"], x["start"], x["end"]) for x in sp]), t

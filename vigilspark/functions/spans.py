@@ -65,32 +65,7 @@ def spans_from(matches: Column, gaps: Column, type_name) -> Column:
     return F.when(gaps.isNull(), empty_spans()).otherwise(spans)
 
 
-BYTE_SPANS_TYPE = T.ArrayType(T.StructType([
-    T.StructField("bstart", T.IntegerType()), T.StructField("bend", T.IntegerType())]))
-
-
-def byte_spans_from(matches: Column, gaps: Column) -> Column:
-    """UTF-8 byte offsets of the same spans (same fold over octet lengths);
-    used internally to cut text without scanning from its start."""
-    lens = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))), matches,
-                      lambda g, m: F.octet_length(g) + F.octet_length(m))
-    ends = F.aggregate(lens, F.array().cast("array<int>"), lambda acc, x: F.concat(
-        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    spans = F.zip_with(matches, ends, lambda m, e: F.struct(
-        (e - F.octet_length(m)).alias("bstart"), e.alias("bend")))
-    return F.when(gaps.isNull(), F.array().cast(BYTE_SPANS_TYPE)).otherwise(spans)
-
-
-def byte_offsets(text: Column, spans: Column) -> Column:
-    """Byte offsets for spans that only carry code-point offsets (cost grows
-    with the offset; meant for the few named-entity spans)."""
-    return F.transform(spans, lambda s: F.struct(
-        F.octet_length(F.substr(text, F.lit(1), s["start"])).alias("bstart"),
-        F.octet_length(F.substr(text, F.lit(1), s["end"])).alias("bend")))
-
-
-def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str,
-                      bytes_col: str | None = None) -> DataFrame:
+def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str) -> DataFrame:
     """Adds ``out_col`` = spans of several ``(type, java_pattern)`` in declared
     order.  Three projections: all match arrays (one regex pass per pattern),
     then the gap arrays only for rows that matched (second pass), then the
@@ -109,13 +84,67 @@ def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str,
     df = df.select("*", *[matches(n, p).alias(m) for (n, p), m in zip(patterns, m_cols)])
     df = df.select("*", *[F.when(F.size(F.col(m)) > 0, F.split(t, F.lit(p) if isinstance(p, str) else p, -1)).alias(g)
                           for (_, p), m, g in zip(patterns, m_cols, g_cols)])
-    parts = [spans_from(F.col(m), F.col(g), name) for (name, _), m, g in zip(patterns, m_cols, g_cols)]
-    spans = F.concat(*parts) if len(parts) > 1 else parts[0]
-    df = df.withColumn(out_col, spans)
-    if bytes_col:
-        bparts = [byte_spans_from(F.col(m), F.col(g)) for m, g in zip(m_cols, g_cols)]
-        df = df.withColumn(bytes_col, F.concat(*bparts) if len(bparts) > 1 else bparts[0])
-    return df.drop(*m_cols, *g_cols)
+    df = df.withColumn(f"__lens_{tag}", F.array(*[_segment_lengths(F.col(m), F.col(g))
+                                                  for m, g in zip(m_cols, g_cols)]))
+    df, ends_col = _add_chunked_ends(df, f"__lens_{tag}", tag)
+    ends = [F.element_at(F.col(ends_col), i + 1) for i in range(len(patterns))]
+    parts = [_spans_at(F.col(m), e, name) for (name, _), m, e in zip(patterns, m_cols, ends)]
+    df = df.withColumn(out_col, F.concat(*parts) if len(parts) > 1 else parts[0])
+    return df.drop(*m_cols, *g_cols, f"__lens_{tag}", ends_col)
+
+
+# --- prefix sums of segment lengths -------------------------------------------
+# Match i of a pattern ends where the running sum of (gap_j + match_j) lengths,
+# j <= i, ends.  Spark arrays are immutable, so a single fold that appends to
+# its accumulator copies it every step (O(m^2) for m matches).  The sums are
+# therefore taken in chunks: each chunk of PREFIX_CHUNK segments is folded on
+# its own, chunk totals are folded into chunk offsets, and offsets are added
+# back -- O(m * PREFIX_CHUNK + (m / PREFIX_CHUNK)^2) element copies, all native.
+
+PREFIX_CHUNK = 128
+
+
+def _segment_lengths(matches: Column, gaps: Column) -> Column:
+    lens = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))), matches,
+                      lambda g, m: F.length(g) + F.length(m))
+    return F.when(gaps.isNull(), F.array().cast("array<int>")).otherwise(lens)
+
+
+def _inclusive_fold(arr: Column) -> Column:
+    return F.aggregate(arr, F.array().cast("array<int>"), lambda acc, x: F.concat(
+        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+
+
+def _add_chunked_ends(df: DataFrame, lens_col: str, tag: str):
+    """``lens_col``: array (one per pattern) of arrays of segment lengths.
+    Adds the matching array of arrays of running end offsets."""
+    loc, off, ends = f"__loc_{tag}", f"__off_{tag}", f"__ends_{tag}"
+    C = PREFIX_CHUNK
+
+    def local(lens):
+        n_chunks = F.ceil(F.size(lens) / F.lit(C)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))),
+                             lambda k: _inclusive_fold(F.slice(lens, k * C + 1, C)))
+        return F.when(F.size(lens) == 0, F.array().cast("array<array<int>>")).otherwise(chunks)
+
+    def exclusive_offsets(chunks):
+        incl = _inclusive_fold(F.transform(chunks, lambda ch: F.element_at(ch, -1)))
+        return F.when(F.size(chunks) <= 1, F.array_repeat(F.lit(0), F.size(chunks))).otherwise(
+            F.concat(F.array(F.lit(0)), F.slice(incl, 1, F.size(chunks) - 1)))
+
+    df = df.withColumn(loc, F.transform(F.col(lens_col), local))
+    df = df.withColumn(off, F.transform(F.col(loc), exclusive_offsets))
+    shifted = F.zip_with(F.col(loc), F.col(off), lambda chunks, offs: F.flatten(F.zip_with(
+        chunks, offs, lambda ch, o: F.transform(ch, lambda x: x + o))))
+    df = df.withColumn(ends, F.coalesce(shifted, F.array().cast("array<array<int>>")))
+    return df.drop(loc, off), ends
+
+
+def _spans_at(matches: Column, ends: Column, type_name) -> Column:
+    type_of = (lambda m: F.lit(type_name)) if isinstance(type_name, str) else type_name
+    spans = F.zip_with(matches, ends, lambda m, e: F.struct(
+        m.alias("text"), type_of(m).alias("type"), (e - F.length(m)).alias("start"), e.alias("end")))
+    return F.when(F.size(ends) == 0, empty_spans()).otherwise(spans)
 
 
 def pii_patterns():
@@ -128,14 +157,12 @@ def secret_patterns():
     return [(n, rules.java_regex(p, ic)) for n, p, ic in rules.SECRET_PATTERNS]
 
 
-def add_pii_spans(df: DataFrame, text_col: str, out_col: str = "pii_spans",
-                  bytes_col: str | None = None) -> DataFrame:
-    return add_pattern_spans(df, text_col, pii_patterns(), out_col, bytes_col)
+def add_pii_spans(df: DataFrame, text_col: str, out_col: str = "pii_spans") -> DataFrame:
+    return add_pattern_spans(df, text_col, pii_patterns(), out_col)
 
 
-def add_secret_spans(df: DataFrame, text_col: str, out_col: str = "secret_spans",
-                     bytes_col: str | None = None) -> DataFrame:
-    return add_pattern_spans(df, text_col, secret_patterns(), out_col, bytes_col)
+def add_secret_spans(df: DataFrame, text_col: str, out_col: str = "secret_spans") -> DataFrame:
+    return add_pattern_spans(df, text_col, secret_patterns(), out_col)
 
 
 def template_for(type_col: Column) -> Column:
@@ -147,47 +174,60 @@ def _splice(acc: Column, s: Column) -> Column:
     return F.concat(F.substr(acc, F.lit(1), s["start"]), s["tpl"], F.substr(acc, s["end"] + 1))
 
 
-def _stitch(text: Column, asc: Column, text_bytes: Column | None = None) -> Column:
+TEXT_CHUNK = 256
+
+
+def text_chunks(text: Column) -> Column:
+    """The text as consecutive pieces of TEXT_CHUNK code points (one regex
+    pass).  Stage it as a column: string elements of a row's array are read
+    without copying, while ``substring`` on a long string has to count
+    characters from its start."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % TEXT_CHUNK), 0)
+
+
+def _piece(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points [a, b) of the text held in ``chunks`` (0-based)."""
+    C = TEXT_CHUNK
+    ka, oa = F.floor(a / C).cast("int"), (a % C).cast("int")
+    kb, ob = F.floor((b - 1) / C).cast("int"), ((b - 1) % C).cast("int")
+    same = F.substr(F.element_at(chunks, ka + 1), oa + 1, b - a)
+    spread = F.concat(F.substr(F.element_at(chunks, ka + 1), oa + 1),
+                      F.array_join(F.slice(chunks, ka + 2, F.greatest(kb - ka - 1, F.lit(0))), ""),
+                      F.substr(F.element_at(chunks, kb + 1), F.lit(1), ob + 1))
+    return F.when(a >= b, F.lit("")).when(ka == kb, same).otherwise(spread)
+
+
+def _stitch(text: Column, asc: Column, chunks: Column | None = None) -> Column:
     """Non-overlapping spans sorted by start: text between spans + templates,
-    joined once.  With the text's UTF-8 bytes (a staged column) and the spans'
-    byte offsets, each piece is cut by byte position, so the whole build is
-    O(length + spans); a character-position cut has to scan from the start of
-    the string.  Pieces end on character boundaries, so decoding is exact."""
-    if text_bytes is None:
-        prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["end"]))
+    joined once.  With the staged ``text_chunks`` each piece costs at most
+    two chunk cuts, so the build is O(length + spans * TEXT_CHUNK); a plain
+    character substring would scan from the start of the text per piece."""
+    prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["end"]))
+    last = F.element_at(prev_end, -1)
+    if chunks is None:
         pieces = F.zip_with(asc, prev_end, lambda s, pe: F.concat(
             F.substr(text, pe + 1, s["start"] - pe), s["tpl"]))
-        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(prev_end, -1) + 1))
-    prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["bend"]))
-    pieces = F.zip_with(asc, prev_end, lambda s, pe: F.concat(
-        F.decode(F.substring(text_bytes, pe + 1, s["bstart"] - pe), "UTF-8"), s["tpl"]))
-    last = F.element_at(prev_end, -1)
-    tail = F.decode(F.substring(text_bytes, last + 1, F.octet_length(text_bytes) - last), "UTF-8")
-    return F.concat(F.array_join(pieces, ""), tail)
+        return F.concat(F.array_join(pieces, ""), F.substr(text, last + 1))
+    pieces = F.zip_with(asc, prev_end, lambda s, pe: F.concat(_piece(chunks, pe, s["start"]), s["tpl"]))
+    return F.concat(F.array_join(pieces, ""), _piece(chunks, last, F.length(text)))
 
 
-def sorted_for_redaction(spans: Column, byte_spans: Column | None = None) -> Column:
-    """Spans with their templates (and byte offsets when given, a staged
-    column aligned with ``spans``), stably sorted by start descending."""
-    def key(s, i):
-        fields = [(-s["start"]).alias("k"), i.alias("o"), s["start"].alias("start"), s["end"].alias("end"),
-                  template_for(s["type"]).alias("tpl")]
-        if byte_spans is not None:
-            b = F.element_at(byte_spans, i + 1)
-            fields += [b["bstart"].alias("bstart"), b["bend"].alias("bend")]
-        return F.struct(*fields)
-    return F.array_sort(F.transform(spans, key))
+def sorted_for_redaction(spans: Column) -> Column:
+    """Spans with their templates, stably sorted by start descending."""
+    return F.array_sort(F.transform(spans, lambda s, i: F.struct(
+        (-s["start"]).alias("k"), i.alias("o"), s["start"].alias("start"),
+        s["end"].alias("end"), template_for(s["type"]).alias("tpl"))))
 
 
-def redact_sorted(text: Column, ordered: Column, text_bytes: Column | None = None) -> Column:
+def redact_sorted(text: Column, ordered: Column, chunks: Column | None = None) -> Column:
     """Redaction from ``sorted_for_redaction`` output (pass staged columns so
-    the sort and the UTF-8 encoding run once per row)."""
+    the sort and the chunking run once per row)."""
     asc = F.reverse(ordered)  # starts ascending (non-overlapping spans have distinct starts)
     overlapping = F.exists(F.zip_with(F.slice(asc, 2, F.greatest(F.size(asc), F.lit(1))), asc,
                                       lambda nxt, cur: nxt["start"] < cur["end"]),
                            lambda x: F.coalesce(x, F.lit(False)))  # zip_with pads with NULL
     return (F.when(F.size(ordered) == 0, text)
-            .when(~overlapping, _stitch(text, asc, text_bytes))
+            .when(~overlapping, _stitch(text, asc, chunks))
             .otherwise(F.aggregate(ordered, text, _splice)))
 
 

@@ -27,12 +27,10 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
     if spread_input:
         df = spread(df)
     staged = df.withColumn("_ner", entity_spans if entity_spans is not None else S.empty_spans())
-    staged = S.add_pii_spans(staged, text_col, "_pii", "_pii_b")
-    staged = S.add_secret_spans(staged, text_col, "_sec", "_sec_b")
+    staged = S.add_pii_spans(staged, text_col, "_pii")
+    staged = S.add_secret_spans(staged, text_col, "_sec")
     findings = F.concat(F.col("_ner"), F.col("_pii"), F.col("_sec"))
     staged = staged.withColumn("findings", findings)
-    # UTF-8 byte offsets aligned with findings (internal, for the redaction cut)
-    staged = staged.withColumn("_fb", F.concat(S.byte_offsets(t, F.col("_ner")), F.col("_pii_b"), F.col("_sec_b")))
 
     n_all = F.size("findings")
     pii_count = F.size("_ner") + F.size("_pii")
@@ -51,11 +49,11 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
     if merge_overlaps:
         redacted = S.redact_merged(t, F.col("findings"))
     else:
-        # the sorted spans and the UTF-8 bytes are staged once per row
+        # the sorted spans and the text chunks are staged once per row
         need = F.lit(redact) & (n_all > 0)
-        staged = staged.withColumn("_ord", F.when(need, S.sorted_for_redaction(F.col("findings"), F.col("_fb")))) \
-            .withColumn("_bytes", F.when(need, F.encode(t, "UTF-8")))
-        redacted = S.redact_sorted(t, F.col("_ord"), F.col("_bytes"))
+        staged = staged.withColumn("_ord", F.when(need, S.sorted_for_redaction(F.col("findings")))) \
+            .withColumn("_chunks", F.when(need, S.text_chunks(t)))
+        redacted = S.redact_sorted(t, F.col("_ord"), F.col("_chunks"))
     sanitized = (F.when(clean, t)
                  .when(F.lit(redact) & (n_all > 0), redacted)
                  .otherwise(F.lit(None).cast("string")))
