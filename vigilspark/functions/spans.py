@@ -84,12 +84,15 @@ def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str) -> D
     df = df.select("*", *[matches(n, p).alias(m) for (n, p), m in zip(patterns, m_cols)])
     df = df.select("*", *[F.when(F.size(F.col(m)) > 0, F.split(t, F.lit(p) if isinstance(p, str) else p, -1)).alias(g)
                           for (_, p), m, g in zip(patterns, m_cols, g_cols)])
-    df = df.withColumn(f"__lens_{tag}", F.array(*[_segment_lengths(F.col(m), F.col(g))
-                                                  for m, g in zip(m_cols, g_cols)]))
+    # Most rows match nothing: they skip the offset machinery entirely.
+    any_match = F.greatest(*[F.size(F.col(m)) for m in m_cols], F.lit(0)) > 0
+    df = df.withColumn(f"__lens_{tag}", F.when(any_match, F.array(*[_segment_lengths(F.col(m), F.col(g))
+                                                                   for m, g in zip(m_cols, g_cols)])))
     df, ends_col = _add_chunked_ends(df, f"__lens_{tag}", tag)
     ends = [F.element_at(F.col(ends_col), i + 1) for i in range(len(patterns))]
     parts = [_spans_at(F.col(m), e, name) for (name, _), m, e in zip(patterns, m_cols, ends)]
-    df = df.withColumn(out_col, F.concat(*parts) if len(parts) > 1 else parts[0])
+    spans = F.concat(*parts) if len(parts) > 1 else parts[0]
+    df = df.withColumn(out_col, F.when(F.col(f"__lens_{tag}").isNull(), empty_spans()).otherwise(spans))
     return df.drop(*m_cols, *g_cols, f"__lens_{tag}", ends_col)
 
 
@@ -136,7 +139,7 @@ def _add_chunked_ends(df: DataFrame, lens_col: str, tag: str):
     df = df.withColumn(off, F.transform(F.col(loc), exclusive_offsets))
     shifted = F.zip_with(F.col(loc), F.col(off), lambda chunks, offs: F.flatten(F.zip_with(
         chunks, offs, lambda ch, o: F.transform(ch, lambda x: x + o))))
-    df = df.withColumn(ends, F.coalesce(shifted, F.array().cast("array<array<int>>")))
+    df = df.withColumn(ends, shifted)
     return df.drop(loc, off), ends
 
 
