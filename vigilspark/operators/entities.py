@@ -76,17 +76,17 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         return df.withColumn("entity_spans", S.empty_spans())
 
     t = F.col(text_col)
-    staged = df.withColumn("_toks", F.regexp_extract_all(t, F.lit(TOKEN), 0))
-    staged = staged.withColumn("_gaps", F.when(F.size("_toks") > 0, F.split(t, TOKEN, -1)))
-    toks, gaps = F.col("_toks"), F.col("_gaps")
-    # n-grams by shifting: gram_n[i] = gram_{n-1}[i] + ' ' + toks[i+n-1]
-    # (zip_with pads the shorter side with NULL, and concat of NULL is NULL).
-    levels = [toks]
-    for n in range(2, max_n + 1):
-        levels.append(F.zip_with(levels[-1], F.slice(toks, n, F.greatest(F.size(toks), F.lit(1))),
-                                 lambda a, b: F.concat(a, F.lit(" "), b)))
-
-    def positioned(label_of):
+
+    def ngram_levels(toks):
+        # n-grams by shifting: gram_n[i] = gram_{n-1}[i] + ' ' + toks[i+n-1]
+        # (zip_with pads the shorter side with NULL, and concat of NULL is NULL).
+        levels = [toks]
+        for n in range(2, max_n + 1):
+            levels.append(F.zip_with(levels[-1], F.slice(toks, n, F.greatest(F.size(toks), F.lit(1))),
+                                     lambda a, b: F.concat(a, F.lit(" "), b)))
+        return levels
+
+    def positioned(levels, label_of):
         def at_level(n):
             # two-argument lambda (element, index); n is bound by the closure
             return lambda g, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("n"), label_of(g).alias("label"))
@@ -106,22 +106,39 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
                     out.when(g.isin(by_label[lab]), F.lit(lab))
             return out
 
-        staged = staged.withColumn("_hits", positioned(label_of))
+        staged = df.withColumn("_toks", F.regexp_extract_all(t, F.lit(TOKEN), 0))
+        staged = staged.withColumn("_hits", positioned(ngram_levels(F.col("_toks")), label_of))
     else:
-        cand = staged.select(F.col(id_col).alias("_id"), explode_computed(F.array_distinct(
-            F.filter(F.flatten(F.array(*levels)), lambda g: g.isNotNull())), "key")).where(F.col("key").isNotNull())
+        # candidates from a throw-away tokenization; only the per-row label map
+        # travels back to the rows (the token arrays are rebuilt after the join)
+        tok = df.select(F.col(id_col).alias("_id"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
+        cand = tok.select("_id", explode_computed(F.array_distinct(
+            F.filter(F.flatten(F.array(*ngram_levels(F.col("_t")))), lambda g: g.isNotNull())), "key")) \
+            .where(F.col("key").isNotNull())
         # n_entries was counted above: broadcast only behind that proven bound
         hits = cand.join(F.broadcast(d) if n_entries <= max_broadcast_rows else d, "key")
         per_row = hits.groupBy("_id").agg(
             F.map_from_entries(F.collect_list(F.struct("key", "label"))).alias("_labels"))
-        staged = staged.join(per_row, staged[id_col] == per_row["_id"], "left").drop("_id")
+        staged = df.join(per_row, df[id_col] == per_row["_id"], "left").drop("_id")
+        staged = staged.withColumn("_toks", F.when(F.col("_labels").isNotNull(),
+                                                    F.regexp_extract_all(t, F.lit(TOKEN), 0)))
         staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
-            positioned(lambda g: F.try_element_at(F.col("_labels"), g)))).drop("_labels")
+            positioned(ngram_levels(F.col("_toks")), lambda g: F.try_element_at(F.col("_labels"), g)))) \
+            .drop("_labels")
+
+    # token end offsets (chunked prefix sums) and text chunks, only for rows with hits
+    has = F.size("_hits") > 0
+    staged = staged.withColumn("_gaps", F.when(has, F.split(t, TOKEN, -1)))
+    staged = staged.withColumn("_lens", F.when(has, F.array(S._segment_lengths(F.col("_toks"), F.col("_gaps")))))
+    staged, ends_col = S._add_chunked_ends(staged, "_lens", "ent")
+    staged = staged.withColumn("_tend", F.element_at(F.col(ends_col), 1)) \
+        .withColumn("_chunks", F.when(has, S.text_chunks(t))).drop("_lens", ends_col, "_gaps")
+    toks, tend = F.col("_toks"), F.col("_tend")
 
     def to_span(h):
         i, n = h["pos"], h["n"]
-        start = S._sum_len(F.slice(gaps, 1, i)) + S._sum_len(F.slice(toks, 1, i - 1))
-        end = start + S._sum_len(F.slice(toks, i, n)) + S._sum_len(F.slice(gaps, i + 1, n - 1))
+        start = F.element_at(tend, i) - F.length(F.element_at(toks, i))
+        end = F.element_at(tend, i + n - 1)
         return F.struct(start.alias("start"), (-end).alias("neg_end"), end.alias("end"), h["label"].alias("type"))
 
     staged = staged.withColumn("_cands", F.array_sort(F.transform("_hits", to_span)))
@@ -133,11 +150,12 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
                               F.struct(c["end"].alias("last_end"), F.concat(acc["out"], F.array(c)).alias("out")))
         .otherwise(acc),
         lambda acc: acc["out"])
+    chunks = F.col("_chunks")
     spans = F.transform(kept, lambda c: F.struct(
-        F.substring(t, c["start"] + 1, c["end"] - c["start"]).alias("text"), c["type"].alias("type"),
+        S._piece(chunks, c["start"], c["end"]).alias("text"), c["type"].alias("type"),
         c["start"].alias("start"), c["end"].alias("end")))
-    return staged.withColumn("entity_spans", F.coalesce(spans, S.empty_spans())) \
-        .drop("_toks", "_gaps", "_hits", "_cands")
+    return staged.withColumn("entity_spans", F.when(has, spans).otherwise(S.empty_spans())) \
+        .drop("_toks", "_tend", "_chunks", "_hits", "_cands")
 
 
 def model_entity_spans(text: Column, model_fn) -> Column:
