@@ -34,7 +34,8 @@ def r6(c):
 def events_scan(spark, sf_dir):
     """A1: JSON columns decoded (malformed -> empty, null stays null)."""
     e = EV.decode_events(_events(spark, sf_dir))
-    return e.select("id", F.size("detected_patterns").cast("long").alias("n_patterns"),
+    dp = F.col("detected_patterns")
+    return e.select("id", F.when(dp.isNotNull(), F.size(dp)).cast("long").alias("n_patterns"),
                     F.array_join("detected_patterns", ",").alias("patterns"),
                     F.variant_get("metadata", "$.k", "string").alias("metadata_k"))
 
