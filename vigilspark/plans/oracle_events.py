@@ -193,3 +193,18 @@ ORACLE["retention"] = with_views(EV, f"""
 SELECT CAST(count(*) FILTER (WHERE timestamp >= {since(14, 'DAY')}) AS BIGINT) AS kept,
        CAST(count(*) FILTER (WHERE timestamp < {since(14, 'DAY')}) AS BIGINT) AS deleted
 FROM security_events""")
+
+ORACLE["statistics_bundle"] = with_views(EV, f"""
+SELECT CAST(7 AS BIGINT) AS period_days, o.total_events, o.total_blocked, o.avg_processing_time,
+       t.by_event_type, d.daily_breakdown
+FROM (SELECT CAST(count(*) AS BIGINT) AS total_events,
+             CAST(sum(CASE WHEN blocked THEN 1 ELSE 0 END) AS BIGINT) AS total_blocked,
+             round(avg(processing_time_ms), 6) AS avg_processing_time
+      FROM security_events WHERE timestamp >= {since(7, 'DAY')}) o,
+     (SELECT string_agg(event_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY event_type || '=' || CAST(n AS VARCHAR))
+             AS by_event_type
+      FROM (SELECT event_type, count(*) AS n FROM security_events
+            WHERE timestamp >= {since(7, 'DAY')} GROUP BY event_type)) t,
+     (SELECT string_agg(CAST(date AS VARCHAR) || ':' || CAST(total_requests AS VARCHAR) || ':'
+                        || CAST(blocked_requests AS VARCHAR), ',' ORDER BY date DESC) AS daily_breakdown
+      FROM ({DAILY_SQL}) WHERE date >= CAST({AS_OF_SQL} AS DATE) - 7) d""")

@@ -178,7 +178,19 @@ def user_activity(spark, sf_dir):
 
 @query("statistics_bundle")
 def statistics_bundle(spark, sf_dir):
-    return ST.statistics_bundle(_events(spark, sf_dir), _daily(spark, sf_dir), AS_OF, days=7)
+    """The nested bundle, flattened for comparison (type counts and the
+    daily rows as ordered text)."""
+    b = ST.statistics_bundle(_events(spark, sf_dir), _daily(spark, sf_dir), AS_OF, days=7)
+    by_type = F.array_join(F.array_sort(F.transform(F.map_entries("by_event_type"), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    days = F.array_join(F.transform("daily_breakdown", lambda d: F.concat(
+        d["date"].cast("string"), F.lit(":"), d["total_requests"].cast("string"), F.lit(":"),
+        d["blocked_requests"].cast("string"))), ",")
+    return b.select(F.col("period_days").cast("long").alias("period_days"),
+                    F.col("overall.total_events").alias("total_events"),
+                    F.col("overall.total_blocked").alias("total_blocked"),
+                    r6(F.col("overall.avg_processing_time")).alias("avg_processing_time"),
+                    by_type.alias("by_event_type"), days.alias("daily_breakdown"))
 
 
 def _response_log(spark, sf_dir):
