@@ -23,16 +23,19 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     At scale (many files) this is a no-op.  Streams are left alone."""
     if df.isStreaming:
         return df
-    qe = df._jdf.queryExecution()
-    if _SHUFFLE.search(qe.executedPlan().toString()):
+    try:
+        qe = df._jdf.queryExecution()  # plan introspection only; nothing runs
+        if _SHUFFLE.search(qe.executedPlan().toString()):
+            return df
+        target = df.sparkSession.sparkContext.defaultParallelism * per_core
+        # expected input splits from the largest scanned relation (sizes come
+        # from the file listing Spark already holds; nothing is read or shipped
+        # to Python; join estimates are not used, they multiply without stats)
+        leaves = qe.optimizedPlan().collectLeaves()
+        size = max([int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())] or [0])
+        split = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    except Exception:  # e.g. a Spark Connect session: no JVM handle, leave as is
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    # expected input splits from the largest scanned relation (sizes come from
-    # the file listing Spark already holds; nothing is read or shipped to
-    # Python; join estimates are not used, they multiply without statistics)
-    leaves = qe.optimizedPlan().collectLeaves()
-    size = max([int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())] or [0])
-    split = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     if size // max(split, 1) + 1 >= target:
         return df
     return df.repartition(target)
