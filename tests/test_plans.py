@@ -41,3 +41,30 @@ def test_rate_limit_salted(spark):
     q = registry.queries()
     p = _plan(q["rate_limit"](spark, SF_SMALL))
     assert "_salt" in p
+
+
+def test_verdict_filters_keep_plans_small(spark):
+    # filters on verdict columns stop at the scan's metrics node instead of
+    # inlining the whole regex pipeline (which grew plans to tens of MB)
+    from pyspark.sql import functions as F
+    from vigilspark.operators import dashboard as DB
+    from vigilspark.operators import events as EV
+    from vigilspark.operators import proxy as PX
+    from vigilspark.sources import fixtures as FX
+    q = registry.queries()
+    assert len(q["label_actions"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    ev = PX.to_events(PX.process_requests(FX.prompts(spark, SF_SMALL)))
+    lst = DB.incident_list(EV.incidents_from_events(ev), EV.requests_from_events(ev), FX.AS_OF, "All Time")
+    assert len(lst._jdf.queryExecution().optimizedPlan().toString()) < 1_000_000
+    assert lst.where(F.col("threat_type").isNotNull()).count() == lst.count()
+
+
+def test_scan_metrics_observation(spark):
+    from pyspark.sql import Observation
+    from vigilspark.operators.outbound import outbound_scan
+    from vigilspark.sources import fixtures as FX
+    obs = Observation("outbound_metrics_test")
+    s = outbound_scan(FX.responses(spark, SF_SMALL), "text", observation=obs)
+    n = s.count()
+    m = obs.get
+    assert m["rows"] == n and 0 < m["threats"] <= n

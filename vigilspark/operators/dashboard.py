@@ -89,10 +89,12 @@ def incident_list(incidents: DataFrame, requests: DataFrame, as_of: str, time_ra
             F.lit(None).cast("string").alias("user_id"))
     i = _recent(incidents, as_of, INCIDENT_RANGES_HOURS[time_range])
     i = i.where(F.col("severity").isin(list(severities)) & F.col("threat_type").isin(list(threats)))
-    r = requests.select(F.col("id").alias("r_id"), F.col("user_id"))
-    j = i.join(r, i["request_id"] == r["r_id"], "left")
-    return j.select(i["id"], i["timestamp"], i["threat_type"], i["severity"], i["prompt_snippet"],
-                    i["action_taken"], r["user_id"]).orderBy(F.col("timestamp").desc(), F.col("id").desc())
+    # renamed columns + name-based condition: both sides may come from the same
+    # log DataFrame (a self-join), where Dataset column references are ambiguous
+    r = requests.select(F.col("id").alias("_r_id"), F.col("user_id").alias("_r_user_id"))
+    j = i.join(r, F.col("request_id") == F.col("_r_id"), "left")
+    return j.select("id", "timestamp", "threat_type", "severity", "prompt_snippet", "action_taken",
+                    F.col("_r_user_id").alias("user_id")).orderBy(F.col("timestamp").desc(), F.col("id").desc())
 
 
 def search(df: DataFrame, term: str | None) -> DataFrame:
@@ -140,8 +142,11 @@ def incident_detail(incidents: DataFrame, requests: DataFrame, ids: list[int] |
     """incident columns plus request lengths and latency; details JSON
     parsed (raw text kept when invalid)."""
     i = incidents if ids is None else incidents.where(F.col("id").isin(ids))
-    r = requests.select(F.col("id").alias("r_id"), "prompt_length", "response_length", "latency_ms")
-    j = i.join(r, i["request_id"] == r["r_id"], "left").drop("r_id")
+    r = requests.select(F.col("id").alias("_r_id"), F.col("prompt_length").alias("_pl"),
+                        F.col("response_length").alias("_rl"), F.col("latency_ms").alias("_lat"))
+    j = i.join(r, F.col("request_id") == F.col("_r_id"), "left") \
+        .withColumnRenamed("_pl", "prompt_length").withColumnRenamed("_rl", "response_length") \
+        .withColumnRenamed("_lat", "latency_ms").drop("_r_id")
     return j.withColumn("details_json", F.try_parse_json("details"))
 
 

@@ -57,6 +57,22 @@ def incidents_from_events(events: DataFrame, snippet_chars: int = 100) -> DataFr
     )
 
 
+def materialize_log(events: DataFrame, path: str | None = None) -> DataFrame:
+    """The boundary between assembling audit rows and querying them, as in a
+    proxy that writes its log and dashboards that read it.  Either appends to
+    a day-partitioned log at ``path`` and reads it back, or (no path) takes a
+    reliable checkpoint into the shared checkpoint folder.
+
+    Without it, dashboard filters over a freshly assembled log are pushed down
+    through every projection, and the optimizer substitutes the whole scan
+    logic into them repeatedly (the plan grows multiplicatively)."""
+    if path:
+        append_events(events, path)
+        return read_events(events.sparkSession, path).drop(EVENT_DATE)
+    from ..session import cut_lineage
+    return cut_lineage(events)
+
+
 def with_event_date(events: DataFrame) -> DataFrame:
     return events.withColumn(EVENT_DATE, F.to_date("timestamp"))
 

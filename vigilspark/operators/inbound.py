@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from .partitioning import spread
+from .partitioning import observe_scan, spread
 
 
 def rule_matches(text: Column, patterns: list[str]) -> Column:
@@ -48,7 +48,7 @@ def ml_threat(ml_malicious: Column, ml_confidence: Column) -> Column:
 
 def inbound_scan(df: DataFrame, text_col: str = "prompt", use_ml: Column | bool = False,
                  ml_malicious_col: str | None = None, ml_confidence_col: str | None = None,
-                 ml_available: bool = False, spread_input: bool = True) -> DataFrame:
+                 ml_available: bool = False, spread_input: bool = True, observation=None) -> DataFrame:
     """Adds rule matches and the verdict (C4-C7) to ``df``."""
     t = F.col(text_col)
     if spread_input:
@@ -72,50 +72,47 @@ def inbound_scan(df: DataFrame, text_col: str = "prompt", use_ml: Column | bool
         ml_c = F.lit(None).cast("double")
     staged = staged.withColumn("_ml_threat", ml_t).withColumn("_ml_conf", ml_c)
 
-    # Candidates in tie-break order; strict '>' in a running max keeps the first.
-    cands = [
-        (F.size("injection_patterns") > 0, F.lit("prompt_injection"), F.col("injection_confidence"),
-         F.col("injection_patterns")),
-        (F.size("jailbreak_patterns") > 0, F.lit("jailbreak"), F.col("jailbreak_confidence"),
-         F.col("jailbreak_patterns")),
-        (F.size("exfiltration_patterns") > 0, F.lit("data_exfiltration"), F.col("exfiltration_confidence"),
-         F.col("exfiltration_patterns")),
-        (F.col("_ml_threat").isNotNull(), F.col("_ml_threat"), F.col("_ml_conf"),
-         F.array(F.lit(rules.ML_PATTERN_LABEL))),
-    ]
-    best = F.greatest(*[F.when(found, conf).otherwise(F.lit(-1.0)) for found, _, conf, _ in cands])
-    pick_type = pick_conf = pick_pat = None
-    for found, ttype, conf, pats in cands:
-        cond = found & (conf == best)
-        pick_type = F.when(cond, ttype) if pick_type is None else pick_type.when(cond, ttype)
-        pick_conf = F.when(cond, conf) if pick_conf is None else pick_conf.when(cond, conf)
-        pick_pat = F.when(cond, pats) if pick_pat is None else pick_pat.when(cond, pats)
-    any_threat = best >= 0
-    staged = staged.withColumn("_best", best)
-
-    all_threats = F.array_compact(F.array(*[F.when(found, ttype) for found, ttype, _, _ in cands]))
-    rule_det = sum(F.when(found, 1).otherwise(0) for found, _, _, _ in cands[:3])
-    threat = F.when(any_threat, pick_type).otherwise(F.lit("clean"))
-    conf = F.when(any_threat, pick_conf).otherwise(F.lit(1.0)).cast("double")
+    # Candidates (found threats only) as (confidence, -order, type, patterns);
+    # array_max picks the highest confidence and, on ties, the first in the
+    # order injection, jailbreak, exfiltration, ml.  Every verdict column reads
+    # this one struct, so when the optimizer substitutes aliases (predicate
+    # pushdown) the expression grows linearly, not multiplicatively.
+    def cand(found, order, ttype, conf, pats):
+        return F.when(found, F.struct(conf.cast("double").alias("conf"), F.lit(-order).alias("neg_order"),
+                                      ttype.alias("type"), pats.alias("patterns")))
+
+    cands = F.array_compact(F.array(
+        cand(F.size("injection_patterns") > 0, 0, F.lit("prompt_injection"), F.col("injection_confidence"),
+             F.col("injection_patterns")),
+        cand(F.size("jailbreak_patterns") > 0, 1, F.lit("jailbreak"), F.col("jailbreak_confidence"),
+             F.col("jailbreak_patterns")),
+        cand(F.size("exfiltration_patterns") > 0, 2, F.lit("data_exfiltration"), F.col("exfiltration_confidence"),
+             F.col("exfiltration_patterns")),
+        cand(F.col("_ml_threat").isNotNull(), 3, F.col("_ml_threat"), F.col("_ml_conf"),
+             F.array(F.lit(rules.ML_PATTERN_LABEL)))))
+    staged = staged.withColumn("_cands", cands).withColumn("_primary", F.array_max("_cands"))
+    primary = F.col("_primary")
+    any_threat = primary.isNotNull()
 
     out = staged.select(
         *[F.col(c) for c in df.columns],
         "injection_patterns", "jailbreak_patterns", "exfiltration_patterns",
         "injection_confidence", "jailbreak_confidence", "exfiltration_confidence",
         (~any_threat).alias("passed"),
-        threat.alias("threat_type"),
-        F.when(any_threat, severity_of(pick_conf)).otherwise(F.lit("low")).alias("severity"),
-        conf.alias("confidence"),
-        F.when(any_threat, pick_pat).otherwise(F.array().cast("array<string>")).alias("matched_patterns"),
-        F.when(any_threat, threat_message(pick_type)).otherwise(F.lit("No threats detected")).alias("message"),
-        F.when(any_threat, all_threats).otherwise(F.array().cast("array<string>")).alias("all_threats"),
+        F.coalesce(primary["type"], F.lit("clean")).alias("threat_type"),
+        F.when(any_threat, severity_of(primary["conf"])).otherwise(F.lit("low")).alias("severity"),
+        F.coalesce(primary["conf"], F.lit(1.0)).alias("confidence"),
+        F.coalesce(primary["patterns"], F.array().cast("array<string>")).alias("matched_patterns"),
+        F.when(any_threat, threat_message(primary["type"])).otherwise(F.lit("No threats detected")).alias("message"),
+        F.transform("_cands", lambda c: c["type"]).alias("all_threats"),
         F.col("_ml_threat").alias("ml_prediction"),
         F.col("_ml_conf").alias("ml_confidence"),
-        F.when(any_threat, rule_det).cast("int").alias("rule_detections"),
+        F.when(any_threat, F.size(F.filter("_cands", lambda c: c["neg_order"] > -3))).cast("int")
+         .alias("rule_detections"),
         use_ml_c.alias("ml_used"),
         F.lit(bool(ml_available)).alias("ml_available"),
     )
-    return out
+    return observe_scan(out, "inbound", observation=observation)
 
 
 def blocked_prompts(scanned: DataFrame, block_on_injection: bool = True) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, spans as S
-from .partitioning import explode_computed, posexplode_computed, spread
+from .partitioning import explode_computed, observe_scan, posexplode_computed, spread
 
 
 def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
                   max_tokens: int = rules.MAX_RESPONSE_TOKENS,
                   entity_spans: Column | None = None,
-                  merge_overlaps: bool = False, spread_input: bool = True) -> DataFrame:
+                  merge_overlaps: bool = False, spread_input: bool = True,
+                  observation=None) -> DataFrame:
     """Adds the outbound verdict columns to ``df``.
 
     ``entity_spans``: optional array<span> column expression with named-entity
@@ -82,7 +83,7 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
     # The final text is the sanitized text when present (''/null fall back).
     final = F.when(F.col("sanitized_text").isNull() | (F.col("sanitized_text") == ""), t) \
         .otherwise(F.col("sanitized_text"))
-    return out.withColumn("final_text", final)
+    return observe_scan(out.withColumn("final_text", final), "outbound", observation=observation)
 
 
 def findings_long(df: DataFrame, id_col: str, spans_col: str) -> DataFrame:

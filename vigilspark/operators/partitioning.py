@@ -61,3 +61,19 @@ def explode_computed(arr, alias: str):
 
 def posexplode_computed(arr, pos: str, alias: str):
     return F.posexplode_outer(arr).alias(pos, alias)
+
+
+def observe_scan(df: DataFrame, kind: str, passed_col: str = "passed", observation=None) -> DataFrame:
+    """Scan metrics (rows, threats) on a scan's output, via ``observe``.
+
+    Pass a ``pyspark.sql.Observation`` to read them after an action; otherwise
+    they are published under a unique name (query listeners, streaming
+    progress).  The metrics node is also where filters on verdict columns
+    stop: without it the optimizer pushes such filters below the scan's
+    projections, substituting (and so evaluating twice) the whole regex
+    pipeline inside the filter, and long chains grow the plan
+    multiplicatively."""
+    import uuid
+    target = observation if observation is not None else f"vigilspark_{kind}_{uuid.uuid4().hex[:12]}"
+    return df.observe(target, F.count(F.lit(1)).alias("rows"),
+                      F.count_if(~F.col(passed_col)).alias("threats"))
