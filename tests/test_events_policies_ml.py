@@ -150,3 +150,30 @@ def test_action_map_and_classifier(spark):
     assert s["ml_label"] == "prompt_injection" and s["ml_malicious"] and s["ml_confidence"] >= 0.65
     none = ML.score(None, spark.createDataFrame([("x",)], "prompt string"), "prompt").first()
     assert (none["ml_malicious"], none["ml_confidence"], none["ml_error"]) == (False, 0.0, "Classifier not available")
+
+
+def test_model_hook_findings_long_and_retention_rewrite(spark):
+    from vigilspark.functions.spans import SPANS_TYPE
+    from vigilspark.operators.entities import model_entity_spans
+    from vigilspark.operators.outbound import findings_long, outbound_scan
+    from vigilspark.session import scratch_path
+
+    def fake_model(texts):  # stands in for a statistical NER model
+        out = []
+        for t in texts:
+            i = t.find("Ada")
+            out.append([("Ada", "PERSON", i, i + 3), ("x", "CARDINAL", 0, 1)] if i >= 0 else [])
+        return out
+
+    df = spark.createDataFrame([(1, "hi Ada, mail a@b.co"), (2, "nothing")], "id long, text string")
+    s = outbound_scan(df, "text", entity_spans=model_entity_spans(F.col("text"), fake_model))
+    r = {x["id"]: x for x in s.collect()}
+    assert [(f["type"], f["start"], f["end"]) for f in r[1]["findings"]] == [("PERSON", 3, 6), ("email", 13, 19)]
+    assert r[1]["final_text"] == "hi [REDACTED_NAME], mail [REDACTED_EMAIL]" and r[2]["passed"]
+    long_ = findings_long(s, "id", "findings").collect()
+    assert [(x["id"], x["ordinal"], x["type"]) for x in long_] == [(1, 0, "PERSON"), (1, 1, "email")]
+
+    out = scratch_path(spark, "retention")
+    deleted = EV.apply_retention(_events(spark), "2024-01-06 13:00:00", 1, out)
+    kept = EV.read_events(spark, out)
+    assert deleted == 3 and kept.count() == 1 and "event_date" in kept.columns

@@ -29,10 +29,6 @@ def empty_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 
 
-def _sum_len(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda acc, s: acc + F.length(s))
-
-
 # A literal that every match of the (case-sensitive) pattern contains; rows
 # without it cannot match, so the regex is skipped for them (a plain substring
 # test is far cheaper than a regex scan).
@@ -45,26 +41,6 @@ REQUIRED_LITERAL = {
 }
 
 
-def spans_from(matches: Column, gaps: Column, type_name) -> Column:
-    """Spans from the match array and the gap array of one pattern.
-
-    Segment lengths (gap_i + match_i) are prefix-summed by one left fold over
-    plain ints (match i ends at the i-th running sum), then the spans are
-    built with one ``zip_with``: one lambda call per match.  Both inputs must
-    be *columns* (staged with ``add_pattern_spans``): an outer expression used
-    inside a higher-order-function lambda is re-evaluated for every element,
-    so passing the regex expressions here would rescan the text once per
-    match.  ``type_name`` is a string or match-text Column -> type Column."""
-    type_of = (lambda m: F.lit(type_name)) if isinstance(type_name, str) else type_name
-    lens = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))), matches,
-                      lambda g, m: F.length(g) + F.length(m))
-    ends = F.aggregate(lens, F.array().cast("array<int>"), lambda acc, x: F.concat(
-        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    spans = F.zip_with(matches, ends, lambda m, e: F.struct(
-        m.alias("text"), type_of(m).alias("type"), (e - F.length(m)).alias("start"), e.alias("end")))
-    return F.when(gaps.isNull(), empty_spans()).otherwise(spans)
-
-
 def add_pattern_spans(df: DataFrame, text_col: str, patterns, out_col: str) -> DataFrame:
     """Adds ``out_col`` = spans of several ``(type, java_pattern)`` in declared
     order.  Three projections: all match arrays (one regex pass per pattern),

@@ -16,6 +16,7 @@ running any callable ``text -> [(text, label, start, end)]`` once per batch.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def model_entity_spans(text: Column, model_fn) -> Column:
     """Hook for a statistical NER model: ``model_fn(list[str]) ->
     list[list[(text, label, start, end)]]`` runs once per Arrow batch; labels
     outside ENTITY_LABELS are dropped."""
-    import pandas as pd
-
     keep = set(rules.ENTITY_LABELS)
 
     @F.pandas_udf(S.SPANS_TYPE)
