@@ -71,3 +71,23 @@ def test_audit_stream_drops_replayed_requests(spark):
     out = io.run_append(audit_events_stream(FX.prompts_from(stream)))
     got = spark.read.parquet(out)
     assert got.count() == got.select("id").distinct().count() > 0
+
+
+def test_stream_limiter_reports_late_rows(spark):
+    import datetime as dt
+    from vigilspark.streaming.limiter import stream_rate_limit
+    src = scratch_path(spark, "late-src")
+    t = dt.datetime(2024, 1, 1, 12, 0, 0)
+    schema = "id long, client string, ts timestamp"
+    # batch 1: client a, three requests in one minute, then time moves on
+    spark.createDataFrame([(1, "a", t), (2, "a", t + dt.timedelta(seconds=1)), (3, "a", t + dt.timedelta(seconds=2)),
+                           (4, "b", t + dt.timedelta(hours=1))], schema).coalesce(1).write.parquet(src)
+    # batch 2: a request for the long-closed 12:00 window arrives late
+    spark.createDataFrame([(5, "a", t + dt.timedelta(seconds=3)), (6, "b", t + dt.timedelta(hours=1, seconds=5))],
+                          schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = io.run_append(stream_rate_limit(stream, "client", "ts", "id", limit=2, unit="minute", delay="1 minute"))
+    got = {r["id"]: (r["allowed"], r["late"]) for r in spark.read.parquet(out).collect()}
+    assert got[1] == (True, False) and got[2] == (True, False) and got[3] == (False, False)
+    assert got[4] == (True, False) and got[6] == (True, False)
+    assert got[5] == (None, True)  # its window was evicted: reported late, not counted

@@ -4,9 +4,13 @@
 windows that are still open (window start -> requests so far).  Rows of a
 micro-batch are ordered by (event time, id) before counting, so on ordered
 input the result equals the batch operator.  Windows whose end is behind the
-watermark are evicted by an event-time timeout; a row arriving for an evicted
-window is *late*: it is reported with ``late = true`` and ``allowed = NULL``
-instead of being silently counted.
+watermark are evicted by an event-time timeout; a row whose window has
+already closed is *late*: it is reported with ``late = true`` and
+``allowed = NULL`` instead of being silently counted.
+
+Late is decided by the watermark alone (window end <= watermark at the
+start of the batch), so the outcome does not depend on when state happens to
+be evicted.
 
 Memory per call is the key's rows of one micro-batch, bounded by the trigger
 size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` on the source).
@@ -41,7 +45,7 @@ def _handler(client_col, ts_col, id_col, limit, unit_ms, out_cols):
         pdf = pdf.sort_values(["_ts_ms", id_col], kind="stable").reset_index(drop=True)
         ws = (pdf["_ts_ms"] // unit_ms) * unit_ms
         wm = state.getCurrentWatermarkMs()
-        late = (ws + unit_ms <= wm) & ~ws.isin(list(wins))
+        late = ws + unit_ms <= wm  # the row's window closed before this batch
         on_time = ~late
         prior = ws.map(lambda w: wins.get(w, 0))
         seq = pdf[on_time].groupby(ws[on_time]).cumcount() + 1
