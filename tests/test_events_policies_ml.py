@@ -177,3 +177,13 @@ def test_model_hook_findings_long_and_retention_rewrite(spark):
     deleted = EV.apply_retention(_events(spark), "2024-01-06 13:00:00", 1, out)
     kept = EV.read_events(spark, out)
     assert deleted == 3 and kept.count() == 1 and "event_date" in kept.columns
+
+
+def test_seed_keeps_existing_policies(spark):
+    import datetime as dt
+    existing = spark.createDataFrame([(9, "custom", "input", '{"patterns": ["x"]}', True, dt.datetime(2024, 1, 1))],
+                                     "id long, name string, type string, config string, enabled boolean, "
+                                     "last_updated timestamp_ntz")
+    assert [r["name"] for r in PL.seed_if_empty(spark, existing, "2024-01-31 00:00:00").collect()] == ["custom"]
+    empty = existing.limit(0)
+    assert PL.seed_if_empty(spark, empty, "2024-01-31 00:00:00").count() == 3

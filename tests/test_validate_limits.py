@@ -93,3 +93,13 @@ def test_error_events_and_request_ids(spark):
     no_id = spark.createDataFrame([("hi",), ("there",)], "prompt string")
     ids = [x["request_id"] for x in validate_requests(no_id).collect()]
     assert len(set(ids)) == 2 and all(len(i) == 36 for i in ids)
+
+
+def test_model_length_and_unicode_whitespace(spark):
+    rows = [(1, "test", "m" * 101, None, None, None),
+            (2, "  \t\n", "gpt-4", None, None, None),
+            (3, "  hello 　", "gpt-4", None, None, None)]
+    r = _v(spark, rows)
+    assert list(r[1]["errors"]) == ["model: too long"]
+    assert list(r[2]["errors"]) == ["prompt: empty or whitespace only"]
+    assert r[3]["valid"] and r[3]["prompt"] == "hello"
