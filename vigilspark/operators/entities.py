@@ -72,7 +72,6 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     d = normalized_dictionary(dictionary)
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("key", " "))).alias("max_n")).first()
     n_entries, max_n = stats["n"], stats["max_n"] or 0
-    df = spread(df)
     if max_n == 0:
         return df.withColumn("entity_spans", S.empty_spans())
 
@@ -96,6 +95,7 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         return F.filter(F.flatten(F.array(*per_level)), lambda h: h["label"].isNotNull())
 
     if n_entries <= max_literal_entries:
+        df = spread(df)  # one projection: only CPU spreading matters
         by_label: dict[str, list[str]] = {}
         for r in d.collect():  # proven small: at most max_literal_entries rows
             by_label.setdefault(r["label"], []).append(r["key"])
@@ -110,6 +110,12 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         staged = df.withColumn("_toks", F.regexp_extract_all(t, F.lit(TOKEN), 0))
         staged = staged.withColumn("_hits", positioned(ngram_levels(F.col("_toks")), label_of))
     else:
+        # Hash-partition the texts by id once: the candidate aggregation (per
+        # id) and the join back (on id) then reuse that partitioning, so the
+        # texts shuffle once and the candidates not at all.
+        # (the explicit not-null filter matches the one the join would infer on
+        # one side only, so both branches share one exchange)
+        df = df.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
         # candidates from a throw-away tokenization; only the per-row label map
         # travels back to the rows (the token arrays are rebuilt after the join)
         tok = df.select(F.col(id_col).alias("_id"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
