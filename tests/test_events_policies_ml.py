@@ -187,3 +187,21 @@ def test_seed_keeps_existing_policies(spark):
     assert [r["name"] for r in PL.seed_if_empty(spark, existing, "2024-01-31 00:00:00").collect()] == ["custom"]
     empty = existing.limit(0)
     assert PL.seed_if_empty(spark, empty, "2024-01-31 00:00:00").count() == 3
+
+
+def test_gazetteer_literal_and_join_paths_agree(spark):
+    d = spark.createDataFrame([("Ada Lovelace", "PERSON"), ("Ada", "PERSON"), ("London", "GPE"),
+                               ("MIDDLE EAST", "LOC"), ("EAST", "LOC")], "entity string, label string")
+    t = spark.createDataFrame([(1, "Ada Lovelace met Ada in London."), (2, "MIDDLE EAST, then EAST; MIDDLE-EAST"),
+                               (3, "nothing here"), (4, None)], "id long, text string")
+
+    def spans(**kw):
+        return {r["id"]: [(s["text"], s["type"], s["start"], s["end"]) for s in r["entity_spans"]]
+                for r in gazetteer_spans(t, "id", "text", d, **kw).collect()}
+
+    literal, joined = spans(), spans(max_literal_entries=0)
+    assert literal == joined
+    assert literal[1] == [("Ada Lovelace", "PERSON", 0, 12), ("Ada", "PERSON", 17, 20), ("London", "GPE", 24, 30)]
+    # leftmost-longest: "MIDDLE EAST" wins over "EAST"; tokens may be joined by any separator
+    assert literal[2] == [("MIDDLE EAST", "LOC", 0, 11), ("EAST", "LOC", 18, 22), ("MIDDLE-EAST", "LOC", 24, 35)]
+    assert literal[3] == [] and literal[4] == []
