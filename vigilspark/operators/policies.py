@@ -101,10 +101,14 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
         return j.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
     short = patterns.where(F.length("pattern_lc") < q)
     long_ = patterns.where(F.length("pattern_lc") >= q).withColumn("qgram", F.substring("pattern_lc", 1, q))
-    grams = t.select("_id", "_lc", explode_computed(F.array_distinct(F.transform(
+    # candidate (text, pattern) pairs from the texts' distinct q-grams (ids
+    # only, the text itself is not carried along), then one join back to the
+    # texts on id to check containment
+    grams = t.select("_id", explode_computed(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_lc") - q + 1, F.lit(1))),
         lambda i: F.substring(F.col("_lc"), i, q))), "qgram")).where(F.col("qgram").isNotNull())
-    a = grams.join(long_, "qgram").where(F.col("_lc").contains(F.col("pattern_lc")))
+    pairs = grams.join(long_, "qgram").select("_id", "name", "ordinal", "pattern", "pattern_lc")
+    a = pairs.join(t, "_id").where(F.col("_lc").contains(F.col("pattern_lc")))
     b = t.join(F.broadcast(short), F.col("_lc").contains(F.col("pattern_lc")))
     cols = [F.col("_id").alias(id_col), "name", "ordinal", "pattern"]
     return a.select(*cols).unionByName(b.select(*cols))
