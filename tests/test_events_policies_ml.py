@@ -205,3 +205,20 @@ def test_gazetteer_literal_and_join_paths_agree(spark):
     # leftmost-longest: "MIDDLE EAST" wins over "EAST"; tokens may be joined by any separator
     assert literal[2] == [("MIDDLE EAST", "LOC", 0, 11), ("EAST", "LOC", 18, 22), ("MIDDLE-EAST", "LOC", 24, 35)]
     assert literal[3] == [] and literal[4] == []
+
+
+def test_policy_fallback_equals_broadcast_on_random_texts(spark):
+    import random
+    rnd = random.Random(11)
+    words = ["ssn", "SSN", "credit", "card", "Credit Card", "api key", "API KEY", "password", "pass", "x", "é"]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(200)]
+    t = spark.createDataFrame(texts, "id long, text string")
+    pats = spark.createDataFrame([("p", "output", k, w) for k, w in enumerate(
+        ["SSN", "credit card", "API key", "password", "ss", "é", "card", "pass", "word", "x", "api", "key"])],
+        "name string, type string, ordinal int, pattern string").withColumn("pattern_lc", F.lower("pattern"))
+    fast = sorted(tuple(r) for r in PL.literal_matches(t, "id", "text", pats).collect())
+    slow = sorted(tuple(r) for r in PL.literal_matches(t, "id", "text", pats, max_broadcast_rows=0).collect())
+    exp = sorted((i, "p", k, w) for i, s in texts for k, w in enumerate(
+        ["SSN", "credit card", "API key", "password", "ss", "é", "card", "pass", "word", "x", "api", "key"])
+        if w.lower() in s.lower())
+    assert fast == slow == exp
