@@ -222,3 +222,19 @@ def test_policy_fallback_equals_broadcast_on_random_texts(spark):
         ["SSN", "credit card", "API key", "password", "ss", "é", "card", "pass", "word", "x", "api", "key"])
         if w.lower() in s.lower())
     assert fast == slow == exp
+
+
+def test_classifier_queries_properties(spark):
+    from vigilspark.plans.registry import queries
+    from .conftest import SF_SMALL
+    q = queries()
+    s = q["score_prompts"](spark, SF_SMALL).collect()
+    assert s and all(r["ml_label"] in ("prompt_injection", "benign") for r in s)
+    assert all(0.5 <= r["ml_confidence"] <= 1.0 for r in s)  # max of two class probabilities
+    assert all(r["ml_malicious"] == (r["ml_label"] == "prompt_injection" and r["ml_confidence"] >= 0.65) for r in s)
+    v = q["inbound_scan_ml"](spark, SF_SMALL).collect()
+    assert len(v) == len(s)
+    for r in v:
+        if r["ml_prediction"] is not None and r["threat_type"] == r["ml_prediction"] and r["rule_detections"] == 0:
+            assert r["confidence"] >= 0.6  # an ML-only threat needs confidence >= 0.6
+        assert r["passed"] == (r["threat_type"] == "clean")
