@@ -27,6 +27,18 @@ def _ltz(c: str):
     return F.col(c).cast("timestamp")
 
 
+def _wall_as_utc(spark: SparkSession, c: str):
+    """Event time for ``window()``: the wall-clock (TIMESTAMP_NTZ) value read
+    as UTC, so minute/hour/day windows align with the batch buckets in any
+    session time zone (``window`` aligns to UTC epoch instants)."""
+    return F.from_utc_timestamp(_ltz(c), spark.conf.get("spark.sql.session.timeZone"))
+
+
+def _window_start_ntz(spark: SparkSession, start):
+    """Inverse of ``_wall_as_utc`` for a window start, as TIMESTAMP_NTZ."""
+    return F.to_utc_timestamp(start, spark.conf.get("spark.sql.session.timeZone")).cast("timestamp_ntz")
+
+
 def stream_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless inbound scan of the prompt stream."""
     p = FX.prompts_from(io.stream_table(spark, sf_dir, "conversations"))
@@ -64,23 +76,24 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int = 2, unit: st
 
 def stream_client_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling one-minute request counts per user (update mode, upserted)."""
-    e = _event_stream(spark, sf_dir).withWatermark("ts", WATERMARK)
+    e = _event_stream(spark, sf_dir).withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", WATERMARK)
     agg = e.groupBy(F.window("ts", "1 minute").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("requests")) \
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "user_id", "requests")
+        .select(_window_start_ntz(spark, F.col("w.start")).alias("window_start"), "user_id", "requests")
     return io.read_upserted(spark, io.run_upsert(agg), ["window_start", "user_id"])
 
 
 def stream_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental daily statistics; each micro-batch rewrites the days it
     touched (update mode), the table is the latest row per day."""
-    e = _event_stream(spark, sf_dir).withWatermark("ts", "1 day")
+    e = _event_stream(spark, sf_dir).withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", "1 day")
     agg = e.groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(F.col("blocked")).alias("blocked_requests"),
         F.count_if(F.col("event_type") == "prompt_injection").alias("prompt_injections"),
         F.count_if(F.col("event_type") == "data_leak").alias("data_leaks"),
         F.avg("processing_time_ms").alias("avg_t"))
-    agg = agg.select(F.to_date(F.col("w.start")).alias("date"), "total_requests", "blocked_requests",
+    agg = agg.select(F.to_date(_window_start_ntz(spark, F.col("w.start"))).alias("date"), "total_requests",
+                     "blocked_requests",
                      "prompt_injections", "data_leaks",
                      F.round(F.coalesce("avg_t", F.lit(0.0)), 6).alias("avg_processing_time_ms"))
     return io.read_upserted(spark, io.run_upsert(agg), ["date"])
@@ -88,13 +101,13 @@ def stream_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly blocked/allowed counts and latency over the request stream."""
-    r = EV.requests_from_events(_event_stream(spark, sf_dir)).withColumn("ts", _ltz("timestamp")) \
+    r = EV.requests_from_events(_event_stream(spark, sf_dir)).withColumn("ts", _wall_as_utc(spark, "timestamp")) \
         .withWatermark("ts", "1 hour")
     agg = r.groupBy(F.window("ts", "1 hour").alias("w")).agg(
         F.count_if(F.col("blocked")).alias("blocked"), F.count_if(~F.col("blocked")).alias("allowed"),
         F.avg("latency_ms").alias("avg_l"), F.min("latency_ms").alias("min_latency"),
         F.max("latency_ms").alias("max_latency"))
-    agg = agg.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "blocked", "allowed",
+    agg = agg.select(_window_start_ntz(spark, F.col("w.start")).alias("hour"), "blocked", "allowed",
                      F.round("avg_l", 6).alias("avg_latency"), "min_latency", "max_latency")
     return io.read_upserted(spark, io.run_upsert(agg), ["hour"])
 
