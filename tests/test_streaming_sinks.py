@@ -91,3 +91,21 @@ def test_stream_limiter_reports_late_rows(spark):
     assert got[1] == (True, False) and got[2] == (True, False) and got[3] == (False, False)
     assert got[4] == (True, False) and got[6] == (True, False)
     assert got[5] == (None, True)  # its window was evicted: reported late, not counted
+
+
+def test_time_buckets_do_not_depend_on_session_time_zone(spark):
+    from vigilspark.plans.registry import queries
+    q = queries()
+    names = ["requests_hourly", "daily_statistics", "rate_limit", "stream_hourly", "stream_daily_stats"]
+
+    def run():
+        return {n: sorted(tuple(r) for r in q[n](spark, SF_SMALL).collect()) for n in names}
+
+    utc = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ny = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == ny
