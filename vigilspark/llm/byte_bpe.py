@@ -39,7 +39,7 @@ def load_encoding(path: str, pattern: str):
 def pieces(text: str, chunk: int = CHUNK):
     """The text in pieces that encode separately to the same ids."""
     at = 0
-    while len(text) - at > chunk and (m := SAFE.search(text, at + chunk)):
+    while len(text) - at > chunk and (m := SAFE.search(text, at + max(1, chunk))):
         yield text[at:m.start()]
         at = m.start()
     yield text[at:] if at else text

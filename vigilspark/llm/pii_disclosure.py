@@ -70,7 +70,7 @@ def _valid(s: Column) -> Column:
             .when(s["type"] == "phone", n.between(9, 15)).otherwise(F.lit(True)))
 
 
-def base_spans(docs: DataFrame, text_col: str = "text", out: str = "base") -> DataFrame:
+def base_spans(docs: DataFrame, text_col: str = "text", out: str = "_base") -> DataFrame:
     """Adds ``out``: valid spans (text, type, start, end) by kind, then start."""
     found = add_pattern_spans(docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))), "_t", PATTERNS, "_found")
     return found.withColumn(out, F.filter("_found", _valid)).drop("_t", "_found")
@@ -78,7 +78,7 @@ def base_spans(docs: DataFrame, text_col: str = "text", out: str = "base") -> Da
 
 def _contexts(spotted: DataFrame) -> DataFrame:
     """(entity, context, terms) of every occurrence of an entity."""
-    e = spotted.where(F.size("base") > 0).select("text", F.explode("base").alias("s"))
+    e = spotted.where(F.size("_base") > 0).select("text", F.explode("_base").alias("s"))
     value = F.when(F.col("s.type") == "email", ascii_lower(F.col("s.text"))).when(F.col("s.type") == "ip", F.col("s.text")).otherwise(_digits(F.col("s.text")))
     start = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
     before = F.substr("text", start + 1, F.col("s.start") - start)
@@ -93,7 +93,7 @@ def _contexts(spotted: DataFrame) -> DataFrame:
 def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, level) of terms over the thresholds, level 'removed' or
     'generalised', and (key, term) of the texts that hold candidates.
-    ``spotted``: text, key, base."""
+    ``spotted``: text, key, _base."""
     contexts = stage(_contexts(spotted), "contexts")
     n_e = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = contexts.select("entity", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS)
@@ -109,29 +109,33 @@ def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return most.select("term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("level")), held
 
 
+def _of_kind(spans, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["type"] == kind)
+
+
 def _overlaps(s: Column, others: Column) -> Column:
     return F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans`` (base spans, then disclosing terms)."""
+    """``docs`` with ``_base`` and ``_spans`` (base spans, then disclosing terms)."""
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     spotted = base_spans(docs.select(text.alias("text"), text_key(F.col(text_col)).alias("key")))
     terms, held = disclosing_terms(spotted)
     flagged = stage(held.join(terms, "term").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "level"))).alias("_terms")).withColumnRenamed("key", "_key"), "flagged")
-    d = base_spans(docs.withColumn("_own_key", text_key(F.col(text_col))), text_col, "base")
+    d = base_spans(docs.withColumn("_own_key", text_key(F.col(text_col))), text_col, "_base")
     d = d.join(flagged, d["_own_key"] == flagged["_key"], "left")
     alternatives = F.array_join(F.transform("_terms", lambda t: t["term"]), "|")
     pattern = F.when(F.col("_terms").isNotNull(), F.concat(F.lit(r"(?<!\p{L})(?:"), alternatives, F.lit(r")(?!\p{L})"))).otherwise(F.lit(r"(?!)"))
     d = d.withColumn("_low", F.when(F.col("_terms").isNotNull(), ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.lit(""))).withColumn("_pattern", pattern)
     d = add_pattern_spans(d, "_low", [("term", F.col("_pattern"))], "_hits")
     level = F.map_from_entries(F.col("_terms"))
-    hits = F.transform(F.filter("_hits", lambda s: ~_overlaps(s, F.col("base"))),
+    hits = F.transform(F.filter("_hits", lambda s: ~_overlaps(s, F.col("_base"))),
                        lambda s: F.struct(s["text"].alias("text"), F.try_element_at(level, s["text"]).alias("type"), s["start"].alias("start"), s["end"].alias("end")))
-    by_kind = F.concat(*[F.filter(hits, lambda s, k=k: s["type"] == k) for k in ("removed", "generalised")])
-    spans = F.when(F.size("_hits") > 0, F.concat("base", by_kind)).otherwise(F.col("base"))
-    return d.withColumn("spans", spans).select(*[d[c] for c in names], "base", "spans")
+    by_kind = F.concat(_of_kind(hits, "removed"), _of_kind(hits, "generalised"))
+    spans = F.when(F.size("_hits") > 0, F.concat("_base", by_kind)).otherwise(F.col("_base"))
+    return d.withColumn("_spans", spans).select(*[d[c] for c in names], "_base", "_spans")
 
 
 def joined(spans: Column) -> Column:
@@ -142,8 +146,8 @@ def joined(spans: Column) -> Column:
 def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     d = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    n = lambda k: F.size(F.filter("base", lambda s: s["type"] == k)).cast("long").alias(f"n_{k}")
-    return d.select("doc_id", *[n(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    n = lambda k: F.size(_of_kind("_base", k)).cast("long").alias(f"n_{k}")
+    return d.select("doc_id", *[n(k) for k in KINDS], F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
 
 
 def redacted(text: Column, ordered: Column, chunks: Column) -> Column:
@@ -156,7 +160,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = docs.columns
     d = find(docs, text_col)
     mark = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
-    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), mark[s["type"]].alias("tpl"))))
+    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), mark[s["type"]].alias("tpl"))))
     d = d.withColumn("_sorted", spans)
     # a span that begins inside what precedes it widens that one
     reach = F.transform(F.col("_sorted"), lambda s, i: F.array_max(F.transform(F.slice("_sorted", 1, i + 1), lambda x: x["end"])))
