@@ -6,8 +6,8 @@ P(grade > k).  Features are a document's distinct words and their prefixes of
 ``PREFIXES`` characters; x counts the distinct words with a feature.
 
 ``fit`` takes at most ``max_rows`` labelled rows (by a hash of the id, so the
-same rows at any partitioning), and keeps the ``FEATURES`` features with the
-highest chi-square; weights get an L1 penalty, so long clean texts collect no
+same rows at any partitioning), and keeps at most ``FEATURES`` features,
+those with the highest chi-square (``MIN_CHI`` at least); weights get an L1 penalty, so long clean texts collect no
 drift.  Scoring covers every row and broadcasts the kept weights only.
 
 Labels that only say toxic or not are graded by how much of it a toxic sample
@@ -36,6 +36,7 @@ MAX_ROWS = 8000
 FEATURES = 4096
 PREFIXES = (4, 5)
 MIN_DOCS = 4
+MIN_CHI = 10.83  # p < 0.001
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#-_/\\`~"
 
 
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", gr
     a = F.col("a")
     both = f.groupBy("feature").agg(F.count("*").alias("df"), F.count_if(F.col("grade") > 0).alias("a")).where(F.col("df") >= MIN_DOCS)
     expected = F.col("df") * F.lit(toxic / n)
-    picked = both.withColumn("chi", F.pow(a - expected, 2) / expected).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    picked = both.withColumn("chi", F.pow(a - expected, 2) / expected).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
     index = {r["feature"]: k for k, r in enumerate(picked)}
     odds = np.array([np.log((r["a"] + 0.5) / (toxic + 1)) - np.log((r["df"] - r["a"] + 0.5) / (n - toxic + 1)) for r in picked])
     strong = {r["feature"] for r, o in zip(picked, odds) if o >= np.log(20) and not r["feature"].endswith("*")}
@@ -171,14 +172,15 @@ def _score(model):
                 p = m.probabilities(total)
                 grades = np.arange(p.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(p @ grades), pa.array(p.argmax(axis=1), pa.int32()), pa.array(p.argmax(axis=1) > 0), pa.array(p.tolist(), pa.list_(pa.float64()))],
+                    [part.column("doc_id"), pa.array(p @ grades), pa.array(p.argmax(axis=1), pa.int32()), pa.array(1 - p[:, 0] >= 0.5), pa.array(p.tolist(), pa.list_(pa.float64()))],
                     ["doc_id", "severity", "grade", "toxic", "probabilities"])
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per row: doc_id, severity (expected grade), grade (likeliest),
-    toxic (grade above 0), probabilities by grade."""
+    toxic (more likely
+    above grade 0 than not), probabilities by grade."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return src.mapInArrow(_score(shared), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, severity double, grade int, toxic boolean, probabilities array<double>")
