@@ -77,8 +77,9 @@ def base_spans(docs: DataFrame, text_col: str = "text", out: str = "_base") -> D
 
 
 def _contexts(spotted: DataFrame) -> DataFrame:
-    """(entity, context, terms) of every occurrence of an entity."""
-    e = spotted.where(F.size("_base") > 0).select("text", F.explode("_base").alias("s"))
+    """(entity, context, terms, key) of every context of an entity; key: one text that has it."""
+    # explode_outer: a plain explode or filter would evaluate the patterns again below it
+    e = spotted.select("key", "text", F.explode_outer("_base").alias("s")).where(F.col("s").isNotNull())
     value = F.when(F.col("s.type") == "email", ascii_lower(F.col("s.text"))).when(F.col("s.type") == "ip", F.col("s.text")).otherwise(_digits(F.col("s.text")))
     start = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
     before = F.substr("text", start + 1, F.col("s.start") - start)
@@ -86,8 +87,13 @@ def _contexts(spotted: DataFrame) -> DataFrame:
     after = F.substr("text", F.col("s.end") + 1, F.lit(WINDOW))
     after = F.when(F.col("s.end") + WINDOW < F.length("text"), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     context = ascii_lower(F.concat(before, F.lit("\n"), after))
-    return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), context.alias("context")).distinct().select(
-        "entity", F.xxhash64("context").alias("context"), F.array_distinct(F.split("context", r"[^\p{L}]+")).alias("terms"))
+    return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), context.alias("context"), "key").groupBy(
+        "entity", "context").agg(F.min("key").alias("key")).select("entity", "key", F.xxhash64("context").alias("context"), F.array_distinct(F.split("context", r"[^\p{L}]+")).alias("terms"))
+
+
+def _share(n_t: Column, total: int) -> Column:
+    """Disclosure of n(e, t), n(e) and ``n_t`` texts among ``total``."""
+    return F.log2(F.col("n_et") * total / (F.col("n_e") * n_t)) / F.log2(F.lit(total) / F.col("n_e"))
 
 
 def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,15 +102,16 @@ def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``spotted``: text, key, _base."""
     contexts = stage(_contexts(spotted), "contexts")
     n_e = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS)
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_CONTEXTS)
-    pairs = stage(pairs.join(n_e, "entity"), "pairs")
+    total = spotted.select(F.count_distinct("key")).first()[0]
+    near = contexts.select("entity", "key", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_CONTEXTS).join(n_e, "entity").where(F.col("n_e") < total)
+    # the texts whose contexts hold a term bound n(t) from below, and so its disclosure from above: no term over the thresholds is lost
+    seen = near.groupBy("term").agg(F.count_distinct("key").alias("seen"))
+    pairs = stage(pairs.join(seen, "term").where(_share(F.col("seen"), total) >= GENERALISE).drop("seen"), "pairs")
     words = spotted.select("key", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+"))).alias("term"))
     held = stage(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "held")
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.broadcast(spotted.select("key").distinct().agg(F.count("*").alias("d")))  # one row
-    told = pairs.join(n_t, "term").crossJoin(total).where("d > n_e").withColumn(
-        "share", F.log2(F.col("n_et") * F.col("d") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("d") / F.col("n_e")))
+    told = pairs.join(n_t, "term").withColumn("share", _share(F.col("n_t"), total))
     most = told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
     return most.select("term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("level")), held
 
