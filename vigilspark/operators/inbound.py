@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from .partitioning import observe_scan, spread
+from .partitioning import observe_scan
 
 
 def rule_matches(text: Column, patterns: list[str]) -> Column:
@@ -48,11 +48,9 @@ def ml_threat(ml_malicious: Column, ml_confidence: Column) -> Column:
 
 def inbound_scan(df: DataFrame, text_col: str = "prompt", use_ml: Column | bool = False,
                  ml_malicious_col: str | None = None, ml_confidence_col: str | None = None,
-                 ml_available: bool = False, spread_input: bool = True, observation=None) -> DataFrame:
+                 ml_available: bool = False, observation=None) -> DataFrame:
     """Adds rule matches and the verdict (C4-C7) to ``df``."""
     t = F.col(text_col)
-    if spread_input:
-        df = spread(df)
     use_ml_c = use_ml if isinstance(use_ml, Column) else F.lit(bool(use_ml))
     staged = df.withColumn("injection_patterns", rule_matches(t, rules.INJECTION_PATTERNS)) \
         .withColumn("jailbreak_patterns", rule_matches(t, rules.JAILBREAK_PATTERNS)) \

@@ -11,22 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, spans as S
-from .partitioning import explode_computed, observe_scan, posexplode_computed, spread
+from .partitioning import explode_computed, observe_scan, posexplode_computed
 
 
 def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
                   max_tokens: int = rules.MAX_RESPONSE_TOKENS,
                   entity_spans: Column | None = None,
-                  merge_overlaps: bool = False, spread_input: bool = True,
-                  observation=None) -> DataFrame:
+                  merge_overlaps: bool = False, observation=None) -> DataFrame:
     """Adds the outbound verdict columns to ``df``.
 
     ``entity_spans``: optional array<span> column expression with named-entity
     findings (D3); they come first in the findings, like the reference.
     """
     t = F.col(text_col)
-    if spread_input:
-        df = spread(df)
     staged = df.withColumn("_ner", entity_spans if entity_spans is not None else S.empty_spans())
     staged = S.add_pii_spans(staged, text_col, "_pii")
     staged = S.add_secret_spans(staged, text_col, "_sec")
@@ -36,7 +33,7 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
     n_all = F.size("findings")
     pii_count = F.size("_ner") + F.size("_pii")
     sec_count = F.size("_sec")
-    excessive = (F.length(t) / F.lit(rules.CHARS_PER_TOKEN)) > F.lit(max_tokens)
+    excessive = F.coalesce((F.length(t) / F.lit(rules.CHARS_PER_TOKEN)) > F.lit(max_tokens), F.lit(False))  # no text: clean
 
     threat = (F.when(sec_count > 0, "api_key_leak").when(pii_count > 0, "pii_leak")
               .when(excessive, "excessive_output").otherwise("clean"))

@@ -1,56 +1,10 @@
-"""Partition sizing for CPU-heavy per-row work (regex scans over text)."""
+"""Plan shapes for CPU-heavy per-row work (regex scans over text)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SHUFFLE = re.compile(r"(?<!Broadcast)Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|"
-                      r"SinglePartition)")
-
-
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin repartition when the input is too small to occupy the cluster.
-
-    Text scans cost far more CPU per byte than they cost to shuffle, so an
-    input read from a handful of files (few splits / row groups) is spread over
-    all cores first.  Nothing is executed to decide: a plan that already has a
-    shuffle runs at ``spark.sql.shuffle.partitions`` and is left alone, and
-    otherwise the expected number of input splits is compared with the
-    cluster's parallelism.
-    At scale (many files) this is a no-op.  Streams are left alone."""
-    if df.isStreaming:
-        return df
-    try:
-        qe = df._jdf.queryExecution()  # plan introspection only; nothing runs
-        if _SHUFFLE.search(qe.executedPlan().toString()):
-            return df
-        target = df.sparkSession.sparkContext.defaultParallelism * per_core
-        # expected input splits from the largest scanned relation (sizes come
-        # from the file listing Spark already holds; nothing is read or shipped
-        # to Python; join estimates are not used, they multiply without stats)
-        leaves = qe.optimizedPlan().collectLeaves()
-        size = max([int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())] or [0])
-        split = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    except Exception:  # e.g. a Spark Connect session: no JVM handle, leave as is
-        return df
-    if size // max(split, 1) + 1 >= target:
-        return df
-    return df.repartition(target)
-
-
-def _bytes(v: str) -> int:
-    v = v.strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    for suffix in ("kb", "mb", "gb", "tb", "b", "k", "m", "g", "t"):
-        if v.endswith(suffix):
-            num = v[: -len(suffix)]
-            return int(float(num) * units.get(suffix[0], 1)) if suffix != "b" else int(num)
-    return int(v)
-
-
 def explode_computed(arr, alias: str):
     """``explode`` for an array computed in the same plan.  A plain explode
     makes the optimizer add ``size(arr) > 0`` below the projection, which

@@ -18,19 +18,13 @@ from . import limits as LM
 from . import outbound as OB
 from .validate import validate_requests
 
-# FIXED VALUES: the generator stand-in and log texts.
-MOCK_RESPONSE_PREFIX = "This is a mock response to: "
-MOCK_RESPONSE_SUFFIX = "... (In production, this would call the actual LLM)"
+# FIXED VALUES: log texts.
 ACTION_RATE_LIMIT = "Rate limit exceeded"
 ACTION_BLOCKED = "Request blocked"
 ACTION_ERROR = "Internal error"
 BLOCK_ERROR = "Security policy violation"
 
 
-def mock_response(prompt: Column) -> Column:
-    return F.concat(F.lit(MOCK_RESPONSE_PREFIX), F.substring(prompt, 1, 50), F.lit(MOCK_RESPONSE_SUFFIX))
-
-
 def event_type_of(threat: Column) -> Column:
     """Every inbound threat maps to prompt_injection."""
     m = F.create_map(*[x for k, v in rules.THREAT_EVENT_TYPE.items() for x in (F.lit(k), F.lit(v))])
@@ -46,23 +40,33 @@ def _json_list_or_null(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, F.to_json(arr))
 
 
-def process_requests(requests: DataFrame, response_col: str | None = None,
+def process_requests(requests: DataFrame, responses: DataFrame | None = None,
                      block_on_injection: bool = True, redact: bool = True,
                      max_tokens: int = rules.MAX_RESPONSE_TOKENS,
                      limit_per_minute: int | None = rules.MAX_REQUESTS_PER_MINUTE,
                      use_ml_default: bool = False, salts: int = 64) -> DataFrame:
-    """Valid requests with their rate-limit, inbound and outbound outcomes."""
+    """Valid requests with their rate-limit, inbound and outbound outcomes.
+
+    ``responses`` (request_id, response) holds the answers; they are joined after
+    the limiter, so its shuffles carry no response text.  A request without an
+    answer stays, with a NULL response."""
     v = validate_requests(requests, use_ml_default=use_ml_default).where(F.col("valid"))
     if limit_per_minute is not None:
         v = LM.rate_limit(v, "client_id", "ts", "request_id", limit=limit_per_minute, unit="minute", salts=salts)
     else:
         v = v.withColumn("allowed", F.lit(True))
-    return scan_outcomes(v, response_col, block_on_injection, redact, max_tokens)
+    return scan_outcomes(with_responses(v, responses), block_on_injection, redact, max_tokens)
+
+
+def with_responses(v: DataFrame, responses: DataFrame | None) -> DataFrame:
+    if responses is None:
+        return v if "response" in v.columns else v.withColumn("response", F.lit(None).cast("string"))
+    return v.join(responses.select("request_id", "response"), "request_id", "left")
 
 
-def scan_outcomes(v: DataFrame, response_col: str | None = None, block_on_injection: bool = True,
+def scan_outcomes(v: DataFrame, block_on_injection: bool = True,
                   redact: bool = True, max_tokens: int = rules.MAX_RESPONSE_TOKENS) -> DataFrame:
-    """Inbound + outbound stages for validated rows carrying ``allowed``
+    """Inbound + outbound stages for validated rows carrying ``allowed`` and ``response``
     (stateless, so it runs unchanged on a stream after the stateful limiter)."""
     s = IB.inbound_scan(v, "prompt", use_ml=F.col("use_ml"))
     s = s.withColumnRenamed("passed", "prompt_passed").withColumnRenamed("threat_type", "prompt_threat") \
@@ -71,8 +75,7 @@ def scan_outcomes(v: DataFrame, response_col: str | None = None, block_on_inject
     blocked = ~F.col("prompt_passed") & F.lit(block_on_injection)
     s = s.withColumn("outcome", F.when(~F.col("allowed"), "rate_limited").when(blocked, "blocked")
                      .otherwise("served"))
-    raw = F.col(response_col) if response_col else mock_response(F.col("prompt"))
-    s = s.withColumn("response_raw", F.when(F.col("outcome") == "served", raw))
+    s = s.withColumn("response_raw", F.when(F.col("outcome") == "served", F.col("response")))
     o = OB.outbound_scan(s, "response_raw", redact=redact, max_tokens=max_tokens)
     return o
 

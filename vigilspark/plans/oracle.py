@@ -55,7 +55,7 @@ SELECT *,
   CASE WHEN pii_count + secrets_count > 0 THEN {_redact_chain('_t')} ELSE _t END AS final_text
 FROM (
   SELECT *, {_count_sum('_t', PII)} AS pii_count, {_count_sum('_t', SEC)} AS secrets_count,
-         length(_t) / 4 > {rules.MAX_RESPONSE_TOKENS} AS excessive_length
+         coalesce(length(_t) / 4 > {rules.MAX_RESPONSE_TOKENS}, FALSE) AS excessive_length
   FROM (SELECT *, {id_col} AS _id, {text_col} AS _t FROM {src})
 )"""
 

@@ -190,7 +190,7 @@ SELECT id, user_id, date_trunc('day', timestamp) AS window_start,
 FROM security_events""")
 
 ORACLE["retention"] = with_views(EV, f"""
-SELECT CAST(count(*) FILTER (WHERE timestamp >= {since(14, 'DAY')}) AS BIGINT) AS kept,
+SELECT CAST(count(*) FILTER (WHERE timestamp >= {since(14, 'DAY')} OR timestamp IS NULL) AS BIGINT) AS kept,
        CAST(count(*) FILTER (WHERE timestamp < {since(14, 'DAY')}) AS BIGINT) AS deleted
 FROM security_events""")
 

@@ -48,10 +48,9 @@ SELECT *, row_number() OVER (PARTITION BY client_id, date_trunc('minute', ts) OR
 FROM v WHERE valid"""
 
 SERVED_SQL = f"""
-SELECT *, CASE WHEN NOT allowed THEN 'rate_limited' WHEN NOT passed THEN 'blocked' ELSE 'served' END AS outcome,
-       CASE WHEN allowed AND passed
-            THEN {q(PX.MOCK_RESPONSE_PREFIX)} || substring(prompt, 1, 50) || {q(PX.MOCK_RESPONSE_SUFFIX)} END AS response_raw
-FROM s"""
+SELECT s.*, CASE WHEN NOT allowed THEN 'rate_limited' WHEN NOT passed THEN 'blocked' ELSE 'served' END AS outcome,
+       CASE WHEN allowed AND passed THEN a.text END AS response_raw
+FROM s LEFT JOIN (SELECT conv_id * 1000 + turn - 1 AS rid, text FROM conversations WHERE role = 'assistant') a ON a.rid = s.request_id"""
 
 SV_SQL = f"""
 SELECT * EXCLUDE (threat_type, confidence, passed),
@@ -66,7 +65,7 @@ WORDS = r"CAST(len(regexp_extract_all({x}, '[^\s\x1c-\x1f]+')) AS BIGINT)"
 ORACLE["token_usage"] = with_views(["prompts"], f"""
 SELECT request_id AS id, {WORDS.format(x='prompt')} AS prompt_tokens,
        {WORDS.format(x='final_text')} AS completion_tokens,
-       (passed OR pii_count + secrets_count > 0) AS redacted
+       (final_text IS NOT NULL AND (passed OR pii_count + secrets_count > 0)) AS redacted
 FROM o WHERE outcome = 'served'""", extra=PROXY_EXTRA)
 
 IN_SEVERITY = """CASE WHEN in_conf >= 0.8 THEN 'critical' WHEN in_conf >= 0.6 THEN 'high'

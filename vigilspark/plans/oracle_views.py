@@ -36,7 +36,7 @@ SELECT conv_id * 1000 + turn AS request_id,
             ELSE text END AS prompt,
        CASE WHEN conv_id % 11 = 0 THEN 'invalid-model'
             ELSE ({sql_list(rules.ALLOWED_MODELS)})[1 + conv_id % 4] END AS model,
-       CAST(500 + conv_id * 50 AS INTEGER) AS max_tokens,
+       CAST(CASE WHEN conv_id % 20 = 19 THEN 5000 ELSE 500 + (conv_id % 70) * 50 END AS INTEGER) AS max_tokens,
        CAST(conv_id % 10 AS DOUBLE) / 4 AS temperature
 FROM conversations WHERE role = 'user'"""
 

@@ -13,7 +13,7 @@ from .registry import query
 
 
 def _processed(spark, sf_dir):
-    return PX.process_requests(FX.prompts(spark, sf_dir))
+    return PX.process_requests(FX.prompts(spark, sf_dir), FX.answers(spark, sf_dir))
 
 
 @query("validate_requests")

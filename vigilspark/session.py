@@ -59,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="vigilspark-ckpt-")
     sc.setCheckpointDir(conf)

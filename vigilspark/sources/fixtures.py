@@ -110,11 +110,17 @@ def prompts_from(conversations: DataFrame) -> DataFrame:
         _pinned_prefix(conv, turn, F.col("text")).alias("prompt"),
         F.when(conv % 11 == 0, F.lit("invalid-model"))
          .otherwise(_pick(rules.ALLOWED_MODELS, conv % 4)).alias("model"),
-        (F.lit(500) + conv * 50).cast("int").alias("max_tokens"),
+        F.when(conv % 20 == 19, 5000).otherwise(F.lit(500) + (conv % 70) * 50).cast("int").alias("max_tokens"),
         ((conv % 10).cast("double") / 4).alias("temperature"),
     )
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, response): the assistant turn that follows each user turn."""
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("request_id"), F.col("text").alias("response"))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses from ``documents``; every 10th gets a secret/ssn/url prefix."""
     return responses_from(read_table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(os.path.join(sf_dir, f"{name}*.parquet"))
+    return r.parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
 
 
 def _run(writer, checkpoint: str, available_now: bool = True):
@@ -128,8 +128,9 @@ def run_top_n(df: DataFrame, order_cols, n: int, out: str | None = None, checkpo
         if batch_id > 0:
             try:
                 prev = s.read.schema(batch.schema).parquet(os.path.join(out, f"_batch={batch_id - 1}"))
-            except Exception:  # the stream started later than batch 0 (fresh sink)
-                prev = None
+            except AnalysisException as e:  # the stream started later than batch 0 (fresh sink)
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
         rows = batch if prev is None else prev.unionByName(batch)
         rows.orderBy(*order_cols).limit(n).write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
 

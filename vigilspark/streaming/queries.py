@@ -122,7 +122,7 @@ def stream_live(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
                            .when(F.col("status") == "success", "success"))
 
 
-def audit_events_stream(requests: DataFrame) -> DataFrame:
+def audit_events_stream(requests: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """S8 (+S9) plan over a request stream: drop replayed request ids ->
     validate -> stateful limiter -> inbound -> outbound -> audit rows.
     A request that arrives after its rate window was evicted (late) cannot be
@@ -132,12 +132,12 @@ def audit_events_stream(requests: DataFrame) -> DataFrame:
     v = validate_requests(p).where(F.col("valid"))
     keep = ["use_ml", "prompt", "model", "max_tokens", "temperature"]
     lim = _stateful_limit(v, "client_id", "ts", "request_id", unit="minute", delay=None, passthrough=keep)
-    events = PX.to_events(PX.scan_outcomes(lim.withColumn("allowed", F.coalesce("allowed", F.lit(False)))))
+    events = PX.to_events(PX.scan_outcomes(PX.with_responses(lim.withColumn("allowed", F.coalesce("allowed", F.lit(False))), responses)))
     return events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 (+S9): the audit stream appended to a day-partitioned log."""
-    events = audit_events_stream(FX.prompts_from(io.stream_table(spark, sf_dir, "conversations")))
+    events = audit_events_stream(FX.prompts_from(io.stream_table(spark, sf_dir, "conversations")), FX.answers(spark, sf_dir))
     out = io.run_append(EV.with_event_date(events), partition_by=[EV.EVENT_DATE])
     return spark.read.parquet(out).drop(EV.EVENT_DATE)
