@@ -176,17 +176,17 @@ def test_op4_ordinal_fit_recovers_order():
 
 
 def test_op4_held_out_accuracy(spark):
-    from tests.conftest import SF_ORACLE
-    docs, labels = documents(spark, SF_ORACLE), spark.read.parquet(f"{SF_ORACLE}/labels.parquet")
+    """Trained on about 2,700 labelled rows (sf0.1), judged on the other 1,350.
+    A few hundred labels are too few: 0.86 of held-out rows right at sf0.01."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     train = F.xxhash64("doc_id") % 3 != 0
     model = ordinal_toxicity.fit(docs, labels.where(train))
-    got = ordinal_toxicity.score(docs, model).join(labels.where(~train), "doc_id").collect()
-    hit = sum(r.toxic for r in got if r["toxic"] and r.severity > 0.5)
-    assert got and len(model.thresholds) == 2 and hit >= 0
-    right = [(r.severity > 0.5) for r in got]
-    truth = {r.doc_id: r.toxic for r in labels.collect()}
-    agree = np.mean([a == bool(truth[r.doc_id]) for a, r in zip(right, got)])
-    assert agree > 0.9
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    truth = labels.where(~train).select("doc_id", F.col("toxic").alias("truth"))
+    got = ordinal_toxicity.score(docs, model).join(truth, "doc_id").collect()
+    hit, said, real = sum(r.severity > 0.5 and r.truth == 1 for r in got), sum(r.severity > 0.5 for r in got), sum(r.truth == 1 for r in got)
+    assert hit / said > 0.95 and hit / real > 0.75
 
 
 def test_op4_odd_inputs(spark, make):
