@@ -30,7 +30,7 @@ full_lines AS (SELECT *, array_to_string(ws, ' ') AS norm FROM ln WHERE len(ws)
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
 above AS (SELECT host, norm, min(doc_id) AS first FROM full_lines GROUP BY host, norm HAVING count(DISTINCT text) > 10),
 lost AS (SELECT doc_id, sum(len(ws))::BIGINT AS words, count(DISTINCT norm) AS lines FROM full_lines JOIN above USING (host, norm) WHERE doc_id <> first GROUP BY doc_id),
-m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.words, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
              coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.words, 0)::BIGINT AS removed_words, coalesce(lost.lines, 0)::BIGINT AS removed_lines
       FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN lost USING (doc_id)),
