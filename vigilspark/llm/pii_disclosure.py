@@ -15,8 +15,11 @@ of ``GENERALISE`` or more generalised, wherever they occur.  A context is the
 count once, so copies alone prove nothing.  A term is a run of letters, A-Z
 lower-cased, whole inside the context.
 
-All texts are counted; the words of the corpus are only joined to terms that
-are candidates, before they are counted.
+All texts are counted.  One pass over the words of the corpus marks, per term,
+which of ``64 * LANES`` hash cells its texts fall into; the marked cells bound
+n(t) from below, and so the disclosure from above.  Only terms that can still
+reach the thresholds are joined to the words and counted exactly, so frequent
+words near entities make no rows and no term over the thresholds is lost.
 
 Defined cases: null and empty texts have no spans; repeated rows give a row
 each and count once; terms that overlap a base span are left to it; overlapping
@@ -36,6 +39,7 @@ from .common import ascii_lower, stage, text_key
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, MIN_CONTEXTS, MIN_LETTERS = 80, 3, 3
 REMOVE, GENERALISE = 0.9, 0.75
+LANES = 16  # longs of hash cells a term
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
 
 # Anchored where a run begins (or the last match ended) and possessive, so that
@@ -77,9 +81,9 @@ def base_spans(docs: DataFrame, text_col: str = "text", out: str = "_base") -> D
 
 
 def _contexts(spotted: DataFrame) -> DataFrame:
-    """(entity, context, terms, key) of every context of an entity; key: one text that has it."""
+    """(entity, context, terms) of every context of an entity."""
     # explode_outer: a plain explode or filter would evaluate the patterns again below it
-    e = spotted.select("key", "text", F.explode_outer("_base").alias("s")).where(F.col("s").isNotNull())
+    e = spotted.select("text", F.explode_outer("_base").alias("s")).where(F.col("s").isNotNull())
     value = F.when(F.col("s.type") == "email", ascii_lower(F.col("s.text"))).when(F.col("s.type") == "ip", F.col("s.text")).otherwise(_digits(F.col("s.text")))
     start = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
     before = F.substr("text", start + 1, F.col("s.start") - start)
@@ -87,8 +91,7 @@ def _contexts(spotted: DataFrame) -> DataFrame:
     after = F.substr("text", F.col("s.end") + 1, F.lit(WINDOW))
     after = F.when(F.col("s.end") + WINDOW < F.length("text"), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     context = ascii_lower(F.concat(before, F.lit("\n"), after))
-    return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), context.alias("context"), "key").groupBy(
-        "entity", "context").agg(F.min("key").alias("key")).select("entity", "key", F.xxhash64("context").alias("context"), F.array_distinct(F.split("context", r"[^\p{L}]+")).alias("terms"))
+    return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), context.alias("context")).distinct().select("entity", F.xxhash64("context").alias("context"), F.array_distinct(F.split("context", r"[^\p{L}]+")).alias("terms"))
 
 
 def _share(n_t: Column, total: int) -> Column:
@@ -96,6 +99,14 @@ def _share(n_t: Column, total: int) -> Column:
     return F.log2(F.col("n_et") * total / (F.col("n_e") * n_t)) / F.log2(F.lit(total) / F.col("n_e"))
 
 
+def _at_least(words: DataFrame) -> DataFrame:
+    """(term, at_least): hash cells that the term's texts fall into, at most n(t)."""
+    cell = F.pmod(F.xxhash64("key"), F.lit(64 * LANES))
+    marks = words.select("term", cell.alias("cell")).select("term", (F.col("cell") % LANES).alias("lane"), F.expr(f"shiftleft(1L, cast(cell div {LANES} as int))").alias("mark"))
+    lanes = marks.groupBy("term").agg(*[F.bit_or(F.when(F.col("lane") == i, F.col("mark")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(LANES)])
+    return lanes.select("term", sum(F.bit_count(F.col(f"b{i}")) for i in range(LANES)).alias("at_least"))
+
+
 def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, level) of terms over the thresholds, level 'removed' or
     'generalised', and (key, term) of the texts that hold candidates.
@@ -103,12 +114,10 @@ def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     contexts = stage(_contexts(spotted), "contexts")
     n_e = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     total = spotted.select(F.count_distinct("key")).first()[0]
-    near = contexts.select("entity", "key", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS)
+    near = contexts.select("entity", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS)
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_CONTEXTS).join(n_e, "entity").where(F.col("n_e") < total)
-    # the texts whose contexts hold a term bound n(t) from below, and so its disclosure from above: no term over the thresholds is lost
-    seen = near.groupBy("term").agg(F.count_distinct("key").alias("seen"))
-    pairs = stage(pairs.join(seen, "term").where(_share(F.col("seen"), total) >= GENERALISE).drop("seen"), "pairs")
-    words = spotted.select("key", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+"))).alias("term"))
+    words = spotted.select("key", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= MIN_LETTERS)
+    pairs = stage(pairs.join(_at_least(words), "term").where(_share(F.col("at_least"), total) >= GENERALISE).drop("at_least"), "pairs")
     held = stage(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "held")
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
     told = pairs.join(n_t, "term").withColumn("share", _share(F.col("n_t"), total))
