@@ -93,6 +93,28 @@ def test_stream_limiter_reports_late_rows(spark):
     assert got[5] == (None, True)  # its window was evicted: reported late, not counted
 
 
+def test_audit_stream_logs_late_requests_over_many_batches(spark):
+    from vigilspark.operators import proxy as PX
+    from vigilspark.streaming.queries import audit_events_stream
+    p = FX.prompts(spark, SF_SMALL)
+    src = scratch_path(spark, "late-audit")
+    rows = p.orderBy("request_id").collect()
+    n = len(rows) // 4
+    parts = [rows[:n], rows[2 * n:], rows[n:2 * n], rows[:n]]  # time moves on, then late requests, then a replay
+    for part in parts:
+        spark.createDataFrame(part, p.schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = spark.read.parquet(io.run_append(audit_events_stream(stream, replay_ms=86_400_000)))
+    batch = PX.to_events(PX.process_requests(p))
+    ids = sorted(r.id for r in batch.select("id").collect())
+    assert ids == sorted(r.id for r in got.select("id").collect())
+    late = {r.request_id for r in rows[n:2 * n]} & set(ids)
+    limited = {r.id for r in got.where("event_type = 'rate_limit'").collect()}
+    assert late and late <= limited  # cannot be counted any more: fail closed
+    kinds = {r.id: r.event_type for r in batch.collect()}
+    assert all(r.event_type == kinds[r.id] for r in got.where(~F.col("id").isin(list(late))).collect())
+
+
 def test_time_buckets_do_not_depend_on_session_time_zone(spark):
     from vigilspark.plans.registry import queries
     q = queries()

@@ -1,16 +1,19 @@
-"""Stateful per-client fixed-window limiter for streams (S3).
+"""Stateful fixed-window limiter for streams (S3), with replay dedup.
 
-``applyInPandasWithState`` keyed by client.  State per key: the counts of the
-windows that are still open (window start -> requests so far).  Rows of a
-micro-batch are ordered by (event time, id) before counting, so on ordered
-input the result equals the batch operator.  Windows whose end is behind the
-watermark are evicted by an event-time timeout; a row whose window has
-already closed is *late*: it is reported with ``late = true`` and
-``allowed = NULL`` instead of being silently counted.
+``applyInPandasWithState`` keyed by client.  State per key: the windows that
+are still open (window end -> requests so far) and, with ``dedup_ms``, the request
+ids (late ones too) until the watermark is that far past their window's end.  Rows of a micro-batch are ordered by (event time, id) before
+counting, so on ordered input the result equals the batch operator.
 
-Late is decided by the watermark alone (window end <= watermark at the
-start of the batch), so the outcome does not depend on when state happens to
-be evicted.
+A row whose window end is at or behind the watermark at the start of the batch
+is *late*: it is reported with ``late = true`` and ``allowed = NULL`` instead of
+being counted.  Late is decided by the watermark alone.  There is no state
+timeout: with an event-time one Spark drops late rows before they reach the
+handler, and a processing-time one keeps an ``availableNow`` run from ending.
+Closed windows leave the state when their client is seen again, so an idle
+client keeps no more than its last batch left.  A replay that comes after its id was
+let go is reported again, as late: at least once, never lost.  A row without a
+timestamp has no window and is late.
 
 Memory per call is the key's rows of one micro-batch, bounded by the trigger
 size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` on the source).
@@ -20,68 +23,62 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import rules
 
-UNIT_MS = {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
-STATE_SCHEMA = "win_starts array<long>, counts array<long>"
+STATE_SCHEMA = "ends array<long>, requests array<long>, ids array<string>, id_ends array<long>"
 
 
-def _handler(client_col, ts_col, id_col, limit, unit_ms, out_cols):
+def _handler(id_col, limit, out_cols, dedup_ms):
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        wins = {}
-        if state.exists:
-            starts, counts = state.get
-            wins = dict(zip(starts, counts))
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
-        pdf = pd.concat(frames, ignore_index=True)
-        pdf["_ts_ms"] = pdf[ts_col].astype("datetime64[ms]").astype("int64")
-        pdf = pdf.sort_values(["_ts_ms", id_col], kind="stable").reset_index(drop=True)
-        ws = (pdf["_ts_ms"] // unit_ms) * unit_ms
-        wm = state.getCurrentWatermarkMs()
-        late = ws + unit_ms <= wm  # the row's window closed before this batch
-        on_time = ~late
-        prior = ws.map(lambda w: wins.get(w, 0))
-        seq = pdf[on_time].groupby(ws[on_time]).cumcount() + 1
-        n = prior[on_time] + seq
-        allowed = pd.Series(pd.NA, index=pdf.index, dtype="boolean")
-        allowed[on_time] = (n <= limit).astype("boolean")
-        for w, c in n.groupby(ws[on_time]).max().items():
-            wins[int(w)] = int(c)
-        # keep only windows that can still receive on-time rows
-        keep = {w: c for w, c in wins.items() if w + unit_ms > wm}
-        if keep:
-            state.update((sorted(keep), [keep[w] for w in sorted(keep)]))
-            state.setTimeoutTimestamp(max(keep) + unit_ms)
-        else:
-            state.remove()
+        watermark = state.getCurrentWatermarkMs()
+        ends, requests, ids, id_ends = state.get if state.exists else ([], [], [], [])
+        counts = dict(zip(ends, requests))
+        seen = dict(zip(ids, id_ends))
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["_order", id_col], kind="stable")
+        if dedup_ms is not None:
+            pdf = pdf[~pdf[id_col].astype(str).isin(seen.keys())].drop_duplicates(id_col)
+        pdf = pdf.reset_index(drop=True)
+        end = pdf["_end_ms"].fillna(watermark).astype("int64")
+        late = end <= watermark
+        n = pdf.groupby(end).cumcount() + 1 + end.map(lambda e: counts.get(e, 0)).astype("int64")
+        for e, c in n[~late].groupby(end[~late]).max().items():
+            counts[int(e)] = int(c)
+        if dedup_ms is not None:
+            seen |= {str(i): int(e) for i, e in zip(pdf[id_col], end)}
+        counts = {e: c for e, c in counts.items() if e > watermark}
+        seen = {i: e for i, e in seen.items() if e + dedup_ms > watermark} if dedup_ms is not None else {}
+        state.update((list(counts), list(counts.values()), list(seen), list(seen.values())))
         out = pdf[out_cols].copy()
-        out["window_start"] = pd.to_datetime(ws.values, unit="ms")
-        out["allowed"] = allowed.values
-        out["late"] = late.values
+        out["allowed"] = (n <= limit).astype("boolean").mask(late)
+        out["late"] = late
         yield out
     return fn
 
 
 def stream_rate_limit(df: DataFrame, client_col: str, ts_col: str, id_col: str,
                       limit: int = rules.MAX_REQUESTS_PER_MINUTE, unit: str = "minute",
-                      delay: str | None = "5 minutes", passthrough: list[str] | None = None) -> DataFrame:
-    """Input rows plus (window_start, allowed, late) for a streaming frame.
-    ``ts_col`` must be TIMESTAMP (cast ntz first).  ``delay=None`` when the
+                      delay: str | None = "5 minutes", passthrough: list[str] | None = None,
+                      dedup_ms: int | None = None) -> DataFrame:
+    """Input rows plus (window_start, allowed, late) for a streaming frame;
+    ``dedup_ms`` drops replayed ids.  ``ts_col`` must be TIMESTAMP (cast ntz
+    first); windows follow the session's wall clock.  ``delay=None`` when the
     caller already set the watermark."""
-    unit_ms = UNIT_MS[unit]
     cols = [id_col, client_col, ts_col] + [c for c in (passthrough or []) if c not in (id_col, client_col, ts_col)]
     src = df.select(*cols)
     if delay:
         src = src.withWatermark(ts_col, delay)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     out_schema = f"{fields}, window_start timestamp, allowed boolean, late boolean"
-    return src.groupBy(client_col).applyInPandasWithState(
-        _handler(client_col, ts_col, id_col, limit, unit_ms, cols), out_schema, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    start = F.date_trunc(unit, F.col(ts_col))
+    keyed = src.withColumn("window_start", start) \
+        .withColumn("_end_ms", F.unix_millis(F.timestamp_add(unit.upper(), F.lit(1), F.col("window_start")))) \
+        .withColumn("_order", F.unix_micros(ts_col))
+    return keyed.groupBy(client_col).applyInPandasWithState(
+        _handler(id_col, limit, cols + ["window_start"], dedup_ms), out_schema, STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout)

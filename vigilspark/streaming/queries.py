@@ -21,6 +21,7 @@ from . import io
 from .limiter import stream_rate_limit as _stateful_limit
 
 WATERMARK = "5 minutes"
+REPLAY_MS = 3_600_000  # how long the audit stream remembers request ids
 
 
 def _ltz(c: str):
@@ -122,16 +123,15 @@ def stream_live(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
                            .when(F.col("status") == "success", "success"))
 
 
-def audit_events_stream(requests: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """S8 (+S9) plan over a request stream: drop replayed request ids ->
-    validate -> stateful limiter -> inbound -> outbound -> audit rows.
-    A request that arrives after its rate window was evicted (late) cannot be
-    counted; it is treated as limited (fail closed)."""
-    p = requests.withColumn("ts", _ltz("ts")).withWatermark("ts", WATERMARK) \
-        .dropDuplicatesWithinWatermark(["request_id"])
+def audit_events_stream(requests: DataFrame, responses: DataFrame | None = None, replay_ms: int = REPLAY_MS) -> DataFrame:
+    """S8 (+S9) plan over a request stream: validate -> stateful limiter, which
+    drops request ids replayed within ``replay_ms`` -> inbound -> outbound -> audit rows.  No request
+    is dropped for being late: one that arrives after its rate window closed
+    cannot be counted, and is logged as limited (fail closed)."""
+    p = requests.withColumn("ts", _ltz("ts")).withWatermark("ts", WATERMARK)
     v = validate_requests(p).where(F.col("valid"))
     keep = ["use_ml", "prompt", "model", "max_tokens", "temperature"]
-    lim = _stateful_limit(v, "client_id", "ts", "request_id", unit="minute", delay=None, passthrough=keep)
+    lim = _stateful_limit(v, "client_id", "ts", "request_id", unit="minute", delay=None, passthrough=keep, dedup_ms=replay_ms)
     events = PX.to_events(PX.scan_outcomes(PX.with_responses(lim.withColumn("allowed", F.coalesce("allowed", F.lit(False))), responses)))
     return events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
