@@ -224,6 +224,22 @@ def test_policy_fallback_equals_broadcast_on_random_texts(spark):
     assert fast == slow == exp
 
 
+def test_policy_match_paths_on_edge_rows(spark):
+    texts = [(1, None), (None, "an SSN"), (2, "ssn"), (2, "ssn"), (2, "no"), (3, ""), (4, "\U0001f600 pass\U0001f600word"),
+             (5, "a\nb"), (6, "ab " * 100_000 + "needle")]
+    t = spark.createDataFrame(texts, "id long, text string")
+    words = ["SSN", "\U0001f600", "pass\U0001f600", "a\nb", "needle", "b"]
+    pats = spark.createDataFrame([("p", k, w) for k, w in enumerate(words)], "name string, ordinal int, pattern string") \
+        .withColumn("pattern_lc", F.lower("pattern"))
+    key = lambda r: tuple(str(x) for x in r)
+    exp = sorted([(i, "p", k, w) for i, s in texts if s for k, w in enumerate(words) if w.lower() in s.lower()], key=key)
+    for kw in ({}, {"max_broadcast_rows": 0}):
+        got = PL.literal_matches(t, "id", "text", pats, **kw)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted([tuple(r) for r in got.collect()], key=key) == exp
+        assert PL.literal_matches(t, "id", "text", pats.limit(0), **kw).count() == 0
+
+
 def test_classifier_queries_properties(spark):
     from vigilspark.plans.registry import queries
     from .conftest import SF_SMALL

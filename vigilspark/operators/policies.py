@@ -15,6 +15,8 @@ from ..functions import rules
 from .joins import bounded_rows, guarded_broadcast
 from .partitioning import explode_computed
 
+INLINE_BYTES = 1 << 20  # patterns put into the scan as an expression, together
+
 POLICY_CONFIG_TYPE = T.StructType([
     T.StructField("patterns", T.ArrayType(T.StringType())),
     T.StructField("threshold", T.DoubleType()),
@@ -85,33 +87,34 @@ def policy_patterns(policies: DataFrame) -> DataFrame:
 
 
 def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame,
-                    max_broadcast_rows: int = 10_000, q: int = 3) -> DataFrame:
-    """(id, name, ordinal, pattern) for every pattern contained in the text,
-    ignoring case.
-
-    Patterns are configuration-sized: when their count is proven <=
-    ``max_broadcast_rows`` they are broadcast and each text is tested against
-    each pattern (a broadcast theta join, cost rows x patterns).  Beyond that,
-    an exact equi-join: patterns of length >= q are keyed by their first q
-    characters and joined with the distinct q-grams of each text, then checked
-    with ``contains``; shorter patterns (few by construction) stay broadcast."""
+                    max_broadcast_rows: int = 256, q: int = 3) -> DataFrame:
+    """(id, name, ordinal, pattern) for every row and pattern contained in its
+    text, ignoring case.
+
+    Patterns are configuration-sized: up to ``max_broadcast_rows`` of at most
+    ``INLINE_BYTES`` together become one expression of the scan, without a join.
+    More of them meet the texts by an exact equi-join: a pattern is keyed by its
+    first q characters (all, if shorter), a text by its distinct runs of 1 to q
+    characters, taken in one pass each; candidates are checked with
+    ``contains``.  Null texts match nothing; null and repeated ids keep their
+    rows."""
     t = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_lc"))
-    if bounded_rows(patterns, max_broadcast_rows):
-        j = t.join(F.broadcast(patterns), F.col("_lc").contains(F.col("pattern_lc")))
-        return j.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
-    short = patterns.where(F.length("pattern_lc") < q)
-    long_ = patterns.where(F.length("pattern_lc") >= q).withColumn("qgram", F.substring("pattern_lc", 1, q))
-    # candidate (text, pattern) pairs from the texts' distinct q-grams (ids
-    # only, the text itself is not carried along), then one join back to the
+    size = patterns.limit(max_broadcast_rows + 1).agg(
+        F.count(F.lit(1)), F.sum(F.octet_length("pattern") + F.octet_length("name"))).first()
+    if 0 < size[0] <= max_broadcast_rows and (size[1] or 0) <= INLINE_BYTES:
+        kinds = {c: patterns.schema[c].dataType for c in ("name", "ordinal", "pattern")}
+        hits = [F.when(F.col("_lc").contains(p["pattern_lc"]),
+                       F.struct(*[F.lit(p[c]).cast(k).alias(c) for c, k in kinds.items()])) for p in patterns.collect()]
+        found = t.select("_id", explode_computed(F.array_compact(F.array(*hits)), "_m")).where(F.col("_m").isNotNull())
+        return found.select(F.col("_id").alias(id_col), "_m.name", "_m.ordinal", "_m.pattern")
+    keyed = patterns.withColumn("qgram", F.substring("pattern_lc", 1, q))
+    # candidate (text, pattern) pairs carry ids only, then one join back to the
     # texts on id to check containment
-    grams = t.select("_id", explode_computed(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_lc") - q + 1, F.lit(1))),
-        lambda i: F.substring(F.col("_lc"), i, q))), "qgram")).where(F.col("qgram").isNotNull())
-    pairs = grams.join(long_, "qgram").select("_id", "name", "ordinal", "pattern", "pattern_lc")
-    a = pairs.join(t, "_id").where(F.col("_lc").contains(F.col("pattern_lc")))
-    b = t.join(F.broadcast(short), F.col("_lc").contains(F.col("pattern_lc")))
-    cols = [F.col("_id").alias(id_col), "name", "ordinal", "pattern"]
-    return a.select(*cols).unionByName(b.select(*cols))
+    runs = [F.regexp_extract_all("_lc", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, q + 1)]
+    grams = t.select("_id", explode_computed(F.array_distinct(F.concat(*runs)), "qgram")).where(F.col("qgram").isNotNull())
+    pairs = grams.join(keyed, "qgram").select(F.col("_id").alias("_p_id"), "name", "ordinal", "pattern", "pattern_lc").distinct()
+    checked = pairs.join(t, F.col("_p_id").eqNullSafe(F.col("_id"))).where(F.col("_lc").contains(F.col("pattern_lc")))
+    return checked.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
 
 
 def policy_matches(texts: DataFrame, id_col: str, text_col: str, policies: DataFrame, policy_type: str,
