@@ -296,6 +296,26 @@ def test_op9_disclosing_terms(spark, make):
     assert all(text[k] == texts[k] for k in range(200))
 
 
+def test_op9_counts_in_texts(make):
+    """Repeats within a text are one text; a line with equal surroundings in many texts, or near copies, are many."""
+    texts = [prose(60, k) for k in range(200)]
+    texts.append(" ".join(f"{prose(30, 500 + k)} the glimby writes to rep@mail.example.com {prose(30, 600 + k)}" for k in range(3)))
+    line = f"{prose(20, 700)} yours Quorvex at sig@mail.example.com {prose(20, 701)}"
+    texts += [f"{prose(40, 800 + k)} {line} {prose(40, 900 + k)}" for k in range(12)]
+    near = [f"{prose(20, 1000 + c)} ask Wimdal by near@mail.example.com {prose(20, 1010 + c)}" for c in range(3)]
+    texts += [f"{prose(40, 1100)} {near[k % 3]} {prose(40, 1200)} copy {prose(1 + k, 1300)}" for k in range(12)]
+    text = {x.doc_id: x.text for x in pii_disclosure.sanitise(make(texts)).collect()}
+    assert text[200].count("glimby") == 3 and text[200].count("[EMAIL]") == 3
+    assert all("Quorvex" not in text[201 + k] and "Wimdal" not in text[213 + k] for k in range(12))
+
+
+def test_op9_words_cut_by_an_entity_are_no_terms(make):
+    """A letter run that an entity's own letters go on with is no term of its text."""
+    texts = [prose(60, k) for k in range(200)] + [f"{prose(9, 300 + k)} grüßéa@b.cd {prose(9, 400 + k)}" for k in range(4)] + ["the grüßé stands"]
+    text = {x.doc_id: x.text for x in pii_disclosure.sanitise(make(texts)).collect()}
+    assert text[204] == texts[204]
+
+
 def test_op9_redaction_of_overlaps(make):
     texts = ["x 4111111111111111@b.cd y", "+4111111111111111 z", None, "", "a@b.cd"]
     got = {x.doc_id: x.text for x in pii_disclosure.sanitise(make(texts)).collect()}

@@ -2,18 +2,19 @@
 
 Base spans (email, ip, card, phone) are found by pattern.  Their values are the
 protected entities.  Corpus co-occurrence then tells how strongly other terms
-reveal them: with n(e, t) the distinct contexts of entity e that hold term t,
-n(e) all distinct contexts of e, n(t) the distinct texts with t, and D the
-distinct texts,
+reveal them: with n(e, t) the distinct texts that hold term t in a context of
+entity e, n(e) the distinct texts with e, n(t) those with t, and D all distinct
+texts,
 
     PMI(e, t) = log2(n(e, t) D / (n(e) n(t))),   disclosure = PMI / IC(e),   IC(e) = log2(D / n(e))
 
 is the share of the entity's information that the term gives away.  Terms with
-``MIN_CONTEXTS`` contexts and a disclosure of ``REMOVE`` or more are removed,
+``MIN_TEXTS`` such texts and a disclosure of ``REMOVE`` or more are removed,
 of ``GENERALISE`` or more generalised, wherever they occur.  A context is the
-``WINDOW`` characters on both sides of an occurrence; equal contexts (copies)
-count once, so copies alone prove nothing.  A term is a run of letters, A-Z
-lower-cased, whole inside the context.
+``WINDOW`` characters on both sides of an occurrence; equal texts (copies) count
+once, so copies alone prove nothing, and however often a text repeats an entity
+it is one.  A term is a run of letters, A-Z lower-cased, whole inside the
+context.
 
 All texts are counted.  One pass over the words of the corpus marks, per term,
 which of ``64 * LANES`` hash cells its texts fall into; the marked cells bound
@@ -37,7 +38,7 @@ from ..functions.spans import _stitch as stitch
 from .common import ascii_lower, stage, text_key
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, MIN_CONTEXTS, MIN_LETTERS = 80, 3, 3
+WINDOW, MIN_TEXTS, MIN_LETTERS = 80, 3, 3
 REMOVE, GENERALISE = 0.9, 0.75
 LANES = 16  # longs of hash cells a term
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
@@ -81,17 +82,19 @@ def base_spans(docs: DataFrame, text_col: str = "text", out: str = "_base") -> D
 
 
 def _contexts(spotted: DataFrame) -> DataFrame:
-    """(entity, context, terms) of every context of an entity."""
+    """(entity, key, terms) of the contexts of each entity in each text."""
     # explode_outer: a plain explode or filter would evaluate the patterns again below it
-    e = spotted.select("text", F.explode_outer("_base").alias("s")).where(F.col("s").isNotNull())
+    e = spotted.select("key", "text", F.explode_outer("_base").alias("s")).where(F.col("s").isNotNull())
     value = F.when(F.col("s.type") == "email", ascii_lower(F.col("s.text"))).when(F.col("s.type") == "ip", F.col("s.text")).otherwise(_digits(F.col("s.text")))
     start = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
     before = F.substr("text", start + 1, F.col("s.start") - start)
     before = F.when(start > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)  # cut words are no terms
+    before = F.when(F.col("s.text").rlike(r"^\p{L}"), F.regexp_replace(before, r"\p{L}+$", "")).otherwise(before)
     after = F.substr("text", F.col("s.end") + 1, F.lit(WINDOW))
     after = F.when(F.col("s.end") + WINDOW < F.length("text"), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
+    after = F.when(F.col("s.text").rlike(r"\p{L}$"), F.regexp_replace(after, r"^\p{L}+", "")).otherwise(after)
     context = ascii_lower(F.concat(before, F.lit("\n"), after))
-    return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), context.alias("context")).distinct().select("entity", F.xxhash64("context").alias("context"), F.array_distinct(F.split("context", r"[^\p{L}]+")).alias("terms"))
+    return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), "key", F.array_distinct(F.split(context, r"[^\p{L}]+")).alias("terms")).distinct()
 
 
 def _share(n_t: Column, total: int) -> Column:
@@ -112,10 +115,10 @@ def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     'generalised', and (key, term) of the texts that hold candidates.
     ``spotted``: text, key, _base."""
     contexts = stage(_contexts(spotted), "contexts")
-    n_e = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = contexts.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     total = spotted.select(F.count_distinct("key")).first()[0]
-    near = contexts.select("entity", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS)
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_CONTEXTS).join(n_e, "entity").where(F.col("n_e") < total)
+    near = contexts.select("entity", "key", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS).distinct()
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_TEXTS).join(n_e, "entity").where(F.col("n_e") < total)
     words = spotted.select("key", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= MIN_LETTERS)
     pairs = stage(pairs.join(_at_least(words), "term").where(_share(F.col("at_least"), total) >= GENERALISE).drop("at_least"), "pairs")
     held = stage(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "held")
