@@ -309,6 +309,22 @@ def test_op9_counts_in_texts(make):
     assert all("Quorvex" not in text[201 + k] and "Wimdal" not in text[213 + k] for k in range(12))
 
 
+def test_op9_rare_names(make):
+    """No least count of texts: two texts of 300 show a disclosure, one of them does not yet."""
+    texts = [prose(60, k) for k in range(300)]
+    texts += [f"{prose(20, 400 + k)} the Zorblax writes from zor@mail.example.com {prose(20, 500 + k)}" for k in range(2)]
+    texts.append(f"{prose(20, 402)} the Quibbly writes from qui@mail.example.com {prose(20, 502)}")
+    text = {x.doc_id: x.text for x in pii_disclosure.sanitise(make(texts)).collect()}
+    assert all("Zorblax" not in text[300 + k] and "[TERM]" in text[300 + k] for k in range(2))
+    assert "Quibbly" in text[302] and all(text[k] == texts[k] for k in range(300))
+
+
+@pytest.mark.parametrize("total, n_t, want", [(100, 1, False), (10_000, 1, True), (10_000, 2, False), (10**9, 1, True)])
+def test_op9_evidence_of_one_text(spark, total, n_t, want):
+    d = spark.createDataFrame([(1, 1, n_t)], "n_et long, n_e long, n_t long")
+    assert d.select(pii_disclosure._over(F.col("n_t"), total, pii_disclosure.GENERALISE)).first()[0] is want
+
+
 def test_op9_words_cut_by_an_entity_are_no_terms(make):
     """A letter run that an entity's own letters go on with is no term of its text."""
     texts = [prose(60, k) for k in range(200)] + [f"{prose(9, 300 + k)} grüßéa@b.cd {prose(9, 400 + k)}" for k in range(4)] + ["the grüßé stands"]

@@ -9,8 +9,14 @@ texts,
     PMI(e, t) = log2(n(e, t) D / (n(e) n(t))),   disclosure = PMI / IC(e),   IC(e) = log2(D / n(e))
 
 is the share of the entity's information that the term gives away.  Terms with
-``MIN_TEXTS`` such texts and a disclosure of ``REMOVE`` or more are removed,
-of ``GENERALISE`` or more generalised, wherever they occur.  A context is the
+a disclosure of ``REMOVE`` or more are removed, of ``GENERALISE`` or more
+generalised, wherever they occur, where the counts show it: the disclosure is h
+or more just when p = n(e, t) / n(t), the share of the term's texts that have it
+by the entity, is q = (n(e) / D)^(1 - h) or more, and by Chernoff's bound a term
+whose true share is below q gives such counts with a probability of at most
+exp(-n(t) KL(p, q)), which has to be ``DOUBT`` or less.  No count of texts is
+asked for: of terms that stand by one entity only, one text is enough to
+generalise from D = 10,000 on, two from 200, three from 65.  A context is the
 ``WINDOW`` characters on both sides of an occurrence; equal texts (copies) count
 once, so copies alone prove nothing, and however often a text repeats an entity
 it is one.  A term is a run of letters, A-Z lower-cased, whole inside the
@@ -30,6 +36,8 @@ spans are redacted as one, with the first's mark; other columns are ignored
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +46,8 @@ from ..functions.spans import _stitch as stitch
 from .common import ascii_lower, stage, text_key
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, MIN_TEXTS, MIN_LETTERS = 80, 3, 3
-REMOVE, GENERALISE = 0.9, 0.75
+WINDOW, MIN_LETTERS = 80, 3
+REMOVE, GENERALISE, DOUBT = 0.9, 0.75, 0.1
 LANES = 16  # longs of hash cells a term
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
 
@@ -97,9 +105,12 @@ def _contexts(spotted: DataFrame) -> DataFrame:
     return e.select(F.concat("s.type", F.lit(":"), value).alias("entity"), "key", F.array_distinct(F.split(context, r"[^\p{L}]+")).alias("terms")).distinct()
 
 
-def _share(n_t: Column, total: int) -> Column:
-    """Disclosure of n(e, t), n(e) and ``n_t`` texts among ``total``."""
-    return F.log2(F.col("n_et") * total / (F.col("n_e") * n_t)) / F.log2(F.lit(total) / F.col("n_e"))
+def _over(n_t: Column, total: int, least: float) -> Column:
+    """Whether n(e, t), n(e) and ``n_t`` texts among ``total`` show a disclosure
+    of ``least`` or more; more texts ``n_t`` never make it true."""
+    p, q = F.col("n_et") / n_t, F.pow(F.col("n_e") / F.lit(total), F.lit(1 - least))
+    apart = F.when(n_t > F.col("n_et"), (n_t - F.col("n_et")) * F.log((1 - p) / (1 - q))).otherwise(F.lit(0.0))
+    return (p >= q) & (F.col("n_et") * F.log(p / q) + apart >= -math.log(DOUBT) - 1e-9)
 
 
 def _at_least(words: DataFrame) -> DataFrame:
@@ -118,14 +129,16 @@ def disclosing_terms(spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_e = contexts.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     total = spotted.select(F.count_distinct("key")).first()[0]
     near = contexts.select("entity", "key", F.explode("terms").alias("term")).where(F.length("term") >= MIN_LETTERS).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_TEXTS).join(n_e, "entity").where(F.col("n_e") < total)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(n_e, "entity").where((F.col("n_e") < total) & _over(F.col("n_et"), total, GENERALISE))
+    pairs = pairs.select("term", "n_et", "n_e").distinct()  # a common word stands by many entities, with few different counts
     words = spotted.select("key", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= MIN_LETTERS)
-    pairs = stage(pairs.join(_at_least(words), "term").where(_share(F.col("at_least"), total) >= GENERALISE).drop("at_least"), "pairs")
+    least = F.greatest("at_least", "n_et")
+    pairs = stage(pairs.join(_at_least(words), "term").where(_over(least, total, GENERALISE)).drop("at_least"), "pairs")
     held = stage(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "held")
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(n_t, "term").withColumn("share", _share(F.col("n_t"), total))
-    most = told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
-    return most.select("term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("level")), held
+    told = pairs.join(n_t, "term").where(_over(F.col("n_t"), total, GENERALISE))
+    removed = told.groupBy("term").agg(F.max(_over(F.col("n_t"), total, REMOVE)).alias("removed"))
+    return removed.select("term", F.when(F.col("removed"), "removed").otherwise("generalised").alias("level")), held
 
 
 def _of_kind(spans, kind: str) -> Column:
