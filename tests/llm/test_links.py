@@ -87,6 +87,29 @@ def test_op3_whole_table(spark):
     assert all(want[k] == e for k, e in got.items())
 
 
+def test_op3_long_items_lose_no_copy():
+    """Items whose edited copies seldom meet in a table."""
+    r = random.Random(8)
+    items = [prose(n, n).split() for n in (600, 800)]
+    ix = cgk_decontam.Index([(i, it) for i, it in enumerate(items)])
+    code = {x: k + 1 for k, x in enumerate(ix.vocabulary)}
+    texts, want = [], {}
+    for k in range(24):
+        it, body = list(items[k % 2]), prose(300, 900 + k).split()
+        for _ in range(int(0.2 * len(items[k % 2]))):
+            i = r.randrange(len(it))
+            it[i:i + 1] = r.choice([["zzz"], [], ["yyy", it[i]]])
+        texts += [body[:150] + it + body[150:], body]
+    for t, x in enumerate(texts):
+        for i, it in enumerate(items):
+            d = min(cgk_decontam.distances(it, x))
+            if d <= int(0.2 * len(it)):
+                want[t, i] = d
+    symbols = np.array([code.get(x, ix.base) for x in sum(texts, [])], np.int64)
+    got = {(t, i): e for t, i, e, _ in ix.matches(symbols, np.cumsum([0] + [len(x) for x in texts]))}
+    assert len(want) >= 24 and got == want
+
+
 def test_op3_odd_inputs(spark, make):
     bench = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "word")], "item_id long, text string")
     docs = make([*ODD, "so one two three go"])

@@ -7,7 +7,9 @@ at small edit distance give walks at small Hamming distance.  A table keeps
 ``SAMPLED`` random steps of its own walk as a key, and windows whose key equals
 an item's are candidates.  Tables are repeated until items with the allowed
 edits meet with ``recall`` probability, as measured on edited copies of the
-items.  Candidates are verified by the exact edit distance in words (item
+items.  Where copies meet in a table with a probability under ``LEAST_RATE`` (items
+of some hundred words), no tables are made: every window that holds as many of
+the item's three-word runs as a match has to hold is a candidate.  Candidates are verified by the exact edit distance in words (item
 against any part of the window's surroundings): at most ``max_edits`` of the
 item's words.
 
@@ -42,6 +44,7 @@ from .words import split_words
 MAX_EDITS, RECALL, SAMPLED = 0.2, 0.98, 3
 SIZE_STEP = 1.25  # items are embedded by their first n words, n a power of this
 BLOCK_BYTES = 16 << 20
+LEAST_RATE = 0.05  # of meeting in a table; under it candidates are found exactly
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#-_/\\`~"
 END = 0  # symbol behind a window's end
 
@@ -91,20 +94,23 @@ def edited(words: list[int], k: int, rng, fresh: int) -> list[int]:
     return out
 
 
-def tables_for(items: list[list[int]], size: int, recall: float, max_edits: float, rng) -> list[Walk]:
+def tables_for(items: list[list[int]], size: int, recall: float, max_edits: float, rng) -> list[Walk] | None:
     """As many tables as copies of the items with the allowed edits need to
-    collide with probability ``recall`` (at least; measured, at most 256)."""
+    collide with probability ``recall`` (at least; measured); None where they
+    meet in less than ``LEAST_RATE`` of the tables."""
     probe = [items[i] for i in rng.permutation(len(items))[:50]]
     met = tried = 0
-    for _ in range(40):
-        walk = Walk(size, rng)
-        for it in probe:
-            copy = edited(it, int(max_edits * len(it)), rng, int(rng.integers(1 << 40, 1 << 41)))
-            both = np.array(it + copy, np.int64)
-            keys = walk.keys(both, np.array([0, len(it)]), np.array([len(it), len(both)]))
-            met, tried = met + int(keys[0] == keys[1]), tried + 1
-    p = max(met / tried, 0.02)
-    n = 1 if p >= recall else min(256, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    for round_ in range(200):  # walks differ much, so many of them
+        if round_ % 10 == 0:
+            both = [x for it in probe for x in (it, edited(it, int(max_edits * len(it)), rng, int(rng.integers(1 << 40, 1 << 41))))]
+            flat, ends = np.array([s for x in both for s in x], np.int64), np.cumsum([len(x) for x in both])
+            starts = np.append(0, ends[:-1])
+        keys = Walk(size, rng).keys(flat, starts, ends)
+        met, tried = met + int((keys[::2] == keys[1::2]).sum()), tried + len(probe)
+    p = met / tried
+    if p < LEAST_RATE:
+        return None
+    n = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
     return [Walk(size, rng) for _ in range(n)]
 
 
@@ -130,18 +136,56 @@ class Index:
             intact = min(len(w) - 2 - 3 * int(max_edits * len(w)) for w in own)
             reach = max(len(w) + int(max_edits * len(w)) for w in own)
             walks = tables_for(own, size, recall, max_edits, rng)
+            listed = None
+            if walks is None:
+                pairs = sorted({(self.run(*self.words[k][i:i + 3]), k) for k in members for i in range(len(self.words[k]) - 2)})
+                listed = np.array([r for r, _ in pairs], np.int64), np.array([k for _, k in pairs], np.int64), members
             tables = []
-            for walk in walks:
+            for walk in walks or []:
                 flat, lens = np.array([x for w in own for x in w], np.int64), np.array([len(w) for w in own])
                 ends = np.cumsum(lens)
                 keys = walk.keys(flat, ends - lens, ends)
                 order = np.argsort(keys, kind="stable")
                 tables.append((walk, keys[order], np.array(members)[order]))
-            self.classes.append((size, runs, intact, reach, tables))
+            self.classes.append((size, runs, intact, reach, tables, listed))
 
     def run(self, a, b, c):
         return (a * self.base + b) * self.base + c
 
+    def intact(self, item: int) -> int:
+        """Three-word runs of the item that any match holds, at least."""
+        n = len(self.words[item])
+        return n - 2 - 3 * int(self.max_edits * n)
+
+    def by_runs(self, listed, at, codes, starts, reach, owner, offsets):
+        """(text, item, starts) that cover every window with as many of an item's
+        runs as a match holds.  ``at``, ``codes``: the text's runs; ``starts``:
+        windows of the class that can match."""
+        run, item, members = listed
+        edge = np.zeros(len(owner) + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, np.minimum(starts + reach, offsets[owner[starts] + 1]), -1)
+        inside = np.cumsum(edge)[at] > 0
+        at, codes = at[inside], codes[inside]
+        lo = np.searchsorted(run, codes, "left")
+        count = np.searchsorted(run, codes, "right") - lo
+        items = item[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        places = np.repeat(at, count)
+        order = np.lexsort((places, items))
+        items, places = items[order], places[order]
+        for m in members:
+            need, longest = self.intact(m), len(self.words[m]) + int(self.max_edits * len(self.words[m]))
+            if need <= 0:  # the bound says nothing: whole texts
+                for text in np.flatnonzero(np.diff(offsets)):
+                    yield int(text), m, range(int(offsets[text]), int(offsets[text + 1]), len(self.words[m]))
+                continue
+            own = places[np.searchsorted(items, m, "left"):np.searchsorted(items, m, "right")]
+            last = own[need - 1:]
+            first = own[:len(last)]
+            fits = (last - first < longest) & (owner[first] == owner[last])
+            for a, b in zip(first[fits].tolist(), last[fits].tolist()):
+                yield int(owner[a]), m, (max(int(offsets[owner[a]]), b - longest + 1), a)
+
     def matches(self, symbols: np.ndarray, offsets: np.ndarray):
         """(text, item, edits, first word) of the texts whose symbols lie between
         ``offsets``."""
@@ -154,7 +198,7 @@ class Index:
         at = np.flatnonzero(whole)
         codes = self.run(symbols[at], symbols[at + 1], symbols[at + 2])
         near: dict[tuple[int, int], list[int]] = {}
-        for size, runs, intact, reach, tables in self.classes:
+        for size, runs, intact, reach, tables, listed in self.classes:
             if intact > 0:
                 place = np.searchsorted(runs, codes)
                 hit = np.zeros(n + 1, np.int64)
@@ -168,6 +212,10 @@ class Index:
                 starts = np.arange(n)
             if not len(starts):
                 continue
+            if listed is not None:
+                for text, m, s in self.by_runs(listed, at, codes, starts, reach, owner, offsets):
+                    near.setdefault((text, m), []).extend(s)
+                continue
             stops = offsets[owner[starts] + 1]
             for walk, keys, members in tables:
                 got = walk.keys(symbols, starts, stops)
