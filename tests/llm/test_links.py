@@ -216,6 +216,17 @@ def test_covering_masks_cover_every_difference():
                 assert any(diff & d == 0 and d & m == m for d in simhash_cover.masks(radius, free))
 
 
+def test_covering_masks_go_on_with_few_bits(spark):
+    """A bucket dealt again keeps more bits each time, so that dealing ends."""
+    for radius in (1, 2, 4):
+        for n in range(radius + 1, 65):
+            free = (1 << n) - 1
+            assert all(m & free for m in simhash_cover.masks(radius, free)), (radius, n)
+    nodes = spark.createDataFrame([(x,) for x in range(64)], "fp long")
+    roots = components.components(simhash_cover.links(nodes, 4, 20)).collect()
+    assert {x.node: x.root for x in roots if x.node} == {x: 0 for x in range(1, 64)}
+
+
 def test_op7_equals_brute_force(spark):
     docs = documents(spark, SF_SMALL).union(spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long"))
     prints = {r.doc_id: brute_print(r.text) for r in docs.collect()}

@@ -10,7 +10,8 @@ table v keeps: every pair within the radius meets in some table, surely.
 Equal fingerprints are one node.  A bucket of at most ``BUCKET`` nodes is searched
 in its task and gives a spanning tree of its links (never all pairs); a larger
 one is dealt again by the same construction on the bits its table left out,
-which loses no pair, until the remaining bits leave at most ``BUCKET`` values.
+which loses no pair and keeps at least one bit more, until the remaining bits
+leave at most ``BUCKET`` values.
 
 Defined cases: a text without words (null, empty) has fingerprint zero and is
 linked like any other; repeated rows give a row each; rows without an id take
@@ -83,8 +84,11 @@ def masks(radius: int, free: int = (1 << BITS) - 1) -> list[int]:
     """The covering masks over the set bits of ``free``; bits outside are kept by all."""
     dims = (1 << (radius + 1)) - 1
     bits = [i for i in range(BITS) if free >> i & 1]
+    # a basis first: with more than radius bits the vectors span the space, so every mask keeps one of them
+    basis = [1 << d for d in range(radius + 1)]
+    vectors = basis + [v for v in range(dims, 0, -1) if v not in basis]
     kept = ((1 << BITS) - 1) & ~free
-    return [kept | sum(1 << b for k, b in enumerate(bits) if (v & (k % dims + 1)).bit_count() & 1) for v in range(1, dims + 1)]
+    return [kept | sum(1 << b for k, b in enumerate(bits) if (v & vectors[k % dims]).bit_count() & 1) for v in range(1, dims + 1)]
 
 
 def _signed(x: int) -> int:
@@ -149,6 +153,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFra
     """(u, v): links that connect what any links within the radius connect, from
     distinct fingerprints (fp)."""
     spark, found = nodes.sparkSession, None
+    most = max(most, 1 << radius)  # with radius free bits or fewer all values are linked: nothing to deal
     tables = {i: (m, ((1 << BITS) - 1) & ~m) for i, m in enumerate(masks(radius))}
     rows = nodes.select("fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(tables) - 1).cast("long"))).alias("table"))
     while True:
