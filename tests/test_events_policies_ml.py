@@ -240,6 +240,15 @@ def test_policy_match_paths_on_edge_rows(spark):
         assert PL.literal_matches(t, "id", "text", pats.limit(0), **kw).count() == 0
 
 
+def test_policy_match_counts_equal_pattern_rows_on_both_paths(spark):
+    t = spark.createDataFrame([(1, "an SSN"), (1, "an SSN"), (2, "no")], "id long, text string")
+    pats = spark.createDataFrame([("p", 0, "SSN"), ("p", 0, "SSN"), ("p", 1, "an")], "name string, ordinal int, pattern string") \
+        .withColumn("pattern_lc", F.lower("pattern"))
+    for kw in ({}, {"max_broadcast_rows": 0}):
+        got = sorted(tuple(r) for r in PL.literal_matches(t, "id", "text", pats, **kw).collect())
+        assert got == [(1, "p", 0, "SSN")] * 4 + [(1, "p", 1, "an")] * 2
+
+
 def test_classifier_queries_properties(spark):
     from vigilspark.plans.registry import queries
     from .conftest import SF_SMALL

@@ -107,14 +107,17 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
                        F.struct(*[F.lit(p[c]).cast(k).alias(c) for c, k in kinds.items()])) for p in patterns.collect()]
         found = t.select("_id", explode_computed(F.array_compact(F.array(*hits)), "_m")).where(F.col("_m").isNotNull())
         return found.select(F.col("_id").alias(id_col), "_m.name", "_m.ordinal", "_m.pattern")
-    keyed = patterns.withColumn("qgram", F.substring("pattern_lc", 1, q))
+    # equal rows are one candidate, and count as often as they stand there
+    keyed = patterns.groupBy("name", "ordinal", "pattern", "pattern_lc").agg(F.count(F.lit(1)).cast("int").alias("n_rows")) \
+        .withColumn("qgram", F.substring("pattern_lc", 1, q))
     # candidate (text, pattern) pairs carry ids only, then one join back to the
     # texts on id to check containment
     runs = [F.regexp_extract_all("_lc", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, q + 1)]
     grams = t.select("_id", explode_computed(F.array_distinct(F.concat(*runs)), "qgram")).where(F.col("qgram").isNotNull())
-    pairs = grams.join(keyed, "qgram").select(F.col("_id").alias("_p_id"), "name", "ordinal", "pattern", "pattern_lc").distinct()
+    pairs = grams.join(keyed, "qgram").select(F.col("_id").alias("_p_id"), "name", "ordinal", "pattern", "pattern_lc", "n_rows").distinct()
     checked = pairs.join(t, F.col("_p_id").eqNullSafe(F.col("_id"))).where(F.col("_lc").contains(F.col("pattern_lc")))
-    return checked.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
+    each = checked.withColumn("_row", F.explode(F.sequence(F.lit(1), "n_rows")))
+    return each.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
 
 
 def policy_matches(texts: DataFrame, id_col: str, text_col: str, policies: DataFrame, policy_type: str,
