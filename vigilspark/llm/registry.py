@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import byte_bpe, cgk_decontam, chat_windows, line_quality, lm_lattice, ordinal_toxicity, pii_disclosure, simhash_cover, trie_counts, url_rules
+from . import (byte_bpe, cgk_decontam, chat_windows, embedding_whitening, line_quality, lm_lattice, minhash_index, ordinal_toxicity, periodic_runs,
+               pii_disclosure, simhash_cover, trie_counts, url_rules)
 from .common import documents
 
 # The rules of the URL contract.
@@ -76,7 +77,22 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    texts = docs.select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic_runs.report(periodic_runs.periodic_runs(texts))
+
+
+def op12_minhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_index.near_duplicates(documents(spark, sf_dir))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     ops = [op1_lattice_likelihood, op2_line_frequency, op3_cgk_decontamination, op4_ordinal_toxicity, op5_chat_windows,
-           op6_byte_bpe, op7_covering_simhash, op8_trie_token_counts, op9_pii_disclosure, op10_url_rules]
+           op6_byte_bpe, op7_covering_simhash, op8_trie_token_counts, op9_pii_disclosure, op10_url_rules,
+           op11_periodic_runs, op12_minhash_index, op13_embedding_whitening]
     return {f.__name__: f for f in ops}
