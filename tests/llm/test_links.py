@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm.conftest import ODD, prose
-from vigilspark.llm import cgk_decontam, chat_windows, components, pii_disclosure, registry, simhash_cover, url_rules
+from vigilspark.llm import cgk_decontam, chat_windows, components, line_quality, pii_disclosure, registry, simhash_cover, url_rules
 from vigilspark.llm.common import documents
 from vigilspark.sources.tables import read_table
 
@@ -440,3 +440,62 @@ def test_pipeline_takes_an_empty_table(spark):
     for _, f in P.STAGES[:-1]:
         docs = P.stage(f(spark, docs, SF_SMALL), "e")
     assert P.tokens(spark, docs, SF_SMALL).count() == 0
+
+
+# ------------------------------------------- names that clash, foreign folders
+
+CLASHING = ["_id", "_key", "_host", "_gone", "gone", "row", "id", "key", "host", "doc", "text_key", "nth", "_text_key", "_nth", "_base", "_spans", "_terms", "_t", "_low",
+            "_pattern", "_hits", "_own_key", "_sorted", "_reach", "_first", "_apart", "_chunks", "_found", "item_id", "root", "node", "fp", "lines", "a.b"]
+
+
+def test_stages_keep_clashing_columns(spark, make):
+    """Every internal name as a caller's column: kept, unchanged, wherever the row is kept."""
+    texts = [prose(80, k) + f"\nsee mail{k}@example.org now\n" + "same line here for all\n" for k in range(14)] + [prose(80, 3) + " tail"]
+    plain = make(texts)
+    wide = plain
+    for k, name in enumerate(CLASHING):
+        wide = wide.withColumn(name, F.concat(F.lit(f"v{k}-"), F.col("doc_id").cast("string")))
+    bench = spark.createDataFrame([(1, prose(80, 5))], "item_id long, text string")
+    stages = [line_quality.clean, simhash_cover.deduplicate, lambda d: cgk_decontam.decontaminate(d, bench), pii_disclosure.sanitise]
+    for stage_of in stages:
+        want = {r.doc_id: r.text for r in stage_of(plain).collect()}
+        out = stage_of(wide)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert {r.doc_id: r.text for r in rows} == want and len(rows) == len(want)
+        assert all(r[name] == f"v{k}-{r.doc_id}" for r in rows for k, name in enumerate(CLASHING))
+
+
+def test_tasks_need_no_install():
+    """The models that are shipped to tasks travel by value."""
+    import subprocess
+    import sys
+
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    made = subprocess.run([sys.executable, "-c", (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import base64\n"
+        "from pyspark import cloudpickle\n"
+        "from vigilspark.llm.cgk_decontam import Index\n"
+        "from vigilspark.llm.ordinal_toxicity import Model\n"
+        "print(base64.b64encode(cloudpickle.dumps((Index([(1, ['a', 'b', 'c', 'd'])]), Model()))).decode())")],
+        capture_output=True, text=True, check=True, cwd="/")
+    read = subprocess.run([sys.executable, "-c", (
+        "import base64, pickle, sys\n"
+        "ix, model = pickle.loads(base64.b64decode(sys.stdin.read()))\n"
+        "assert 'vigilspark' not in sys.modules and len(ix.items) == 1\n"
+        "print(type(model).__name__)")], input=made.stdout, capture_output=True, text=True, cwd="/")
+    assert read.stdout.strip() == "Model", read.stderr
+
+
+def test_op3_blocks_of_items(spark, make, monkeypatch):
+    """A benchmark of several blocks finds what one block finds."""
+    items = [prose(20 + k, 300 + k) for k in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = make([prose(40, 600 + k) + " " + items[k % 12] + " " + prose(30, 700 + k) for k in range(24)])
+    want = sorted(tuple(r) for r in cgk_decontam.matches(docs, bench).collect())
+    monkeypatch.setattr(cgk_decontam, "BLOCK_BYTES", sum(len(t) for t in items) // 3)
+    assert len(list(cgk_decontam.blocks(bench))) >= 3
+    got = sorted(tuple(r) for r in cgk_decontam.matches(docs, bench).collect())
+    assert got == want and len({(r[0], r[2]) for r in got}) >= 24

@@ -232,3 +232,14 @@ def test_op8_equals_word_by_word(spark, make):
         assert (got[i].n_pretokens, got[i].n_tokens) == (len(each), sum(n for _, n in each))
         assert got[i].score == pytest.approx(sum(s for s, _ in each))
     assert trie_counts.token_counts(make(texts).limit(0), PIECES).count() == 0
+
+
+def test_op1_scores_do_not_depend_on_the_frequent_table(spark, make, monkeypatch):
+    docs = make([prose(60, k) for k in range(30)] + ODD)
+    read = lambda: sorted(tuple(r) for r in lm_lattice.score_documents(docs, registry.tokenizer("piece_bpe_32k.model")).collect())
+    want = read()
+    for size in (1, 10):
+        monkeypatch.setattr(lm_lattice, "FREQUENT", size)
+        got = read()
+        for a, b in zip(got, want, strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)

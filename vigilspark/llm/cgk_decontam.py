@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stage, text_key
+from .common import by_bytes, carried, received, shipped, stage, text_key, unpacked
 from .words import split_words
 
 MAX_EDITS, RECALL, SAMPLED = 0.2, 0.98, 3
@@ -284,7 +284,7 @@ def closest(pattern, text, most: int):
 
 def _search(index):
     def run(batches):
-        ix = index.value
+        ix = received(index)
         vocabulary = pa.array(ix.vocabulary, pa.string())
         for batch in batches:
             for part in by_bytes(batch, "text"):
@@ -330,7 +330,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
     for block in blocks(benchmark, item_id, item_text):
         index = Index([(i, item_words(t)) for i, t in block], recall, max_edits)
         if index.items:
-            got = src.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(index)), schema)
+            shared = shipped(docs.sparkSession, index)
+            got = stage(src.mapInArrow(_search(shared), schema), "matches")  # one index is alive at a time
+            shared.destroy()
             out = got if out is None else out.union(got)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -338,5 +340,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:
     """The documents without a benchmark passage, all columns."""
 
-    found = stage(matches(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (text_key(docs[text_col]) == F.col("_key")), "left_anti")
+    found = stage(matches(docs, benchmark, id_col, text_col, **how).select("doc_id", "key").distinct(), "leaks")
+    d = carried(docs, text_col)
+    clean = d.join(found, d["row"][id_col].eqNullSafe(found["doc_id"]) & (text_key(d["text"]) == found["key"]), "left_anti")
+    return unpacked(clean, docs, text_col)

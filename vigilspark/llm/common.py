@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
 
-SLICE_BYTES = 8 << 20  # text handled at once inside a task
+SLICE_BYTES = 2 << 20  # text handled at once inside a task
 
 
 def stage(df: DataFrame, kind: str) -> DataFrame:
@@ -42,6 +45,27 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         total += size
     if first < len(sizes):
         yield batch.slice(first)
+    pa.default_memory_pool().release_unused()
+
+
+def shipped(spark: SparkSession, value):
+    """``value`` broadcast by value: tasks need no install of its classes.  Read it with ``received``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    return pickle.loads(shared.value)
+
+
+def carried(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): the other columns of each row as one struct, whatever their names."""
+    others = [docs[f"`{c}`"].alias(c) for c in docs.columns if c != text_col] or [F.lit(None).cast("string").alias("none")]
+    return docs.select(F.struct(*others).alias("row"), docs[f"`{text_col}`"].alias("text"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` from (row, text)."""
+    return df.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stage, text_key
+from .common import by_bytes, carried, stage, text_key, unpacked
 from .words import split_words
 
 MAX_DOCS = 10
@@ -129,14 +129,14 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
 def _strip(batches):
     for batch in batches:
         for part in by_bytes(batch, "text"):
-            texts, gone = part.column("text").cast(pa.binary()).to_pylist(), part.column("_gone").to_pylist()
+            texts, gone = part.column("text").cast(pa.binary()).to_pylist(), part.column("gone").to_pylist()
             for i, lines in enumerate(gone):
                 if lines:
                     drop = set(lines)
                     texts[i] = b"\n".join(x for x in texts[i].split(b"\n") if line_hash(x)[0] not in drop)
             at = part.schema.get_field_index("text")
             out = part.set_column(at, "text", pa.array(texts, pa.binary()).cast(part.schema.field(at).type))
-            yield out.drop_columns(["_gone"])
+            yield out.drop_columns(["gone"])
 
 
 def clean(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
@@ -144,15 +144,11 @@ def clean(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
     m = measure(docs, id_col, text_col, host_col)
     removed = stage(removed_lines(m, max_docs), "removed")
     keep = verdicts(m, removed, min_kept).where("kept").select("doc_id", "key", "host").distinct()
-    gone = removed.groupBy("doc_id", "key", "host").agg(F.collect_set("line").alias("_gone"))
-    names = ("doc_id", "key", "host")
-    keep = keep.select(*[F.col(x).alias(f"k_{x}") for x in names])
-    gone = gone.select(*[F.col(x).alias(f"g_{x}") for x in names], "_gone")
-    verdict = keep.join(gone, F.col("k_doc_id").eqNullSafe(F.col("g_doc_id")) & (F.col("k_key") == F.col("g_key")) & (F.col("k_host") == F.col("g_host")), "left")
-    verdict = verdict.select(F.col("k_doc_id").alias("_id"), F.col("k_key").alias("_key"), F.col("k_host").alias("_host"), "_gone")
-    # hash join: the verdicts are the small side, the texts need no sort
-    kept = docs.join(verdict.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_id")) & (text_key(docs[text_col]) == F.col("_key"))
-                     & (F.coalesce(docs[host_col].cast("string"), F.lit("")) == F.col("_host")))
-    renamed = kept.select(*[docs[c].alias("text") if c == text_col else docs[c] for c in docs.columns], "_gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema.fields if f.name != "_gone")
-    return renamed.mapInArrow(_strip, schema).withColumnRenamed("text", text_col)
+    gone = removed.groupBy("doc_id", "key", "host").agg(F.collect_set("line").alias("gone"))
+    gone = gone.select(*[F.col(x).alias(f"g_{x}") for x in ("doc_id", "key", "host")], "gone")
+    verdict = keep.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc_id")) & (F.col("key") == F.col("g_key")) & (F.col("host") == F.col("g_host")), "left")
+    verdict = verdict.select("doc_id", "key", "host", "gone")
+    d = carried(docs, text_col)
+    kept = d.join(verdict, d["row"][id_col].eqNullSafe(verdict["doc_id"]) & (text_key(d["text"]) == verdict["key"])
+                  & (F.coalesce(d["row"][host_col].cast("string"), F.lit("")) == verdict["host"])).select("row", "text", "gone")
+    return unpacked(kept.mapInArrow(_strip, kept.select("row", "text").schema), docs, text_col)

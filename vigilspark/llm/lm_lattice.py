@@ -131,10 +131,10 @@ def score_table(counts: DataFrame, path: str, em_rounds: int = 2):
 
 
 def _frequent(table: DataFrame) -> pa.Table:
-    """The scores of the most frequent words: at most FREQUENT rows with keys of
+    """The scores of the end and the most frequent words: at most FREQUENT + 1 rows with keys of
     at most LONGEST_KEY bytes, so at most about 30 MB whatever the corpus."""
-    top = table.where(F.octet_length("word") <= LONGEST_KEY).orderBy(F.desc("c"), "word").limit(FREQUENT)
-    return top.toArrow()
+    top = table.where((F.octet_length("word") <= LONGEST_KEY) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(FREQUENT)
+    return table.where(F.col("word") == END).unionAll(top).toArrow()
 
 
 def _score_rows(frequent):

@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,17 +218,26 @@ def _groups(search, weight, limit, grp_type):
                 return _batch(_links(rows, search(np.array([r[0] for r in rows], np.int64), [r[2] for r in rows])), grp_type)
 
         for batch in batches:
-            grps = batch.column("grp").to_pylist()
-            n, node, payload = (batch.column(x) for x in ("n", "node", "payload"))
-            sizes = n.to_pylist()
-            starts = [i for i in range(len(grps)) if i == 0 or grps[i] != grps[i - 1]] + [len(grps)]
+            grps, n, node, payload = (batch.column(x) for x in ("grp", "n", "node", "payload"))
+            sizes, rows = n.to_pylist(), batch.num_rows
+            if not rows:
+                continue
+            starts = [0, *(1 + np.flatnonzero(pc.not_equal(grps.slice(1), grps.slice(0, rows - 1)).to_numpy(zero_copy_only=False))).tolist(), rows]
             for a, b in zip(starts, starts[1:]):
-                if grps[a] != open_grp:
+                if a and b - a == 1 and b < rows:
+                    if open_grp is not None:  # what was open ends; a single row between two groups links nothing
+                        out = close(False)
+                        if out is not None:
+                            yield out
+                        open_grp = None
+                    continue
+                grp = grps[a].as_py()
+                if grp != open_grp:
                     if open_grp is not None and (len(held) > 1 or first or cut):
                         out = close(False)
                         if out is not None:
                             yield out
-                    open_grp, held, load = grps[a], [], 0
+                    open_grp, held, load = grp, [], 0
                 nodes, payloads = node.slice(a, b - a).to_pylist(), payload.slice(a, b - a).to_pylist()
                 for k in range(b - a):
                     w = weight(sizes[a + k])
@@ -300,8 +310,9 @@ def classes(docs: DataFrame, described: DataFrame, id_col="doc_id", text_col="te
     member = stage(candidates.union(candidates.select(F.col("root"), "root").distinct()).join(nodes, "node").select(
         F.col("root").alias("grp"), "n", "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key")), "members")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = src.join(member, src["doc_id"].eqNullSafe(member["rep_id"]) & (text_key(src["text"]) == member["rep_key"])).select("grp", "n", "node", "text")
-    full = texts.mapInArrow(_sets(size), "grp binary, n long, node binary, payload binary")
+    # one plan at every size: the texts meet their candidates by a sort-merge join
+    texts = src.join(member.hint("merge"), src["doc_id"].eqNullSafe(member["rep_id"]) & (text_key(src["text"]) == member["rep_key"])).select("grp", "n", "node", "text")
+    full = stage(texts.mapInArrow(_sets(size), "grp binary, n long, node binary, payload binary"), "full-sets")
     links = group_links(full, by_sets(percent), lambda n: n, BLOCK_HASHES, percent, "groups")
     roots = components(links)
     of = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "copies")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stage
+from .common import by_bytes, received, shipped, stage
 from .words import split_words
 
 MAX_ROWS = 8000
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", gr
 
 def _score(model):
     def run(batches):
-        m = model.value
+        m = received(model)
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 owner, codes, words = _distinct(part)
@@ -182,5 +182,5 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
     toxic (more likely
     above grade 0 than not), probabilities by grade."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     return src.mapInArrow(_score(shared), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, severity double, grade int, toxic boolean, probabilities array<double>")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import add_pattern_spans, text_chunks
 from ..functions.spans import _stitch as stitch
-from .common import ascii_lower, stage, text_key
+from .common import ascii_lower, carried, stage, text_key, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, MIN_LETTERS = 80, 3
@@ -150,7 +150,8 @@ def _overlaps(s: Column, others: Column) -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans`` (base spans, then disclosing terms)."""
+    """``docs`` with ``_base`` and ``_spans`` (base spans, then disclosing terms); columns of
+    those names and of other names that begin with an underscore belong to this function."""
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     spotted = base_spans(docs.select(text.alias("text"), text_key(F.col(text_col)).alias("key")))
@@ -189,8 +190,7 @@ def redacted(text: Column, ordered: Column, chunks: Column) -> Column:
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind's mark."""
-    names = docs.columns
-    d = find(docs, text_col)
+    d = find(carried(docs, text_col))
     mark = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
     spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), mark[s["type"]].alias("tpl"))))
     d = d.withColumn("_sorted", spans)
@@ -200,5 +200,5 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = F.transform("_sorted", lambda s, i: F.struct(s["start"].alias("start"), s["tpl"].alias("tpl"), i.alias("i"), ((i == 0) | (s["start"] >= F.coalesce(F.try_element_at("_reach", i), F.lit(0)))).alias("new")))
     d = d.withColumn("_first", F.filter(first, lambda s: s["new"]))
     ends = F.transform("_first", lambda s, k: F.struct(s["start"].alias("start"), F.element_at("_reach", F.coalesce(F.try_element_at("_first", k + 2)["i"], F.size("_reach"))).alias("end"), s["tpl"].alias("tpl")))
-    d = d.withColumn("_apart", ends).withColumn("_chunks", F.when(F.size("_apart") > 0, text_chunks(F.col(text_col))))
-    return d.select(*[redacted(F.col(text_col), F.col("_apart"), F.col("_chunks")).alias(text_col) if c == text_col else d[c] for c in names])
+    d = d.withColumn("_apart", ends).withColumn("_chunks", F.when(F.size("_apart") > 0, text_chunks(F.col("text"))))
+    return unpacked(d.select("row", redacted(F.col("text"), F.col("_apart"), F.col("_chunks")).alias("text")), docs, text_col)

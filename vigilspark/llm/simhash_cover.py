@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stage, text_key
+from .common import by_bytes, carried, stage, text_key, unpacked
 from .components import components
 from .words import split_words
 
@@ -195,15 +195,10 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
     """One row of each component (least id, then least text key), all columns."""
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "prints")
     member = prints.join(classes(prints, radius).select("fp", "root"), "fp")
-    keep = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_key"))
-    kept = docs.withColumn("_text_key", text_key(F.col(text_col))).join(
-        keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return one_of_each(kept, [id_col, "_text_key"]).drop("_text_key")
-
-
-def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of rows with equal keys."""
-    from pyspark.sql import Window
-
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
+    keep = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select("k.doc_id", "k.key")
+    d = carried(docs, text_col)
+    d = d.select("row", "text", F.col("row")[id_col].alias("id"), text_key(F.col("text")).alias("text_key"))
+    kept = d.join(keep, d["id"].eqNullSafe(keep["doc_id"]) & (d["text_key"] == keep["key"]), "left_semi")
+    # of rows with equal id and text the first
+    first = Window.partitionBy("id", "text_key").orderBy(F.lit(1))
+    return unpacked(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), docs, text_col)
