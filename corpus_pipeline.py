@@ -19,6 +19,13 @@ from vigilspark.llm.common import documents, stage
 from vigilspark.llm.registry import split_pattern, tokenizer
 from vigilspark.sources.tables import read_table
 
+ARROW_BATCH = "8m"  # of a batch that goes to a Python worker
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Batches of texts stay small beside the workers' memory, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+
 
 def _sized(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text that a stage has changed."""
@@ -29,26 +36,31 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their over-frequent lines."""
+    _bounded(spark)
     return _sized(line_quality.clean(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: its smallest doc_id."""
+    _bounded(spark)
     return simhash_cover.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    _bounded(spark)
     return cgk_decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and terms that disclose it replaced."""
+    _bounded(spark)
     return _sized(pii_disclosure.sanitise(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the token ids and the decoded bytes."""
+    _bounded(spark)
     return byte_bpe.round_trip(docs, tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
 
 
