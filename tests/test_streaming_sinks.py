@@ -131,3 +131,55 @@ def test_time_buckets_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert utc == ny
+
+
+def _limiter_run(spark, batches, **how):
+    """(rows, state rows left) of the limiter over one file per batch."""
+    from vigilspark.streaming.limiter import stream_rate_limit
+    src, ckpt = scratch_path(spark, "limiter-src"), scratch_path(spark, "limiter-ckpt")
+    schema = "id long, client string, ts timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = io.run_append(stream_rate_limit(stream, "client", "ts", "id", limit=3, delay="1 minute", **how), checkpoint=ckpt)
+    left = spark.read.format("statestore").option("path", ckpt).option("stateVarName", "windows").load()
+    return spark.read.parquet(out).collect(), left.select("key.client").collect()
+
+
+def test_limiter_state_of_idle_clients_is_gone(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1, 12)
+    minute = dt.timedelta(minutes=1)
+    # clients 0..4 come once; afterwards only client "busy" moves time on
+    batches = [[(k, f"c{k}", t + k * dt.timedelta(seconds=1)) for k in range(5)] + [(9, None, None)]]
+    batches += [[(10 + k, "busy", t + k * minute)] for k in range(1, 8)]
+    rows, left = _limiter_run(spark, batches)
+    assert len(rows) == 13 and all(r.allowed and not r.late for r in rows if r.ts is not None)
+    assert [(r.allowed, r.late) for r in rows if r.ts is None] == [(None, True)]
+    assert {r.client for r in left} <= {"busy"}
+
+
+def test_limiter_remembers_ids_past_the_window(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1, 12)
+    minute, second = dt.timedelta(minutes=1), dt.timedelta(seconds=1)
+    first = [(k, "a", t + k * second) for k in range(6)]
+    batches = [first[::-1], first, [(50, "b", t + 4 * minute)], [*first, (7, "a", t + 30 * second)], [(51, "b", t + 20 * minute)],
+               [(52, "b", t + 21 * minute)], first[:1]]
+    rows, _ = _limiter_run(spark, batches, dedup_ms=300_000)
+    of = {}
+    for r in rows:
+        of.setdefault(r.id, []).append((r.allowed, r.late))
+    assert [of[k] for k in (1, 2, 3, 4, 5)] == [[(True, False)]] * 2 + [[(False, False)]] * 3
+    assert of[0] == [(True, False), (None, True)]  # its memory had ended: reported again, as late
+    assert of[7] == [(None, True)] and of[50] == of[51] == of[52] == [(True, False)]
+
+
+def test_replays_are_dropped_within_the_watermark(spark):
+    from vigilspark.streaming.queries import without_replays
+    stream, ev = _split_source(spark)
+    again, _ = _split_source(spark)
+    twice = stream.union(again).withColumn("at", F.col("ts").cast("timestamp"))
+    out = io.run_append(without_replays(twice, "event_id", "at", "400 days"))
+    got = spark.read.parquet(out)
+    assert got.count() == ev.count() == got.select("event_id").distinct().count()

@@ -210,6 +210,9 @@ ORACLE["stream_audit"] = ORACLE["event_assembly"]
 ORACLE["stream_live"] = ORACLE["live_monitor"]
 ORACLE["stream_daily_stats"] = ORACLE["daily_statistics"]
 
+ORACLE["stream_replay"] = with_views(["security_events"], """
+SELECT id, user_id, event_type, blocked, timestamp FROM security_events""")
+
 ORACLE["stream_client_minutes"] = with_views(["security_events"], """
 SELECT date_trunc('minute', timestamp) AS window_start, user_id, CAST(count(*) AS BIGINT) AS requests
 FROM security_events GROUP BY 1, 2""")

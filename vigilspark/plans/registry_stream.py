@@ -11,6 +11,7 @@ from .registry import QUERIES, query
 QUERIES["stream_inbound"] = SQ.stream_inbound
 QUERIES["stream_redact"] = SQ.stream_redact
 QUERIES["stream_rate_limit"] = SQ.stream_rate_limit
+QUERIES["stream_replay"] = SQ.stream_replay
 QUERIES["stream_client_minutes"] = SQ.stream_client_minutes
 QUERIES["stream_daily_stats"] = SQ.stream_daily_stats
 QUERIES["stream_hourly"] = SQ.stream_hourly

@@ -75,6 +75,22 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int = 2, unit: st
     return spark.read.parquet(io.run_append(out)).drop("late")
 
 
+def without_replays(df: DataFrame, id_col: str, ts_col: str, within: str) -> DataFrame:
+    """The first of the rows with equal ids whose times lie ``within`` of each other.  Ids leave
+    the state when the watermark passes; Spark drops rows behind the watermark, so a stream
+    that must keep late rows uses the limiter's own memory of ids instead (``dedup_ms``)."""
+    return df.withWatermark(ts_col, within).dropDuplicatesWithinWatermark([id_col])
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream delivered twice, each event kept once."""
+    cols = ["id", "user_id", "event_type", "blocked", "ts"]
+    e = _event_stream(spark, sf_dir).select(*cols)
+    twice = e.union(_event_stream(spark, sf_dir).select(*cols))
+    out = without_replays(twice, "id", "ts", "1 hour")
+    return spark.read.parquet(io.run_append(out)).select("id", "user_id", "event_type", "blocked", F.col("ts").cast("timestamp_ntz").alias("timestamp"))
+
+
 def stream_client_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling one-minute request counts per user (update mode, upserted)."""
     e = _event_stream(spark, sf_dir).withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", WATERMARK)
