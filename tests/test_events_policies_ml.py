@@ -128,12 +128,12 @@ def test_roc_auc_matches_brute_force(spark):
     rnd = random.Random(5)
     rows = [(i, rnd.randint(0, 1), round(rnd.random(), 2)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, label int, score double")
-    got = ML.roc_auc(df, buckets=8).first()["auc"]
+    got = ML.roc_auc(df).first()["auc"]
     pos = [s for _, y, s in rows if y == 1]
     neg = [s for _, y, s in rows if y == 0]
     exp = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg) / (len(pos) * len(neg))
     assert abs(got - exp) < 1e-12
-    pts = ML.roc_points(df, buckets=8).where(F.col("score").isNotNull()).orderBy(F.col("score").desc()).collect()
+    pts = ML.roc_points(df).where(F.col("score").isNotNull()).orderBy(F.col("score").desc()).collect()
     assert pts[-1]["fpr"] == 1.0 and pts[-1]["tpr"] == 1.0
 
 

@@ -98,7 +98,7 @@ def test_audit_stream_logs_late_requests_over_many_batches(spark):
     from vigilspark.streaming.queries import audit_events_stream
     p = FX.prompts(spark, SF_SMALL)
     src = scratch_path(spark, "late-audit")
-    rows = p.orderBy("request_id").collect()
+    rows = p.orderBy("ts", "request_id").collect()
     n = len(rows) // 4
     parts = [rows[:n], rows[2 * n:], rows[n:2 * n], rows[:n]]  # time moves on, then late requests, then a replay
     for part in parts:

@@ -111,3 +111,31 @@ def apply_retention(events: DataFrame, as_of: str, days_to_keep: int, out_path:
     kept, cutoff = retention_split(events, as_of, days_to_keep)
     append_events(kept, out_path)
     return events.where(F.col("timestamp") < cutoff).count()
+
+
+def rewrite_retention(spark, path: str, as_of: str, days_to_keep: int = 30) -> int:
+    """H9 in place on a log of ``append_events``: days that have wholly passed are dropped by their
+    folders, the cutoff's own day is overwritten with its kept rows, and the files of
+    later days and of rows without a timestamp stay as they are.  Returns the dropped days.
+    A rewrite that stops halfway leaves rows that the next one drops."""
+    from ..session import cut_lineage
+
+    log = read_events(spark, path)
+    cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days_to_keep))
+    day = F.col(EVENT_DATE).cast("date")
+    # one row per day folder: a listing, not the log
+    days = log.select(day.alias("day")).where(F.col("day") <= F.to_date(cutoff)).distinct().withColumn("past", F.col("day") < F.to_date(cutoff)).collect()
+    gone = [r["day"] for r in days if r["past"]]
+    for r in days:
+        if not r["past"]:
+            kept = cut_lineage(log.where((day == F.lit(r["day"])) & (F.col("timestamp") >= cutoff)))
+            if kept.isEmpty():
+                gone.append(r["day"])
+            else:
+                (kept.sortWithinPartitions("timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy(EVENT_DATE).parquet(path))
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for d in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{EVENT_DATE}={d}")
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(gone)

@@ -19,10 +19,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .running import running_sums
 
 MALICIOUS_LABEL = "prompt_injection"
 BENIGN_LABEL = "benign"
@@ -97,62 +98,42 @@ def latency_stats(log: DataFrame, ts_col: str = "ts", value_col: str = "inferenc
 
 # ------------------------------------------------------------------ E5/E6
 
-def _bucketed_cumulative(counts: DataFrame, score_col: str, buckets: int) -> DataFrame:
-    """counts: (label_name, score, pos, neg) with one row per distinct score.
-    Adds tp/fp = positives/negatives with score >= this score (descending
-    order), exactly, without a global window."""
-    bounds = counts.agg(F.approx_percentile(score_col, [i / buckets for i in range(1, buckets)], 10000)
-                        .alias("b")).first()["b"] or []
-    bounds = sorted(set(float(b) for b in bounds))
-    # bucket 0 holds the highest scores
-    b = F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(x) for x in bounds]) if bounds else
-                                             F.array().cast("array<double>"),
-                                             lambda x: x < F.col(score_col)))
-    c = counts.withColumn("_bucket", b.cast("int") if bounds else F.lit(0))
-    totals = c.groupBy("label_name", "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    w_tot = Window.partitionBy("label_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_op", F.coalesce(F.sum("_bp").over(w_tot), F.lit(0))) \
-        .withColumn("_on", F.coalesce(F.sum("_bn").over(w_tot), F.lit(0))).drop("_bp", "_bn")
-    w_in = Window.partitionBy("label_name", "_bucket").orderBy(F.col(score_col).desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    # offsets has (#labels x #buckets) rows: a proven bound, so broadcast.
-    j = c.join(F.broadcast(offsets), ["label_name", "_bucket"])
-    return j.withColumn("tp", F.col("_op") + F.sum("pos").over(w_in)) \
-        .withColumn("fp", F.col("_on") + F.sum("neg").over(w_in)).drop("_op", "_on")
+def _cumulative(scored: DataFrame, label_col: str, score_col: str, name: Column) -> DataFrame:
+    """One row per label name and distinct score: pos, neg, and tp, fp = positives and negatives
+    with this score or more.  All label names in one pass."""
+    counts = scored.where(F.col(score_col).isNotNull()).groupBy(name.alias("label_name"), F.col(score_col).alias("score")).agg(
+        F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) != 1).alias("neg"))
+    return running_sums(counts, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, ["label_name"])
+
+
+def _name(label_name: str | None, name_col: str | None) -> Column:
+    return F.col(name_col) if name_col else F.lit(label_name or "label")
 
 
 def roc_points(scored: DataFrame, label_col: str = "label", score_col: str = "score",
-               label_name: str | None = None, buckets: int = 64) -> DataFrame:
+               label_name: str | None = None, name_col: str | None = None) -> DataFrame:
     """E5: one ROC point per distinct score (ties grouped first, so the curve
-    does not depend on row order), plus the (0, 0) origin.  Columns:
-    label_name, score (NULL at the origin), fpr, tpr."""
-    name = F.lit(label_name) if label_name else F.lit("label")
-    counts = scored.groupBy(F.col(score_col).alias("score")).agg(
-        F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) != 1).alias("neg")) \
-        .withColumn("label_name", name)
-    tot = counts.groupBy("label_name").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = _bucketed_cumulative(counts, "score", buckets).join(F.broadcast(tot), "label_name")
-    pts = cum.select("label_name", "score", (F.col("fp") / F.col("N")).alias("fpr"),
-                     (F.col("tp") / F.col("P")).alias("tpr"))
+    does not depend on row order), plus the (0, 0) origin; one curve for each value of
+    ``name_col`` (one-vs-rest).  Rows without a score are left out.  Columns: label_name,
+    score (NULL at the origin), fpr, tpr."""
+    cum = _cumulative(scored, label_col, score_col, _name(label_name, name_col))
+    tot = cum.groupBy("label_name").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    pts = cum.join(tot, "label_name").select("label_name", "score", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
     origin = tot.select("label_name", F.lit(None).cast("double").alias("score"),
                         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(pts)
 
 
 def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "score",
-            label_name: str | None = None, buckets: int = 64) -> DataFrame:
-    """Trapezoid area under the curve of ``roc_points``.  Between
+            label_name: str | None = None, name_col: str | None = None) -> DataFrame:
+    """Trapezoid area under each curve of ``roc_points``.  Between
     consecutive points the trapezoid is neg(s)/N * (tp_above(s) + pos(s)/2)/P,
     so the area is one sum over distinct scores (no neighbour lookup)."""
-    name = F.lit(label_name) if label_name else F.lit("label")
-    counts = scored.groupBy(F.col(score_col).alias("score")).agg(
-        F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) != 1).alias("neg")) \
-        .withColumn("label_name", name)
-    cum = _bucketed_cumulative(counts, "score", buckets)
+    cum = _cumulative(scored, label_col, score_col, _name(label_name, name_col))
     part = cum.groupBy("label_name").agg(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)).alias("_area"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return part.select("label_name", (F.col("_area") / (F.col("P") * F.col("N"))).alias("auc"),
+    return part.select("label_name", F.try_divide("_area", F.col("P") * F.col("N")).alias("auc"),
                        F.col("P").alias("positives"), F.col("N").alias("negatives"))
 
 
@@ -169,7 +150,7 @@ def trapezoid_auc(points: DataFrame, label_col: str = "label", order_col: str =
 
 def label_actions(predictions: DataFrame, action_map: DataFrame, label_col: str = "label") -> DataFrame:
     """Action per predicted label (left join; unknown label -> NULL)."""
-    return predictions.join(F.broadcast(action_map), predictions[label_col] == action_map["map_label"], "left") \
+    return predictions.join(action_map, predictions[label_col] == action_map["map_label"], "left") \
         .drop("map_label")
 
 

@@ -84,6 +84,11 @@ ORACLE["incident_page"] = with_views(IN, f"""
 SELECT *, severity IN ('critical', 'high') AS highlight
 FROM ({INCIDENT_LIST_SQL}) ORDER BY timestamp DESC, id DESC LIMIT 25 OFFSET 25""")
 
+_LOG_COLS = "id, timestamp, event_type, severity, user_id, session_id, action_taken, processing_time_ms, blocked"
+
+ORACLE["event_page"] = with_views(EV, f"""
+SELECT {_LOG_COLS} FROM security_events ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 400""")
+
 ORACLE["incident_pages"] = with_views(IN, f"""
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
        CAST(CASE WHEN count(*) > 0 THEN (count(*) - 1) // 25 + 1 ELSE 1 END AS BIGINT) AS total_pages
@@ -189,6 +194,10 @@ SELECT id, user_id, date_trunc('day', timestamp) AS window_start,
        row_number() OVER (PARTITION BY user_id, date_trunc('day', timestamp) ORDER BY timestamp, id) <= 2 AS allowed
 FROM security_events""")
 
+ORACLE["retention_rewrite"] = with_views(EV, f"""
+SELECT {_LOG_COLS.replace("timestamp", "CASE WHEN id % 97 <> 0 THEN timestamp END AS timestamp")}
+FROM security_events WHERE id % 97 = 0 OR timestamp >= {since(14, 'DAY')}""")
+
 ORACLE["retention"] = with_views(EV, f"""
 SELECT CAST(count(*) FILTER (WHERE timestamp >= {since(14, 'DAY')} OR timestamp IS NULL) AS BIGINT) AS kept,
        CAST(count(*) FILTER (WHERE timestamp < {since(14, 'DAY')}) AS BIGINT) AS deleted

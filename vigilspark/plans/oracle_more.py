@@ -176,22 +176,25 @@ SELECT CAST(count(x) AS BIGINT) AS count, round(avg(x), 2) AS mean_ms, round(med
 FROM (SELECT inference_time_ms AS x FROM inference_log ORDER BY ts DESC, event_id DESC LIMIT 100)""")
 
 ORACLE["roc_curve"] = with_views(["scored"], """
-SELECT 'toxic' AS label_name, score, round(fp / N, 9) AS fpr, round(tp / P, 9) AS tpr
-FROM (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp
-      FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
-            FROM scored GROUP BY score)),
-     (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N FROM scored)
+SELECT label_name, score, round(fp / N, 9) AS fpr, round(tp / P, 9) AS tpr
+FROM (SELECT label_name, score, sum(pos) OVER (PARTITION BY label_name ORDER BY score DESC) AS tp,
+             sum(neg) OVER (PARTITION BY label_name ORDER BY score DESC) AS fp
+      FROM (SELECT label_name, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+            FROM scored GROUP BY label_name, score))
+JOIN (SELECT label_name, count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N FROM scored GROUP BY label_name)
+     USING (label_name)
 UNION ALL
-SELECT 'toxic', NULL, 0.0, 0.0""")
+SELECT DISTINCT label_name, NULL, 0.0, 0.0 FROM scored""")
 
-# Mann-Whitney form: P(score of a positive > score of a negative) + ties / 2.
+# Mann-Whitney form: mean rank of the positives, ties at their middle.
 ORACLE["roc_auc"] = with_views(["scored"], """
-SELECT 'toxic' AS label_name,
-       round((SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END)
-              FROM scored p JOIN scored n ON p.label = 1 AND n.label <> 1)
-             / (P * N), 9) AS auc,
+SELECT label_name, round((sum(r) FILTER (WHERE label = 1) - P * (P + 1) / 2) / (P * N), 9) AS auc,
        CAST(P AS BIGINT) AS positives, CAST(N AS BIGINT) AS negatives
-FROM (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N FROM scored)""")
+FROM (SELECT label_name, label, rank() OVER (PARTITION BY label_name ORDER BY score)
+             + (count(*) OVER (PARTITION BY label_name, score) - 1) / 2.0 AS r FROM scored WHERE label IS NOT NULL)
+JOIN (SELECT label_name, count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N FROM scored GROUP BY label_name)
+     USING (label_name)
+GROUP BY label_name, P, N""")
 
 ORACLE["label_actions"] = with_views(["prompts", "responses"], """
 SELECT source, row_id, label, CASE label WHEN 'prompt_injection' THEN 'block' WHEN 'sensitive_data' THEN 'redact' END AS action

@@ -27,8 +27,8 @@ DEPS: dict[str, list[str]] = {}
 
 VIEWS["prompts"] = f"""
 SELECT conv_id * 1000 + turn AS request_id,
-       TIMESTAMP {q(FX.EPOCH)} + to_seconds(conv_id * 1000 + turn) AS ts,
-       CASE WHEN conv_id % 13 = 0 THEN NULL ELSE 'client_' || CAST(conv_id % 7 AS VARCHAR) END AS client_id,
+       TIMESTAMP {q(FX.EPOCH)} + to_seconds(CASE WHEN conv_id % 5 IN (1, 3) THEN (conv_id // 300) * 3600 + turn % 60 ELSE conv_id * 1000 + turn END) AS ts,
+       CASE WHEN conv_id % 13 = 0 THEN NULL WHEN conv_id % 5 IN (1, 3) THEN 'client_3' ELSE 'client_' || CAST(conv_id % 7 AS VARCHAR) END AS client_id,
        CASE WHEN conv_id % 26 = 0 THEN NULL ELSE '10.0.' || CAST(conv_id % 5 AS VARCHAR) || '.1' END AS host,
        CASE WHEN conv_id % 5 = 0 THEN FALSE ELSE NULL END AS use_ml,
        CASE WHEN (conv_id + turn) % 3 = 0
@@ -111,9 +111,13 @@ FROM security_events WHERE blocked"""
 DEPS["incidents"] = ["security_events"]
 
 VIEWS["scored"] = """
-SELECT l.doc_id AS id, CAST(l.toxic AS INTEGER) AS label,
-       CAST(d.n_chars % 100 AS DOUBLE) / 100 AS score
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+SELECT doc_id AS id, 'toxic' AS label_name, CAST(toxic AS INTEGER) AS label,
+       (10000 * length(regexp_replace(lower(text), '[^aeiou]', '', 'g')) // greatest(length(text), 1)) / 10000.0::DOUBLE AS score
+FROM labels JOIN documents USING (doc_id)
+UNION ALL
+SELECT doc_id, 'quality', CAST(quality AS INTEGER),
+       (10000 * length(regexp_replace(text, '[^a-z]', '', 'g')) // greatest(length(text), 1)) / 10000.0::DOUBLE
+FROM labels JOIN documents USING (doc_id)"""
 
 VIEWS["inference_log"] = """
 SELECT event_id, ts, value AS inference_time_ms FROM events"""

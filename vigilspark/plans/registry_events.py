@@ -104,6 +104,12 @@ def incident_page(spark, sf_dir):
     return DB.highlight(DB.page(lst, page_size=25, page_num=2))
 
 
+@query("event_page")
+def event_page(spark, sf_dir):
+    """H6: a late page of the whole log, by global row numbers."""
+    return DB.page_at(_events(spark, sf_dir), page_size=50, page_num=9).select(*_EVENT_COLS)
+
+
 @query("incident_pages")
 def incident_pages(spark, sf_dir):
     return DB.page_count(_incident_list(spark, sf_dir), page_size=25)
@@ -234,6 +240,17 @@ def rate_limit(spark, sf_dir):
     return r.select("id", "user_id", "window_start", "allowed")
 
 
+@query("retention_rewrite")
+def retention_rewrite(spark, sf_dir):
+    """H9: the day-partitioned log rewritten in place; every 97th row has no timestamp."""
+    from ..session import scratch_path
+    e = _events(spark, sf_dir).withColumn("timestamp", F.when(F.col("id") % 97 != 0, F.col("timestamp")))
+    path = scratch_path(spark, "retention")
+    EV.append_events(e, path)
+    EV.rewrite_retention(spark, path, AS_OF, days_to_keep=14)
+    return EV.read_events(spark, path).select(*_EVENT_COLS)
+
+
 @query("retention")
 def retention(spark, sf_dir):
     return EV.retention_report(_events(spark, sf_dir), AS_OF, days_to_keep=14)

@@ -132,14 +132,14 @@ def latency_stats(spark, sf_dir):
 @query("roc_curve")
 def roc_curve(spark, sf_dir):
     from ..operators import ml as ML
-    p = ML.roc_points(FX.scored(spark, sf_dir), "label", "score", "toxic")
+    p = ML.roc_points(FX.scored(spark, sf_dir), "label", "score", name_col="label_name")
     return p.select("label_name", "score", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 @query("roc_auc")
 def roc_auc(spark, sf_dir):
     from ..operators import ml as ML
-    a = ML.roc_auc(FX.scored(spark, sf_dir), "label", "score", "toxic")
+    a = ML.roc_auc(FX.scored(spark, sf_dir), "label", "score", name_col="label_name")
     return a.select("label_name", F.round("auc", 9).alias("auc"), "positives", "negatives")
 
 

@@ -98,11 +98,12 @@ def prompts_from(conversations: DataFrame) -> DataFrame:
     """``prompts`` over any conversations frame (batch or stream)."""
     c = conversations.where(F.col("role") == "user")
     conv, turn = F.col("conv_id"), F.col("turn")
-    rid = conv * 1000 + turn
+    rid, burst = conv * 1000 + turn, (conv % 5).isin(1, 3)
     return c.select(
         rid.alias("request_id"),
-        _ts_plus_seconds(EPOCH, rid).alias("ts"),
-        F.when(conv % 13 == 0, F.lit(None).cast("string"))
+        # two fifths of the requests are one client's bursts: those of 300 conversations within a minute
+        _ts_plus_seconds(EPOCH, F.when(burst, F.floor(conv / 300) * 3600 + turn % 60).otherwise(rid)).alias("ts"),
+        F.when(conv % 13 == 0, F.lit(None).cast("string")).when(burst, "client_3")
          .otherwise(F.concat(F.lit("client_"), (conv % 7).cast("string"))).alias("client_id"),
         F.when(conv % 26 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("10.0."), (conv % 5).cast("string"), F.lit(".1"))).alias("host"),
@@ -192,12 +193,19 @@ def security_events_from(e: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary labels with a score: ``labels`` joined to ``documents``."""
-    lab = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    doc = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return lab.join(doc, "doc_id").select(
-        F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"),
-        ((F.col("n_chars") % 100).cast("double") / 100).alias("score"))
+    """(id, label_name, label, score): both labels of ``labels``, each with a score in [0, 1] in
+    steps of 1/10000 from the document's letters, as a weak classifier gives."""
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    doc = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def share(letters, text):
+        n = F.length(F.regexp_replace(text, f"[^{letters}]", "")).cast("long")
+        return F.floor(10000 * n / F.greatest(F.length(text), F.lit(1))) / F.lit(10000.0)
+
+    text = F.col("text")
+    of = F.array(F.struct(F.lit("toxic").alias("label_name"), F.col("toxic").cast("int").alias("label"), share("aeiou", F.lower(text)).alias("score")),
+                 F.struct(F.lit("quality").alias("label_name"), F.col("quality").cast("int").alias("label"), share("a-z", text).alias("score")))
+    return lab.join(doc, "doc_id").select(F.col("doc_id").alias("id"), F.inline(of))
 
 
 def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
