@@ -115,6 +115,23 @@ def test_gazetteer(spark):
     assert got[2] == [] and got[3] == []
 
 
+def test_gazetteer_keeps_rows_without_or_with_repeated_ids(spark):
+    from vigilspark.operators.entities import gazetteer_spans
+    entries = [(f"Person{k} Smith", "PERSON") for k in range(400)] + [("London", "GPE")]
+    d = spark.createDataFrame(entries, "entity string, label string")
+    rows = [(None, "Person7 Smith in London"), (None, "Person8 Smith"), (1, "Person9 Smith"), (1, "to London"), (2, None), (3, "Person9 Smith"), (4, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+
+    def read(**how):
+        out = gazetteer_spans(df, "id", "text", d, **how)
+        assert out.columns == ["id", "text", "entity_spans"]
+        return sorted((str(r["id"]), str(r["text"]), [(s["text"], s["type"], s["start"], s["end"]) for s in r["entity_spans"]]) for r in out.collect())
+
+    joined = read()
+    assert joined == read(max_literal_entries=1000) == read(max_broadcast_rows=0)
+    assert len(joined) == len(rows) and joined[-2][2] == [("Person7 Smith", "PERSON", 0, 13), ("London", "GPE", 17, 23)]
+
+
 def test_stored_roc_auc(spark):
     pts = read_roc_json(spark, os.path.join(DATA, "roc_curves.json"))
     auc = {r["label"]: r["auc"] for r in ML.trapezoid_auc(pts).collect()}

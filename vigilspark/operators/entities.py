@@ -56,7 +56,7 @@ def normalized_dictionary(dictionary: DataFrame) -> DataFrame:
 
 def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
                     max_literal_entries: int = 256, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Adds ``entity_spans`` (array<span>) to ``df``; ``id_col`` must be unique.
+    """Adds ``entity_spans`` (array<span>) to ``df``.
 
     An entity matches a run of whole tokens (maximal ``[\\w#]`` runs) equal to
     its own tokens; overlapping matches resolve leftmost, then longest.
@@ -68,7 +68,7 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     plan and the whole operator is one shuffle-free projection.  Larger
     dictionaries use an equi-join of each text's distinct n-grams with the
     dictionary (broadcast only below ``max_broadcast_rows``), and the hits
-    return to their text through a join on the id."""
+    return to their text through a join on its hash."""
     d = normalized_dictionary(dictionary)
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("key", " "))).alias("max_n")).first()
     n_entries, max_n = stats["n"], stats["max_n"] or 0
@@ -109,23 +109,22 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         staged = df.withColumn("_toks", F.regexp_extract_all(t, F.lit(TOKEN), 0))
         staged = staged.withColumn("_hits", positioned(ngram_levels(F.col("_toks")), label_of))
     else:
-        # Hash-partition the texts by id once: the candidate aggregation (per
-        # id) and the join back (on id) then reuse that partitioning, so the
-        # texts shuffle once and the candidates not at all.
-        # (the explicit not-null filter matches the one the join would infer on
-        # one side only, so both branches share one exchange)
-        df = df.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
+        # Hash-partition the texts by their own hash once: the candidate aggregation and the
+        # join back then reuse that partitioning, so the texts shuffle once and the
+        # candidates not at all.  A label belongs to its n-gram, whatever text holds it,
+        # so rows without an id, repeated ids and equal texts are all right.
+        df = df.withColumn("_tk", F.xxhash64(t)).repartition("_tk")
         # candidates from a throw-away tokenization; only the per-row label map
         # travels back to the rows (the token arrays are rebuilt after the join)
-        tok = df.select(F.col(id_col).alias("_id"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
-        cand = tok.select("_id", explode_computed(F.array_distinct(
+        tok = df.select("_tk", F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
+        cand = tok.select("_tk", explode_computed(F.array_distinct(
             F.filter(F.flatten(F.array(*ngram_levels(F.col("_t")))), lambda g: g.isNotNull())), "key")) \
             .where(F.col("key").isNotNull())
         # n_entries was counted above: broadcast only behind that proven bound
         hits = cand.join(F.broadcast(d) if n_entries <= max_broadcast_rows else d, "key")
-        per_row = hits.groupBy("_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("key", "label"))).alias("_labels"))
-        staged = df.join(per_row, df[id_col] == per_row["_id"], "left").drop("_id")
+        per_row = hits.groupBy("_tk").agg(
+            F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
+        staged = df.join(per_row, "_tk", "left").drop("_tk")
         staged = staged.withColumn("_toks", F.when(F.col("_labels").isNotNull(),
                                                     F.regexp_extract_all(t, F.lit(TOKEN), 0)))
         staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
