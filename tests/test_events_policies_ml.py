@@ -132,6 +132,23 @@ def test_gazetteer_keeps_rows_without_or_with_repeated_ids(spark):
     assert len(joined) == len(rows) and joined[-2][2] == [("Person7 Smith", "PERSON", 0, 13), ("London", "GPE", 17, 23)]
 
 
+def test_date_and_time_spans(spark):
+    from vigilspark.operators.entities import add_date_time_spans
+    texts = {
+        "Due 2024-02-29 at 09:05, or 3 May 2023.": [("2024-02-29", "DATE"), ("3 May 2023", "DATE"), ("09:05", "TIME")],
+        "𝒳 on March 21st, 2024 at 7 pm": [("March 21st, 2024", "DATE"), ("7 pm", "TIME")],
+        "Tomorrow, Friday, June 2020": [("Tomorrow", "DATE"), ("Friday", "DATE"), ("June 2020", "DATE")],
+        "12:34:56 and 11:59 PM": [("12:34:56", "TIME"), ("11:59 PM", "TIME")],
+        "2024-13-01, 2024-01-32, v2024-01-01, 24:00, 12:60, 1:23:4, Marching 4, 32 May, id 12-2024-01-01": [],
+        "": [], None: [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: r.date_time_spans for r in add_date_time_spans(df, "text").collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert [(s["text"], s["type"]) for s in got[i]] == want, text
+        assert all(text[s["start"]:s["end"]] == s["text"] for s in got[i])
+
+
 def test_stored_roc_auc(spark):
     pts = read_roc_json(spark, os.path.join(DATA, "roc_curves.json"))
     auc = {r["label"]: r["auc"] for r in ML.trapezoid_auc(pts).collect()}

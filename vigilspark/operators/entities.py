@@ -163,6 +163,28 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         .drop("_toks", "_tend", "_chunks", "_hits", "_cands")
 
 
+_MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|November|December"
+          "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)")
+_DAY = r"(?:3[01]|[12][0-9]|0?[1-9])(?:st|nd|rd|th)?"
+_YEAR = r"(?:,? (?:19|20)[0-9]{2})?"
+_HOUR = r"(?:2[0-3]|[01]?[0-9])"
+DATE_TIME_PATTERNS = [
+    ("DATE", r"(?<![\w-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:3[01]|[12][0-9]|0[1-9])"
+             rf"|{_DAY} {_MONTH}{_YEAR}|{_MONTH} {_DAY}{_YEAR}|{_MONTH} (?:19|20)[0-9]{{2}}"
+             r"|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|[Tt]oday|[Tt]omorrow|[Yy]esterday)(?![\w-])"),
+    ("TIME", rf"(?<![\w:]){_HOUR}(?::[0-5][0-9](?::[0-5][0-9])?(?: ?[AaPp][Mm])?| ?[AaPp][Mm])(?![\w:])"),
+]
+
+
+def add_date_time_spans(df: DataFrame, text_col: str, out: str = "date_time_spans") -> DataFrame:
+    """D3: DATE and TIME spans of ``text_col`` (code points) by a small grammar: ISO dates, day and
+    month in words with or without a year, weekdays, today and its neighbours; clock times of
+    24 or 12 hours.  Column expressions only; concatenate with the gazetteer's spans for all
+    entities.  A null text has none."""
+    found = S.add_pattern_spans(df.withColumn("_dt", F.coalesce(F.col(text_col), F.lit(""))), "_dt", DATE_TIME_PATTERNS, out)
+    return found.drop("_dt")
+
+
 def model_entity_spans(text: Column, model_fn) -> Column:
     """Hook for a statistical NER model: ``model_fn(list[str]) ->
     list[list[(text, label, start, end)]]`` runs once per Arrow batch; labels

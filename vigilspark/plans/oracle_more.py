@@ -161,6 +161,15 @@ ORACLE["gazetteer_spans"] = with_views(["order_notes"], f"""
 SELECT note_id, type, CAST(st AS BIGINT) AS start, CAST(st + length(match) AS BIGINT) AS "end", match
 FROM ({ENTITY_ROWS_SQL})""")
 
+ORACLE["date_time_spans"] = """
+WITH n AS (SELECT o_orderkey AS note_id, length('Order ' || o_orderkey || ' placed ') AS pos,
+                  CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%-d %B %Y')
+                       ELSE strftime(o_orderdate, '%B %-d, %Y') END AS d,
+                  lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS t FROM orders)
+SELECT note_id, 'DATE' AS type, CAST(pos AS BIGINT) AS start, CAST(pos + length(d) AS BIGINT) AS "end", d AS match FROM n WHERE d IS NOT NULL
+UNION ALL
+SELECT note_id, 'TIME', pos + length(d) + 4, pos + length(d) + 9, t FROM n WHERE d IS NOT NULL"""
+
 ORACLE["redact_notes"] = with_views(["order_notes"], """
 SELECT note_id, 'pii_leak' AS threat_type, 'medium' AS severity, CAST(3 AS BIGINT) AS pii_count,
        'PERSON,GPE,LOC' AS matched_types,

@@ -111,6 +111,17 @@ def gazetteer_spans(spark, sf_dir):
         F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
 
 
+@query("date_time_spans")
+def date_time_spans(spark, sf_dir):
+    """D3: DATE and TIME spans of the dated order notes."""
+    from ..operators import entities as EN
+    from ..operators.partitioning import explode_computed
+    n = EN.add_date_time_spans(FX.dated_notes(spark, sf_dir), "text")
+    return n.select("note_id", explode_computed("date_time_spans", "s")).where(F.col("s").isNotNull()).select(
+        "note_id", F.col("s.type").alias("type"), F.col("s.start").cast("long").alias("start"),
+        F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
+
+
 @query("redact_notes")
 def redact_notes(spark, sf_dir):
     """D3 + D4/D6: entity findings first, then patterns; redacted text."""

@@ -232,6 +232,17 @@ def policy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order notes with the order's date in one of three forms, and a time."""
+    o = read_table(spark, sf_dir, "orders")
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    shown = F.when(key % 3 == 0, F.date_format(date, "yyyy-MM-dd")).when(key % 3 == 1, F.date_format(date, "d MMMM yyyy")) \
+        .otherwise(F.date_format(date, "MMMM d, yyyy"))
+    clock = F.concat(F.lpad((key % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((key % 60).cast("string"), 2, "0"))
+    return o.select(key.alias("note_id"), F.concat(F.lit("Order "), key.cast("string"), F.lit(" placed "), shown, F.lit(" at "), clock,
+                                                   F.lit(", lot 2024-99-99")).alias("text"))
+
+
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipping notes rendered from ``orders`` with customer, nation and region
     names (input for entity spans).  Star join: orders x customer shuffles on
