@@ -104,6 +104,43 @@ def test_policy_snapshot(spark):
     assert p["last_updated"] == t + dt.timedelta(seconds=5)
 
 
+def test_policy_snapshot_equals_a_replay_of_random_logs(spark):
+    import random
+    rnd = random.Random(5)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, rnd.choice("pqrst") if rnd.random() < 0.99 else None, rnd.choice(["create", "update", "update", "toggle", None]), rnd.choice(["input", "output"]),
+             rnd.choice(['{"a": %d}' % k, "{bad", None]), rnd.choice([True, False, None]), t + dt.timedelta(seconds=rnd.randint(0, 40))) for k in range(120)]
+    ch = spark.createDataFrame(rows, "change_id long, name string, op string, type string, config string, enabled boolean, ts timestamp_ntz")
+    state, rejected = {}, {}
+    for k, name, op, kind, config, on, ts in sorted(rows, key=lambda r: (r[6], r[0])):
+        good = config is not None and config != "{bad"
+        if op in ("create", "update") and not good:
+            rejected[name] = rejected.get(name, 0) + 1
+        elif op == "create" and name in state:
+            rejected[name] = rejected.get(name, 0) + 1
+        elif op == "create":
+            state[name] = [kind, config, True, ts]
+        elif name in state and op == "update":
+            state[name][1], state[name][3] = config, ts
+        elif name in state and op == "toggle":
+            state[name][2], state[name][3] = True if on is None else on, ts
+    got = {r["name"]: ([r["type"], r["config"], r["enabled"], r["last_updated"]], r["n_rejected"]) for r in PL.policy_snapshot(ch).collect()}
+    assert got == {n: (v, rejected.get(n, 0)) for n, v in state.items()} and len(got) >= 4
+    assert PL.policy_snapshot(ch.limit(0)).count() == 0
+
+
+def test_incident_list_bounds_the_request_side(spark):
+    from vigilspark.operators.dashboard import incident_list
+    i = spark.createDataFrame([(1, 10, "2024-01-30 12:00:00"), (2, 11, "2024-01-30 01:00:00"), (3, None, "2024-01-30 02:00:00")], "id long, request_id long, ts string") \
+        .selectExpr("id", "request_id", "cast(ts as timestamp_ntz) as timestamp", "'jailbreak' as threat_type", "'high' as severity",
+                    "'x' as prompt_snippet", "'y' as action_taken")
+    r = spark.createDataFrame([(10, "2024-01-29 12:00:00", "a"), (11, "2024-01-01 00:00:00", "b")], "id long, ts string, user_id string") \
+        .selectExpr("id", "cast(ts as timestamp_ntz) as timestamp", "user_id")
+    read = lambda **kw: [(x["id"], x["user_id"]) for x in incident_list(i, r, "2024-01-31 00:00:00", **kw).collect()]
+    assert read() == [(1, "a"), (3, None), (2, None)]
+    assert read(max_lag_hours=None) == read(time_range="All Time") == [(1, "a"), (3, None), (2, "b")]
+
+
 def test_gazetteer(spark):
     d = spark.createDataFrame([("Ada Lovelace", "PERSON"), ("London", "GPE"), ("Lon", "GPE")],
                               "entity string, label string")

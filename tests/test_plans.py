@@ -41,6 +41,25 @@ def test_rate_limit_salted(spark):
     q = registry.queries()
     p = _plan(q["rate_limit"](spark, SF_SMALL))
     assert "_salt" in p
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") == 2 and "Union" not in p
+
+
+def test_incident_list_reads_both_sides_in_the_time_range(spark):
+    p = _plan(registry.queries()["incident_list"](spark, SF_SMALL))
+    scans = [x for x in p.split("\n") if "FileScan" in x]
+    assert len(scans) == 2 and all("GreaterThan(ts," in x for x in scans)
+
+
+def test_policy_snapshot_is_one_aggregation(spark):
+    from vigilspark.operators import policies as PL
+    from vigilspark.sources import fixtures as FX
+    tracker = spark.sparkContext.statusTracker()
+    changes = FX.policy_changes(spark, SF_SMALL)
+    spark.sparkContext.setJobGroup("snapshot_plan", "plan only")
+    p = _plan(PL.policy_snapshot(changes))
+    assert list(tracker.getJobIdsForGroup("snapshot_plan")) == []  # no job while the plan is built
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") == 1 and "Join" not in p
 
 
 def test_verdict_filters_keep_plans_small(spark):

@@ -82,9 +82,13 @@ def top_users(requests: DataFrame, as_of: str, hours: int = 24, k: int = 5) -> D
 
 
 def incident_list(incidents: DataFrame, requests: DataFrame, as_of: str, time_range: str = "Last 24 Hours",
-                  severities=("critical", "high"), threats=tuple(THREAT_CHOICES)) -> DataFrame:
+                  severities=("critical", "high"), threats=tuple(THREAT_CHOICES),
+                  max_lag_hours: int | None = 24) -> DataFrame:
     """incidents LEFT JOIN requests, filtered, newest first.  An empty
-    multiselect yields no rows (Q19).  Filters sit below the join."""
+    multiselect yields no rows (Q19).  Filters sit below the join, on both sides:
+    an incident is written while its request is handled, so only requests from
+    ``max_lag_hours`` before the range on are read (None: all; an incident whose
+    request is older has a null user then)."""
     if not severities or not threats:
         return incidents.limit(0).select(
             "id", "timestamp", "threat_type", "severity", "prompt_snippet", "action_taken",
@@ -93,7 +97,9 @@ def incident_list(incidents: DataFrame, requests: DataFrame, as_of: str, time_ra
     i = i.where(F.col("severity").isin(list(severities)) & F.col("threat_type").isin(list(threats)))
     # renamed columns + name-based condition: both sides may come from the same
     # log DataFrame (a self-join), where Dataset column references are ambiguous
-    r = requests.select(F.col("id").alias("_r_id"), F.col("user_id").alias("_r_user_id"))
+    hours = INCIDENT_RANGES_HOURS[time_range]
+    bound = None if hours is None or max_lag_hours is None else hours + max_lag_hours
+    r = _recent(requests, as_of, bound).select(F.col("id").alias("_r_id"), F.col("user_id").alias("_r_user_id"))
     j = i.join(r, F.col("request_id") == F.col("_r_id"), "left")
     return j.select("id", "timestamp", "threat_type", "severity", "prompt_snippet", "action_taken",
                     F.col("_r_user_id").alias("user_id")).orderBy(F.col("timestamp").desc(), F.col("id").desc())

@@ -10,10 +10,9 @@ requests.  Instead the rank is computed in two exact steps:
    be within the group's first ``limit`` rows (every row ahead of it in its
    sub-group is also ahead of it in the group), so it is rejected right away;
 2. the remaining candidates (at most ``limit * salts`` per group) are ranked
-   again per group; their rank there equals their rank in the whole group.
-
-Both windows get Spark's WindowGroupLimit where a filter follows, and the hot
-group is spread over ``salts`` tasks in step 1.
+   again per group; their rank there equals their rank in the whole group.  The
+   rejected rows pass through the same window in their sub-groups, so the whole
+   is one scan and two exchanges, without a union.
 """
 
 from __future__ import annotations
@@ -42,16 +41,15 @@ def rate_limit(df: DataFrame, client_col: str, ts_col: str, id_col: str,
     sub = Window.partitionBy(*key, F.col("_salt")).orderBy(*order)
     ranked = base.withColumn("_sub_rank", F.row_number().over(sub))
 
-    rejected = ranked.where(F.col("_sub_rank") > limit) \
-        .withColumn("rank_in_window", F.lit(None).cast("int")) \
-        .withColumn("allowed", F.lit(False))
-    whole = Window.partitionBy(*key).orderBy(*order)
-    cand = ranked.where(F.col("_sub_rank") <= limit) \
-        .withColumn("_rank", F.row_number().over(whole)) \
-        .withColumn("allowed", F.col("_rank") <= limit) \
-        .withColumn("rank_in_window", F.when(F.col("allowed"), F.col("_rank")).cast("int")) \
-        .drop("_rank")
-    return cand.unionByName(rejected).drop("_salt", "_sub_rank")
+    # candidates of a group meet in part -1, rejected rows stay spread by their salt
+    candidate = F.col("_sub_rank") <= limit
+    parted = ranked.withColumn("_part", F.when(candidate, F.lit(-1)).otherwise(F.col("_salt")))
+    whole = Window.partitionBy(*key, F.col("_part")).orderBy(*order)
+    done = parted.withColumn("_rank", F.row_number().over(whole))
+    allowed = candidate & (F.col("_rank") <= limit)
+    return done.withColumn("allowed", allowed) \
+        .withColumn("rank_in_window", F.when(allowed, F.col("_rank")).cast("int")) \
+        .drop("_salt", "_sub_rank", "_part", "_rank")
 
 
 def rate_limit_exact_window(df: DataFrame, client_col: str, ts_col: str, id_col: str,

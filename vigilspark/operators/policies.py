@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from .joins import bounded_rows, guarded_broadcast
+from .joins import bounded_rows
 from .partitioning import explode_computed
 
 INLINE_BYTES = 1 << 20  # patterns put into the scan as an expression, together
@@ -137,30 +137,26 @@ def policy_snapshot(changes: DataFrame) -> DataFrame:
     (change_id, name, op create/update/toggle, type, config, enabled, ts).
 
     The first create with valid JSON defines the policy; later creates of the
-    name are rejected as duplicates, invalid JSON is rejected; updates change
-    the config, toggles the enabled flag, each only after the create.  All in
-    two aggregations keyed by name (partial aggregation absorbs hot names) and
-    one join of the changes with the per-name create row."""
+    name (repeats of the first row too) are rejected as duplicates, invalid JSON is
+    rejected; updates change the config, toggles the enabled flag, each only after
+    the create.  The last update or toggle of a name counts if it stands after the
+    name's create, so one aggregation by name is enough (partial aggregation
+    absorbs hot names); equal (ts, change_id) go by the larger value."""
     valid_json = F.try_parse_json("config").isNotNull()
-    order = F.struct("ts", "change_id")
-    creates = changes.where((F.col("op") == "create") & valid_json).groupBy("name").agg(
-        F.min_by(F.struct("type", "config", "ts", "change_id"), order).alias("c"))
-    # one row per policy name: broadcast behind a counted bound, else shuffle
-    c = changes.join(guarded_broadcast(creates), "name", "left")
-    after = F.col("c").isNotNull() & (order > F.struct(F.col("c.ts"), F.col("c.change_id")))
-    upd = after & (F.col("op") == "update") & valid_json
-    tog = after & (F.col("op") == "toggle")
-    rejected = ((F.col("op") == "create") & ~valid_json) | \
-        ((F.col("op") == "create") & after) | ((F.col("op") == "update") & ~valid_json)
-    agg = c.groupBy("name").agg(
-        F.first("c", ignorenulls=True).alias("c"),
-        F.max_by(F.col("config"), F.when(upd, order)).alias("upd_config"),
-        F.max_by(F.col("enabled"), F.when(tog, order)).alias("tog_enabled"),
-        F.max(F.when(upd | tog, F.col("ts"))).alias("last_change"),
-        F.count_if(rejected).alias("n_rejected"))
+    op = F.col("op")
+    at = [F.col("ts"), F.col("change_id")]
+    made, edit, switch = (op == "create") & valid_json, (op == "update") & valid_json, op == "toggle"
+    agg = changes.groupBy("name").agg(
+        F.min(F.when(made, F.struct(*at, "type", "config"))).alias("c"),
+        F.max(F.when(edit, F.struct(*at, "config"))).alias("u"),
+        F.max(F.when(switch, F.struct(*at, "enabled"))).alias("t"),
+        (F.count_if(op.isin("create", "update") & ~valid_json) + F.count_if(made) - 1).alias("n_rejected"))
+    created = F.struct("c.ts", "c.change_id")
+    upd = F.when(F.struct("u.ts", "u.change_id") > created, F.col("u"))
+    tog = F.when(F.struct("t.ts", "t.change_id") > created, F.col("t"))
     return agg.where(F.col("c").isNotNull()).select(
         "name", F.col("c.type").alias("type"),
-        F.coalesce("upd_config", F.col("c.config")).alias("config"),
-        F.coalesce("tog_enabled", F.lit(True)).alias("enabled"),
-        F.greatest(F.col("c.ts"), F.coalesce("last_change", F.col("c.ts"))).alias("last_updated"),
+        F.coalesce(upd["config"], F.col("c.config")).alias("config"),
+        F.coalesce(tog["enabled"], F.lit(True)).alias("enabled"),
+        F.greatest(F.col("c.ts"), upd["ts"], tog["ts"]).alias("last_updated"),
         "n_rejected")
