@@ -39,3 +39,17 @@ def test_views_conform_to_schemas_and_domains(spark):
     assert SC.domain_violations(rq, {"status": SC.REQUEST_STATUSES}).count() == 0
     inc = EV.incidents_from_events(ev)
     assert [f.name for f in inc.schema.fields] == [f.name for f in SC.INCIDENTS.fields]
+
+
+def test_rule_prompts_reach_every_rule_and_tangled_texts_overlap(spark):
+    from vigilspark.functions import rules
+    from vigilspark.operators.outbound import outbound_scan
+    from vigilspark.plans.registry import queries
+    from vigilspark.sources import fixtures as FX
+    from .conftest import SF_ORACLE
+    got = {(r["threat"], r["rule"]) for r in queries()["inbound_rules"](spark, SF_ORACLE).select("threat", "rule").distinct().collect()}
+    assert got == {(t, p) for t, ps in rules.RULE_SETS.items() for p in ps}
+    df = spark.createDataFrame(list(enumerate(FX.TANGLED_TEXTS)), "id int, text string")
+    for r in outbound_scan(df, "text").collect():
+        spans = sorted((f["start"], f["end"]) for f in r["findings"])
+        assert any(b[0] < a[1] for a, b in zip(spans, spans[1:])), r["text"]

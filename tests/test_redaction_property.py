@@ -102,3 +102,35 @@ def test_chunked_stitch_crosses_chunk_boundaries(spark, batch):
         S.TEXT_CHUNK = old
     for i, t, sp in rows:
         assert got[i] == model_faithful(t, [(x["text"], x["type"], x["start"], x["end"]) for x in sp]), t
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(cases(), min_size=150, max_size=150))
+def test_staged_merge_matches_model(spark, batch):
+    import vigilspark.functions.spans as S
+    rows = [(i, t, [{"text": s[0], "type": s[1], "start": s[2], "end": s[3]} for s in sp]) for i, (t, sp) in enumerate(batch)]
+    df = spark.createDataFrame(rows + [(-1, "x", None)], f"id int, text string, spans {SPANS_TYPE.simpleString()}")
+    whole, S.PREFIX_CHUNK = S.PREFIX_CHUNK, 2  # unions cross the chunks of the running maximum
+    try:
+        out = S.add_merged_spans(df, "spans", "m")
+        assert out.columns == ["id", "text", "spans", "m"]
+        got = {r["id"]: (r["m"], r["x"]) for r in out.withColumn("x", redact(F.col("text"), F.col("m"))).collect()}
+    finally:
+        S.PREFIX_CHUNK = whole
+    assert got[-1][0] is None
+    for i, (t, sp) in enumerate(batch):
+        assert got[i][1] == model_merged(t, sp), (t, sp)
+        assert all(a["end"] <= b["start"] for a, b in zip(got[i][0], got[i][0][1:]))
+
+
+def test_merge_of_many_overlapping_spans(spark):
+    import time
+    import vigilspark.functions.spans as S
+    n = 60_000  # one chain of overlaps, then a gap
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        F.lit(None).cast("string").alias("text"), F.lit("url").alias("type"), (i * 3).cast("int").alias("start"), (i * 3 + 5).cast("int").alias("end"))).alias("spans"))
+    extra = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit("ssn").alias("type"), F.lit(n * 4).alias("start"), F.lit(n * 4 + 2).alias("end")))
+    t0 = time.time()
+    m = S.add_merged_spans(df.withColumn("spans", F.concat(extra, "spans")), "spans", "m").first()["m"]
+    assert [(s["type"], s["start"], s["end"]) for s in m] == [("url", 0, (n - 1) * 3 + 5), ("ssn", n * 4, n * 4 + 2)]
+    assert time.time() - t0 < 60

@@ -89,32 +89,37 @@ def _segment_lengths(matches: Column, gaps: Column) -> Column:
     return F.when(gaps.isNull(), F.array().cast("array<int>")).otherwise(lens)
 
 
-def _inclusive_fold(arr: Column) -> Column:
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _inclusive_fold(arr: Column, combine=_add) -> Column:
     return F.aggregate(arr, F.array().cast("array<int>"), lambda acc, x: F.concat(
-        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+        acc, F.array(combine(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x))))
 
 
-def _add_chunked_ends(df: DataFrame, lens_col: str, tag: str):
+def _add_chunked_ends(df: DataFrame, lens_col: str, tag: str, combine=_add):
     """``lens_col``: array (one per pattern) of arrays of segment lengths.
-    Adds the matching array of arrays of running end offsets."""
+    Adds the matching array of arrays of running end offsets; with
+    ``combine=F.greatest``, of running maxima (of values from 0 on)."""
     loc, off, ends = f"__loc_{tag}", f"__off_{tag}", f"__ends_{tag}"
     C = PREFIX_CHUNK
 
     def local(lens):
         n_chunks = F.ceil(F.size(lens) / F.lit(C)).cast("int")
         chunks = F.transform(F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))),
-                             lambda k: _inclusive_fold(F.slice(lens, k * C + 1, C)))
+                             lambda k: _inclusive_fold(F.slice(lens, k * C + 1, C), combine))
         return F.when(F.size(lens) == 0, F.array().cast("array<array<int>>")).otherwise(chunks)
 
     def exclusive_offsets(chunks):
-        incl = _inclusive_fold(F.transform(chunks, lambda ch: F.element_at(ch, -1)))
+        incl = _inclusive_fold(F.transform(chunks, lambda ch: F.element_at(ch, -1)), combine)
         return F.when(F.size(chunks) <= 1, F.array_repeat(F.lit(0), F.size(chunks))).otherwise(
             F.concat(F.array(F.lit(0)), F.slice(incl, 1, F.size(chunks) - 1)))
 
     df = df.withColumn(loc, F.transform(F.col(lens_col), local))
     df = df.withColumn(off, F.transform(F.col(loc), exclusive_offsets))
     shifted = F.zip_with(F.col(loc), F.col(off), lambda chunks, offs: F.flatten(F.zip_with(
-        chunks, offs, lambda ch, o: F.transform(ch, lambda x: x + o))))
+        chunks, offs, lambda ch, o: F.transform(ch, lambda x: combine(x, o)))))
     df = df.withColumn(ends, shifted)
     return df.drop(loc, off), ends
 
@@ -255,6 +260,33 @@ def redact_merged(text: Column, spans: Column) -> Column:
     return redact(text, as_spans)
 
 
+def add_merged_spans(df: DataFrame, spans_col: str, out_col: str) -> DataFrame:
+    """D5, staged: adds ``out_col`` = the unions of overlapping spans, as spans
+    (text null, the type of the first, widest one).  A sweep over the spans by
+    start: one begins a new union where its start is at or behind the running
+    maximum of the ends before it.  The maxima are taken in chunks, so the cost
+    grows with the number of spans; null spans give null."""
+    tag = out_col.replace(".", "_")
+    by_start, top, heads = f"__by_{tag}", f"__top_{tag}", f"__heads_{tag}"
+    keyed = F.transform(F.col(spans_col), lambda s, i: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("neg_end"), i.alias("o"), s["end"].alias("end"), s["type"].alias("type")))
+    df = df.withColumn(by_start, F.array_sort(keyed))
+    df = df.withColumn(top, F.array(F.transform(F.col(by_start), lambda s: s["end"])))
+    df, ends_col = _add_chunked_ends(df, top, tag, F.greatest)
+    df = df.withColumn(top, F.element_at(F.col(ends_col), 1)).drop(ends_col)
+    spans, high, n = F.col(by_start), F.col(top), F.size(by_start)
+    # positions (from 1) of the spans that begin a union
+    begins = F.filter(F.transform(spans, lambda s, i: F.when(
+        (i == 0) | (s["start"] >= F.try_element_at(high, F.greatest(i, F.lit(1)))), i + 1)), lambda i: i.isNotNull())
+    df = df.withColumn(heads, begins)
+    first = F.col(heads)
+    unions = F.transform(first, lambda h, k: F.struct(
+        F.lit(None).cast("string").alias("text"), F.element_at(spans, h)["type"].alias("type"),
+        F.element_at(spans, h)["start"].alias("start"),
+        F.element_at(high, F.coalesce(F.try_element_at(first, k + 2) - 1, n)).alias("end")))
+    return df.withColumn(out_col, unions).drop(by_start, top, heads)
+
+
 def preview(c: Column, n: int = 50) -> Column:
     """First n characters plus '...' when longer (finding preview, B7)."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)

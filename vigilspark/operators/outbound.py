@@ -45,13 +45,12 @@ def outbound_scan(df: DataFrame, text_col: str = "text", redact: bool = True,
     clean = (sec_count == 0) & (pii_count == 0) & ~excessive
 
     if merge_overlaps:
-        redacted = S.redact_merged(t, F.col("findings"))
-    else:
-        # the sorted spans and the text chunks are staged once per row
-        need = F.lit(redact) & (n_all > 0)
-        staged = staged.withColumn("_ord", F.when(need, S.sorted_for_redaction(F.col("findings")))) \
-            .withColumn("_chunks", F.when(need, S.text_chunks(t)))
-        redacted = S.redact_sorted(t, F.col("_ord"), F.col("_chunks"))
+        staged = S.add_merged_spans(staged, "findings", "_merged")
+    # the sorted spans and the text chunks are staged once per row
+    need = F.lit(redact) & (n_all > 0)
+    staged = staged.withColumn("_ord", F.when(need, S.sorted_for_redaction(F.col("_merged" if merge_overlaps else "findings")))) \
+        .withColumn("_chunks", F.when(need, S.text_chunks(t)))
+    redacted = S.redact_sorted(t, F.col("_ord"), F.col("_chunks"))
     sanitized = (F.when(clean, t)
                  .when(F.lit(redact) & (n_all > 0), redacted)
                  .otherwise(F.lit(None).cast("string")))

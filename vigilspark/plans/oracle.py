@@ -105,6 +105,25 @@ FROM (
     return "\nUNION ALL\n".join(parts)
 
 
+# Unions of overlapping spans by a running maximum of ends, then the text between them
+_TPL = "CASE type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in rules.REDACTION_TEMPLATES.items()) + f" ELSE {q(rules.DEFAULT_TEMPLATE)} END"
+_RANK = "CASE type " + " ".join(f"WHEN {q(n)} THEN {k}" for k, (n, _) in enumerate(ALL)) + " END"
+ORACLE["redact_overlaps"] = with_views(["tangled_responses"], """
+SELECT t.id AS doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_findings,
+       CASE WHEN r.n IS NULL THEN t.text ELSE r.head || substring(t.text, CAST(r.upto AS BIGINT) + 1) END AS final_text
+FROM tangled_responses t LEFT JOIN (
+  SELECT u.doc_id, sum(n) AS n, max(e) AS upto,
+         string_agg(substring(t2.text, CAST(before AS BIGINT) + 1, CAST(s - before AS BIGINT)) || tpl, '' ORDER BY s) AS head
+  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM unions) u
+  JOIN tangled_responses t2 ON t2.id = u.doc_id GROUP BY u.doc_id) r ON r.doc_id = t.id""", extra=[
+    ("spans", _spans_sql("tangled_responses", ALL)),
+    ("swept", f"""SELECT *, {_RANK} AS rk, {_TPL} AS tpl,
+       coalesce(start >= max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, {_RANK}
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS fresh FROM spans"""),
+    ("grouped", """SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, rk) AS g FROM swept"""),
+    ("unions", """SELECT doc_id, g, count(*) AS n, min(start) AS s, max("end") AS e, arg_min(tpl, start * 1000000 - "end" + rk / 100.0) AS tpl
+                  FROM grouped GROUP BY doc_id, g""")])
+
 ORACLE["pii_spans"] = with_views(["responses"], _spans_sql("responses", PII))
 ORACLE["secret_spans"] = with_views(["responses"], _spans_sql("responses", SEC))
 
@@ -187,6 +206,26 @@ SELECT request_id, passed, threat_type, {SEVERITY_SQL} AS severity, confidence,
   CASE WHEN passed THEN NULL ELSE CAST((ni > 0)::INT + (nj > 0)::INT + (ne > 0)::INT AS BIGINT) END AS rule_detections
 FROM s""", extra=[("s", inbound_cte("prompts", "prompt"))])
 
+ORACLE["inbound_rules"] = with_views(["rule_prompts"], "\nUNION ALL\n".join(
+    f"SELECT request_id, {q(f)} AS threat, {q(p)} AS rule FROM rule_prompts WHERE regexp_matches(prompt, {q(rules.re2_regex(p, True))})"
+    for f, pats in rules.RULE_SETS.items() for p in pats))
+
+_ML_WINS = "ml_prediction IS NOT NULL AND (rules_passed OR ml_confidence > rule_confidence)"
+ORACLE["ml_verdicts"] = with_views(["rule_prompts"], f"""
+SELECT request_id, passed, threat_type, {SEVERITY_SQL} AS severity, confidence, matched, all_threats, ml_prediction,
+       CASE WHEN passed THEN NULL ELSE rule_families END AS rule_detections
+FROM (SELECT request_id, ml_prediction, rule_families, rules_passed AND ml_prediction IS NULL AS passed,
+             CASE WHEN {_ML_WINS} THEN ml_prediction ELSE rule_threat END AS threat_type,
+             CASE WHEN {_ML_WINS} THEN ml_confidence ELSE rule_confidence END AS confidence,
+             CASE WHEN {_ML_WINS} THEN {q(rules.ML_PATTERN_LABEL)} ELSE array_to_string(primary_patterns, ' ;; ') END AS matched,
+             array_to_string(list_filter([CASE WHEN ni > 0 THEN 'prompt_injection' END, CASE WHEN nj > 0 THEN 'jailbreak' END,
+                                          CASE WHEN ne > 0 THEN 'data_exfiltration' END, ml_prediction], lambda x: x IS NOT NULL), ',') AS all_threats
+      FROM (SELECT *, threat_type AS rule_threat, confidence AS rule_confidence, passed AS rules_passed,
+                   CAST((ni > 0)::INT + (nj > 0)::INT + (ne > 0)::INT AS BIGINT) AS rule_families,
+                   CASE WHEN use_ml AND ml_malicious AND ml_confidence >= 0.8 THEN 'prompt_injection'
+                        WHEN use_ml AND ml_malicious AND ml_confidence >= 0.6 THEN 'jailbreak' END AS ml_prediction
+            FROM s))""", extra=[("s", inbound_cte("rule_prompts", "prompt"))])
+
 ORACLE["blocked_prompts"] = with_views(["prompts"], f"""
 SELECT request_id, client_id, threat_type, {SEVERITY_SQL} AS severity
 FROM s WHERE NOT passed""", extra=[("s", inbound_cte("prompts", "prompt"))])

@@ -147,6 +147,11 @@ SELECT name, type, enabled, coalesce(json_valid(config), FALSE) AS config_valid,
        CASE WHEN json_valid(config) THEN TRY_CAST(json_extract(config, '$.threshold') AS DOUBLE) END AS threshold
 FROM ({SNAPSHOT_SQL})""")
 
+ORACLE["policy_texts"] = with_views(["policy_changes"], """
+SELECT change_id, coalesce(json_valid(config), FALSE) AS config_valid,
+       CASE WHEN json_valid(config) THEN '{' || chr(10) || '  ' || config[2:-2] || chr(10) || '}' ELSE config END AS config_display
+FROM policy_changes""")
+
 # ------------------------------------------------------------- entities
 
 _PERSON_START = "length('Order ' || CAST(o_orderkey AS VARCHAR) || ' for ')"

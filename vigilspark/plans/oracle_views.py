@@ -48,6 +48,22 @@ SELECT doc_id AS id,
        lang, source
 FROM documents"""
 
+VIEWS["tangled_responses"] = f"""
+SELECT doc_id AS id,
+       CASE WHEN doc_id % 4 = 0
+            THEN ({sql_list(FX.TANGLED_TEXTS)})[1 + (doc_id // 4) % {len(FX.TANGLED_TEXTS)}] || ' ' || coalesce(text, '') || ' '
+                 || ({sql_list(FX.TANGLED_TEXTS)})[1 + (doc_id // 4 + 3) % {len(FX.TANGLED_TEXTS)}]
+            ELSE text END AS text
+FROM documents"""
+
+VIEWS["rule_prompts"] = f"""
+SELECT conv_id * 1000 + turn AS request_id,
+       CASE WHEN (conv_id * 7 + turn) % {len(FX.RULE_PHRASES) + 1} = {len(FX.RULE_PHRASES)} THEN text
+            ELSE ({sql_list(FX.RULE_PHRASES)})[1 + (conv_id * 7 + turn) % {len(FX.RULE_PHRASES) + 1}] || '. ' || coalesce(text, '') END AS prompt,
+       (conv_id + turn) % 5 <> 0 AS use_ml, conv_id % 3 <> 0 AS ml_malicious,
+       CAST((conv_id * 13 + turn) % 101 AS DOUBLE) / 100 AS ml_confidence
+FROM conversations WHERE role = 'user'"""
+
 VIEWS["pairs"] = f"""
 SELECT u.conv_id AS conv_id, u.turn AS turn,
        CASE WHEN (u.conv_id + u.turn) % 3 = 0

@@ -59,6 +59,13 @@ def redact_merged(spark, sf_dir):
     return s.select(F.col("id").alias("doc_id"), "final_text")
 
 
+@query("redact_overlaps")
+def redact_overlaps(spark, sf_dir):
+    """Merged redaction of texts whose findings nest, chain or start together."""
+    s = OB.outbound_scan(FX.tangled_responses(spark, sf_dir), "text", merge_overlaps=True)
+    return s.select(F.col("id").alias("doc_id"), F.size("findings").cast("long").alias("n_findings"), "final_text")
+
+
 @query("outbound_scan")
 def outbound_scan_q(spark, sf_dir):
     """Verdict, message, finding types and the first-10 previews."""
@@ -141,6 +148,29 @@ def inbound_scan_q(spark, sf_dir):
                     F.col("rule_detections").cast("long").alias("rule_detections"))
 
 
+@query("inbound_rules")
+def inbound_rules(spark, sf_dir):
+    """One row per prompt and rule that matches it; the view reaches all 30 rules."""
+    s = IB.inbound_scan(FX.rule_prompts(spark, sf_dir), "prompt")
+
+    def rows(family, col):
+        return F.transform(col, lambda p: F.struct(F.lit(family).alias("threat"), p.alias("rule")))
+
+    found = F.concat(rows("prompt_injection", "injection_patterns"), rows("jailbreak", "jailbreak_patterns"),
+                     rows("data_exfiltration", "exfiltration_patterns"))
+    from ..operators.partitioning import explode_computed
+    return s.select("request_id", explode_computed(found, "m")).where(F.col("m").isNotNull()).select("request_id", "m.threat", "m.rule")
+
+
+@query("ml_verdicts")
+def ml_verdicts(spark, sf_dir):
+    """The classifier's verdict (a fixed score column) as fourth candidate beside the rules."""
+    s = IB.inbound_scan(FX.rule_prompts(spark, sf_dir), "prompt", use_ml=F.col("use_ml"), ml_malicious_col="ml_malicious",
+                        ml_confidence_col="ml_confidence", ml_available=True)
+    return s.select("request_id", "passed", "threat_type", "severity", "confidence", F.array_join("matched_patterns", " ;; ").alias("matched"),
+                    F.array_join("all_threats", ",").alias("all_threats"), "ml_prediction", F.col("rule_detections").cast("long").alias("rule_detections"))
+
+
 @query("blocked_prompts")
 def blocked_prompts_q(spark, sf_dir):
     """Prompts that would be blocked (failed verdict, blocking on)."""

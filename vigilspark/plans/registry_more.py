@@ -94,6 +94,14 @@ def policies_scan(spark, sf_dir):
                     F.col("config_parsed.threshold").alias("threshold"))
 
 
+@query("policy_texts")
+def policy_texts(spark, sf_dir):
+    """A4: the text shown for every config of the change log: indented, or as it is where it is no JSON."""
+    from ..operators import policies as PL
+    d = PL.decode_policies(FX.policy_changes(spark, sf_dir))
+    return d.select("change_id", "config_valid", "config_display")
+
+
 # ------------------------------------------------------------- entities (D3)
 
 def _notes_with_entities(spark, sf_dir):
