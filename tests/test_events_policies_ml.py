@@ -152,6 +152,30 @@ def test_gazetteer(spark):
     assert got[2] == [] and got[3] == []
 
 
+def test_key_filter_keeps_every_key_and_prunes_others(spark):
+    from vigilspark.operators.entities import key_filter, may_hold
+    d = spark.range(2000).select(F.concat(F.lit("key "), F.col("id").cast("string")).alias("key"))
+    words = key_filter(d, 1 << 16)
+    assert words.count() == 1 and len(words.first()["words"]) == 1024
+    assert d.where(may_hold(F.col("key"), words.scalar(), 1 << 16)).count() == 2000
+    other = spark.range(2000, 22000).select(F.concat(F.lit("key "), F.col("id").cast("string")).alias("key"))
+    assert other.where(may_hold(F.col("key"), words.scalar(), 1 << 16)).count() < 1200  # about 3 %
+    assert d.where(may_hold(F.col("key"), key_filter(d.limit(0), 64).scalar(), 64)).count() == 0
+
+
+def test_gazetteer_plan_is_the_same_at_every_dictionary_size(spark):
+    import re
+    t = spark.createDataFrame([(1, "entry 7 here"), (2, "none")], "id long, text string")
+
+    def of(n):
+        d = spark.range(n).select(F.concat(F.lit("entry "), F.col("id").cast("string")).alias("entity"), F.lit("ORG").alias("label"))
+        out = gazetteer_spans(t, "id", "text", d, max_words=2)
+        assert [[s["text"] for s in r["entity_spans"]] for r in out.orderBy("id").collect()] == [["entry 7"], []]
+        return re.findall(r"^[ :+-]*\w+", out._jdf.queryExecution().optimizedPlan().toString(), flags=re.M)
+
+    assert of(10) == of(100_000)
+
+
 def test_gazetteer_keeps_rows_without_or_with_repeated_ids(spark):
     from vigilspark.operators.entities import gazetteer_spans
     entries = [(f"Person{k} Smith", "PERSON") for k in range(400)] + [("London", "GPE")]
@@ -165,7 +189,7 @@ def test_gazetteer_keeps_rows_without_or_with_repeated_ids(spark):
         return sorted((str(r["id"]), str(r["text"]), [(s["text"], s["type"], s["start"], s["end"]) for s in r["entity_spans"]]) for r in out.collect())
 
     joined = read()
-    assert joined == read(max_literal_entries=1000) == read(max_broadcast_rows=0)
+    assert joined == read(bits=64) == read(max_words=4)  # a filter that lets all through; longer n-grams than there are
     assert len(joined) == len(rows) and joined[-2][2] == [("Person7 Smith", "PERSON", 0, 13), ("London", "GPE", 17, 23)]
 
 
@@ -260,7 +284,7 @@ def test_seed_keeps_existing_policies(spark):
     assert PL.seed_if_empty(spark, empty, "2024-01-31 00:00:00").count() == 3
 
 
-def test_gazetteer_literal_and_join_paths_agree(spark):
+def test_gazetteer_with_and_without_pruning_agree(spark):
     d = spark.createDataFrame([("Ada Lovelace", "PERSON"), ("Ada", "PERSON"), ("London", "GPE"),
                                ("MIDDLE EAST", "LOC"), ("EAST", "LOC")], "entity string, label string")
     t = spark.createDataFrame([(1, "Ada Lovelace met Ada in London."), (2, "MIDDLE EAST, then EAST; MIDDLE-EAST"),
@@ -270,7 +294,7 @@ def test_gazetteer_literal_and_join_paths_agree(spark):
         return {r["id"]: [(s["text"], s["type"], s["start"], s["end"]) for s in r["entity_spans"]]
                 for r in gazetteer_spans(t, "id", "text", d, **kw).collect()}
 
-    literal, joined = spans(), spans(max_literal_entries=0)
+    literal, joined = spans(), spans(bits=64)
     assert literal == joined
     assert literal[1] == [("Ada Lovelace", "PERSON", 0, 12), ("Ada", "PERSON", 17, 20), ("London", "GPE", 24, 30)]
     # leftmost-longest: "MIDDLE EAST" wins over "EAST"; tokens may be joined by any separator

@@ -3,10 +3,11 @@
 The reference runs a statistical NER model per response.  Here entities come
 from a dictionary (entity text -> label) that may be as large as a table:
 
-1. candidate phase: each text's word n-grams (n up to the longest entry) are
-   looked up in the dictionary — hashed IN-set literals when the dictionary
-   is proven small (no shuffle), else an equi-join (broadcast only below a
-   proven bound, otherwise shuffled);
+1. candidate phase: each text's distinct word n-grams (n up to the longest
+   entry) pass a Bloom filter of the dictionary's keys (one bit array of fixed
+   size, a scalar subquery of the same plan), and what is left is equi-joined
+   with the dictionary.  The plan is the same for ten entries and for millions;
+   no size is counted and nothing is broadcast by hint;
 2. span phase: offsets from prefix sums over the staged token and gap
    arrays; overlaps resolve leftmost-longest.  No Python runs per row.
 
@@ -54,8 +55,31 @@ def normalized_dictionary(dictionary: DataFrame) -> DataFrame:
     return d.groupBy("key").agg(F.min("label").alias("label"))
 
 
+BLOOM_BITS = 1 << 20  # 128 KB; the filter lets about 1 % through at 10,000 keys, all at many millions
+
+
+def _bit_of(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def key_filter(dictionary: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+    """One row, one array of ``bits`` / 64 longs: the bits of the hashes of ``key``."""
+    at = _bit_of(F.col("key"), bits)
+    marks = dictionary.select(at.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("mark"))
+    empty = dictionary.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mark"))
+    words = marks.unionByName(empty).groupBy("word").agg(F.bit_or("mark").alias("mark"))
+    return words.agg(F.array_sort(F.collect_list(F.struct("word", "mark"))).alias("w")).select(F.transform("w", lambda x: x["mark"]).alias("words"))
+
+
+def may_hold(key: Column, words: Column, bits: int = BLOOM_BITS) -> Column:
+    """Whether ``key`` can be among the keys of ``key_filter``; false for none of them."""
+    at = _bit_of(key, bits)
+    word = F.element_at(words, (F.floor(at / 64) + 1).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+
+
 def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
-                    max_literal_entries: int = 256, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    max_words: int | None = None, bits: int = BLOOM_BITS) -> DataFrame:
     """Adds ``entity_spans`` (array<span>) to ``df``.
 
     An entity matches a run of whole tokens (maximal ``[\\w#]`` runs) equal to
@@ -63,15 +87,14 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     Offsets come from the staged token/gap arrays (prefix sums), so no
     per-row pattern is compiled.
 
-    Dictionary lookup: when the dictionary is proven to hold at most
-    ``max_literal_entries`` keys, it becomes hashed IN-set literals in the
-    plan and the whole operator is one shuffle-free projection.  Larger
-    dictionaries use an equi-join of each text's distinct n-grams with the
-    dictionary (broadcast only below ``max_broadcast_rows``), and the hits
-    return to their text through a join on its hash."""
+    ``max_words`` is the number of tokens of the longest entry; None measures it
+    by one aggregate over the dictionary (it sets how many n-gram sizes the plan
+    has).  The labels of a text's n-grams return to it through a join on the
+    text's hash: a label belongs to its n-gram, whatever text holds it, so rows
+    without an id, repeated ids and equal texts are all right.  Null texts and an
+    empty dictionary give no spans."""
     d = normalized_dictionary(dictionary)
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("key", " "))).alias("max_n")).first()
-    n_entries, max_n = stats["n"], stats["max_n"] or 0
+    max_n = max_words or d.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
     if max_n == 0:
         return df.withColumn("entity_spans", S.empty_spans())
 
@@ -94,42 +117,18 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         per_level = [F.transform(lv, at_level(n)) for n, lv in enumerate(levels, start=1)]
         return F.filter(F.flatten(F.array(*per_level)), lambda h: h["label"].isNotNull())
 
-    if n_entries <= max_literal_entries:
-        by_label: dict[str, list[str]] = {}
-        for r in d.collect():  # proven small: at most max_literal_entries rows
-            by_label.setdefault(r["label"], []).append(r["key"])
-
-        def label_of(g):
-            out = None
-            for lab in sorted(by_label):
-                out = F.when(g.isin(by_label[lab]), F.lit(lab)) if out is None else \
-                    out.when(g.isin(by_label[lab]), F.lit(lab))
-            return out
-
-        staged = df.withColumn("_toks", F.regexp_extract_all(t, F.lit(TOKEN), 0))
-        staged = staged.withColumn("_hits", positioned(ngram_levels(F.col("_toks")), label_of))
-    else:
-        # Hash-partition the texts by their own hash once: the candidate aggregation and the
-        # join back then reuse that partitioning, so the texts shuffle once and the
-        # candidates not at all.  A label belongs to its n-gram, whatever text holds it,
-        # so rows without an id, repeated ids and equal texts are all right.
-        df = df.withColumn("_tk", F.xxhash64(t)).repartition("_tk")
-        # candidates from a throw-away tokenization; only the per-row label map
-        # travels back to the rows (the token arrays are rebuilt after the join)
-        tok = df.select("_tk", F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
-        cand = tok.select("_tk", explode_computed(F.array_distinct(
-            F.filter(F.flatten(F.array(*ngram_levels(F.col("_t")))), lambda g: g.isNotNull())), "key")) \
-            .where(F.col("key").isNotNull())
-        # n_entries was counted above: broadcast only behind that proven bound
-        hits = cand.join(F.broadcast(d) if n_entries <= max_broadcast_rows else d, "key")
-        per_row = hits.groupBy("_tk").agg(
-            F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
-        staged = df.join(per_row, "_tk", "left").drop("_tk")
-        staged = staged.withColumn("_toks", F.when(F.col("_labels").isNotNull(),
-                                                    F.regexp_extract_all(t, F.lit(TOKEN), 0)))
-        staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
-            positioned(ngram_levels(F.col("_toks")), lambda g: F.try_element_at(F.col("_labels"), g)))) \
-            .drop("_labels")
+    # candidates from a throw-away tokenization; only the text's label map travels back
+    # to the rows (the token arrays are rebuilt after the join)
+    tok = df.select(F.xxhash64(t).alias("_tk"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
+    grams = tok.select("_tk", explode_computed(F.array_distinct(
+        F.filter(F.flatten(F.array(*ngram_levels(F.col("_t")))), lambda g: g.isNotNull())), "key"))
+    cand = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(d, bits).scalar(), bits))
+    per_text = cand.join(d, "key").groupBy("_tk").agg(F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
+    staged = df.withColumn("_tk", F.xxhash64(t)).join(per_text, "_tk", "left").drop("_tk")
+    staged = staged.withColumn("_toks", F.when(F.col("_labels").isNotNull(), F.regexp_extract_all(t, F.lit(TOKEN), 0)))
+    staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
+        positioned(ngram_levels(F.col("_toks")), lambda g: F.try_element_at(F.col("_labels"), g)))) \
+        .drop("_labels")
 
     # token end offsets (chunked prefix sums) and text chunks, only for rows with hits
     has = F.size("_hits") > 0
