@@ -153,7 +153,7 @@ def test_gazetteer(spark):
 
 
 def test_key_filter_keeps_every_key_and_prunes_others(spark):
-    from vigilspark.operators.entities import key_filter, may_hold
+    from vigilspark.operators.joins import key_filter, may_hold
     d = spark.range(2000).select(F.concat(F.lit("key "), F.col("id").cast("string")).alias("key"))
     words = key_filter(d, 1 << 16)
     assert words.count() == 1 and len(words.first()["words"]) == 1024
@@ -344,6 +344,28 @@ def test_policy_match_counts_equal_pattern_rows_on_both_paths(spark):
         assert got == [(1, "p", 0, "SSN")] * 4 + [(1, "p", 1, "an")] * 2
 
 
+def test_policy_match_of_many_patterns_with_a_common_beginning(spark):
+    import random
+    rnd = random.Random(3)
+    words = [f"Customer#{k:09d}" for k in range(20_000)] + ["ab", "z", "\U0001f600x", "cust", "r#00000001", "a" * 300]
+    texts = [(k, " ".join(rnd.choice([f"customer#{rnd.randrange(40_000):09d}", "CABS", "zoo", "plain", "\U0001f600X", "a" * 299]) for _ in range(rnd.randrange(9))))
+             for k in range(300)] + [(300, "a" * 300 + "b" * 50_000), (300, "a" * 300), (None, "Customer#000000007"), (301, None)]
+    t = spark.createDataFrame(texts, "id long, text string")
+    pats = spark.createDataFrame([("p", k, w) for k, w in enumerate(words)], "name string, ordinal int, pattern string") \
+        .withColumn("pattern_lc", F.lower("pattern"))
+    numbered = {w.lower(): k for k, w in enumerate(words[:20_000])}
+    exp = []
+    for i, s in texts:
+        low = (s or "").lower()
+        found = {low[j:j + 18] for j in range(len(low) - 17) if low[j:j + 9] == "customer#"}
+        exp += [(i, "p", numbered[f], words[numbered[f]]) for f in found if f in numbered]
+        exp += [(i, "p", 20_000 + k, w) for k, w in enumerate(words[20_000:]) if w.lower() in low]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted([tuple(r) for r in PL.literal_matches(t, "id", "text", pats).collect()], key=key) == sorted(exp, key=key)
+    keys = PL.keyed_patterns(pats).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert keys <= 20  # no key stands for all numbered names
+
+
 def test_classifier_queries_properties(spark):
     from vigilspark.plans.registry import queries
     from .conftest import SF_SMALL

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import spans as S
+from .joins import BLOOM_BITS, key_filter, may_hold
 from .partitioning import explode_computed
 
 TOKEN = r"(?U)[\w#]+"
@@ -55,29 +56,6 @@ def normalized_dictionary(dictionary: DataFrame) -> DataFrame:
     return d.groupBy("key").agg(F.min("label").alias("label"))
 
 
-BLOOM_BITS = 1 << 20  # 128 KB; the filter lets about 1 % through at 10,000 keys, all at many millions
-
-
-def _bit_of(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(bits))
-
-
-def key_filter(dictionary: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """One row, one array of ``bits`` / 64 longs: the bits of the hashes of ``key``."""
-    at = _bit_of(F.col("key"), bits)
-    marks = dictionary.select(at.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("mark"))
-    empty = dictionary.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mark"))
-    words = marks.unionByName(empty).groupBy("word").agg(F.bit_or("mark").alias("mark"))
-    return words.agg(F.array_sort(F.collect_list(F.struct("word", "mark"))).alias("w")).select(F.transform("w", lambda x: x["mark"]).alias("words"))
-
-
-def may_hold(key: Column, words: Column, bits: int = BLOOM_BITS) -> Column:
-    """Whether ``key`` can be among the keys of ``key_filter``; false for none of them."""
-    at = _bit_of(key, bits)
-    word = F.element_at(words, (F.floor(at / 64) + 1).cast("int"))
-    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
-
-
 def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
                     max_words: int | None = None, bits: int = BLOOM_BITS) -> DataFrame:
     """Adds ``entity_spans`` (array<span>) to ``df``.

@@ -7,15 +7,16 @@ import json
 
 import pandas as pd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from .joins import bounded_rows
+from .joins import bounded_rows, key_filter, may_hold
 from .partitioning import explode_computed
 
 INLINE_BYTES = 1 << 20  # patterns put into the scan as an expression, together
+GRAM_SIZES = (1, 2, 3, 8)  # a pattern is keyed by runs of the largest size that it holds
 
 POLICY_CONFIG_TYPE = T.StructType([
     T.StructField("patterns", T.ArrayType(T.StringType())),
@@ -86,18 +87,40 @@ def policy_patterns(policies: DataFrame) -> DataFrame:
         .withColumn("pattern_lc", F.lower("pattern"))
 
 
+def _runs(text, sizes) -> Column:
+    """The distinct runs of ``sizes`` characters of ``text``, each size in one pass."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
+
+
+def keyed_patterns(patterns: DataFrame) -> DataFrame:
+    """``patterns`` (distinct rows, ``n_rows`` of each) with ``key``: of the pattern's runs of
+    its size (``GRAM_SIZES``) the one that the fewest patterns hold, then the smallest.  So
+    patterns with a common beginning, such as numbered names, do not meet every text that holds it."""
+    rows = patterns.groupBy("name", "ordinal", "pattern", "pattern_lc").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+    size = F.length("pattern_lc")
+    runs = None
+    for n in sorted(GRAM_SIZES, reverse=True):
+        of_size = _runs(F.col("pattern_lc"), [n])
+        runs = F.when(size >= n, of_size) if runs is None else runs.when(size >= n, of_size)
+    runs = rows.select("pattern_lc").distinct().select("pattern_lc", explode_computed(runs, "key")).where(F.col("key").isNotNull())
+    held = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n_patterns"))
+    rarest = runs.join(held, "key").groupBy("pattern_lc").agg(F.min(F.struct("n_patterns", "key")).alias("k"))
+    return rows.join(rarest.select("pattern_lc", F.col("k.key").alias("key")), "pattern_lc")
+
+
 def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame,
-                    max_broadcast_rows: int = 256, q: int = 3) -> DataFrame:
+                    max_broadcast_rows: int = 256) -> DataFrame:
     """(id, name, ordinal, pattern) for every row and pattern contained in its
     text, ignoring case.
 
-    Patterns are configuration-sized: up to ``max_broadcast_rows`` of at most
-    ``INLINE_BYTES`` together become one expression of the scan, without a join.
-    More of them meet the texts by an exact equi-join: a pattern is keyed by its
-    first q characters (all, if shorter), a text by its distinct runs of 1 to q
-    characters, taken in one pass each; candidates are checked with
-    ``contains``.  Null texts match nothing; null and repeated ids keep their
-    rows."""
+    Up to ``max_broadcast_rows`` patterns of at most ``INLINE_BYTES`` together
+    become one expression of the scan, without a join.  More of them meet the
+    texts by an exact equi-join: a pattern is keyed by its rarest run of
+    characters (``keyed_patterns``), a text by its distinct runs of the same
+    sizes.  Runs that are no pattern's key are dropped by a Bloom filter before
+    they shuffle; the candidates return to the texts by the text's hash and are
+    checked with ``contains``.  Null texts match nothing; null and repeated ids
+    keep their rows."""
     t = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_lc"))
     size = patterns.limit(max_broadcast_rows + 1).agg(
         F.count(F.lit(1)), F.sum(F.octet_length("pattern") + F.octet_length("name"))).first()
@@ -107,15 +130,12 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
                        F.struct(*[F.lit(p[c]).cast(k).alias(c) for c, k in kinds.items()])) for p in patterns.collect()]
         found = t.select("_id", explode_computed(F.array_compact(F.array(*hits)), "_m")).where(F.col("_m").isNotNull())
         return found.select(F.col("_id").alias(id_col), "_m.name", "_m.ordinal", "_m.pattern")
-    # equal rows are one candidate, and count as often as they stand there
-    keyed = patterns.groupBy("name", "ordinal", "pattern", "pattern_lc").agg(F.count(F.lit(1)).cast("int").alias("n_rows")) \
-        .withColumn("qgram", F.substring("pattern_lc", 1, q))
-    # candidate (text, pattern) pairs carry ids only, then one join back to the
-    # texts on id to check containment
-    runs = [F.regexp_extract_all("_lc", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, q + 1)]
-    grams = t.select("_id", explode_computed(F.array_distinct(F.concat(*runs)), "qgram")).where(F.col("qgram").isNotNull())
-    pairs = grams.join(keyed, "qgram").select(F.col("_id").alias("_p_id"), "name", "ordinal", "pattern", "pattern_lc", "n_rows").distinct()
-    checked = pairs.join(t, F.col("_p_id").eqNullSafe(F.col("_id"))).where(F.col("_lc").contains(F.col("pattern_lc")))
+    # equal pattern rows are one candidate, and count as often as they stand there
+    keyed = keyed_patterns(patterns)
+    grams = t.select(F.xxhash64("_lc").alias("_tk"), explode_computed(_runs(F.col("_lc"), GRAM_SIZES), "key"))
+    grams = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(keyed).scalar()))
+    pairs = grams.join(keyed, "key").select("_tk", "name", "ordinal", "pattern", "pattern_lc", "n_rows").distinct()
+    checked = t.withColumn("_tk", F.xxhash64("_lc")).join(pairs, "_tk").where(F.col("_lc").contains(F.col("pattern_lc")))
     each = checked.withColumn("_row", F.explode(F.sequence(F.lit(1), "n_rows")))
     return each.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
 

@@ -175,6 +175,20 @@ SELECT note_id, 'DATE' AS type, CAST(pos AS BIGINT) AS start, CAST(pos + length(
 UNION ALL
 SELECT note_id, 'TIME', pos + length(d) + 4, pos + length(d) + 9, t FROM n WHERE d IS NOT NULL"""
 
+ORACLE["supply_entities"] = """
+WITH n AS (SELECT CASE WHEN l_orderkey % 9 <> 0 THEN l_orderkey * 10 + l_linenumber END AS note_id, s_name, strftime(l_shipdate, '%Y-%m-%d') AS d,
+                  lpad(CAST(l_orderkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(l_orderkey % 60 AS VARCHAR), 2, '0') AS t
+           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT note_id, 'ORG' AS type, CAST(5 AS BIGINT) AS start, CAST(5 + length(s_name) AS BIGINT) AS "end", s_name AS match FROM n WHERE d IS NOT NULL
+UNION ALL
+SELECT note_id, 'DATE', 9 + length(s_name), 19 + length(s_name), d FROM n WHERE d IS NOT NULL
+UNION ALL
+SELECT note_id, 'TIME', 23 + length(s_name), 28 + length(s_name), t FROM n WHERE d IS NOT NULL"""
+
+ORACLE["name_match"] = with_views(["order_notes"], """
+SELECT note_id, 'customers' AS name, c_custkey AS ordinal, c.c_name AS pattern
+FROM order_notes n JOIN customer c ON c.c_name = n.c_name""")
+
 ORACLE["redact_notes"] = with_views(["order_notes"], """
 SELECT note_id, 'pii_leak' AS threat_type, 'medium' AS severity, CAST(3 AS BIGINT) AS pii_count,
        'PERSON,GPE,LOC' AS matched_types,

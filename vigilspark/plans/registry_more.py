@@ -78,6 +78,16 @@ def policy_match(spark, sf_dir):
     return u.select("source", "row_id", "policy", "n_matched", F.array_join("matched", ",").alias("matched"))
 
 
+@query("name_match")
+def name_match(spark, sf_dir):
+    """C9 with a policy as large as a table: every customer's name as a literal pattern in the order notes."""
+    from ..operators import policies as PL
+    from ..sources.tables import read_table
+    names = read_table(spark, sf_dir, "customer").select(F.lit("customers").alias("name"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("pattern")) \
+        .withColumn("pattern_lc", F.lower("pattern"))
+    return PL.literal_matches(FX.order_notes(spark, sf_dir), "note_id", "text", names, max_broadcast_rows=0)
+
+
 @query("policy_snapshot")
 def policy_snapshot(spark, sf_dir):
     """Latest policy state from the change log derived from events."""
@@ -130,6 +140,18 @@ def date_time_spans(spark, sf_dir):
         F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
 
 
+@query("supply_entities")
+def supply_entities(spark, sf_dir):
+    """D3: ORG by the gazetteer, DATE and TIME by the grammar, rows without an id kept."""
+    from ..operators import entities as EN
+    from ..operators.partitioning import explode_computed
+    n = EN.gazetteer_spans(FX.supply_notes(spark, sf_dir), "note_id", "text", EN.entity_dictionary(spark, sf_dir))
+    n = EN.add_date_time_spans(n, "text")
+    return n.select("note_id", explode_computed(F.concat("entity_spans", "date_time_spans"), "s")).where(F.col("s").isNotNull()).select(
+        "note_id", F.col("s.type").alias("type"), F.col("s.start").cast("long").alias("start"),
+        F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
+
+
 @query("redact_notes")
 def redact_notes(spark, sf_dir):
     """D3 + D4/D6: entity findings first, then patterns; redacted text."""

@@ -285,6 +285,18 @@ def dated_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    F.lit(", lot 2024-99-99")).alias("text"))
 
 
+def supply_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery notes from ``lineitem`` with the supplier's name, a date and a time; every
+    ninth note has no id."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    key = F.col("l_orderkey")
+    clock = F.concat(F.lpad((key % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((key % 60).cast("string"), 2, "0"))
+    j = li.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.select(F.when(key % 9 != 0, key * 10 + F.col("l_linenumber")).alias("note_id"),
+                    F.concat(F.lit("From "), F.col("s_name"), F.lit(" on "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" at "), clock).alias("text"))
+
+
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipping notes rendered from ``orders`` with customer, nation and region
     names (input for entity spans).  Star join: orders x customer shuffles on
