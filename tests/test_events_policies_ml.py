@@ -247,6 +247,34 @@ def test_action_map_and_classifier(spark):
     assert (none["ml_malicious"], none["ml_confidence"], none["ml_error"]) == (False, 0.0, "Classifier not available")
 
 
+def test_scoring_works_after_an_observation_in_the_session(spark):
+    from pyspark.sql import Observation
+    seen = Observation("before_training")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    train = spark.createDataFrame([("drop all tables", "prompt_injection"), ("good morning", "benign")] * 10 + [(None, "benign"), ("x", None)],
+                                  "text string, label string")
+    model = ML.train_classifier(train, max_iter=20)
+    assert not model.pipeline.stages[-1].hasSummary  # a summary holds the session, tasks could not get the model
+    rows = [(1, "drop all", "a", 7), (2, None, "b", 8), (3, "", None, 9), (1, "drop all", "a", 7)]
+    got = ML.score(model, spark.createDataFrame(rows, "_y int, prompt string, _text string, label int"), "prompt")
+    assert got.columns[:4] == ["_y", "prompt", "_text", "label"]  # columns named like a stage's stay
+    got = sorted(got.collect(), key=lambda r: r["_y"])
+    assert [tuple(r[:4]) for r in got] == [rows[0], rows[0], rows[1], rows[2]]
+    assert got[0]["ml_label"] == "prompt_injection" and got[2]["ml_probabilities"] == got[3]["ml_probabilities"]
+    assert sum(got[0]["ml_probabilities"].values()) == pytest.approx(1.0)
+    assert ML.score(model, got_frame := spark.createDataFrame([], "prompt string"), "prompt").count() == 0
+    assert ML.score(None, got_frame, "prompt").columns == ML.score(model, got_frame, "prompt").columns
+
+
+def test_training_without_labels_or_with_one(spark):
+    none = spark.createDataFrame([("x", None)], "text string, label string")
+    assert ML.train_classifier(none) is None and ML.train_classifier(none.limit(0)) is None
+    one = ML.train_classifier(spark.createDataFrame([("x y", "benign"), ("z", "benign")], "text string, label string"), max_iter=5)
+    r = ML.score(one, spark.createDataFrame([("x",)], "text string")).first()
+    assert (r["ml_label"], r["ml_malicious"], list(r["ml_probabilities"])) == ("benign", False, ["benign"])
+
+
 def test_model_hook_findings_long_and_retention_rewrite(spark):
     from vigilspark.functions.spans import SPANS_TYPE
     from vigilspark.operators.entities import model_entity_spans

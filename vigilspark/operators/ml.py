@@ -3,80 +3,94 @@
 E1-E3: a ``pyspark.ml`` pipeline (tokenise, hashed TF, IDF, logistic
 regression) trained and applied as distributed jobs; no model file.
 E4: latency statistics over the newest inferences.
-E5/E6: ROC curve and AUC.  Cumulative counts along the score order are a
-prefix sum; instead of one global window (a single task), scores are cut into
-range buckets (boundaries from ``approx_percentile``, which only affects the
-partitioning, never the result), bucket totals are prefix-summed on the
-driver-sized bucket table, and each bucket is ranked independently.
-E7: label -> action lookup (broadcast: a fixed two-row map).
+E5/E6: ROC curves and AUC of several labels in one pass; cumulative counts along
+the score order are running sums over range partitions (``running.running_sums``).
+E7: label -> action lookup, an equi-join whose strategy the optimizer picks.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import scratch_path
 from .running import running_sums
 
 MALICIOUS_LABEL = "prompt_injection"
 BENIGN_LABEL = "benign"
-ML_TEXT = "_ml_text"
 
 
 # ------------------------------------------------------------------ E1-E3
 
 @dataclass
 class TextClassifier:
-    """A fitted text pipeline and its class labels (index order)."""
+    """A fitted text pipeline, its class labels (index order) and the prefix of its own columns."""
     pipeline: PipelineModel
     labels: list
+    prefix: str
 
 
 def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
-                     num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01) -> TextClassifier:
+                     num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01) -> TextClassifier | None:
     """TF-IDF + logistic regression on a (text, string label) frame.
-    Hashed term frequencies keep the vocabulary off the driver."""
-    df = df.withColumn(ML_TEXT, F.col(text_col))
-    indexer = StringIndexer(inputCol=label_col, outputCol="_y", handleInvalid="skip").fit(df)
-    tok = RegexTokenizer(inputCol=ML_TEXT, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True)
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_features")
-    lr = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=max_iter, regParam=reg,
-                            probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw")
+    Hashed term frequencies keep the vocabulary off the driver.
+
+    Null texts count as empty, rows without a label are left out.  None when no
+    row has a label: ``score`` then answers as without a model.  With one label
+    every text gets it."""
+    prefix = f"_ml_{uuid.uuid4().hex[:12]}_"
+    own = {c: prefix + c for c in ("text", "y", "tokens", "tf", "features", "prob", "pred", "raw")}
+    df = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(own["text"]), F.col(label_col).alias("label")).where("label is not null")
+    labels = list(StringIndexer(inputCol="label", outputCol=own["y"]).fit(df).labels)
+    if not labels:
+        return None
+    indexer = StringIndexerModel.from_labels(labels, inputCol="label", outputCol=own["y"])
+    tok = RegexTokenizer(inputCol=own["text"], outputCol=own["tokens"], pattern=r"(?U)\W+", toLowercase=True)
+    tf = HashingTF(inputCol=own["tokens"], outputCol=own["tf"], numFeatures=num_features)
+    idf = IDF(inputCol=own["tf"], outputCol=own["features"])
+    lr = LogisticRegression(featuresCol=own["features"], labelCol=own["y"], maxIter=max_iter, regParam=reg,
+                            probabilityCol=own["prob"], predictionCol=own["pred"], rawPredictionCol=own["raw"])
     pipe = Pipeline(stages=[tok, tf, idf, lr]).fit(indexer.transform(df))
-    return TextClassifier(pipe, list(indexer.labels))
+    # A fitted model keeps its training summary and with it the session, which cannot be sent to
+    # tasks once an Observation was used in it; the model read back from the shared folder has none.
+    path = scratch_path(df.sparkSession, "classifier")
+    pipe.stages[-1].write().save(path)
+    return TextClassifier(PipelineModel([*pipe.stages[:-1], LogisticRegressionModel.load(path)]), labels, prefix)
 
 
 def score(model: TextClassifier | None, df: DataFrame, text_col: str = "text",
           confidence_threshold: float = rules.ML_MALICIOUS_MIN_CONFIDENCE) -> DataFrame:
     """Predicted label, class probabilities, confidence = max
     probability, malicious = label is prompt_injection and confidence >=
-    threshold.  Without a model every row gets (False, 0.0, error)."""
+    threshold.  Without a model every row gets (False, 0.0, error).  A null text
+    is scored as an empty one; the frame's own columns stay as they are."""
     if model is None:
         return df.withColumn("ml_label", F.lit(None).cast("string")) \
             .withColumn("ml_probabilities", F.lit(None).cast("map<string,double>")) \
             .withColumn("ml_confidence", F.lit(0.0)) \
             .withColumn("ml_malicious", F.lit(False)) \
+            .withColumn("ml_threshold", F.lit(rules.ML_THRESHOLD_REPORTED)) \
             .withColumn("ml_error", F.lit("Classifier not available"))
-    labels = model.labels
-    conv = IndexToString(inputCol="_pred", outputCol="ml_label", labels=labels)
-    out = conv.transform(model.pipeline.transform(df.withColumn(ML_TEXT, F.col(text_col))))
-    out = out.withColumn("_p", vector_to_array(F.col("_prob")))
-    out = out.withColumn("ml_probabilities", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.col("_p"))) \
-        .withColumn("ml_confidence", F.array_max("_p")) \
+    labels, own = model.labels, model.prefix
+    conv = IndexToString(inputCol=own + "pred", outputCol="ml_label", labels=labels)
+    out = conv.transform(model.pipeline.transform(df.withColumn(own + "text", F.coalesce(F.col(text_col), F.lit(""))).drop("ml_label")))
+    # one label: the model still holds two classes
+    out = out.withColumn(own + "p", F.slice(vector_to_array(F.col(own + "prob")), 1, len(labels)))
+    out = out.withColumn("ml_probabilities", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.col(own + "p"))) \
+        .withColumn("ml_confidence", F.array_max(own + "p")) \
         .withColumn("ml_malicious", (F.col("ml_label") == MALICIOUS_LABEL) &
                     (F.col("ml_confidence") >= confidence_threshold)) \
         .withColumn("ml_threshold", F.lit(rules.ML_THRESHOLD_REPORTED)) \
         .withColumn("ml_error", F.lit(None).cast("string"))
-    drop = [c for c in out.columns if c.startswith("_")]
-    return out.drop(*drop)
+    return out.drop(*[c for c in out.columns if c.startswith(own)])
 
 
 # ------------------------------------------------------------------ E4
