@@ -267,6 +267,26 @@ def test_scoring_works_after_an_observation_in_the_session(spark):
     assert ML.score(None, got_frame, "prompt").columns == ML.score(model, got_frame, "prompt").columns
 
 
+def test_stored_roc_documents_read_back(spark):
+    from vigilspark.sources import sinks
+    rows = [("a", k % 3 == 0, k / 5000) for k in range(5000)] + [("b", 1, 7.5), ("b", 0, -2.0), ("b", 1, None), (None, 1, 0.5)]
+    sc = spark.createDataFrame([(n, None if y is None else int(y), s) for n, y, s in rows], "label_name string, label int, score double")
+    full = ML.roc_points(sc, name_col="label_name")
+    auc = ML.roc_auc(sc, name_col="label_name")
+    kept = read_roc_json(spark, sinks.write_roc_json(full, auc, steps=50)).collect()
+    curve = {(r["label_name"], r["fpr"], r["tpr"]) for r in full.collect()}
+    assert all((r["label"], r["fpr"], r["tpr"]) in curve for r in kept)  # points of the full curve
+    by = {n: sorted((r["i"], r["fpr"], r["tpr"]) for r in kept if r["label"] == n) for n in "ab"}
+    assert len(by["a"]) == 51 and by["a"][0] == (0, 0.0, 0.0) and by["a"][-1] == (50, 1.0, 1.0)
+    assert by["b"] == [(0, 0.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 1.0)]
+    exact = {r["label_name"]: r["auc"] for r in auc.collect()}
+    assert {r["label"]: r["stored_auc"] for r in kept} == {n: exact[n] for n in "ab"}
+    assert read_roc_json(spark, sinks.write_roc_json(full.limit(0), auc.limit(0))).count() == 0
+    m = spark.createDataFrame([("x \"y\"", "block"), ("é", None), (None, "redact")], "map_label string, action string")
+    assert sorted(map(tuple, read_action_map(spark, sinks.write_action_map(m)).collect())) == [("x \"y\"", "block"), ("é", None)]
+    assert read_action_map(spark, sinks.write_action_map(m.limit(0))).count() == 0
+
+
 def test_training_without_labels_or_with_one(spark):
     none = spark.createDataFrame([("x", None)], "text string, label string")
     assert ML.train_classifier(none) is None and ML.train_classifier(none.limit(0)) is None

@@ -224,6 +224,18 @@ JOIN (SELECT label_name, count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER
      USING (label_name)
 GROUP BY label_name, P, N""")
 
+ORACLE["roc_store"] = f"""
+SELECT label_name AS label, CAST(row_number() OVER (PARTITION BY label_name ORDER BY fpr, tpr) - 1 AS BIGINT) AS i,
+       fpr, tpr, auc AS stored_auc
+FROM (SELECT label_name, CAST(floor(score * 200) AS BIGINT) AS step, max(fpr) AS fpr, max(tpr) AS tpr
+      FROM ({ORACLE["roc_curve"]}) GROUP BY ALL)
+JOIN ({ORACLE["roc_auc"]}) USING (label_name)"""
+
+ORACLE["stored_actions"] = """
+SELECT doc_id, CASE WHEN toxic = 1 THEN 'prompt_injection' WHEN quality = 0 THEN 'sensitive_data' ELSE 'benign' END AS label,
+       CASE WHEN toxic = 1 THEN 'block' WHEN quality = 0 THEN 'redact' END AS action
+FROM labels"""
+
 ORACLE["label_actions"] = with_views(["prompts", "responses"], """
 SELECT source, row_id, label, CASE label WHEN 'prompt_injection' THEN 'block' WHEN 'sensitive_data' THEN 'redact' END AS action
 FROM (

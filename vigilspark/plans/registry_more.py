@@ -184,6 +184,30 @@ def roc_auc(spark, sf_dir):
     return a.select("label_name", F.round("auc", 9).alias("auc"), "positives", "negatives")
 
 
+@query("roc_store")
+def roc_store(spark, sf_dir):
+    """A5: both curves written as the stored JSON document and read back, with the areas beside them."""
+    from ..operators import ml as ML
+    from ..sources import jsonsrc, sinks
+    sc = FX.scored(spark, sf_dir)
+    path = sinks.write_roc_json(ML.roc_points(sc, "label", "score", name_col="label_name"),
+                                ML.roc_auc(sc, "label", "score", name_col="label_name"))
+    return jsonsrc.read_roc_json(spark, path).select(
+        "label", F.col("i").cast("long").alias("i"), F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"),
+        F.round("stored_auc", 9).alias("stored_auc"))
+
+
+@query("stored_actions")
+def stored_actions(spark, sf_dir):
+    """The action map written and read as JSON, looked up for every labelled document."""
+    from ..operators import ml as ML
+    from ..sources import jsonsrc, sinks
+    from ..sources.tables import read_table
+    actions = jsonsrc.read_action_map(spark, sinks.write_action_map(ML.action_map_frame(spark)))
+    label = F.when(F.col("toxic") == 1, "prompt_injection").when(F.col("quality") == 0, "sensitive_data").otherwise("benign")
+    return ML.label_actions(read_table(spark, sf_dir, "labels").select("doc_id", label.alias("label")), actions)
+
+
 def _predicted_labels(spark, sf_dir):
     from ..operators import inbound as IB
     from ..operators import outbound as OB
