@@ -42,6 +42,47 @@ def test_top_n_over_batches(spark):
     assert got == exp
 
 
+def test_rollup_streams_over_five_batches_equal_batch(spark):
+    """Slices of time with rows that come late but in time, one client with half of the rows, a
+    file without rows and rows without a time: S4 to S6 give what one aggregation gives."""
+    import datetime as dt
+    from vigilspark.streaming import queries as SQ
+    t = dt.datetime(2024, 3, 9, 22, 58)
+    schema = "id long, timestamp timestamp_ntz, event_type string, user_id string, blocked boolean, processing_time_ms double, " \
+             "prompt string, response string, metadata string"
+
+    def row(k, at):
+        kind = ("prompt_injection", "data_leak", "normal_request")[k % 3]
+        return (k, at, kind, "hot" if k % 2 else (None if k % 10 == 0 else f"u{k % 7}"), (True, False, None)[k % 3],
+                None if k % 11 == 0 else k / 8, "p", "r", "{}" if k % 5 else None)
+
+    slices = [[row(100 * b + k, t + dt.timedelta(minutes=25 * b, seconds=15 * k)) for k in range(100)] for b in range(4)]
+    slices[2] += [row(900 + k, t + dt.timedelta(minutes=50, seconds=-k)) for k in range(60)]  # up to a minute before the slice
+    slices[3] += [row(990, None)]
+    slices.insert(1, [])
+    src = scratch_path(spark, "rollup-src")
+    for rows in slices:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    files = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ev = spark.read.schema(schema).parquet(src).where("timestamp is not null")
+    lat = F.col("processing_time_ms")
+    plans = {
+        ("window_start", "user_id"): (SQ.client_minutes, lambda e: e.groupBy(
+            F.date_trunc("minute", "timestamp").cast("timestamp_ntz").alias("window_start"), "user_id").agg(F.count(F.lit(1)).alias("requests"))),
+        ("date",): (SQ.daily_stats, lambda e: e.groupBy(F.to_date("timestamp").alias("date")).agg(
+            F.count(F.lit(1)), F.count_if("blocked"), F.count_if(F.col("event_type") == "prompt_injection"),
+            F.count_if(F.col("event_type") == "data_leak"), F.round(F.avg(lat), 6))),
+        ("hour",): (SQ.hourly, lambda e: e.groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour")).agg(
+            F.count_if("blocked"), F.count_if(~F.col("blocked")), F.round(F.avg(lat), 6), F.min(lat), F.max(lat))),
+    }
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    for keys, (plan, batch) in plans.items():
+        out = io.run_upsert(plan(files()))
+        deltas = spark.read.option("basePath", out).parquet(os.path.join(out, "_batch=*"))
+        assert deltas.select("_batch").distinct().count() >= 4
+        assert order(io.read_upserted(spark, out, list(keys)).collect()) == order(batch(ev).collect())
+
+
 def test_stream_limiter_over_ordered_batches_equals_batch(spark):
     from vigilspark.operators.limits import rate_limit
     from vigilspark.streaming.limiter import stream_rate_limit

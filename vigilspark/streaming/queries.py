@@ -91,42 +91,57 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(io.run_append(out)).select("id", "user_id", "event_type", "blocked", F.col("ts").cast("timestamp_ntz").alias("timestamp"))
 
 
-def stream_client_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling one-minute request counts per user (update mode, upserted)."""
-    e = _event_stream(spark, sf_dir).withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", WATERMARK)
-    agg = e.groupBy(F.window("ts", "1 minute").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("requests")) \
+def client_minutes(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """S4 plan over an event stream: requests per (minute, user).  Rows without a time are left
+    out, rows more than ``delay`` behind the newest may be."""
+    spark = events.sparkSession
+    e = events.withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", delay)
+    return e.groupBy(F.window("ts", "1 minute").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("requests")) \
         .select(_window_start_ntz(spark, F.col("w.start")).alias("window_start"), "user_id", "requests")
-    return io.read_upserted(spark, io.run_upsert(agg), ["window_start", "user_id"])
 
 
-def stream_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incremental daily statistics; each micro-batch rewrites the days it
-    touched (update mode), the table is the latest row per day."""
-    e = _event_stream(spark, sf_dir).withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", "1 day")
+def daily_stats(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """S5 plan over an event stream: the statistics of each day, late rows as in ``client_minutes``."""
+    spark = events.sparkSession
+    e = events.withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", delay)
     agg = e.groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(F.col("blocked")).alias("blocked_requests"),
         F.count_if(F.col("event_type") == "prompt_injection").alias("prompt_injections"),
         F.count_if(F.col("event_type") == "data_leak").alias("data_leaks"),
         F.avg("processing_time_ms").alias("avg_t"))
-    agg = agg.select(F.to_date(_window_start_ntz(spark, F.col("w.start"))).alias("date"), "total_requests",
-                     "blocked_requests",
-                     "prompt_injections", "data_leaks",
-                     F.round(F.coalesce("avg_t", F.lit(0.0)), 6).alias("avg_processing_time_ms"))
-    return io.read_upserted(spark, io.run_upsert(agg), ["date"])
+    return agg.select(F.to_date(_window_start_ntz(spark, F.col("w.start"))).alias("date"), "total_requests",
+                      "blocked_requests",
+                      "prompt_injections", "data_leaks",
+                      F.round(F.coalesce("avg_t", F.lit(0.0)), 6).alias("avg_processing_time_ms"))
 
 
-def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly blocked/allowed counts and latency over the request stream."""
-    r = EV.requests_from_events(_event_stream(spark, sf_dir)).withColumn("ts", _wall_as_utc(spark, "timestamp")) \
-        .withWatermark("ts", "1 hour")
+def hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """S6 plan over an event stream: blocked, allowed and latency by hour, late rows as in ``client_minutes``."""
+    spark = events.sparkSession
+    r = EV.requests_from_events(events).withColumn("ts", _wall_as_utc(spark, "timestamp")).withWatermark("ts", delay)
     agg = r.groupBy(F.window("ts", "1 hour").alias("w")).agg(
         F.count_if(F.col("blocked")).alias("blocked"), F.count_if(~F.col("blocked")).alias("allowed"),
         F.avg("latency_ms").alias("avg_l"), F.min("latency_ms").alias("min_latency"),
         F.max("latency_ms").alias("max_latency"))
-    agg = agg.select(_window_start_ntz(spark, F.col("w.start")).alias("hour"), "blocked", "allowed",
-                     F.round("avg_l", 6).alias("avg_latency"), "min_latency", "max_latency")
-    return io.read_upserted(spark, io.run_upsert(agg), ["hour"])
+    return agg.select(_window_start_ntz(spark, F.col("w.start")).alias("hour"), "blocked", "allowed",
+                      F.round("avg_l", 6).alias("avg_latency"), "min_latency", "max_latency")
+
+
+def stream_client_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling one-minute request counts per user (update mode, upserted)."""
+    return io.read_upserted(spark, io.run_upsert(client_minutes(_event_stream(spark, sf_dir))), ["window_start", "user_id"])
+
+
+def stream_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental daily statistics; each micro-batch rewrites the days it
+    touched (update mode), the table is the latest row per day."""
+    return io.read_upserted(spark, io.run_upsert(daily_stats(_event_stream(spark, sf_dir))), ["date"])
+
+
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly blocked/allowed counts and latency over the request stream."""
+    return io.read_upserted(spark, io.run_upsert(hourly(_event_stream(spark, sf_dir))), ["hour"])
 
 
 def stream_live(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
