@@ -93,6 +93,32 @@ SELECT request_id, {q(PX.BLOCK_ERROR)} AS error, in_threat AS threat_type,
             WHEN 'data_exfiltration' THEN 'Data Exfiltration detected' END AS message
 FROM sv WHERE outcome = 'blocked'""", extra=PROXY_EXTRA[:4])
 
+IN_MESSAGE = """CASE in_threat WHEN 'prompt_injection' THEN 'Prompt Injection detected' WHEN 'jailbreak' THEN 'Jailbreak detected'
+            WHEN 'data_exfiltration' THEN 'Data Exfiltration detected' END"""
+
+# An answer that is missing has nothing to find: it passes.
+ORACLE["audit_metadata"] = with_views(["prompts"], f"""
+SELECT request_id AS id, CASE WHEN b THEN array_to_string(primary_patterns, ' ;; ') END AS patterns,
+       CASE WHEN s THEN model END AS model, CASE WHEN s THEN NOT coalesce(passed, TRUE) END AS pii_detected, CASE WHEN b OR s THEN FALSE END AS ml_used,
+       CASE WHEN b THEN in_conf END AS confidence, CASE WHEN b THEN in_threat END AS threat_type, CASE WHEN b THEN {IN_MESSAGE} END AS message,
+       CASE WHEN b THEN array_to_string(list_filter([CASE WHEN ni > 0 THEN 'prompt_injection' END, CASE WHEN nj > 0 THEN 'jailbreak' END,
+                                                     CASE WHEN ne > 0 THEN 'data_exfiltration' END], lambda x: x IS NOT NULL), ',') END AS all_threats,
+       CASE WHEN b THEN CAST((ni > 0)::INT + (nj > 0)::INT + (ne > 0)::INT AS BIGINT) END AS rule_detections,
+       CASE WHEN b THEN FALSE END AS details_ml_used
+FROM (SELECT *, outcome = 'blocked' AS b, outcome = 'served' AS s FROM o)""", extra=PROXY_EXTRA)
+
+ORACLE["proxy_responses"] = with_views(["prompts"], f"""
+SELECT request_id AS id, model, final_text AS response, {WORDS.format(x='prompt')} AS prompt_tokens,
+       {WORDS.format(x='final_text')} AS completion_tokens, in_passed AS prompt_passed, FALSE AS ml_used, coalesce(passed, TRUE) AS response_passed,
+       (final_text IS NOT NULL AND (passed OR pii_count + secrets_count > 0)) AS redacted
+FROM o WHERE outcome = 'served'""", extra=PROXY_EXTRA)
+
+ORACLE["failure_rows"] = with_views(["prompts"], f"""
+SELECT request_id AS id, ts AS timestamp, 'system_error' AS event_type, 'high' AS severity, client_id AS user_id,
+       CAST(request_id AS VARCHAR) AS session_id, substring(prompt, 1, 1000) AS prompt, {q(PX.ACTION_ERROR)} AS action_taken,
+       TRUE AS blocked, array_to_string(errors, '; ') AS error, 'ValidationError' AS error_type
+FROM v WHERE NOT valid""", extra=[("v", VALIDATED_SQL)])
+
 ORACLE["word_counts"] = f"""
 SELECT conv_id, turn, {WORDS.format(x='text')} AS n_words FROM conversations"""
 

@@ -49,6 +49,38 @@ def block_reasons(spark, sf_dir):
     return PX.block_reasons(_processed(spark, sf_dir))
 
 
+@query("audit_metadata")
+def audit_metadata(spark, sf_dir):
+    """The patterns and the metadata of each audit row, parsed back from their JSON."""
+    e = PX.to_events(_processed(spark, sf_dir))
+    m = F.from_json("metadata", "model string, pii_detected boolean, ml_used boolean, confidence double, threat_type string, "
+                                "details struct<message string, all_threats array<string>, rule_detections long, ml_used boolean>")
+    return e.withColumn("m", m).select(
+        "id", F.array_join(F.from_json("detected_patterns", "array<string>"), " ;; ").alias("patterns"),
+        *[F.col(f"m.{c}").alias(c) for c in ("model", "pii_detected", "ml_used", "confidence", "threat_type")],
+        F.col("m.details.message").alias("message"), F.array_join("m.details.all_threats", ",").alias("all_threats"),
+        F.col("m.details.rule_detections").alias("rule_detections"), F.col("m.details.ml_used").alias("details_ml_used"))
+
+
+@query("proxy_responses")
+def proxy_responses(spark, sf_dir):
+    """Every field of the body of each served request."""
+    r = PX.proxy_results(_processed(spark, sf_dir))
+    return r.select("id", "model", "response", "usage.prompt_tokens", "usage.completion_tokens",
+                    F.col("security.prompt_check.passed").alias("prompt_passed"), F.col("security.prompt_check.ml_used").alias("ml_used"),
+                    F.col("security.response_check.passed").alias("response_passed"),
+                    F.col("security.response_check.redacted").alias("redacted"))
+
+
+@query("failure_rows")
+def failure_rows(spark, sf_dir):
+    """The requests that validation rejects, as failure rows of the log."""
+    v = VL.validate_requests(FX.prompts(spark, sf_dir)).where(~F.col("valid"))
+    e = PX.error_events(v.withColumn("error", F.array_join("errors", "; ")).withColumn("error_type", F.lit("ValidationError")))
+    return e.select("id", "timestamp", "event_type", "severity", "user_id", "session_id", "prompt", "action_taken", "blocked",
+                    F.get_json_object("metadata", "$.error").alias("error"), F.get_json_object("metadata", "$.error_type").alias("error_type"))
+
+
 @query("word_counts")
 def word_counts(spark, sf_dir):
     """B8 on whole conversation turns (every role)."""
