@@ -134,3 +134,28 @@ def test_merge_of_many_overlapping_spans(spark):
     m = S.add_merged_spans(df.withColumn("spans", F.concat(extra, "spans")), "spans", "m").first()["m"]
     assert [(s["type"], s["start"], s["end"]) for s in m] == [("url", 0, (n - 1) * 3 + 5), ("ssn", n * 4, n * 4 + 2)]
     assert time.time() - t0 < 60
+
+
+def test_span_that_ends_a_text_of_whole_chunks(spark):
+    import vigilspark.functions.spans as S
+    from vigilspark.operators.outbound import outbound_scan
+    mail = "ada@example.org"
+    rows = [(k, "x " * ((k * S.TEXT_CHUNK - len(mail) - 1) // 2) + "y" * ((k * S.TEXT_CHUNK - len(mail) - 1) % 2) + " " + mail) for k in (1, 2, 3)]
+    assert all(len(t) == k * S.TEXT_CHUNK for k, t in rows)
+    df = spark.createDataFrame(rows + [(4, rows[0][1] + " end"), (5, None), (6, "")], "id int, text string")
+    tag = rules.REDACTION_TEMPLATES["email"]
+    for merged in (False, True):
+        got = {r["id"]: r["final_text"] for r in outbound_scan(df, "text", merge_overlaps=merged).collect()}
+        assert got == {k: t.replace(mail, tag) for k, t in rows} | {4: rows[0][1].replace(mail, tag) + " end", 5: None, 6: ""}
+
+
+def test_pii_pipeline_redacts_a_span_at_the_end_of_whole_chunks(spark):
+    from vigilspark.functions.spans import TEXT_CHUNK
+    from vigilspark.llm.pii_disclosure import sanitise
+    mail = "ada@example.org"
+    text = "7 " * ((3 * TEXT_CHUNK - len(mail)) // 2) + "8" * ((3 * TEXT_CHUNK - len(mail)) % 2 - 1) + mail
+    text = " " * (3 * TEXT_CHUNK - len(text)) + text
+    assert len(text) == 3 * TEXT_CHUNK
+    df = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in sanitise(df).collect()}
+    assert got == {1: text.replace(mail, "[EMAIL]"), 2: "none"}

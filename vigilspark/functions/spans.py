@@ -186,8 +186,9 @@ def _stitch(text: Column, asc: Column, chunks: Column | None = None) -> Column:
     joined once.  With the staged ``text_chunks`` each piece costs at most
     two chunk cuts, so the build is O(length + spans * TEXT_CHUNK); a plain
     character substring would scan from the start of the text per piece."""
-    prev_end = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["end"]))
-    last = F.element_at(prev_end, -1)
+    ends = F.concat(F.array(F.lit(0)), F.transform(asc, lambda s: s["end"]))
+    last = F.element_at(ends, -1)
+    prev_end = F.slice(ends, 1, F.size(asc))  # as many as spans: zip_with would pair the last with a null span
     if chunks is None:
         pieces = F.zip_with(asc, prev_end, lambda s, pe: F.concat(
             F.substr(text, pe + 1, s["start"] - pe), s["tpl"]))
