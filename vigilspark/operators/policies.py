@@ -92,20 +92,25 @@ def _runs(text, sizes) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
 
 
-def keyed_patterns(patterns: DataFrame) -> DataFrame:
-    """``patterns`` (distinct rows, ``n_rows`` of each) with ``key``: of the pattern's runs of
-    its size (``GRAM_SIZES``) the one that the fewest patterns hold, then the smallest.  So
+def pattern_keys(patterns: DataFrame) -> DataFrame:
+    """(pattern_lc, key): one row per distinct text among the patterns.  ``key`` is, of its runs of
+    its size (``GRAM_SIZES``), the one that the fewest texts hold, then the smallest.  So
     patterns with a common beginning, such as numbered names, do not meet every text that holds it."""
-    rows = patterns.groupBy("name", "ordinal", "pattern", "pattern_lc").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
     size = F.length("pattern_lc")
     runs = None
     for n in sorted(GRAM_SIZES, reverse=True):
         of_size = _runs(F.col("pattern_lc"), [n])
         runs = F.when(size >= n, of_size) if runs is None else runs.when(size >= n, of_size)
-    runs = rows.select("pattern_lc").distinct().select("pattern_lc", explode_computed(runs, "key")).where(F.col("key").isNotNull())
+    runs = patterns.select("pattern_lc").distinct().select("pattern_lc", explode_computed(runs, "key")).where(F.col("key").isNotNull())
     held = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n_patterns"))
     rarest = runs.join(held, "key").groupBy("pattern_lc").agg(F.min(F.struct("n_patterns", "key")).alias("k"))
-    return rows.join(rarest.select("pattern_lc", F.col("k.key").alias("key")), "pattern_lc")
+    return rarest.select("pattern_lc", F.col("k.key").alias("key"))
+
+
+def keyed_patterns(patterns: DataFrame) -> DataFrame:
+    """``patterns`` (distinct rows, ``n_rows`` of each) with the ``key`` of ``pattern_keys``."""
+    rows = patterns.groupBy("name", "ordinal", "pattern", "pattern_lc").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+    return rows.join(pattern_keys(patterns), "pattern_lc")
 
 
 def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame,
@@ -119,8 +124,9 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
     characters (``keyed_patterns``), a text by its distinct runs of the same
     sizes.  Runs that are no pattern's key are dropped by a Bloom filter before
     they shuffle; the candidates return to the texts by the text's hash and are
-    checked with ``contains``.  Null texts match nothing; null and repeated ids
-    keep their rows."""
+    checked with ``contains``.  Pattern rows of the same text travel as one and are
+    told apart in the last join, so rows that repeat a name multiply the result,
+    not the shuffles.  Null texts match nothing; null and repeated ids keep their rows."""
     t = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_lc"))
     size = patterns.limit(max_broadcast_rows + 1).agg(
         F.count(F.lit(1)), F.sum(F.octet_length("pattern") + F.octet_length("name"))).first()
@@ -130,13 +136,13 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
                        F.struct(*[F.lit(p[c]).cast(k).alias(c) for c, k in kinds.items()])) for p in patterns.collect()]
         found = t.select("_id", explode_computed(F.array_compact(F.array(*hits)), "_m")).where(F.col("_m").isNotNull())
         return found.select(F.col("_id").alias(id_col), "_m.name", "_m.ordinal", "_m.pattern")
-    # equal pattern rows are one candidate, and count as often as they stand there
-    keyed = keyed_patterns(patterns)
+    # rows of one pattern text are one candidate: only what is found meets them all
+    keyed = pattern_keys(patterns)
     grams = t.select(F.xxhash64("_lc").alias("_tk"), explode_computed(_runs(F.col("_lc"), GRAM_SIZES), "key"))
     grams = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(keyed).scalar()))
-    pairs = grams.join(keyed, "key").select("_tk", "name", "ordinal", "pattern", "pattern_lc", "n_rows").distinct()
+    pairs = grams.join(keyed, "key").select("_tk", "pattern_lc").distinct()
     checked = t.withColumn("_tk", F.xxhash64("_lc")).join(pairs, "_tk").where(F.col("_lc").contains(F.col("pattern_lc")))
-    each = checked.withColumn("_row", F.explode(F.sequence(F.lit(1), "n_rows")))
+    each = checked.select("_id", "pattern_lc").join(patterns.select("name", "ordinal", "pattern", "pattern_lc"), "pattern_lc")
     return each.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
 
 
