@@ -224,3 +224,18 @@ def test_replays_are_dropped_within_the_watermark(spark):
     out = io.run_append(without_replays(twice, "event_id", "at", "400 days"))
     got = spark.read.parquet(out)
     assert got.count() == ev.count() == got.select("event_id").distinct().count()
+
+
+def test_limiter_spreads_the_windows_of_one_client(spark):
+    import datetime as dt
+    from vigilspark.streaming.limiter import stream_rate_limit
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(10 * w + k, "busy", t + dt.timedelta(minutes=w, seconds=k)) for w in range(60) for k in range(4)]
+    src, ckpt = scratch_path(spark, "limiter-src"), scratch_path(spark, "limiter-ckpt")
+    spark.createDataFrame(rows, "id long, client string, ts timestamp").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("id long, client string, ts timestamp").parquet(src)
+    out = spark.read.parquet(io.run_append(stream_rate_limit(stream, "client", "ts", "id", limit=3, delay="2 hours"), checkpoint=ckpt))
+    assert {r.id: r.allowed for r in out.collect()} == {i: i % 10 < 3 for i, _, _ in rows}
+    state = spark.read.format("statestore").option("path", ckpt).option("stateVarName", "windows").load()
+    assert {r["client"] for r in state.select("key.client").collect()} == {"busy"}
+    assert state.select("partition_id").distinct().count() > 2

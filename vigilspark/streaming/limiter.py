@@ -1,17 +1,19 @@
 """Stateful fixed-window limiter for streams (S3), with replay dedup.
 
-``transformWithState`` keyed by client.  State per client: the counts of its open
-windows in one value and, with ``dedup_ms``, a map from window to the request ids seen
-in it (a replay has its original's time, so it meets the same window).  A batch
+``transformWithState`` keyed by client and lane.  A window belongs to one of ``LANES``
+lanes by its start, so the windows of a busy client are counted by many tasks; windows
+are independent of each other, so the lanes change no result.  State per key: the counts
+of its open windows in one value and, with ``dedup_ms``, a map from window to the request
+ids seen in it (a replay has its original's time, so it meets the same window).  A batch
 reads and writes the ids of the windows that it touches and no others.  An
-event-time timer clears what has ended once the watermark passes the client's last
+event-time timer clears what has ended once the watermark passes the key's last
 window (plus ``dedup_ms``), so an idle client leaves nothing behind.  State lives
 in RocksDB.
 
 Rows of a micro-batch are taken in (event time, id) order, so on ordered input the
 result equals the batch operator.  Rows are not held: a row that cannot be among
 its window's first ``limit`` is passed on at once, the others wait for the
-end of the client's rows.
+end of the key's rows.
 
 A row whose window end is at or behind the watermark at the start of the batch
 is *late*: it is reported with ``late = true`` and ``allowed = NULL`` instead of
@@ -33,11 +35,12 @@ from pyspark.sql.types import BooleanType, StructType
 from ..functions import rules
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LANES = 64
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class WindowLimiter(StatefulProcessor):
-    """Input rows (client, window_start, _end_ms, _order, *out columns) of one client."""
+    """Input rows (client, window_start, _end_ms, _order, *out columns) of one client's lane."""
 
     def __init__(self, out_cols: list[str], id_col: str, limit: int, dedup_ms: int | None):
         self.out_cols, self.id_col, self.limit, self.dedup_ms = out_cols, id_col, limit, dedup_ms
@@ -132,9 +135,10 @@ def stream_rate_limit(df: DataFrame, client_col: str, ts_col: str, id_col: str,
     keyed = src.withColumn("window_start", F.timestamp_micros(F.unix_micros(start))) \
         .withColumn("_end_ms", F.unix_millis(F.timestamp_add(unit.upper(), F.lit(1), F.col("window_start")))) \
         .withColumn("_order", F.unix_micros(ts_col)) \
-        .withColumn(ts_col, F.timestamp_micros(F.unix_micros(ts_col)))
+        .withColumn(ts_col, F.timestamp_micros(F.unix_micros(ts_col))) \
+        .withColumn("_lane", F.pmod(F.xxhash64("window_start"), F.lit(LANES)))
     out_cols = cols + ["window_start"]
     out = StructType([keyed.schema[c] for c in out_cols]).add("allowed", BooleanType()).add("late", BooleanType())
     out = StructType.fromJson({**out.jsonValue(), "fields": [{**f, "nullable": True, "metadata": {}} for f in out.jsonValue()["fields"]]})
     limiter = WindowLimiter(out_cols, id_col, limit, dedup_ms)
-    return keyed.groupBy(client_col).transformWithState(limiter, out, "append", "EventTime")
+    return keyed.groupBy(client_col, "_lane").transformWithState(limiter, out, "append", "EventTime")
