@@ -428,3 +428,44 @@ def test_classifier_queries_properties(spark):
         if r["ml_prediction"] is not None and r["threat_type"] == r["ml_prediction"] and r["rule_detections"] == 0:
             assert r["confidence"] >= 0.6  # an ML-only threat needs confidence >= 0.6
         assert r["passed"] == (r["threat_type"] == "clean")
+
+
+def test_repeated_names_multiply_the_matches_not_the_candidates(spark):
+    t = spark.createDataFrame([(k, f"order {k} for Name#{k % 5:04d} end") for k in range(40)], "id long, text string")
+    pats = spark.createDataFrame([("p", 10 * c + k, f"Name#{k:04d}") for c in range(30) for k in range(5)], "name string, ordinal int, pattern string") \
+        .withColumn("pattern_lc", F.lower("pattern"))
+    got = PL.literal_matches(t, "id", "text", pats, max_broadcast_rows=0)
+    exp = sorted((k, "p", 10 * c + k % 5, f"Name#{k % 5:04d}") for k in range(40) for c in range(30))
+    assert sorted(tuple(r) for r in got.collect()) == exp
+    assert PL.pattern_keys(pats).count() == 5
+    of_texts = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [_tk" in x]
+    assert of_texts and not any("ordinal" in x for x in of_texts)
+
+
+def test_rows_of_one_key_meet_the_dictionary_in_many_tasks(spark):
+    from vigilspark.operators.joins import salted_join
+    rows = spark.range(2000).select(F.xxhash64("id").alias("_tk"), F.when(F.col("id") < 1990, "From").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"))
+    d = spark.createDataFrame([("From", "ORG"), ("k1995", "GPE"), ("other", "LOC")], "key string, label string")
+    held = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = salted_join(rows, d, F.col("_tk"))
+        assert sorted(out.columns) == ["_tk", "key", "label"]
+        assert {tuple(r) for r in out.groupBy("key", "label").count().collect()} == {("From", "ORG", 1990), ("k1995", "GPE", 1)}
+        most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 1000
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+
+
+def test_gazetteer_offsets_of_short_and_long_texts_agree(spark):
+    from vigilspark.operators.entities import SHORT_TOKENS
+    d = spark.createDataFrame([("Ada Lovelace", "PERSON"), ("London", "GPE"), ("\U0001f600x", "ORG")], "entity string, label string")
+    tail = "\U0001f600 in London, Ada  Lovelace; x London"
+    texts = [(k, "w, " * k + tail) for k in (0, SHORT_TOKENS - 6, SHORT_TOKENS - 5, SHORT_TOKENS, 5 * SHORT_TOKENS)] + [(-1, "London")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r["id"]: [(s["text"], s["type"], s["start"], s["end"]) for s in r["entity_spans"]] for r in gazetteer_spans(df, "id", "text", d).collect()}
+    of_tail = [("London", "GPE", 5, 11), ("Ada  Lovelace", "PERSON", 13, 26), ("x", "ORG", 28, 29), ("London", "GPE", 30, 36)]
+    assert got == {k: [(w, t, a + 3 * k, b + 3 * k) for w, t, a, b in of_tail] for k, _ in texts[:-1]} | {-1: [("London", "GPE", 0, 6)]}

@@ -6,10 +6,11 @@ from a dictionary (entity text -> label) that may be as large as a table:
 1. candidate phase: each text's distinct word n-grams (n up to the longest
    entry) pass a Bloom filter of the dictionary's keys (one bit array of fixed
    size, a scalar subquery of the same plan), and what is left is equi-joined
-   with the dictionary.  The plan is the same for ten entries and for millions;
-   no size is counted and nothing is broadcast by hint;
-2. span phase: offsets from prefix sums over the staged token and gap
-   arrays; overlaps resolve leftmost-longest.  No Python runs per row.
+   with the dictionary, the n-grams of one key (or one frequent word that the
+   filter lets through) spread over tasks by their texts.  The plan is the same for
+   ten entries and for millions; no size is counted and nothing is broadcast by hint;
+2. span phase: offsets of the hits in the staged token and gap arrays, from prefix
+   sums where a text has many tokens; overlaps resolve leftmost-longest.  No Python runs per row.
 
 ``model_entity_spans`` is the pluggable hook: an Arrow-batched pandas UDF
 running any callable ``text -> [(text, label, start, end)]`` once per batch.
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import spans as S
-from .joins import BLOOM_BITS, key_filter, may_hold
+from .joins import BLOOM_BITS, key_filter, may_hold, salted_join
 from .partitioning import explode_computed
 
 TOKEN = r"(?U)[\w#]+"
+SHORT_TOKENS = 128  # texts of at most so many tokens take offsets from their beginning, without prefix sums
 
 
 def entity_dictionary(spark, sf_dir) -> DataFrame:
@@ -90,37 +92,42 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     def positioned(levels, label_of):
         def at_level(n):
             # two-argument lambda (element, index); n is bound by the closure
-            return lambda g, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("n"), label_of(g).alias("label"))
+            return lambda g, i: F.when(F.array_contains(F.col("_keys"), g), F.struct((i + 1).alias("pos"), F.lit(n).alias("n"), label_of(g).alias("label")))
 
         per_level = [F.transform(lv, at_level(n)) for n, lv in enumerate(levels, start=1)]
-        return F.filter(F.flatten(F.array(*per_level)), lambda h: h["label"].isNotNull())
+        return F.array_compact(F.flatten(F.array(*per_level)))
 
     # candidates from a throw-away tokenization; only the text's label map travels back
     # to the rows (the token arrays are rebuilt after the join)
     tok = df.select(F.xxhash64(t).alias("_tk"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
-    grams = tok.select("_tk", explode_computed(F.array_distinct(
-        F.filter(F.flatten(F.array(*ngram_levels(F.col("_t")))), lambda g: g.isNotNull())), "key"))
+    grams = tok.select("_tk", explode_computed(F.array_distinct(F.flatten(F.array(*ngram_levels(F.col("_t"))))), "key"))
     cand = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(d, bits).scalar(), bits))
-    per_text = cand.join(d, "key").groupBy("_tk").agg(F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
+    per_text = salted_join(cand, d, F.col("_tk")).groupBy("_tk").agg(F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
+    per_text = per_text.withColumn("_keys", F.map_keys("_labels"))
     staged = df.withColumn("_tk", F.xxhash64(t)).join(per_text, "_tk", "left").drop("_tk")
     staged = staged.withColumn("_toks", F.when(F.col("_labels").isNotNull(), F.regexp_extract_all(t, F.lit(TOKEN), 0)))
     staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
         positioned(ngram_levels(F.col("_toks")), lambda g: F.try_element_at(F.col("_labels"), g)))) \
-        .drop("_labels")
+        .drop("_labels", "_keys")
 
-    # token end offsets (chunked prefix sums) and text chunks, only for rows with hits
+    # token end offsets: of the hits only in a short text, of all tokens (chunked prefix sums) in a long one
     has = F.size("_hits") > 0
+    long = has & (F.size("_toks") > SHORT_TOKENS)
     staged = staged.withColumn("_gaps", F.when(has, F.split(t, TOKEN, -1)))
-    staged = staged.withColumn("_lens", F.when(has, F.array(S._segment_lengths(F.col("_toks"), F.col("_gaps")))))
+    staged = staged.withColumn("_lens", F.when(long, F.array(S._segment_lengths(F.col("_toks"), F.col("_gaps")))))
     staged, ends_col = S._add_chunked_ends(staged, "_lens", "ent")
     staged = staged.withColumn("_tend", F.element_at(F.col(ends_col), 1)) \
-        .withColumn("_chunks", F.when(has, S.text_chunks(t))).drop("_lens", ends_col, "_gaps")
-    toks, tend = F.col("_toks"), F.col("_tend")
+        .withColumn("_chunks", F.when(long, S.text_chunks(t))).drop("_lens", ends_col)
+    toks, gaps, tend = F.col("_toks"), F.col("_gaps"), F.col("_tend")
+
+    def end_of(k):
+        near = F.length(F.array_join(F.slice(gaps, 1, k), "")) + F.length(F.array_join(F.slice(toks, 1, k), ""))
+        return F.when(tend.isNull(), near).otherwise(F.element_at(tend, k))
 
     def to_span(h):
         i, n = h["pos"], h["n"]
-        start = F.element_at(tend, i) - F.length(F.element_at(toks, i))
-        end = F.element_at(tend, i + n - 1)
+        start = end_of(i) - F.length(F.element_at(toks, i))
+        end = end_of(i + n - 1)
         return F.struct(start.alias("start"), (-end).alias("neg_end"), end.alias("end"), h["label"].alias("type"))
 
     staged = staged.withColumn("_cands", F.array_sort(F.transform("_hits", to_span)))
@@ -134,10 +141,10 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
         lambda acc: acc["out"])
     chunks = F.col("_chunks")
     spans = F.transform(kept, lambda c: F.struct(
-        S._piece(chunks, c["start"], c["end"]).alias("text"), c["type"].alias("type"),
+        F.when(chunks.isNull(), F.substr(t, c["start"] + 1, c["end"] - c["start"])).otherwise(S._piece(chunks, c["start"], c["end"])).alias("text"), c["type"].alias("type"),
         c["start"].alias("start"), c["end"].alias("end")))
     return staged.withColumn("entity_spans", F.when(has, spans).otherwise(S.empty_spans())) \
-        .drop("_toks", "_tend", "_chunks", "_hits", "_cands")
+        .drop("_toks", "_gaps", "_tend", "_chunks", "_hits", "_cands")
 
 
 _MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|November|December"
