@@ -159,6 +159,7 @@ def _splice(acc: Column, s: Column) -> Column:
 
 
 TEXT_CHUNK = 256
+SHORT_TEXT = 512  # code points: texts up to here need no chunks
 
 
 def text_chunks(text: Column) -> Column:
@@ -206,13 +207,15 @@ def sorted_for_redaction(spans: Column) -> Column:
 
 def redact_sorted(text: Column, ordered: Column, chunks: Column | None = None) -> Column:
     """Redaction from ``sorted_for_redaction`` output (pass staged columns so
-    the sort and the chunking run once per row)."""
+    the sort and the chunking run once per row).  Rows whose ``chunks`` are null
+    are cut from the text itself, which costs less where it is short."""
     asc = F.reverse(ordered)  # starts ascending (non-overlapping spans have distinct starts)
     overlapping = F.exists(F.zip_with(F.slice(asc, 2, F.greatest(F.size(asc), F.lit(1))), asc,
                                       lambda nxt, cur: nxt["start"] < cur["end"]),
                            lambda x: F.coalesce(x, F.lit(False)))  # zip_with pads with NULL
     return (F.when(F.size(ordered) == 0, text)
-            .when(~overlapping, _stitch(text, asc, chunks))
+            .when(~overlapping, _stitch(text, asc) if chunks is None else
+                  F.when(chunks.isNull(), _stitch(text, asc)).otherwise(_stitch(text, asc, chunks)))
             .otherwise(F.aggregate(ordered, text, _splice)))
 
 
