@@ -469,3 +469,37 @@ def test_gazetteer_offsets_of_short_and_long_texts_agree(spark):
     got = {r["id"]: [(s["text"], s["type"], s["start"], s["end"]) for s in r["entity_spans"]] for r in gazetteer_spans(df, "id", "text", d).collect()}
     of_tail = [("London", "GPE", 5, 11), ("Ada  Lovelace", "PERSON", 13, 26), ("x", "ORG", 28, 29), ("London", "GPE", 30, 36)]
     assert got == {k: [(w, t, a + 3 * k, b + 3 * k) for w, t, a, b in of_tail] for k, _ in texts[:-1]} | {-1: [("London", "GPE", 0, 6)]}
+
+
+def test_large_pattern_sets_are_not_broadcast(spark):
+    """The planner's estimate of a compressed file does not bring its names into the driver."""
+    t = spark.createDataFrame([(k, f"order {k} for Name#{k % 500:09d} end") for k in range(1000)], "id long, text string")
+    pats = spark.createDataFrame([("p", k, f"Name#{k:09d}") for k in range(600)], "name string, ordinal int, pattern string") \
+        .withColumn("pattern_lc", F.lower("pattern"))
+    got = PL.literal_matches(t, "id", "text", pats)
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted((k, "p", k % 500, f"Name#{k % 500:09d}") for k in range(1000))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_texts_have_runs_only_of_the_patterns_sizes(spark):
+    t = spark.createDataFrame([(1, "xx abcdefgh xx"), (2, "a"), (3, None), (4, "")], "id long, text string")
+    for pats, want in (([("abcdefgh", 1)], {8}), ([("abcdefgh", 1), ("a", 2)], {1, 8}), ([("ab", 1), ("xx ", 1)], {2, 3})):
+        p = spark.createDataFrame([("p", k, w) for k, (w, _) in enumerate(pats)], "name string, ordinal int, pattern string").withColumn("pattern_lc", F.lower("pattern"))
+        got = PL.literal_matches(t, "id", "text", p, max_broadcast_rows=0)
+        assert sorted((r["id"], r["pattern"]) for r in got.collect()) == sorted((k, w) for k, x in [(1, "xx abcdefgh xx"), (2, "a")] for w, _ in pats if w in x)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        of_texts = next(x for x in plan.split("\n") if "Generate" in x and "_lc#" in x and "pattern_lc" not in x)
+        assert {n for n in PL.GRAM_SIZES if f"(.{{{n}}})" in of_texts} == want
+
+
+def test_key_filter_grows_with_the_keys(spark):
+    from vigilspark.operators.joins import BLOOM_BITS, BLOOM_MOST_BITS, filter_bits, key_filter, may_hold
+    assert [filter_bits(n) for n in (0, 1, 1000, 900_000, 10**9)] == [BLOOM_BITS, BLOOM_BITS, BLOOM_BITS, 1 << 25, BLOOM_MOST_BITS]
+    bits = filter_bits(400_000)
+    d = spark.range(400_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    words = key_filter(d, bits)
+    assert d.where(may_hold(F.col("key"), words.scalar(), bits)).count() == 400_000
+    other = spark.range(100_000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("key"))
+    assert other.where(may_hold(F.col("key"), words.scalar(), bits)).count() < 1000

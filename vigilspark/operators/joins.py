@@ -12,10 +12,24 @@ def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-BLOOM_BITS = 1 << 22  # 512 KB; lets about 1 in 10,000 other keys through at 16,000 keys, an eighth at 900,000, most at 5 million
+BLOOM_BITS = 1 << 22  # 512 KB, the least: lets about 1 in 10,000 other keys through at 16,000 keys
+BLOOM_MOST_BITS = 1 << 27  # 16 MB; 1 in 140 at 6 million keys
+BITS_A_KEY = 32  # 1 in 250 at most, up to the largest filter
+BLOCK = 1 << 10  # words of the filter that are put in order together
 SALTS = 16
 
 
+def filter_bits(n_keys: int) -> int:
+    """Bits of a ``key_filter`` of ``n_keys`` keys: a power of two, so that it prunes whatever their number."""
+    return min(max(1 << (BITS_A_KEY * n_keys - 1).bit_length(), BLOOM_BITS), BLOOM_MOST_BITS) if n_keys > 0 else BLOOM_BITS
+
+
+def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column) -> DataFrame:
+    """Inner join by shuffle and sort, whatever the planner estimates.  It takes a small compressed
+    file for a small table: a million names or runs of them, 10 MB of parquet, were collected by the driver."""
+    return left.join(right.hint("merge"), on)
+
+
 def _bits_of(key: Column, bits: int) -> list[Column]:
     """Two independent bits of ``key``."""
     return [F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits))]
@@ -26,7 +40,9 @@ def key_filter(dictionary: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
     marks = dictionary.select(F.explode(F.array(*_bits_of(F.col("key"), bits))).alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("mark"))
     empty = dictionary.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mark"))
     words = marks.unionByName(empty).groupBy("word").agg(F.bit_or("mark").alias("mark"))
-    return words.agg(F.array_sort(F.collect_list(F.struct("word", "mark"))).alias("w")).select(F.transform("w", lambda x: x["mark"]).alias("words"))
+    blocks = words.groupBy(F.expr(f"word div {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("word", "mark"))).alias("w"))
+    blocks = blocks.select("block", F.transform("w", lambda x: x["mark"]).alias("words"))
+    return blocks.agg(F.array_sort(F.collect_list(F.struct("block", "words"))).alias("b")).select(F.flatten(F.transform("b", lambda x: x["words"])).alias("words"))
 
 
 def may_hold(key: Column, words: Column, bits: int = BLOOM_BITS) -> Column:
@@ -43,4 +59,4 @@ def salted_join(rows: DataFrame, dictionary: DataFrame, spread: Column, salts: i
     """Inner join on ``key`` with a ``dictionary`` of distinct keys: the rows of one key go to
     ``salts`` tasks by ``spread`` (a long), each with the dictionary's row."""
     each = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return rows.withColumn("_salt", F.pmod(spread, F.lit(salts).cast("long"))).join(each, ["key", "_salt"]).drop("_salt")
+    return sorted_join(rows.withColumn("_salt", F.pmod(spread, F.lit(salts).cast("long"))), each, ["key", "_salt"]).drop("_salt")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from .joins import bounded_rows, key_filter, may_hold
+from .joins import bounded_rows, filter_bits, key_filter, may_hold, sorted_join
 from .partitioning import explode_computed
 
 INLINE_BYTES = 1 << 20  # patterns put into the scan as an expression, together
@@ -92,25 +92,27 @@ def _runs(text, sizes) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
 
 
+def _run_size(text: Column) -> Column:
+    """The largest of ``GRAM_SIZES`` that ``text`` holds; null for a null or empty text."""
+    return F.coalesce(*[F.when(F.length(text) >= n, F.lit(n)) for n in sorted(GRAM_SIZES, reverse=True)])
+
+
 def pattern_keys(patterns: DataFrame) -> DataFrame:
     """(pattern_lc, key): one row per distinct text among the patterns.  ``key`` is, of its runs of
     its size (``GRAM_SIZES``), the one that the fewest texts hold, then the smallest.  So
     patterns with a common beginning, such as numbered names, do not meet every text that holds it."""
-    size = F.length("pattern_lc")
-    runs = None
-    for n in sorted(GRAM_SIZES, reverse=True):
-        of_size = _runs(F.col("pattern_lc"), [n])
-        runs = F.when(size >= n, of_size) if runs is None else runs.when(size >= n, of_size)
+    size = _run_size(F.col("pattern_lc"))
+    runs = F.coalesce(*[F.when(size == n, _runs(F.col("pattern_lc"), [n])) for n in GRAM_SIZES])
     runs = patterns.select("pattern_lc").distinct().select("pattern_lc", explode_computed(runs, "key")).where(F.col("key").isNotNull())
     held = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n_patterns"))
-    rarest = runs.join(held, "key").groupBy("pattern_lc").agg(F.min(F.struct("n_patterns", "key")).alias("k"))
+    rarest = sorted_join(runs, held, "key").groupBy("pattern_lc").agg(F.min(F.struct("n_patterns", "key")).alias("k"))
     return rarest.select("pattern_lc", F.col("k.key").alias("key"))
 
 
 def keyed_patterns(patterns: DataFrame) -> DataFrame:
     """``patterns`` (distinct rows, ``n_rows`` of each) with the ``key`` of ``pattern_keys``."""
     rows = patterns.groupBy("name", "ordinal", "pattern", "pattern_lc").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
-    return rows.join(pattern_keys(patterns), "pattern_lc")
+    return sorted_join(rows, pattern_keys(patterns), "pattern_lc")
 
 
 def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame,
@@ -121,12 +123,12 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
     Up to ``max_broadcast_rows`` patterns of at most ``INLINE_BYTES`` together
     become one expression of the scan, without a join.  More of them meet the
     texts by an exact equi-join: a pattern is keyed by its rarest run of
-    characters (``keyed_patterns``), a text by its distinct runs of the same
-    sizes.  Runs that are no pattern's key are dropped by a Bloom filter before
-    they shuffle; the candidates return to the texts by the text's hash and are
+    characters (``pattern_keys``), a text by its distinct runs of the sizes that
+    the patterns have.  Runs that are no pattern's key are dropped by a Bloom filter,
+    as large as the number of patterns asks, before they shuffle; the candidates return to the texts by the text's hash and are
     checked with ``contains``.  Pattern rows of the same text travel as one and are
     told apart in the last join, so rows that repeat a name multiply the result,
-    not the shuffles.  Null texts match nothing; null and repeated ids keep their rows."""
+    not the shuffles.  No table is broadcast.  Null texts match nothing; null and repeated ids keep their rows."""
     t = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_lc"))
     size = patterns.limit(max_broadcast_rows + 1).agg(
         F.count(F.lit(1)), F.sum(F.octet_length("pattern") + F.octet_length("name"))).first()
@@ -137,12 +139,14 @@ def literal_matches(texts: DataFrame, id_col: str, text_col: str, patterns: Data
         found = t.select("_id", explode_computed(F.array_compact(F.array(*hits)), "_m")).where(F.col("_m").isNotNull())
         return found.select(F.col("_id").alias(id_col), "_m.name", "_m.ordinal", "_m.pattern")
     # rows of one pattern text are one candidate: only what is found meets them all
+    seen = patterns.agg(F.approx_count_distinct("pattern_lc"), F.collect_set(_run_size(F.col("pattern_lc")))).first()
+    sizes, bits = sorted(seen[1]) or GRAM_SIZES[:1], filter_bits(seen[0])
     keyed = pattern_keys(patterns)
-    grams = t.select(F.xxhash64("_lc").alias("_tk"), explode_computed(_runs(F.col("_lc"), GRAM_SIZES), "key"))
-    grams = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(keyed).scalar()))
-    pairs = grams.join(keyed, "key").select("_tk", "pattern_lc").distinct()
-    checked = t.withColumn("_tk", F.xxhash64("_lc")).join(pairs, "_tk").where(F.col("_lc").contains(F.col("pattern_lc")))
-    each = checked.select("_id", "pattern_lc").join(patterns.select("name", "ordinal", "pattern", "pattern_lc"), "pattern_lc")
+    grams = t.select(F.xxhash64("_lc").alias("_tk"), explode_computed(_runs(F.col("_lc"), sizes), "key"))
+    grams = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(keyed, bits).scalar(), bits))
+    pairs = sorted_join(grams, keyed, "key").select("_tk", "pattern_lc").distinct()
+    checked = sorted_join(t.withColumn("_tk", F.xxhash64("_lc")), pairs, "_tk").where(F.col("_lc").contains(F.col("pattern_lc")))
+    each = sorted_join(checked.select("_id", "pattern_lc"), patterns.select("name", "ordinal", "pattern", "pattern_lc"), "pattern_lc")
     return each.select(F.col("_id").alias(id_col), "name", "ordinal", "pattern")
 
 

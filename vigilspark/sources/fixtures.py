@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..operators.joins import sorted_join
 from .tables import read_table
 
 # Fixed clock for every relative-time query.
@@ -305,7 +306,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")) \
+    j = sorted_join(o, c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")) \
         .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" for "), F.col("c_name"),
                     F.lit(" in "), F.col("n_name"), F.lit(", "), F.col("r_name"), F.lit(": status "),
