@@ -503,3 +503,21 @@ def test_key_filter_grows_with_the_keys(spark):
     assert d.where(may_hold(F.col("key"), words.scalar(), bits)).count() == 400_000
     other = spark.range(100_000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("key"))
     assert other.where(may_hold(F.col("key"), words.scalar(), bits)).count() < 1000
+
+
+def test_gazetteer_filter_grows_with_the_dictionary(spark):
+    from vigilspark.operators.joins import BLOOM_MOST_SHARED, filter_bits, pruned
+    t = spark.createDataFrame([(1, "to entry#7 here"), (2, "entry#7"), (2, "entry#7"), (None, "none"), (3, None)], "id long, text string")
+    d = spark.range(200_000).select(F.concat(F.lit("entry#"), F.col("id").cast("string")).alias("entity"), F.lit("ORG").alias("label"))
+    out = gazetteer_spans(t, "id", "text", d)
+    assert sorted([s["start"] for s in r["entity_spans"]] for r in out.collect()) == [[], [], [0], [0], [3]]
+    bits = 1 << 23
+    assert filter_bits(200_000, BLOOM_MOST_SHARED) == bits and filter_bits(6 * 10**6, BLOOM_MOST_SHARED) == BLOOM_MOST_SHARED
+    assert f"Range (0, {bits // 64}," in out._jdf.queryExecution().optimizedPlan().toString()
+
+    keys = d.select(F.col("entity").alias("key"))
+    rows = keys.select("key", F.lit(1).alias("x")).unionByName(spark.range(100_000).select(F.concat(F.lit("other"), F.col("id").cast("string")).alias("key"), F.lit(0).alias("x"))) \
+        .unionByName(spark.createDataFrame([(None, 0)], "key string, x int"))
+    kept = {r["x"]: r["count"] for r in pruned(rows, keys, bits).groupBy("x").count().collect()}
+    assert kept[1] == 200_000 and kept.get(0, 0) < 1000
+    assert pruned(rows, keys.limit(0), 64).count() == 0

@@ -4,11 +4,11 @@ The reference runs a statistical NER model per response.  Here entities come
 from a dictionary (entity text -> label) that may be as large as a table:
 
 1. candidate phase: each text's distinct word n-grams (n up to the longest
-   entry) pass a Bloom filter of the dictionary's keys (one bit array of fixed
-   size, a scalar subquery of the same plan), and what is left is equi-joined
+   entry) pass a Bloom filter of the dictionary's keys (one bit array with a fixed
+   number of bits a key, one broadcast row), and what is left is equi-joined
    with the dictionary, the n-grams of one key (or one frequent word that the
    filter lets through) spread over tasks by their texts.  The plan is the same for
-   ten entries and for millions; no size is counted and nothing is broadcast by hint;
+   ten entries and for millions; only the filter is broadcast;
 2. span phase: offsets of the hits in the staged token and gap arrays, from prefix
    sums where a text has many tokens; overlaps resolve leftmost-longest.  No Python runs per row.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import spans as S
-from .joins import BLOOM_BITS, key_filter, may_hold, salted_join
+from .joins import BLOOM_MOST_SHARED, filter_bits, pruned, salted_join
 from .partitioning import explode_computed
 
 TOKEN = r"(?U)[\w#]+"
@@ -51,6 +51,11 @@ def _key(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(TOKEN), 0), " ")
 
 
+def _text_key(text: Column) -> Column:
+    """40 bits of the text's hash: it travels with every candidate, and texts that share it only share their label maps."""
+    return F.shiftrightunsigned(F.xxhash64(text), 24)
+
+
 def normalized_dictionary(dictionary: DataFrame) -> DataFrame:
     """(key, label): entries keyed by their token sequence; the first label
     (alphabetical) wins when one key has several."""
@@ -59,7 +64,7 @@ def normalized_dictionary(dictionary: DataFrame) -> DataFrame:
 
 
 def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
-                    max_words: int | None = None, bits: int = BLOOM_BITS) -> DataFrame:
+                    max_words: int | None = None, bits: int | None = None) -> DataFrame:
     """Adds ``entity_spans`` (array<span>) to ``df``.
 
     An entity matches a run of whole tokens (maximal ``[\\w#]`` runs) equal to
@@ -67,16 +72,21 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
     Offsets come from the staged token/gap arrays (prefix sums), so no
     per-row pattern is compiled.
 
-    ``max_words`` is the number of tokens of the longest entry; None measures it
-    by one aggregate over the dictionary (it sets how many n-gram sizes the plan
-    has).  The labels of a text's n-grams return to it through a join on the
+    ``max_words`` is the number of tokens of the longest entry and ``bits`` the size
+    of the key filter; None measures them by one aggregate over the dictionary (they set
+    how many n-gram sizes the plan has, and how many n-grams that are no entry reach its
+    shuffle).  The labels of a text's n-grams return to it through a join on the
     text's hash: a label belongs to its n-gram, whatever text holds it, so rows
     without an id, repeated ids and equal texts are all right.  Null texts and an
     empty dictionary give no spans."""
     d = normalized_dictionary(dictionary)
-    max_n = max_words or d.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
-    if max_n == 0:
+    if not (max_words and bits):
+        keys = dictionary.select(_key(F.col("entity")).alias("key")).where(F.col("key") != "")
+        longest, n_keys = keys.agg(F.max(F.size(F.split("key", " "))), F.approx_count_distinct("key")).first()
+        max_words, bits = max_words or longest, bits or filter_bits(n_keys, BLOOM_MOST_SHARED)
+    if not max_words:
         return df.withColumn("entity_spans", S.empty_spans())
+    max_n = max_words
 
     t = F.col(text_col)
 
@@ -99,12 +109,11 @@ def gazetteer_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataF
 
     # candidates from a throw-away tokenization; only the text's label map travels back
     # to the rows (the token arrays are rebuilt after the join)
-    tok = df.select(F.xxhash64(t).alias("_tk"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
+    tok = df.select(_text_key(t).alias("_tk"), F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("_t"))
     grams = tok.select("_tk", explode_computed(F.array_distinct(F.flatten(F.array(*ngram_levels(F.col("_t"))))), "key"))
-    cand = grams.where(F.col("key").isNotNull() & may_hold(F.col("key"), key_filter(d, bits).scalar(), bits))
-    per_text = salted_join(cand, d, F.col("_tk")).groupBy("_tk").agg(F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
+    per_text = salted_join(pruned(grams, d, bits), d, F.col("_tk")).groupBy("_tk").agg(F.map_from_entries(F.collect_set(F.struct("key", "label"))).alias("_labels"))
     per_text = per_text.withColumn("_keys", F.map_keys("_labels"))
-    staged = df.withColumn("_tk", F.xxhash64(t)).join(per_text, "_tk", "left").drop("_tk")
+    staged = df.withColumn("_tk", _text_key(t)).join(per_text, "_tk", "left").drop("_tk")
     staged = staged.withColumn("_toks", F.when(F.col("_labels").isNotNull(), F.regexp_extract_all(t, F.lit(TOKEN), 0)))
     staged = staged.withColumn("_hits", F.when(F.col("_labels").isNull(), F.array()).otherwise(
         positioned(ngram_levels(F.col("_toks")), lambda g: F.try_element_at(F.col("_labels"), g)))) \

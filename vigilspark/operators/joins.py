@@ -13,15 +13,16 @@ def bounded_rows(df: DataFrame, max_rows: int) -> bool:
 
 
 BLOOM_BITS = 1 << 22  # 512 KB, the least: lets about 1 in 10,000 other keys through at 16,000 keys
-BLOOM_MOST_BITS = 1 << 27  # 16 MB; 1 in 140 at 6 million keys
+BLOOM_MOST_BITS = 1 << 25  # 4 MB: a filter that travels with the tasks; with 16 MB the driver's heap of 750 MB was too small
+BLOOM_MOST_SHARED = 1 << 27  # 16 MB: a filter that is broadcast once; 1 in 140 at 6 million keys
 BITS_A_KEY = 32  # 1 in 250 at most, up to the largest filter
 BLOCK = 1 << 10  # words of the filter that are put in order together
 SALTS = 16
 
 
-def filter_bits(n_keys: int) -> int:
-    """Bits of a ``key_filter`` of ``n_keys`` keys: a power of two, so that it prunes whatever their number."""
-    return min(max(1 << (BITS_A_KEY * n_keys - 1).bit_length(), BLOOM_BITS), BLOOM_MOST_BITS) if n_keys > 0 else BLOOM_BITS
+def filter_bits(n_keys: int, most: int = BLOOM_MOST_BITS) -> int:
+    """Bits of a ``key_filter`` of ``n_keys`` keys: a power of two that grows with their number, up to ``most``."""
+    return min(max(1 << (BITS_A_KEY * n_keys - 1).bit_length(), BLOOM_BITS), most) if n_keys > 0 else BLOOM_BITS
 
 
 def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column) -> DataFrame:
@@ -55,6 +56,13 @@ def may_hold(key: Column, words: Column, bits: int = BLOOM_BITS) -> Column:
     return marked(one) & marked(other)
 
 
+def pruned(rows: DataFrame, dictionary: DataFrame, bits: int) -> DataFrame:
+    """The rows whose ``key`` can be among the dictionary's.  The filter is one row, broadcast
+    once: as a scalar subquery every task's closure would hold copies of it."""
+    words = F.broadcast(key_filter(dictionary, bits))
+    return rows.crossJoin(words).where(F.col("key").isNotNull() & may_hold(F.col("key"), F.col("words"), bits)).drop("words")
+
+
 def salted_join(rows: DataFrame, dictionary: DataFrame, spread: Column, salts: int = SALTS) -> DataFrame:
     """Inner join on ``key`` with a ``dictionary`` of distinct keys: the rows of one key go to
     ``salts`` tasks by ``spread`` (a long), each with the dictionary's row."""
